@@ -1,10 +1,18 @@
 """What several text operators share."""
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tracelake
+
+#: Functions travel to executors with their code, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(tracelake)
+
 #: A run of ASCII white space; everything else belongs to words.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,3 +37,22 @@ def scan_partitions(df: DataFrame) -> int:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for a row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_BREAK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """text in pieces of about size characters that end with white space, so that words stay whole."""
+    at = 0
+    while len(text) - at > size:
+        end = found.end() if (found := _BREAK.search(text, at + size)) else len(text)
+        yield text[at:end]
+        at = end
+    if at < len(text) or not text:
+        yield text[at:]
+
+
+def words(column: Column) -> Column:
+    """The words of a text: runs without ASCII white space."""
+    return F.filter(F.split(column, WHITE_SPACE), lambda w: w != "")

@@ -3,7 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify
 from .quality import judge
+from .simhash import near_duplicates
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,6 +21,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op6_language": op6_language,
     "op10_quality": op10_quality,
 }
 
