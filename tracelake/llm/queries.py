@@ -3,11 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import overlaps
 from .langid import identify
+from .pii import find
 from .quality import judge
 from .simhash import near_duplicates
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,13 +22,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
     "op6_language": op6_language,
+    "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
 }
 
