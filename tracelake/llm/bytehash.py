@@ -6,7 +6,7 @@ comparing and for picking. Equal bytes give equal hashes everywhere; whatever ne
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _MASK = (1 << 64) - 1
 
 
@@ -27,12 +27,12 @@ def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     size = 1
     while True:  # power holds the hashes of windows of `size` items; length is put together from its binary digits
         if length & size:
-            out *= np.uint64(pow(_BASE, size, 1 << 64))
+            out *= np.uint64(pow(BASE, size, 1 << 64))
             out += power[done : done + len(out)]
             done += size
         if done == length:
             return mix(out)
-        power = power[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + power[size:]
+        power = power[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + power[size:]
         size *= 2
 
 
@@ -54,10 +54,10 @@ def token_hashes(text: bytes) -> np.ndarray:
     alive = np.arange(len(starts))
     for k in range(min(int(length.max()), 24)):  # letter by letter, all tokens at once
         alive = alive[length[alive] > k]
-        out[alive] = out[alive] * np.uint64(_BASE) + data[starts[alive] + k] + np.uint64(1)
+        out[alive] = out[alive] * np.uint64(BASE) + data[starts[alive] + k] + np.uint64(1)
     for i in np.flatnonzero(length > 24):  # the few long ones each on its own
         h = int(out[i])
         for c in data[starts[i] + 24 : ends[i]].tolist():
-            h = (h * _BASE + c + 1) & _MASK
+            h = (h * BASE + c + 1) & _MASK
         out[i] = h
     return mix(out ^ length.astype(np.uint64) << np.uint64(56))

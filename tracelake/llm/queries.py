@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import overlaps
 from .langid import identify
 from .pii import find
 from .quality import judge
+from .repeats import repeats
 from .simhash import near_duplicates
 
 
@@ -18,6 +20,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
+    "op4_repeats": op4_repeats,
     "op6_language": op6_language,
     "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
