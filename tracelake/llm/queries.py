@@ -3,19 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pieces
+from .chat import format_turns, read_back, text_parts
 from .common import table
 from .decontaminate import overlaps
 from .langid import identify
 from .pii import find
 from .quality import judge
 from .repeats import repeats
+from .sharding import shard
 from .simhash import near_duplicates
+from .tokens import count_tokens
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,25 +33,36 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A conversation whose texts hold what the template uses, added to the table.
+_TRICKY = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(_TRICKY, turns.schema))
+    return read_back(format_turns(turns.withColumn("parts", text_parts(F.col("text")))))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_pii": op1_pii,
-    "op3_simhash": op3_simhash,
-    "op4_repeats": op4_repeats,
-    "op6_language": op6_language,
-    "op8_decontamination": op8_decontamination,
-    "op10_quality": op10_quality,
-}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_simhash, op4_repeats, op5_sharding, op6_language, op7_tokens, op8_decontamination, op9_chat, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
