@@ -1 +1,6 @@
+"""Queries over the supplied tables."""
 
+from . import lineage_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
