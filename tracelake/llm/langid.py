@@ -66,13 +66,15 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def _table(counts: DataFrame, key: str, most: int) -> list:
-    """The `most` most frequent keys with their counts by language; most bounds what comes to the driver."""
-    by_key = counts.groupBy(key).agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total"))
-    return by_key.orderBy(F.desc("total"), key).limit(most).select(key, "by").collect()
+def _table(counts: DataFrame, key: str, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The `most` most frequent keys and their counts by language; most bounds what comes to the driver."""
+    sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), *sums)
+    found = by_key.orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
+    return found[key].to_pylist(), np.array([found[f"n{i}"].to_numpy() for i in range(len(languages))], float).reshape(len(languages), -1).T
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000, longest: int = 5, longest_word: int = 40) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = 15_000, max_words: int = 50_000, max_grams: int = 60_000, longest: int = 5, longest_word: int = 40) -> Model:
     """Learn from the rows of labelled that have a language, or from about max_rows of them picked by a hash of the id.
 
     max_rows bounds the work, max_words and max_grams the model, which is sent to every task. The picked texts are
@@ -87,22 +89,17 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i: F.substring(marked, i, n))))
     grams = counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    at = {x: i for i, x in enumerate(languages)}
-
-    def scores(table: list, key: str, group) -> tuple[dict[str, int], np.ndarray]:
-        seen = np.zeros((len(table), len(languages)))
-        for i, r in enumerate(table):
-            for x in r["by"]:
-                seen[i, at[x["lang"]]] = x["n"]
-        kinds = np.array([group(r[key]) for r in table], int)
+
+    def scores(keys: list[str], seen: np.ndarray, group) -> tuple[dict[str, int], np.ndarray]:
+        kinds = np.array([group(k) for k in keys], int)
         out = np.zeros_like(seen)
         for k in set(kinds.tolist()):
             part = seen[kinds == k] + 0.5
             out[kinds == k] = np.log(part / part.sum(0))
-        return {r[key]: i for i, r in enumerate(table)}, out
+        return {k: i for i, k in enumerate(keys)}, out
 
-    word_rows, word_scores = scores(_table(counts, "word", max_words), "word", lambda w: 0)
-    gram_rows, gram_scores = scores(_table(grams, "gram", max_grams), "gram", len)
+    word_rows, word_scores = scores(*_table(counts, "word", max_words, languages), lambda w: 0)
+    gram_rows, gram_scores = scores(*_table(grams, "gram", max_grams, languages), len)
     return Model(languages, word_rows, word_scores, gram_rows, gram_scores, longest)
 
 
