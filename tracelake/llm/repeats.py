@@ -57,13 +57,13 @@ def pack(h: np.ndarray | None, c: np.ndarray | None, doc: np.ndarray, row: np.nd
     widths = [0 if delta is None else 6 if int(delta.max(initial=0)) >> 32 else 4, 0 if c is None else 6, 4 if len(keys) > 1 << 16 else 2, 8 if int(at.max(initial=0)) >> 32 else 4]
     head = np.array([len(at), len(keys), base, *widths], np.int64).tobytes()
     parts = [(delta, widths[0]), (c, widths[1]), (index.ravel(), widths[2]), (at, widths[3])]
-    return head + keys.tobytes() + doc[first].tobytes() + b"".join(_planes(x, w) for x, w in parts if w)
+    return head + keys.tobytes() + _planes(doc[first], 8) + b"".join(_planes(x, w) for x, w in parts if w)
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
     view = memoryview(blob)
     n, k, base, *widths = np.frombuffer(view[:56], np.int64).tolist()
-    keys, docs = np.frombuffer(view[56 : 56 + 16 * k], np.int64).reshape(2, k)
+    keys, docs = np.frombuffer(view[56 : 56 + 8 * k], np.int64), _unplane(view[56 + 8 * k :], k, 8).view(np.int64)
     at, found = 56 + 16 * k, []
     for w in widths:
         found.append(_unplane(view[at : at + n * w], n, w) if w else np.zeros(n, np.uint64))
@@ -73,13 +73,22 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def _joined(parts: list[dict]) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in _FIELDS}
+    """One set of entries of all parts, which are given up on the way."""
+    n = sum(len(p["at"]) for p in parts)
+    out = {k: np.empty(n, t) for k, t in _FIELDS}
+    while parts:
+        part = parts.pop()
+        for k, v in part.items():
+            out[k][n - len(v) : n] = v
+        n -= len(part["at"])
+    return out
 
 
 def _sorted(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """e ordered by h, c and document; whether the entry's (h, c) occurs in a smaller document."""
     order = np.lexsort((e["doc"], e["c"], e["h"]))
-    e = {k: v[order] for k, v in e.items()}
+    for k in e:  # one field at a time, so that there is never a second copy of all
+        e[k] = e[k][order]
     new = np.ones(len(order), bool)
     new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["c"][1:] != e["c"][:-1])
     first = np.flatnonzero(new)
@@ -183,7 +192,7 @@ def _texts(rows) -> list[tuple[int, int, bytes]]:
     return [(int(d), r, t.as_py()) for d, r, t in zip(ids, rows["row"].to_pylist(), rows["data"])]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 14 << 20, group_bytes: int = 8 << 20, most: int = 1_000_000) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 10 << 20, group_bytes: int = 6 << 20, most: int = 400_000) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes, as structs start and end) and kept (the other bytes)."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
@@ -195,10 +204,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         found, n, pieces, size = [], 0, [], 0
         for batch in batches:
             for d, r, t in _texts(batch):
-                for piece in _pieces(d, r, t, length, 1 << 20):
+                for piece in _pieces(d, r, t, length, 1 << 19):
                     pieces.append(piece)
                     size += len(piece[2]) + length
-                    if size >= 1 << 21:
+                    if size >= 1 << 20:
                         found.append(sample(pieces, length))
                         n, pieces, size = n + len(found[-1]["h"]), [], 0
                         if n >= most:
@@ -219,12 +228,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 kind = k
         if parts:
             e, covered = _sorted(_joined(parts))
-            del parts
             out += _by_group({k: v[covered] for k, v in e.items()}, kind, groups)
             if kind == _COVERED:
                 e = {k: v[~covered] for k, v in e.items()}
                 still = _open(e)
                 out += _by_group({k: v[still] for k, v in e.items()}, _OPEN, groups)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([_batch(out, _GROUPED)])
 
     q = -(-length // 2)
