@@ -15,6 +15,7 @@ alike; decoding gives a literal mark back as a space, as the library does; other
 
 import re
 import struct
+from array import array
 from math import inf
 
 import ahocorasick
@@ -96,6 +97,8 @@ class Machine:
         if not apart:
             raise ValueError("a piece has the mark after another character")
         self.units, self.most_units, self.pairs, self.most_pairs = {}, most_units, {}, most_pairs
+        self.joins = {a + b for t in self.ids for a, b in zip(t, t[1:])}
+        self.written = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.controls else t.encode() for k, t in enumerate(self.texts)]
         self.arcs = ahocorasick.Automaton()  # at each position it gives the pieces that end there, the longest first
         for text, k in self.ids.items():
             self.arcs.add_word(text, (k, len(text)))
@@ -158,36 +161,40 @@ class Machine:
         return [self.byte_ids[b] for b in text.encode()] if self.byte_ids else [self.unknown]
 
     def ids_of(self, unit: str) -> list[int]:
-        if len(unit) == 1 and unit not in self.ids:
-            return self.fallback(unit)
+        """Ids of a unit, part by part: no path crosses between characters that no piece has side by side."""
         out: list[int] = []
-        for k in self.path(unit):
-            out += [k] if k < self.n_pieces else self.fallback(self.texts[k])
+        start, joins, known = 0, self.joins, self.units
+        for end in range(1, len(unit) + 1):
+            if end < len(unit) and unit[end - 1 : end + 1] in joins:
+                continue
+            part = unit[start:end]
+            start = end
+            if (ids := known.get(part)) is None:
+                if len(part) == 1 and part not in self.ids:
+                    ids = self.fallback(part)
+                else:
+                    ids = [i for k in self.path(part) for i in ((k,) if k < self.n_pieces else self.fallback(self.texts[k]))]
+                if len(part) <= 64:
+                    known[part] = ids
+            out += ids
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
         out: list[int] = []
         known = self.units
-        for m in self.unit.finditer(self.normalise(text or "")):
-            unit = m[0]
+        for unit in self.unit.findall(self.normalise(text or "")):
             if (ids := known.get(unit)) is None:
+                if len(known) >= self.most_units:
+                    known.clear()
                 ids = self.ids_of(unit)
                 if len(unit) <= 64:
-                    if len(known) >= self.most_units:
-                        known.clear()
                     known[unit] = ids
             out += ids
-        return np.array(out, np.int32)
+        return np.frombuffer(array("i", out), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text that ids stand for; bytes that aren't UTF-8 become U+FFFD."""
-        out = bytearray()
-        for k in ids:
-            if k in self.byte_of:
-                out.append(self.byte_of[k])
-            elif k not in self.controls:
-                out += self.texts[k].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -214,14 +221,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def encoded(batches):
         machine = Machine(model.value)
-        from_bytes = np.array(sorted(machine.byte_of), np.int32)
+        from_bytes = np.zeros(machine.n_pieces, bool)
+        from_bytes[sorted(machine.byte_of)] = True
         for batch in batches:
             for at in range(0, max(1, len(batch)), 512):  # so that what is sent at once stays small
                 part = batch.slice(at, 512)
                 ids = [machine.encode(x.as_py()) for x in part["text"]]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                fallback = [int(np.isin(x, from_bytes).sum()) for x in ids]
+                fallback = [int(from_bytes[x].sum()) for x in ids]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], arrays, pa.array(map(len, ids), pa.int64()), pa.array(fallback, pa.int64()), part["n_bytes"]], names=["doc_id", "ids", "n_pieces", "n_fallback", "n_bytes"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
@@ -236,7 +244,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, to
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
         machine = Machine(model.value)
-        return pa.array([None if x is None else machine.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids], pa.string())
+        return pa.array([None if x is None else machine.decode(x.values.to_numpy().tolist()) for x in ids], pa.string())
 
     return encoded.withColumn(to, decoded(F.col(ids_col)))
 
