@@ -16,7 +16,7 @@ VIEWS = {
     "calls": "SELECT DISTINCT CAST(a.c_nationkey AS {s}) AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 25 WHERE a.c_custkey % 3 = 0",
     "declared": "SELECT DISTINCT CAST(a.c_nationkey AS {s}) AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE (a.c_custkey + b.c_custkey) % 7 = 0 AND a.c_custkey <> b.c_custkey",
     "snapshot_b": "SELECT project, code, workflow, CASE WHEN CAST(code AS BIGINT) % 7 = 0 THEN 'CHANGED' ELSE task_type END AS task_type FROM task WHERE CAST(code AS BIGINT) % 10 <> 0",
-    "task_run": "SELECT CAST(l_suppkey AS {s}) AS app, l_linenumber AS stage, CAST(l_orderkey AS {s}) AS task, CAST(l_extendedprice AS BIGINT) AS duration, CAST(l_quantity AS BIGINT) AS input_bytes FROM lineitem",
+    "task_run": "SELECT CAST(l_suppkey AS {s}) AS app, l_linenumber AS stage, CAST(l_orderkey AS {s}) AS task, CAST(floor(l_extendedprice) AS BIGINT) AS duration, CAST(floor(l_quantity) AS BIGINT) AS input_bytes FROM lineitem",
     "run_history": "SELECT CAST(o_custkey AS {s}) AS workflow, o_orderdate AS day, CAST(o_orderkey AS BIGINT) AS run, CAST(floor(o_totalprice / 10) AS BIGINT) AS input_bytes_mb, CAST(floor(o_totalprice * 6 / 100) AS BIGINT) + o_orderkey % 1000 AS peak_memory_mb, CAST(floor(o_totalprice / 20) AS BIGINT) AS shuffle_read_mb, CAST(floor(o_totalprice / 40) AS BIGINT) AS shuffle_write_mb, 2048 + CAST(o_orderkey % 4 AS BIGINT) * 1024 AS executor_memory_mb, CAST(4 + o_orderkey % 9 AS BIGINT) AS executor_instances, o_orderstatus <> 'P' AS success FROM orders",
     "instance": "SELECT CAST(event_id AS {s}) AS id, CAST(user_id % 5 AS {s}) AS project, CAST(user_id AS {s}) AS workflow, CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'signup' THEN 'RUNNING' ELSE 'SUCCESS' END AS state, CASE event_type WHEN 'click' THEN 'SPARK' WHEN 'view' THEN 'SHELL' WHEN 'error' THEN 'PYTHON' ELSE 'DATAX' END AS task_type, ts AS start_time, value AS duration, event_id % 5 AS retry FROM events",
     "log_line": "SELECT CAST(user_id AS {s}) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, ts, CASE event_type WHEN 'error' THEN concat('ERROR Executor: Exception in task ', CAST(event_id AS {s}), ' java.lang.OutOfMemoryError: Java heap space') WHEN 'signup' THEN concat('Caused by: org.apache.spark.SparkException: Job aborted due to stage ', CAST(event_id % 50 AS {s})) WHEN 'click' THEN concat('  at org.apache.spark.Worker.run(Worker.java:', CAST(event_id AS {s}), ')') WHEN 'view' THEN concat('INFO application_1700000000_', CAST(user_id AS {s}), ' Stage ', CAST(event_id % 40 AS {s}), ' finished in ', CAST(event_id AS {s}), ' ms') ELSE '' END AS line FROM events",

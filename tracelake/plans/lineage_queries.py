@@ -23,18 +23,19 @@ def _implicit(s, d):
     return lineage.implicit_dependencies(view(s, d, "table_use"), view(s, d, "declared"))
 
 
-_SHOWN = ["project", "upstream", "downstream", *joined("via_tables"), "first_table", F.col("n_tables").cast("long").alias("n_tables")]
+def _shown():
+    return ["project", "upstream", "downstream", *joined("via_tables"), "first_table", F.col("n_tables").cast("long").alias("n_tables")]
 
 
 @query("WITH " + _PAIRS + """SELECT p.*, d.project IS NOT NULL AS is_explicit, CASE WHEN d.project IS NULL THEN 'MEDIUM' ELSE 'LOW' END AS risk
 FROM pairs p LEFT JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target""")
 def implicit_dependencies(s, d):
-    return _implicit(s, d).select(*_SHOWN, "is_explicit", "risk")
+    return _implicit(s, d).select(*_shown(), "is_explicit", "risk")
 
 
 @query("WITH " + _PAIRS + """SELECT p.* FROM pairs p ANTI JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target""")
 def missing_dependencies(s, d):
-    return lineage.missing_dependencies(_implicit(s, d), view(s, d, "declared")).select(*_SHOWN)
+    return lineage.missing_dependencies(_implicit(s, d), view(s, d, "declared")).select(*_shown())
 
 
 _ROLES = """
@@ -64,7 +65,7 @@ pairs AS (SELECT project, upstream, downstream, string_agg(table_name, ',' ORDER
 SELECT p.*, d.project IS NOT NULL AS has_dependent_task FROM pairs p LEFT JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target""")
 def independent_dependencies(s, d):
     roles = lineage.roles(view(s, d, "workflow"), view(s, d, "calls"))
-    return lineage.independent_dependencies(view(s, d, "table_use"), roles, view(s, d, "declared")).select(*_SHOWN, "has_dependent_task")
+    return lineage.independent_dependencies(view(s, d, "table_use"), roles, view(s, d, "declared")).select(*_shown(), "has_dependent_task")
 
 
 @query("SELECT * FROM workflow WHERE project = '3' AND code = '7'")
