@@ -144,6 +144,6 @@ def _by_join(texts: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that overlap with an item of the benchmark; ids are what tells documents apart."""
+    """docs without those that overlap with an item of the benchmark. Documents go by their ids; those without one stay."""
     leaked = checkpointed(overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct())
     return docs.join(leaked, id_col, "left_anti")

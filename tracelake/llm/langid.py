@@ -90,6 +90,9 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows
     grams = counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
 
+    if not languages:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), longest)
+
     def scores(keys: list[str], seen: np.ndarray, group) -> tuple[dict[str, int], np.ndarray]:
         kinds = np.array([group(k) for k in keys], int)
         out = np.zeros_like(seen)
