@@ -112,7 +112,7 @@ def memory_mb(text: Column) -> Column:
 def memory_text(mb: Column) -> Column:
     """Whole GB as `4g`, halves and the like as `1.5g`, less than one as `512m`."""
     gb = mb / 1024
-    return F.when(mb < 1024, F.concat(mb.cast("string"), F.lit("m"))).when(mb % 1024 == 0, F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))).otherwise(F.concat(F.format_number(F.round(gb, 1), "0.0"), F.lit("g")))
+    return F.when(mb < 1024, F.concat(mb.cast("string"), F.lit("m"))).when(mb % 1024 == 0, F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))).otherwise(F.format_string("%.1fg", F.round(gb, 1)))
 
 
 def memory_text_whole(mb: Column) -> Column:
@@ -199,7 +199,7 @@ def database_type(text: Column) -> Column:
 def broadcast_mb(text: Column) -> Column:
     """The largest broadcast that a log speaks of, in MB."""
     sizes = F.arrays_zip(every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*([\d.]+)").alias("n"), F.transform(every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*[\d.]+\s*((?:MB|KB|GB|bytes)?)"), lambda x: F.lower(x)).alias("unit"))
-    mb = F.transform(sizes, lambda x: x["0"].cast("double") * F.when(x["1"] == "kb", 1 / 1024).when(x["1"] == "mb", 1).when(x["1"] == "gb", 1024).otherwise(1 / 1048576))
+    mb = F.transform(sizes, lambda x: x["n"].cast("double") * F.when(x["unit"] == "kb", 1 / 1024).when(x["unit"] == "mb", 1).when(x["unit"] == "gb", 1024).otherwise(1 / 1048576))
     return F.coalesce(F.array_max(mb), F.lit(0.0))
 
 

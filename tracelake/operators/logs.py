@@ -48,6 +48,11 @@ def lines(logs: DataFrame, id_col: str = "log_id", text_col: str = "text") -> Da
     return logs.select(F.col(id_col).alias("log_id"), F.posexplode(F.split(text_col, "\n")).alias("p", "line")).select("log_id", (F.col("p") + 1).alias("line_no"), "line")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at its ends, tabs included."""
+    return F.btrim(c, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def _any(patterns: tuple[str, ...], flags: str = "") -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
@@ -59,7 +64,7 @@ def error_blocks(log_lines: DataFrame, most: int = 30) -> DataFrame:
     and so do lines with a soft prefix up to `most` lines. Each line is a start, hard, soft or break; a running count of
     starts and breaks names the blocks, so that one window does it.
     """
-    t = F.trim(F.col("line"))
+    t = trimmed(F.col("line"))
     caused = t.startswith("Caused by:")
     kind = F.when(t == "", "break").when(~caused & t.rlike(_any(STARTS, "(?i)")), "start").when(t.rlike(_any(CONTINUES)), "hard").when(t.rlike(f"^(?:{'|'.join(SOFT)})"), "soft").otherwise("break")
     # A cause outside a block is a start if it looks like one.
@@ -77,7 +82,7 @@ def error_blocks(log_lines: DataFrame, most: int = 30) -> DataFrame:
 
 
 def critical_warnings(log_lines: DataFrame) -> DataFrame:
-    return log_lines.filter(F.col("line").rlike(_any(CRITICAL, "(?i)"))).select("log_id", "line_no", F.trim("line").alias("line"))
+    return log_lines.filter(F.col("line").rlike(_any(CRITICAL, "(?i)"))).select("log_id", "line_no", trimmed(F.col("line")).alias("line"))
 
 
 def exception_type(block: Column) -> Column:
@@ -115,8 +120,8 @@ def ranked(blocks: DataFrame) -> DataFrame:
 
 def summary(block: Column, most: int = 10) -> Column:
     """The first line, all causes, and exception lines up to `most` lines; a short block as it is."""
-    parts = F.split(F.trim(block), "\n")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: F.trim(x))
+    parts = F.split(trimmed(block), "\n")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: trimmed(x))
     keep = F.filter(rest, lambda x: x.startswith("Caused by:") | x.rlike(r"^[a-z]+\.[a-z]+\.[A-Z]|^[A-Z][a-zA-Z]+Error"))
     cut = F.filter(keep, lambda x, i: x.startswith("Caused by:") | (i < most - 1))
     return F.when(F.size(parts) <= most, block).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), cut), "\n"))
@@ -124,7 +129,7 @@ def summary(block: Column, most: int = 10) -> Column:
 
 def root_cause(block: Column) -> Column:
     causes = every(block, r"Caused by:\s*(.+)")
-    return F.trim(F.when(F.size(causes) > 0, F.element_at(causes, -1)).otherwise(F.split(F.trim(block), "\n")[0]))
+    return F.trim(F.when(F.size(causes) > 0, F.element_at(causes, -1)).otherwise(F.split(trimmed(block), "\n")[0]))
 
 
 def error_summary(log_lines: DataFrame, most: int = 10) -> DataFrame:
@@ -144,7 +149,7 @@ def error_summary(log_lines: DataFrame, most: int = 10) -> DataFrame:
 
 
 def timestamp_of(line: Column) -> Column:
-    t = F.trim(line)
+    t = trimmed(line)
     text = F.regexp_replace(found(t, r"^(\d{4}[-/]\d{2}[-/]\d{2}\s+\d{2}:\d{2}:\d{2})"), "/", "-")
     return F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
 
@@ -221,7 +226,10 @@ def jvm_exceptions(blocks: DataFrame) -> DataFrame:
 
 
 def python_tracebacks(blocks: DataFrame) -> DataFrame:
-    """Type, message, frames and deepest frame of Python tracebacks."""
+    """Type, message, frames and deepest frame of the Python traceback in each text (log_id, pos, block).
+
+    Segmentation starts a block of its own at the exception's line, so this takes whole logs as blocks.
+    """
     block = F.col("block")
     frames = F.transform(F.arrays_zip(every(block, r'File "([^"]+)"'), every(block, r'File "[^"]+", line (\d+)'), every(block, r'File "[^"]+", line \d+, in (\S+)')), lambda x: F.struct(x["0"].alias("file"), x["1"].try_cast("int").alias("line"), x["2"].alias("function")))
     kind = found(block, r"(?m)^\s*([A-Z]\w*(?:Error|Exception))\b")
