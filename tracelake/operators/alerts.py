@@ -228,3 +228,39 @@ def approvals_at(requests: DataFrame, decisions: DataFrame, now: Column) -> Data
     first = in_time.groupBy("request_id").agg(F.min(F.struct("ts", "status")).alias("d"))
     out = requests.join(first, "request_id", "left")
     return out.select("request_id", F.coalesce("d.status", F.when(now > F.col("expires_at"), "timeout").otherwise("pending")).alias("status"))
+
+
+def historical_fixes(errors: DataFrame, configs: DataFrame) -> DataFrame:
+    """Each error's first past configuration that fixed it, else the first of all.
+
+    errors(alert_id, error_type, workflow), configs(workflow, ord, fixed_errors, config).
+    """
+    pairs = errors.join(configs, "workflow", "left")
+    best = F.min_by("config", F.struct((~F.coalesce(F.array_contains("fixed_errors", F.col("error_type")), F.lit(False))).alias("a"), "ord"))
+    return pairs.groupBy("alert_id").agg(best.alias("config"))
+
+
+def path_findings(alerts: DataFrame, checked: DataFrame, types: tuple[str, ...] = ("path_not_found", "file_not_found", "partition_not_found", "input_path_missing", "empty_partition", "table_not_found")) -> DataFrame:
+    """Alerts of path errors with the state of their first two paths; if the first exists, the alert can be fixed.
+
+    alerts(alert_id, error_type, category), checked(alert_id, ord, path, status).
+    """
+    by = checked.filter(F.col("ord") < 2).groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "status"))).alias("paths"))
+    out = alerts.join(by, "alert_id", "left")
+    hit = F.col("error_type").isin(*types)
+    first_exists = F.coalesce(F.get("paths", F.lit(0)).status == "exists", F.lit(False))
+    return out.withColumn("paths", F.when(hit, F.col("paths"))).withColumn("category", F.when(hit & first_exists, "AUTO_FIXABLE").otherwise(F.col("category")))
+
+
+def with_evidence(results: DataFrame, diagnostics: DataFrame, stages: DataFrame, executors: DataFrame, tasks: DataFrame) -> DataFrame:
+    """results(alert_id, app, error_type, blocks) with what the event log adds to the blocks of some error types.
+
+    diagnostics(app, text), and by app the first failed stage, removed executor and failed task as (app, ord, text).
+    """
+    first = lambda df, name: df.groupBy("app").agg(F.min_by("text", "ord").alias(name))
+    out = results.join(diagnostics.select("app", F.col("text").alias("_d")), "app", "left")
+    for df, name in ((stages, "_s"), (executors, "_e"), (tasks, "_t")):
+        out = out.join(first(df, name), "app", "left")
+    kind = F.lower("error_type")
+    more = F.array_compact(F.array(F.col("_d"), F.when(kind.contains("shuffle"), F.col("_s")), F.when(kind.contains("executor"), F.col("_e")), F.when(kind.rlike("stage|task|job"), F.col("_t"))))
+    return out.withColumn("blocks", F.array_union("blocks", more)).drop("_d", "_s", "_e", "_t")

@@ -166,3 +166,40 @@ def impact(actions: DataFrame, index: DataFrame) -> DataFrame:
     out = actions.join(n, ["project", "code"], "left")
     out = out.withColumn("impact_source", F.when(F.col("n_downstream").isNotNull(), "graph").otherwise("none")).fillna(0, ["n_downstream"])
     return out.withColumn("impact_level", impact_level(F.col("n_downstream")))
+
+
+def parent_impact(edges: DataFrame, calls: DataFrame, index: DataFrame) -> DataFrame:
+    """(project, code, parent, in_parent, beyond): for each called workflow what follows it in its parent, and after that.
+
+    edges are the dependencies between workflows, calls the parent -> sub-workflow edges, index that of reached_index().
+    """
+    direct = clean(edges).groupBy("project", F.col("source").alias("code")).agg(F.array_sort(F.collect_set("target")).alias("in_parent"))
+    beyond = index.select("project", F.col("source").alias("parent"), F.col("all").alias("beyond"))
+    out = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("code")).distinct()
+    empty = F.array().cast("array<string>")
+    out = out.join(direct, ["project", "code"], "left").join(beyond, ["project", "parent"], "left")
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("in_parent", "beyond")})
+
+
+def sub_workflow_impact(task_edges: DataFrame, tasks: DataFrame, calls: DataFrame, index: DataFrame) -> DataFrame:
+    """(project, workflow, task, scope, n): tasks that follow a task in its own sub-workflow, and workflows after the
+    parent; scopes are sub, parent and total."""
+    owner = tasks.select("project", F.col("code").alias("source"), "workflow")
+    other = tasks.select("project", F.col("code").alias("target"), F.col("workflow").alias("to_workflow"))
+    inner = clean(task_edges).join(owner, ["project", "source"]).join(other, ["project", "target"]).filter("workflow = to_workflow").select("project", "source", "target")
+    within_sub = closure(inner).groupBy("project", "source").agg(F.countDistinct("target").alias("n")).join(owner, ["project", "source"])
+    sub = within_sub.select("project", "workflow", F.col("source").alias("task"), F.lit("sub").alias("scope"), "n")
+    after = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("workflow")).join(index.select("project", F.col("source").alias("parent"), "n"), ["project", "parent"])
+    parent = tasks.select("project", "workflow", F.col("code").alias("task")).join(after, ["project", "workflow"]).select("project", "workflow", "task", F.lit("parent").alias("scope"), "n")
+    both = sub.unionByName(parent)
+    return both.unionByName(both.groupBy("project", "workflow", "task").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("total")))
+
+
+def impact_with_fallback(alerts: DataFrame, by_sub: DataFrame, by_graph: DataFrame, by_relations: DataFrame) -> DataFrame:
+    """alerts (alert_id) with the first number that is known of what is downstream: sub-workflow, graph, relations."""
+    out, n, source = alerts, F.lit(None).cast("long"), F
+    for name, table in (("sub_workflow", by_sub), ("graph", by_graph), ("relations", by_relations)):
+        out = out.join(table.select("alert_id", F.col("n").alias(f"_{name}")), "alert_id", "left")
+        n, source = F.coalesce(n, F.col(f"_{name}")), source.when(F.col(f"_{name}").isNotNull(), name)
+    out = out.select(*alerts.columns, F.coalesce(n, F.lit(0)).alias("n_downstream"), source.otherwise("none").alias("impact_source"))
+    return out.withColumn("impact_level", impact_level(F.col("n_downstream")))

@@ -246,3 +246,69 @@ def event_failures(events: DataFrame) -> DataFrame:
     tasks = events.filter((F.col("Event") == "SparkListenerTaskEnd") & F.col("`Task End Reason`.Failure").isNotNull()).select("app", F.lit("task").alias("kind"), t["Task ID"].alias("id"), F.col("`Task End Reason`.Failure.ClassName").alias("error"))
     stages = events.filter((F.col("Event") == "SparkListenerStageCompleted") & s["Failure Reason"].isNotNull()).select("app", F.lit("stage").alias("kind"), s["Stage ID"].alias("id"), s["Failure Reason"].alias("error"))
     return tasks.unionByName(stages)
+
+
+def app_rollup(executors: DataFrame, stages: DataFrame) -> DataFrame:
+    """By app: executors, their memory, and sums over stages. executors(app, executor, max_memory_mb, peak_memory_mb)."""
+    is_driver = F.col("executor") == "driver"
+    e = executors.groupBy("app").agg(F.count_if(~is_driver).alias("n_executors"), F.sum(F.when(~is_driver, F.col("max_memory_mb"))).alias("total_memory_mb"), F.max(F.when(~is_driver, F.col("peak_memory_mb"))).alias("peak_memory_mb"), F.max(F.when(is_driver, F.col("max_memory_mb"))).alias("driver_memory_mb"))
+    s = stages.groupBy("app").agg(*(F.sum(c).alias(c) for c in ("input_bytes", "shuffle_read_bytes", "shuffle_write_bytes", "spilled_bytes")))
+    return e.join(s, "app", "full")
+
+
+def merged_metrics(from_events: DataFrame, from_api: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """By app, what its event log says, and else what the API says."""
+    a = from_events.select("app", *(F.col(c).alias(f"_a_{c}") for c in columns))
+    b = from_api.select("app", *(F.col(c).alias(f"_b_{c}") for c in columns))
+    return a.join(b, "app", "full").select("app", *(F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in columns))
+
+
+def cached_totals(rdds: DataFrame) -> DataFrame:
+    """By app: memory and disk of cached data, whether it spills, and the risk of running out of memory (in MB)."""
+    out = rdds.groupBy("app").agg(F.count("*").alias("n_rdds"), F.sum("memory_mb").alias("memory_mb"), F.sum("disk_mb").alias("disk_mb"))
+    risk = F.when(F.col("memory_mb") > 4096, "HIGH").when(F.col("memory_mb") > 2048, "MEDIUM").otherwise("LOW")
+    return out.withColumn("spills", F.col("disk_mb") > 0).withColumn("oom_risk", risk)
+
+
+def cached_skew(blocks: DataFrame, ratio: float = 3.0) -> DataFrame:
+    """By app and RDD: skewed if two executors or more hold it and the most is over `ratio` medians."""
+    out = blocks.groupBy("app", "rdd").agg(F.countDistinct("executor").alias("n_executors"), F.median("memory_mb").alias("median_mb"), F.max("memory_mb").alias("max_mb"))
+    r = F.try_divide(F.col("max_mb"), F.col("median_mb"))
+    return out.withColumn("ratio", r).withColumn("is_skewed", (F.col("n_executors") >= 2) & F.coalesce(r > ratio, F.lit(False)))
+
+
+def report_totals(reports: DataFrame) -> DataFrame:
+    """By workflow: stored reports, tokens used and characters of logs."""
+    return reports.groupBy("workflow_code").agg(F.count("*").alias("n_reports"), F.sum("tokens").alias("tokens"), F.sum(F.length("log_text")).alias("log_chars"))
+
+
+def simple_timeout_cause(m: DataFrame) -> DataFrame:
+    """A retried task first, then waiting of over twice the average, else unknown."""
+    return m.withColumn("cause", F.when(F.col("max_retry") > 0, "retry").when(F.col("max_wait") > 2 * F.col("avg_wait"), "queue_wait").otherwise("unknown"))
+
+
+def timeout_advice(m: DataFrame) -> DataFrame:
+    """Concurrency, queue and resource advice by kind of timeout. Columns: timeout_type, running."""
+    kind = F.col("timeout_type")
+    advice = F.when(kind == "TOO_MANY_APPS", F.concat(F.lit("concurrency "), F.greatest(F.lit(5), 20 - F.col("running")).cast("string"))).when(kind == "QUEUE_FULL", "queue capacity +20 %").when(kind.isin("CLUSTER_OVERLOAD", "CONTAINER_BACKLOG"), "add resources").otherwise("none")
+    return m.withColumn("advice", advice)
+
+
+# Errors for which a size is suggested.
+RESOURCE_ERRORS = ("oom_executor", "oom_driver", "oom_driver_direct", "container_killed", "gc_overhead", "memory_limit", "executor_lost", "shuffle_fetch_failed", "heartbeat_timeout", "broadcast_timeout", "data_skew")
+
+
+def with_suggestions(errors: DataFrame) -> DataFrame:
+    """Errors of the resource kind with suggested sizes. Columns: error_type, executor_mb, driver_mb, instances,
+    predicted_mb, spilled_mb, peak_mb, shuffle_mb, slots."""
+    c = F.col
+    e = errors.filter(c("error_type").isin(*RESOURCE_ERRORS))
+    memory = executor_memory(c("executor_mb"), c("predicted_mb"), c("spilled_mb"), c("peak_mb"), c("shuffle_mb"), c("slots"))
+    return e.withColumn("suggested", memory).withColumn("suggested_driver_mb", F.when(c("error_type").startswith("oom_driver"), driver_memory(c("driver_mb"), c("spilled_mb")))).withColumn("suggested_instances", executor_instances(c("instances"), c("shuffle_mb")))
+
+
+def sized_by_data(input_gb: Column, current_gb: Column, spilled: Column, shuffle_gb: Column) -> Column:
+    """GB for an executor: 0.6 of the input or the present, half more after spills, plus 0.3 of the shuffle; at least
+    half more than the present."""
+    need = F.greatest(0.6 * input_gb, current_gb) * F.when(spilled, 1.5).otherwise(1.0) + 0.3 * shuffle_gb
+    return F.greatest(need, 1.5 * current_gb)

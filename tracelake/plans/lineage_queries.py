@@ -298,3 +298,20 @@ def accuracy_checks(s, d):
 @query(_ACCURACY + " SELECT category, severity, count(*) AS n FROM issues GROUP BY CUBE (category, severity)")
 def issue_counts(s, d):
     return lineage.issue_counts(_accuracy(s, d))
+
+
+@query(_CLOSURE.format(e="wf_edge") + """, c AS (SELECT DISTINCT source AS parent, target AS code FROM calls)
+SELECT c.parent, c.code, coalesce((SELECT string_agg(DISTINCT target, ',' ORDER BY target) FROM wf_edge e WHERE e.source = c.code AND e.target <> c.code), '') AS in_parent, coalesce((SELECT string_agg(DISTINCT target, ',' ORDER BY target) FROM reach r WHERE r.source = c.parent), '') AS beyond FROM c""")
+def parent_impact(s, d):
+    edges = view(s, d, "wf_edge")
+    calls = view(s, d, "calls").withColumn("project", F.lit("p"))
+    return graph.parent_impact(edges, calls, graph.reached_index(graph.closure(edges))).select("parent", "code", *joined("in_parent", "beyond"))
+
+
+@query(_CLOSURE.format(e="wf_edge") + """, n AS (SELECT source, count(DISTINCT target) AS n FROM reach GROUP BY source)
+SELECT w.code AS alert_id, CASE WHEN CAST(w.code AS BIGINT) % 10 = 0 THEN 3 ELSE coalesce(n.n, CASE WHEN CAST(w.code AS BIGINT) % 3 = 0 THEN 1 END, 0) END AS n_downstream, CASE WHEN CAST(w.code AS BIGINT) % 10 = 0 THEN 'sub_workflow' WHEN n.n IS NOT NULL THEN 'graph' WHEN CAST(w.code AS BIGINT) % 3 = 0 THEN 'relations' ELSE 'none' END AS impact_source FROM workflow w LEFT JOIN n ON n.source = w.code""")
+def impact_with_fallback(s, d):
+    a = view(s, d, "workflow").select(F.col("code").alias("alert_id"))
+    fixed = lambda m, n: a.filter(F.col("alert_id").cast("long") % m == 0).withColumn("n", F.lit(n).cast("long"))
+    index = graph.reached_index(graph.closure(view(s, d, "wf_edge"))).select(F.col("source").alias("alert_id"), "n")
+    return graph.impact_with_fallback(a, fixed(10, 3), index, fixed(3, 1)).select("alert_id", "n_downstream", "impact_source")

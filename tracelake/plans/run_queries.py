@@ -282,3 +282,39 @@ def graph_export(s, d):
 @query("SELECT DISTINCT project FROM workflow")
 def project_list(s, d):
     return files.projects(view(s, d, "workflow"))
+
+
+_BLOCKS = "b AS (SELECT CAST(l_suppkey AS VARCHAR) AS app, l_linenumber AS rdd, CAST(l_orderkey % 10 AS VARCHAR) AS executor, l_quantity AS memory_mb, CASE WHEN l_orderkey % 11 = 0 THEN l_tax ELSE 0 END AS disk_mb FROM lineitem WHERE l_suppkey % 9 > 0)"
+
+
+def _blocks(s, d):
+    li = view(s, d, "lineitem").filter("l_suppkey % 9 > 0")
+    return li.select(F.col("l_suppkey").cast("string").alias("app"), F.col("l_linenumber").alias("rdd"), (F.col("l_orderkey") % 10).cast("string").alias("executor"), F.col("l_quantity").alias("memory_mb"), F.when(F.col("l_orderkey") % 11 == 0, F.col("l_tax")).otherwise(0).alias("disk_mb"))
+
+
+@query("WITH " + _BLOCKS + " SELECT app, rdd, count(DISTINCT executor) AS n_executors, median(memory_mb) AS median_mb, max(memory_mb) AS max_mb, round(max(memory_mb) / median(memory_mb), 6) AS ratio, count(DISTINCT executor) >= 2 AND max(memory_mb) / median(memory_mb) > 1.9 AS is_skewed FROM b GROUP BY ALL")
+def cached_skew(s, d):
+    return runs.cached_skew(_blocks(s, d), 1.9).select("app", "rdd", "n_executors", "median_mb", "max_mb", R("ratio"), "is_skewed")
+
+
+@query("WITH " + _BLOCKS + " SELECT app, count(*) AS n_rdds, sum(memory_mb) AS memory_mb, round(sum(disk_mb), 6) AS disk_mb, sum(disk_mb) > 0 AS spills, CASE WHEN sum(memory_mb) > 4096 THEN 'HIGH' WHEN sum(memory_mb) > 2048 THEN 'MEDIUM' ELSE 'LOW' END AS oom_risk FROM b GROUP BY app")
+def cached_totals(s, d):
+    return runs.cached_totals(_blocks(s, d)).select("app", "n_rdds", "memory_mb", R("disk_mb"), "spills", "oom_risk")
+
+
+@query("SELECT source AS workflow_code, count(*) AS n_reports, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS log_chars FROM documents GROUP BY source")
+def report_totals(s, d):
+    r = view(s, d, "documents").select(F.col("source").alias("workflow_code"), F.floor(F.col("n_chars") / 4).alias("tokens"), F.col("text").alias("log_text"))
+    return runs.report_totals(r)
+
+
+@query("WITH " + _TIMEOUT + " SELECT workflow, CASE WHEN max_retry > 3 THEN 'retry' WHEN max_wait > 2 * avg_wait THEN 'queue_wait' ELSE 'unknown' END AS cause FROM m")
+def timeout_causes(s, d):
+    return runs.simple_timeout_cause(_timeouts(s, d).withColumn("max_retry", F.greatest(F.col("max_retry") - 3, F.lit(0)))).select("workflow", "cause")
+
+
+@query("SELECT workflow, run, round(greatest(greatest(0.6 * input_bytes_mb / 1024, executor_memory_mb / 1024) * CASE WHEN run % 2 = 0 THEN 1.5 ELSE 1 END + 0.3 * shuffle_read_mb / 1024, 1.5 * executor_memory_mb / 1024), 6) AS need_gb FROM run_history")
+def data_driven_sizes(s, d):
+    c = lambda x: F.col(x) / 1024
+    need = runs.sized_by_data(c("input_bytes_mb"), c("executor_memory_mb"), F.col("run") % 2 == 0, c("shuffle_read_mb"))
+    return view(s, d, "run_history").select("workflow", "run", F.round(need, 6).alias("need_gb"))
