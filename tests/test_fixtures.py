@@ -205,3 +205,33 @@ def test_log_store_round_trip(spark, tmp_path):
     today = F.lit("2024-01-09").cast("date")
     assert files.retained(df, today).count() == 2 and files.n_dropped_days(df, today).first()[0] == 1
     assert [r["dt"] for r in files.latest_logs(df).filter("workflow_code = 'w/1'").collect()] == ["2024-01-02"]
+
+
+def test_facts_in_logs(spark):
+    r = one(
+        spark,
+        a=text.sync_facts(F.lit("jdbc:mysql://db-1:3306/x username=bob jobId: 7 channel=3 mysqlreader hdfswriter")),
+        b=text.dependency_facts(F.lit('{\\"definitionCode\\": 12, \\"projectCode\\": 3, \\"depTaskCode\\": 0, \\"cycle\\": \\"day\\", \\"dateValue\\": \\"today\\"}')),
+        c=text.class_project(F.lit("com.owner.sales.job.Main"), "com.owner"),
+        d=text.executor_sequence(F.lit("container_1_1_01_000002")),
+    )
+    assert (r["a"]["database"], r["a"]["host"], r["a"]["job_id"], r["a"]["channels"], r["a"]["reader"], r["a"]["writer"]) == ("mysql", "db-1:3306", 7, 3, "mysqlreader", "hdfswriter")
+    assert r["a"]["user_sha256"] != "bob" and r["b"]["definitions"] == ["12"] and (r["b"]["cycle"], r["b"]["date_value"]) == ("day", "today")
+    assert (r["c"], r["d"]) == ("sales", 2)
+
+
+def test_diagnosis(spark):
+    from tracelake.operators import diagnosis
+
+    rules = spark.createDataFrame([("SPARK", "AUTO_FIXABLE", 1, 1, "oom_executor", "OutOfMemory", "more"), ("SHELL", "AUTO_FIXABLE", 1, 1, "denied", "permission denied", "chmod")], "task_type string, category string, category_rank int, ord int, error_type string, pattern string, hint string")
+    df = spark.createDataFrame([("1", "SPARK", LOG), ("2", "OTHER", "x.sh: Permission denied"), ("3", "SPARK", "fine"), ("4", "SHELL", None)], "alert_id string, task_type string, text string")
+    got = {r["alert_id"]: r for r in diagnosis.skills(rules).analyse(df).collect()}
+    assert (got["1"]["error_type"], got["1"]["risk"], got["1"]["error_class"]) == ("oom_executor", "LOW", "RESOURCE")
+    assert got["2"]["error_type"] == "denied" and got["3"]["error_type"] == got["4"]["error_type"] == "UNKNOWN" and got["3"]["needs_deep"]
+
+
+def test_containers_and_useful_logs(spark):
+    c = spark.createDataFrame([("a", f"container_1_{k:06d}") for k in range(1, 7)], "app string, container string")
+    assert sorted(r["container"][-1] for r in logs.executor_containers(c).collect()) == ["2", "3", "4"]
+    df = logs.lines(spark.createDataFrame([("a", "ERROR x"), ("b", "hello"), ("c", "spark.x.y = 1")], "log_id string, text string"))
+    assert {r["log_id"]: r["is_useful"] for r in logs.useful(df).collect()} == {"a": True, "b": False, "c": True}

@@ -214,3 +214,34 @@ def plan_counts(text: Column) -> Column:
     """How often a physical plan has each join operator, and its distinct scans."""
     joins = [F.regexp_count(text, F.lit(x)).alias(x) for x in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin")]
     return F.struct(*joins, F.array_distinct(every(text, r"(?:Scan|FileScan) (?:parquet|orc|hive|csv|json)?\s*([\w.]+)")).alias("scans"))
+
+
+def class_project(name: Column, owner: str) -> Column:
+    """The part of a class's package after the owner's prefix, such as `a` in `com.owner.a.b.C`; null elsewhere."""
+    return found(name, rf"^{owner.replace('.', chr(92) + '.')}\.([\w-]+)\.")
+
+
+def sync_facts(text: Column) -> Column:
+    """Facts of a data-sync log: database type, JDBC host and port, hashed user, job id, channels, reader and writer."""
+    user = found(text, r"(?i)user(?:name)?\s*[=:]\s*[\"']?([\w@.-]+)")
+    return F.struct(
+        database_type(text).alias("database"),
+        found(text, r"jdbc:\w+:(?:thin:@)?//([\w.-]+(?::\d+)?)").alias("host"),
+        F.when(user.isNotNull(), F.sha2(user, 256)).alias("user_sha256"),
+        found(text, r"(?i)job[_ ]?id\s*[=:]\s*\[?(\d+)").cast("long").alias("job_id"),
+        found(text, r"(?i)channels?\s*[=:\"]+\s*(\d+)").cast("int").alias("channels"),
+        F.lower(found(text, r"(?i)\b(\w+reader)\b")).alias("reader"),
+        F.lower(found(text, r"(?i)\b(\w+writer)\b")).alias("writer"),
+    )
+
+
+def dependency_facts(text: Column) -> Column:
+    """What the log of a dependent task says it waits for: definition, project and task codes, cycle and date value."""
+    plain = F.replace(text, F.lit('\\"'), F.lit('"'))
+    codes = lambda key: F.array_distinct(every(plain, rf'"{key}"\s*:\s*"?(\d+)'))
+    return F.struct(codes("definitionCode").alias("definitions"), codes("projectCode").alias("projects"), codes("depTaskCode").alias("tasks"), found(plain, r'"cycle"\s*:\s*"(\w+)"').alias("cycle"), found(plain, r'"dateValue"\s*:\s*"(\w+)"').alias("date_value"))
+
+
+def executor_sequence(container: Column) -> Column:
+    """The number of a container; 1 is the master, greater ones are executors."""
+    return found(container, r"_(\d+)$").cast("long")

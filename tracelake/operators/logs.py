@@ -240,3 +240,19 @@ def shell_errors(log_lines: DataFrame) -> DataFrame:
     line = F.col("line")
     kind = F.when(line.contains("syntax error"), "syntax_error").when(line.contains("command not found"), "command_not_found").when(line.contains("Permission denied"), "permission_denied").when(line.contains("No such file"), "file_not_found")
     return log_lines.filter(kind.isNotNull()).select("log_id", "line_no", found(line, r"line (\d+):").cast("int").alias("script_line"), kind.alias("type"), F.substring(line, 1, 200).alias("message"))
+
+
+def executor_containers(containers: DataFrame, n: int = 3) -> DataFrame:
+    """The first n executor containers (app, container) of each application."""
+    k = found(F.col("container"), r"_(\d+)$").cast("long")
+    rank = F.row_number().over(Window.partitionBy("app").orderBy("_k", "container"))
+    return containers.withColumn("_k", k).filter("_k > 1").withColumn("_r", rank).filter(F.col("_r") <= n).drop("_k", "_r")
+
+
+def useful(log_lines: DataFrame) -> DataFrame:
+    """(log_id, is_useful): whether a log gives a setting, an error block, an application id or anything to measure."""
+    line = F.col("line")
+    fact = line.rlike(r"application_\d+|app-\d+-\d+") | line.rlike(r"(?i)spark\.[\w.]+\s*[=:]") | line.rlike(r"(?i)(bytes|records|rows)\D{0,20}[1-9]")
+    by = log_lines.groupBy("log_id").agg(F.bool_or(fact).alias("_f"))
+    blocks = error_blocks(log_lines).select("log_id").distinct().withColumn("_b", F.lit(True))
+    return by.join(blocks, "log_id", "left").select("log_id", (F.col("_f") | F.coalesce("_b", F.lit(False))).alias("is_useful"))
