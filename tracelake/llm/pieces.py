@@ -89,15 +89,16 @@ class Machine:
             raise ValueError("only unigram and BPE models are supported")
         self.n_pieces = len(self.texts)
         joined = {c for t in self.ids if len(t) > 1 for c in t} - {MARK}
-        inner = "".join(re.escape(c) for c in sorted(joined))
-        # No piece goes over from another character to the mark, or to a character that only stands alone.
-        apart = all(re.fullmatch(f"{MARK}*[^{MARK}]*", t) for t in self.ids)
-        alone = f"(?s){MARK}*[{inner}]+|{MARK}+|." if inner else "(?s)."
-        self.unit = re.compile(alone)
-        if not apart:
+        self.joins = {(a, b) for t in self.ids for a, b in zip(t, t[1:])}
+        # No piece goes over from another character to the mark or to a character that only stands alone, nor from a
+        # letter or digit to a sign unless that is among `after`: units end there, so words come without such signs.
+        signs, words = {c for c in joined if not c.isalnum()}, {c for c in joined if c.isalnum()}
+        after = {b for a, b in self.joins if a in words and b in signs}
+        if not all(re.fullmatch(f"{MARK}*[^{MARK}]*", t) for t in self.ids):
             raise ValueError("a piece has the mark after another character")
+        sign, word, follows = ("".join(re.escape(c) for c in sorted(x)) or MARK for x in (signs, words, after))
+        self.unit = re.compile(f"(?s){MARK}*[{sign}]*[{word}]+(?:[{follows}][{sign}]*[{word}]*)*|{MARK}*[{sign}]+|{MARK}+|." if joined else "(?s).")
         self.units, self.most_units, self.pairs, self.most_pairs = {}, most_units, {}, most_pairs
-        self.joins = {a + b for t in self.ids for a, b in zip(t, t[1:])}
         self.written = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.controls else t.encode() for k, t in enumerate(self.texts)]
         self.arcs = ahocorasick.Automaton()  # at each position it gives the pieces that end there, the longest first
         for text, k in self.ids.items():
@@ -161,23 +162,9 @@ class Machine:
         return [self.byte_ids[b] for b in text.encode()] if self.byte_ids else [self.unknown]
 
     def ids_of(self, unit: str) -> list[int]:
-        """Ids of a unit, part by part: no path crosses between characters that no piece has side by side."""
-        out: list[int] = []
-        start, joins, known = 0, self.joins, self.units
-        for end in range(1, len(unit) + 1):
-            if end < len(unit) and unit[end - 1 : end + 1] in joins:
-                continue
-            part = unit[start:end]
-            start = end
-            if (ids := known.get(part)) is None:
-                if len(part) == 1 and part not in self.ids:
-                    ids = self.fallback(part)
-                else:
-                    ids = [i for k in self.path(part) for i in ((k,) if k < self.n_pieces else self.fallback(self.texts[k]))]
-                if len(part) <= 64:
-                    known[part] = ids
-            out += ids
-        return out
+        if len(unit) == 1 and unit not in self.ids:
+            return self.fallback(unit)
+        return [i for k in self.path(unit) for i in ((k,) if k < self.n_pieces else self.fallback(self.texts[k]))]
 
     def encode(self, text: str | None) -> np.ndarray:
         out: list[int] = []
