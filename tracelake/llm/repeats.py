@@ -187,12 +187,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _texts(rows) -> list[tuple[int, int, bytes]]:
-    ids = rows["doc"].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows["doc"].to_numpy()
-    return [(int(d), r, t.as_py()) for d, r, t in zip(ids, rows["row"].to_pylist(), rows["data"])]
+def _texts(rows):
+    """(document, row, bytes) of the rows of a batch or table, one at a time."""
+    for d, r, t in zip(rows["doc"], rows["row"], rows["data"]):
+        yield d.as_py(), r.as_py(), t.as_py()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 10 << 20, group_bytes: int = 6 << 20, most: int = 400_000) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 8 << 20, group_bytes: int = 6 << 20, most: int = 250_000) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes, as structs start and end) and kept (the other bytes)."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
