@@ -168,7 +168,8 @@ def sample(pieces: list[tuple], length: int) -> dict[str, np.ndarray]:
     piece = np.searchsorted(np.array(starts), p, side="right") - 1
     c = mix(h[p - side] * np.uint64(0x9E3779B97F4A7C15) + h[p + side])
     table = np.array([(d, r, offset - at) for at, (d, r, _, offset, _, _) in zip(starts, pieces)], np.int64).reshape(-1, 3)[piece]
-    return {"h": h[p] >> np.uint64(16), "c": c >> np.uint64(16), "doc": table[:, 0].copy(), "row": table[:, 1].copy(), "at": p + table[:, 2]}
+    # The smallest of many hashes are small numbers: mixed again, they spread evenly over the buckets.
+    return {"h": mix(h[p]) >> np.uint64(16), "c": c >> np.uint64(16), "doc": table[:, 0].copy(), "row": table[:, 1].copy(), "at": p + table[:, 2]}
 
 
 def _pieces(doc: int, row: int, data: bytes, length: int, size: int):
