@@ -217,3 +217,15 @@ def test_quality_keeps_prose_and_drops_symbols(spark):
     junk = [" | ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(150)) + "." for _ in range(20)]
     kept = {r["doc_id"] for r in quality.judge(frame(spark, prose + junk)).filter("kept").collect()}
     assert kept == set(range(80))
+
+
+def test_quality_keeps_one_weak_flag_among_good_votes(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    line = lambda n, end: " ".join(word() for _ in range(n)) + end
+    prose = ["\n".join(line(15, ".") for _ in range(10)) for _ in range(80)]
+    lists = ["\n".join(line(15, "") for _ in range(10)) for _ in range(4)] + ["\n".join(line(6, "") for _ in range(10)) for _ in range(4)]
+    junk = ["\n".join(" | ".join(str(rnd.randint(0, 9)) for _ in range(20)) for _ in range(10)) for _ in range(12)]
+    rows = {r["doc_id"]: r for r in quality.judge(frame(spark, prose + lists + junk)).collect()}
+    assert all(sum(rows[i][f"vote_{k}"] < 0 for k in quality.rules()) == 1 for i in range(80, 88))
+    assert {i for i, r in rows.items() if r["kept"]} == set(range(88))

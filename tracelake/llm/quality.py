@@ -1,8 +1,9 @@
 """Quality filtering by weak supervision, with DataFrame functions only.
 
 Rules vote good (1), bad (-1) or abstain (0) on a text. Expectation-maximisation over the counts of vote
-patterns (at most 3 ** number of rules of them, whatever the number of documents) estimates how often each rule's
-vote is right, and a document is kept if the posterior probability of good quality is high enough.
+patterns (at most 3 ** number of rules of them, whatever the number of documents) estimates the share of good
+documents and how often each rule votes how on good and on bad ones, and a document is kept if the posterior
+probability of good quality is high enough.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base rule and isn't kept;
 repeated rows are judged alike; an empty table gives no rows; columns of the input that aren't named are ignored.
@@ -79,46 +80,62 @@ def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def rules() -> dict[str, Column]:
-    """Votes over the columns of text_metrics(). Most rules see one kind of fault and abstain without it."""
+    """Votes over the columns of text_metrics(): bad where a metric shows a fault, good where it is clearly fine, and
+    nothing in between."""
     c = F.col
     words, chars, lines, symbols = c("n_words"), c("word_chars"), c("n_lines"), c("n_symbols")
-    bad = {
-        "short": words < 50,
-        "word_length": (words > 0) & ((chars < 2 * words) | (chars > 14 * words)),
-        "symbols": 100 * symbols > 3 * chars,
-        "same_lines": 10 * c("n_dup_lines") > 3 * lines,
-        "same_windows": 5 * c("n_repeat_words") > 2 * words,
-        "no_sentences": (10 * c("n_ended_lines") < lines) & (lines >= 3),
-        "few_letters": 2 * c("n_letters") < chars,
+    same, windows, ended, letters = c("n_dup_lines"), c("n_repeat_words"), c("n_ended_lines"), c("n_letters")
+    prose = (words >= 50) & (200 * symbols <= chars) & (10 * same <= 3 * lines) & (10 * letters >= 8 * chars)
+    votes = {
+        "short": (words < 50, words >= 50),
+        "word_length": ((words > 0) & ((chars < 2 * words) | (chars > 14 * words)), (chars >= 3 * words) & (chars <= 10 * words)),
+        "symbols": (100 * symbols > 3 * chars, 200 * symbols <= chars),
+        "same_lines": (10 * same > 3 * lines, (same == 0) & (lines >= 2)),
+        "same_windows": (5 * windows > 2 * words, 20 * windows <= words),
+        "no_sentences": ((10 * ended < lines) & (lines >= 3), 2 * ended >= lines),
+        "few_letters": (2 * letters < chars, 10 * letters >= 8 * chars),
+        "prose": (F.lit(False), prose),
     }
-    prose = (words >= 100) & (200 * symbols <= chars) & (c("n_dup_lines") == 0) & (2 * c("n_ended_lines") >= lines) & (10 * c("n_letters") >= 8 * chars)
-    return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {"prose": F.when(prose, 1).otherwise(0)}
+    return {k: F.when(bad, -1).when((words > 0) & good, 1).otherwise(0) for k, (bad, good) in votes.items()}
 
 
-def _posterior(accuracy: dict[str, float]) -> Column:
-    """Probability of good, from the votes in _v_ columns and even odds without a vote; abstaining says nothing."""
-    odds = F.lit(0.0)
-    for k, a in accuracy.items():
-        odds = odds + F.col(f"_v_{k}") * log(a / (1 - a))
+def _posterior(prior: float, weights: dict[str, tuple[float, float, float]]) -> Column:
+    """Probability of good, from the votes in _v_ columns; weights are the log odds of voting bad, nothing and good."""
+    odds = F.lit(log(prior / (1 - prior)))
+    for k, (bad, none, good) in weights.items():
+        v = F.col(f"_v_{k}")
+        odds = odds + F.when(v < 0, bad).when(v > 0, good).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(votes: DataFrame, names: list[str], rounds: int = 12, low: float = 0.55, high: float = 0.97) -> dict[str, float]:
-    """The accuracy of each rule's votes by expectation-maximisation over all rows, between low and high.
+def estimate(votes: DataFrame, names: list[str], rounds: int = 50, close: float = 1e-4) -> tuple[float, dict[str, tuple[float, float, float]]]:
+    """The share of good rows and, for each rule, the log odds (good to bad rows) of voting bad, nothing and good.
 
-    Rows with the same votes are counted together first; each round is an aggregation of these counts to one row.
-    All accuracies start at 0.8; where rules meet on the same texts, agreement raises and conflict lowers them.
+    Expectation-maximisation over all rows. Rows with the same votes are counted together first; each round is an
+    aggregation of these counts to one row, until no probability moves by `close`. Rows without a bad vote count as good;
+    the others start at their share of good votes, and only the data decide whether a rule's bad votes mean bad rows.
     """
-    cols = {k: F.col(f"_v_{k}") for k in names}
-    patterns = checkpointed(votes.groupBy(*cols.values()).agg(F.count("*").alias("_n")))
-    accuracy = dict.fromkeys(names, 0.8)
+    cols = [F.col(f"_v_{k}") for k in names]
+    patterns = votes.groupBy(*cols).agg(F.count("*").alias("_n"))
+    goods, bads = (sum((F.when(v == x, 1).otherwise(0) for v in cols), F.lit(0)) for x in (1, -1))
+    patterns = counted = checkpointed(patterns.withColumn("_clean", bads == 0).withColumn("_p", (goods + 1) / (goods + bads + 2)).coalesce(1))
+    n, p = F.col("_n"), F.when(F.col("_clean"), 1.0).otherwise(F.col("_p"))
+    sums = [F.sum(n * w * (v == x).cast("int")) for v in cols for x in (-1, 0, 1) for w in (p, 1 - p)]
+    before, prior, weights = None, 0.5, dict.fromkeys(names, (0.0, 0.0, 0.0))
     for _ in range(rounds):
-        n, p = F.col("_n"), F.col("_p")
-        right = [F.sum(n * F.when(v == 1, p).when(v == -1, 1 - p).otherwise(0.0)) for v in cols.values()]
-        cast = [F.sum(n * F.abs(v)) for v in cols.values()]
-        row = patterns.withColumn("_p", _posterior(accuracy)).agg(*right, *cast).first()
-        accuracy = {k: min(high, max(low, row[i] / row[i + len(names)])) if row[i + len(names)] else accuracy[k] for i, k in enumerate(names)}
-    return accuracy
+        total, good, *parts = patterns.agg(F.sum(n), F.sum(n * p), *sums).first()
+        if not total:
+            break
+        # Two rows of each class are added for a rule, so that what was never seen isn't impossible.
+        rates = [(parts[k] + 2 / 3) / ((total - good if k % 2 else good) + 2) for k in range(len(parts))]
+        prior = (good + 1) / (total + 2)
+        logs = [log(rates[k] / rates[k + 1]) for k in range(0, len(rates), 2)]
+        weights = {x: tuple(logs[3 * i : 3 * i + 3]) for i, x in enumerate(names)}
+        if before and max(abs(a - b) for a, b in zip(rates, before)) < close:
+            break
+        before = rates
+        patterns = counted.withColumn("_p", _posterior(prior, weights))
+    return prior, weights
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -131,7 +148,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     by_name = rules()
     names = list(by_name)
     voted = checkpointed(text_metrics(docs, id_col, text_col).select(id_col, *METRICS, *(v.cast("int").alias(f"_v_{k}") for k, v in by_name.items())))
-    accuracy = estimate(voted, names)
+    prior, weights = estimate(voted, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    p = _posterior(accuracy)
+    p = _posterior(prior, weights)
     return voted.select(id_col, *METRICS, failed.alias("base_failed"), (~failed & (p >= least)).alias("kept"), F.round(p, 6).alias("p_good"), *(F.col(f"_v_{k}").alias(f"vote_{k}") for k in names))
