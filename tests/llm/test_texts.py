@@ -229,3 +229,18 @@ def test_quality_keeps_one_weak_flag_among_good_votes(spark):
     rows = {r["doc_id"]: r for r in quality.judge(frame(spark, prose + lists + junk)).collect()}
     assert all(sum(rows[i][f"vote_{k}"] < 0 for k in quality.rules()) == 1 for i in range(80, 88))
     assert {i for i, r in rows.items() if r["kept"]} == set(range(88))
+
+
+@pytest.mark.parametrize(
+    ("text", "fragment", "whole", "clean"),
+    [
+        ("x jоhn@example.com y", "hn@example.com", "jоhn@example.com", "x <EMAIL> y"),
+        ("x john@example.cоm y", "john@example.c", "john@example.cоm", "x <EMAIL> y"),
+        ("x +1 234 555 019９ y", "+1 234 555 019", "+1 234 555 019９", "x <PHONE> y"),
+    ],
+)
+def test_disguises_that_leave_a_base_fragment(text, fragment, whole, clean):
+    base, every = pii.spans(text)
+    assert [text[a:b] for a, _, b in base] == [fragment]
+    assert {text[a:b] for a, _, b in every} == {fragment, whole} and len(every) == 2
+    assert pii.redacted(text) == clean

@@ -3,7 +3,8 @@
 Base identifiers (email, ip, card, phone) are found in the text as it stands. Then two transducers rewrite a text while
 they keep, for each character that they write, the source characters that it stands for: the first replaces
 homoglyphs and wide forms, the second replaces spelled digits, `at` and `dot` disguises. The identifiers of the
-rewritten text are mapped back to source spans, and those that lie apart from all base spans are added.
+rewritten text are mapped back to source spans, and those that don't lie within a base span are added: a disguise in the
+middle of an identifier often leaves a base fragment of it, which the added span then overlaps.
 
 Spans are code points of the source, end exclusive.
 
@@ -14,7 +15,8 @@ rows; a null doc_id stays null; columns of the input that aren't named are ignor
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -213,14 +215,12 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         at = at.replace(edits)
     if at.starts is None:
         return base, base
-    taken = sorted((s, e) for s, _, e in base)
-    begins, more = [s for s, _ in taken], []
-    longest = max((e - s for s, e in taken), default=0)
+    begins, more = [s for s, _, _ in base], []
+    reach = list(accumulate((e for _, _, e in base), max))  # the furthest end of the base spans up to each
     for start, kind, end in base_spans(at.text):
         a, b = at.source(start, end)
-        k = bisect_left(begins, b)
-        near = taken[bisect_left(begins, a - longest) : k]
-        if not any(e > a for _, e in near):
+        k = bisect_right(begins, a)
+        if not k or reach[k - 1] < b:
             more.append((a, kind, b))
     return base, sorted(base + more)
 
