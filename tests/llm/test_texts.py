@@ -244,3 +244,35 @@ def test_disguises_that_leave_a_base_fragment(text, fragment, whole, clean):
     assert [text[a:b] for a, _, b in base] == [fragment]
     assert {text[a:b] for a, _, b in every} == {fragment, whole} and len(every) == 2
     assert pii.redacted(text) == clean
+
+
+def test_no_overlap_that_counts_is_missed(spark):
+    """Against all segments of all alignments, over items of 1 to 30 tokens and substitutions."""
+    rnd = random.Random(12)
+    numbers = iter(range(10**6))
+    fresh = lambda: f"w{next(numbers)}"
+    items = [[fresh() for _ in range(n)] for n in [*range(1, 31), 64]]
+    texts = [items[-1][:12] + [w if k % 4 else fresh() for k, w in enumerate(items[-1][12:])]]  # a looser overlap around the first 12
+    texts += [[w if k % 4 != 3 else fresh() for k, w in enumerate(items[-1][:15])] + [fresh()] * 3]  # runs of three
+    for item in items[:-1] * 8:
+        cut = rnd.randint(0, len(item) // 2)
+        texts.append([fresh()] + [fresh() if rnd.random() < rnd.choice((0.05, 0.2, 0.3)) else w for w in item[cut:]] + [fresh()])
+
+    def counts(doc, item):
+        least = min(10, max(1, -(-len(item) // 2)))
+        for shift in range(-len(item) + 1, len(doc)):
+            a, b = max(0, -shift), min(len(item), len(doc) - shift)
+            sums = [0]
+            for k in range(a, b):
+                sums.append(sums[-1] + (doc[k + shift] == item[k]))
+            if any(sums[j] - sums[i] >= least and 5 * (sums[j] - sums[i]) >= 4 * (j - i) for j in range(len(sums)) for i in range(j)):
+                return True
+        return False
+
+    want = {(d, i) for d, doc in enumerate(texts) for i, item in enumerate(items) if set(doc) & set(item) and counts(doc, item)}
+    assert {(0, 30), (1, 30)} <= want
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    for limit in (20_000, 0):
+        found = overlaps(frame(spark, [" ".join(x) for x in texts]), bench, broadcast_items=limit).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == want
+        assert all(5 * r["matched_tokens"] >= 4 * r["overlap_tokens"] for r in found)

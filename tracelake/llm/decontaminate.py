@@ -1,16 +1,18 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds.
 
-A seed is a mask over `span` token positions, of which some are ignored: equal tokens at the others give equal
-hashes, whatever stands at the ignored ones. Training and benchmark hashes are joined; each hit fixes an alignment of
-a document and an item, along which the overlap is verified: the segment with the greatest score (1 for an equal token,
--2 for a substituted one) counts if it holds enough equal tokens and is similar enough.
+A seed is the hash of a few consecutive tokens. Training and benchmark seeds are joined; each hit fixes an alignment of a
+document and an item, and the alignments with enough hits are verified: a segment counts if it holds enough equal tokens
+and is similar enough, whatever lies around it. The seeds' length and the number of hits are such that no segment that
+counts is missed (see seeding()).
 
-Defined results: null texts count as empty and overlap with nothing; an item with fewer tokens than `span` is one seed
-of all its tokens; an item without tokens matches nothing; equal items are reported each under its own id; repeated
-document rows give repeated rows; an empty table on either side gives no rows; a null doc_id stays null in the result;
-columns of the inputs that aren't named are ignored.
+Defined results: null texts count as empty and overlap with nothing; an item of under 2 * least tokens needs its share of
+equal tokens, which is a single token for an item of one or two; an item without tokens matches nothing; equal items are
+reported each under its own id; repeated document rows give repeated rows; an empty table on either side gives no rows;
+a null doc_id stays null in the result; columns of the inputs that aren't named are ignored.
 """
 
+from math import ceil, floor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,37 +21,62 @@ from pyspark.sql import functions as F
 from .bytehash import mix, token_hashes
 from .common import checkpointed
 
-#: Fixed masks over 12 tokens; weight 8, each ignoring other positions.
-MASKS = ("111011001011", "110100110111", "111100111001")
+#: Longest seeds that are tried.
+LONGEST = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """The hash of mask at every position of tokens."""
-    out = np.zeros(max(0, len(tokens) - len(mask) + 1), np.uint64)
-    for k, kept in enumerate(mask):
-        if kept == "1":
-            out = out * _STEP + tokens[k : k + len(out)]
-    return mix(out + np.uint64(number + 1))
-
-
-def item_seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[tuple[int, int]]:
-    """(seed, position) of an item; a short one has a seed of its own length, which no mask shares."""
-    if 0 < len(tokens) < len(masks[0]):
-        return [(int(seeds(tokens, "1" * len(tokens), 100 + len(tokens))[0]), 0)]
-    return [(int(h), i) for n, m in enumerate(masks) for i, h in enumerate(seeds(tokens, m, n))]
+def needed(tokens: int, least: int, share: float) -> int:
+    """Equal tokens that an overlap with an item of so many tokens needs."""
+    return min(least, max(1, ceil(tokens * share)))
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal tokens) of the segment with the greatest score."""
-    scores = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    lowest = np.minimum.accumulate(scores)
-    end = int((scores - lowest).argmax())
-    start = int(scores[: end + 1].argmin()) if end else 0
-    return start, end, int(equal[start:end].sum())
+def seeding(enough: int, similar: float) -> tuple[int, int]:
+    """(length of seeds, hits on one alignment): the longest seeds of which every segment that counts has a hit.
 
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 10, similar: float = 0.8, share: float = 0.5, broadcast_items: int = 20_000, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    m equal tokens with k others among them form k + 1 runs at most and so hold m - (length - 1) * (k + 1) seeds at least;
+    a segment counts only if m >= enough and k <= m * (1 - similar) / similar. A segment with more equal tokens than
+    some bound has at least as many hits as one below it, so that a few hundred values of m are enough to look at.
+    """
+    others = lambda m: floor(m * (1 - similar) / similar + 1e-9)
+    for length in range(LONGEST, 1, -1):
+        # In the long run a hit is left only if a run of equal tokens is longer than length - 1 on average.
+        if (length - 1) * (1 - similar) < similar:
+            hits = min(m - (length - 1) * (others(m) + 1) for m in range(enough, enough + 400))
+            if hits >= 1:
+                return length, hits
+    return 1, enough
+
+
+def seeds(tokens: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the seed at every position of tokens."""
+    out = np.zeros(max(0, len(tokens) - length + 1), np.uint64)
+    for k in range(length):
+        out = out * _STEP + tokens[k : k + len(out)]
+    return mix(out + np.uint64(length))
+
+
+def best_segment(equal: np.ndarray, enough: int, similar: float) -> tuple[int, int, int] | None:
+    """(start, end, equal tokens) of a segment that counts, if any: of these the one with most equal tokens, then the
+    shortest."""
+    matched = np.concatenate([[0], np.cumsum(equal)])
+    surplus = matched - similar * np.arange(len(matched))
+    lowest = -np.minimum.accumulate(surplus)
+    # The first start from which the segment up to each end is similar enough holds most equal tokens.
+    first = np.searchsorted(lowest, -(surplus + 1e-9))
+    counts = matched - matched[first]
+    best = int(counts.max())
+    if best < max(1, enough):
+        return None
+    found = []
+    for end in np.flatnonzero(counts == best).tolist():
+        inside = np.flatnonzero(equal[first[end] : end])
+        found.append((int(inside[-1] - inside[0]) + 1, int(first[end] + inside[0])))
+    size, start = min(found)
+    return start, start + size, best
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 10, similar: float = 0.8, share: float = 0.5, broadcast_items: int = 20_000, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, matched_tokens, overlap_tokens, item_tokens and doc_start of every verified overlap.
 
     An overlap counts if `similar` of its tokens are equal and at least `least` of them, or at least `share` of the
@@ -60,87 +87,109 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if n <= broadcast_items and size <= broadcast_bytes:
-        found = _by_broadcast(texts, items.collect(), masks)
-    else:
-        found = _by_join(texts, items, masks)
-    enough = F.least(F.lit(least), F.greatest(F.lit(1), F.ceil(F.col("item_tokens") * share)))
-    return found.filter((F.col("matched_tokens") >= enough) & (F.col("matched_tokens") >= similar * F.col("overlap_tokens")))
+        return _by_broadcast(texts, items.collect(), (least, similar, share))
+    return _by_join(texts, items, (least, similar, share))
 
 
 _FOUND = "doc_id {id}, item_id {item}, matched_tokens long, overlap_tokens long, item_tokens long, doc_start long"
 
 
-def _verified(tokens: np.ndarray, item: np.ndarray, shifts) -> tuple[int, ...] | None:
-    """matched, overlap and item tokens and start, by the shift (document minus item position) that matches most."""
-    best = None
+_Rule = tuple[int, float, float]
+
+
+def _verified(tokens: np.ndarray, item: np.ndarray, shifts, rule: _Rule) -> tuple[int, ...] | None:
+    """matched, overlap and item tokens and start of the best segment that counts, over all shifts (document minus item
+    position); None if there is none."""
+    least, similar, share = rule
+    enough, best = needed(len(item), least, share), None
     for shift in shifts:
         a, b = max(0, -shift), min(len(item), len(tokens) - shift)
-        start, end, matched = best_segment(tokens[a + shift : b + shift] == item[a:b])
-        if best is None or (matched, -(end - start)) > best[:2]:
-            best = matched, -(end - start), len(item), a + shift + start
+        if segment := best_segment(tokens[a + shift : b + shift] == item[a:b], enough, similar):
+            start, end, matched = segment
+            if best is None or (matched, start - end) > best[:2]:
+                best = matched, start - end, len(item), a + shift + start
     return best and (best[0], -best[1], best[2], best[3])
 
 
-def _by_broadcast(texts: DataFrame, rows: list, masks: tuple[str, ...]) -> DataFrame:
+def _by_broadcast(texts: DataFrame, rows: list, rule: _Rule) -> DataFrame:
+    least, similar, share = rule
     kinds = {"id": texts.schema["doc_id"].dataType.simpleString(), "item": "long"}
     hashed = [(r["item_id"], token_hashes(r["item_text"].encode())) for r in rows]
-    table = sorted((h, i, k) for i, (_, t) in enumerate(hashed) for h, k in item_seeds(t, masks))
-    known = np.array([h for h, _, _ in table], np.uint64)
-    lengths = sorted({len(t) for _, t in hashed if 0 < len(t) < len(masks[0])})
-    shared = texts.sparkSession.sparkContext.broadcast((hashed, known, [(i, k) for _, i, k in table]))
+    plans = [seeding(needed(len(t), least, share), similar) for _, t in hashed]
+    hits = np.array([h for _, h in plans], np.int64)
+    tables = []  # for each length of seeds: their hashes in order, and the item and the place of each
+    for length in sorted({n for n, _ in plans}):
+        parts = [(i, seeds(t, length)) for i, (_, t) in enumerate(hashed) if plans[i][0] == length]
+        known = np.concatenate([x for _, x in parts])
+        order = np.argsort(known, kind="stable")
+        of, place = np.concatenate([np.full(len(x), i) for i, x in parts]), np.concatenate([np.arange(len(x)) for _, x in parts])
+        tables.append((length, known[order], of[order], place[order]))
+    shared = texts.sparkSession.sparkContext.broadcast((hashed, hits, tables))
 
     def search(batches):
-        hashed, known, places = shared.value
+        hashed, hits, tables = shared.value
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 tokens = token_hashes(text.as_py().encode())
-                hits: dict[int, set[int]] = {}
-                for mask, number in [*((m, n) for n, m in enumerate(masks)), *(("1" * n, 100 + n) for n in lengths)]:
-                    if not len(known) or len(tokens) < len(mask):
+                for length, known, of, place in tables:
+                    own = seeds(tokens, length)
+                    low = np.searchsorted(known, own)
+                    at = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == own) if len(known) else low[:0]
+                    if not len(at):
                         continue
-                    own = seeds(tokens, mask, number)
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    for p in np.flatnonzero(known[at] == own).tolist():
-                        k = int(at[p])
-                        while k < len(known) and known[k] == own[p]:
-                            i, place = places[k]
-                            hits.setdefault(i, set()).add(p - place)
-                            k += 1
-                out += [(doc, hashed[i][0], *_verified(tokens, hashed[i][1], sorted(shifts))) for i, shifts in hits.items()]
+                    low = low[at]
+                    n = np.searchsorted(known, own[at], side="right") - low
+                    rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    # An alignment is a number: the item, then the shift, which is moved to be positive.
+                    width, moved = len(tokens) + (1 << 32), 1 << 31
+                    pairs, times = np.unique(of[rows] * width + (np.repeat(at, n) - place[rows] + moved), return_counts=True)
+                    items, shifts = pairs // width, pairs % width - moved
+                    enough = times >= hits[items]
+                    items, shifts = items[enough], shifts[enough]
+                    for i in np.unique(items).tolist():
+                        if found := _verified(tokens, hashed[i][1], shifts[items == i].tolist(), rule):
+                            out.append((doc, hashed[i][0], *found))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, [batch.schema.field("doc_id").type] + [pa.int64()] * 5)], names=["doc_id", "item_id", "matched_tokens", "overlap_tokens", "item_tokens", "doc_start"])
 
     return texts.mapInArrow(search, _FOUND.format(**kinds))
 
 
-def _by_join(texts: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """As by broadcast. The items' seeds are counted first: one that many items share is still joined, once for each."""
-    short = len(masks[0])
+def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
+    """As by broadcast, by a join of all seeds; one that many items share is still joined, once for each."""
+    least, similar, share = rule
+    lengths = sorted({seeding(e, similar)[0] for e in range(1, least + 1)})
 
     def of_items(batches):
         for batch in batches:
-            out = [(h, i, k) for i, text in zip(batch["item_id"].to_pylist(), batch["item_text"]) for h, k in item_seeds(token_hashes(text.as_py().encode()), masks)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _, _ in out], np.uint64).view(np.int64)), pa.array([i for _, i, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64())], names=["seed", "item_id", "place"])
+            out = []
+            for i, text in zip(batch["item_id"].to_pylist(), batch["item_text"]):
+                tokens = token_hashes(text.as_py().encode())
+                length, hits = seeding(needed(len(tokens), least, share), similar)
+                out += [(h, i, k, hits) for k, h in enumerate(seeds(tokens, length).view(np.int64).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "item_id", "place", "hits"])
 
     def of_docs(batches):
         for batch in batches:
             for row, text in enumerate(batch["text"]):
                 tokens = token_hashes(text.as_py().encode())
-                own = [(seeds(tokens, m, n)) for m, n in [*((m, n) for n, m in enumerate(masks)), *(("1" * k, 100 + k) for k in range(1, short))]]
+                own = [seeds(tokens, n) for n in lengths]
                 seed, at = np.concatenate(own), np.concatenate([np.arange(len(x)) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), batch["_row"][row].as_py())), pa.array(seed.view(np.int64)), pa.array(at)], names=["_row", "seed", "at"])
 
     rows = checkpointed(texts.withColumn("_row", F.monotonically_increasing_id()))
     left = rows.select("_row", "text").mapInArrow(of_docs, "_row long, seed long, at long")
-    right = items.mapInArrow(of_items, "seed long, item_id long, place long")
-    shifts = left.join(right, "seed").groupBy("_row", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    right = items.mapInArrow(of_items, "seed long, item_id long, place long, hits long")
+    aligned = left.join(right, "seed").groupBy("_row", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.max("hits").alias("hits"))
+    shifts = aligned.filter("n >= hits").groupBy("_row", "item_id").agg(F.collect_list("shift").alias("shifts"))
 
     @F.arrow_udf("matched_tokens long, overlap_tokens long, item_tokens long, doc_start long")
     def verified(text: pa.Array, item: pa.Array, moved: pa.Array) -> pa.Array:
-        out = [_verified(token_hashes(a.as_py().encode()), token_hashes(b.as_py().encode()), sorted(c.as_py())) for a, b, c in zip(text, item, moved)]
+        out = [_verified(token_hashes(a.as_py().encode()), token_hashes(b.as_py().encode()), sorted(c.as_py()), rule) or (None,) * 4 for a, b, c in zip(text, item, moved)]
         return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["matched_tokens", "overlap_tokens", "item_tokens", "doc_start"])
 
-    return rows.join(shifts, "_row").join(items, "item_id").select("doc_id", "item_id", verified("text", "item_text", "shifts").alias("v")).select("doc_id", "item_id", "v.*")
+    found = rows.join(shifts, "_row").join(items, "item_id").select("doc_id", "item_id", verified("text", "item_text", "shifts").alias("v"))
+    return found.select("doc_id", "item_id", "v.*").filter("matched_tokens IS NOT NULL")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
