@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tracelake.llm import pieces, pii, quality
 from tracelake.llm.chat import format_turns, read_back, read_turn, text_parts
 from tracelake.llm.decontaminate import drop_contaminated, overlaps
-from tracelake.llm.langid import identify, keep_identified
+from tracelake.llm.langid import fit, identify, keep_identified, predict
 from tracelake.llm.tokens import count_tokens
 
 SCHEMA = "doc_id long, text string, n_tokens string, ids string"
@@ -276,3 +276,17 @@ def test_no_overlap_that_counts_is_missed(spark):
         found = overlaps(frame(spark, [" ".join(x) for x in texts]), bench, broadcast_items=limit).collect()
         assert {(r["doc_id"], r["item_id"]) for r in found} == want
         assert all(5 * r["matched_tokens"] >= 4 * r["overlap_tokens"] for r in found)
+
+
+def test_a_rare_language_is_learned_beside_a_large_one(spark):
+    rnd = random.Random(13)
+    words = {x: ["".join(rnd.choice(a) for _ in range(6)) for _ in range(150)] for x, a in (("en", "thewrdsn"), ("is", "thewrdsnæ"))}
+    rows = [(i, " ".join(rnd.choice(words["en"]) for _ in range(20)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rnd.choice(words["is"]) for _ in range(20)), "is") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df, "doc_id", "text", "lang", 60, 100, 200)
+    assert model.languages == ["en", "is"]
+    seen = {w for r in rows[3000:] for w in r[1].split()}
+    assert len(seen & set(model.words)) >= 70
+    got = df.withColumn("p", predict(df, model)["lang"])
+    assert got.filter("p != lang").count() == 0

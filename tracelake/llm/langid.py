@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed
@@ -67,27 +67,34 @@ class Model:
 
 
 def _table(counts: DataFrame, key: str, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
-    """The `most` most frequent keys and their counts by language; most bounds what comes to the driver."""
+    """The `most` most frequent keys of each language and their counts in all languages. Only these rows come to the driver."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+    chosen = counts.withColumn("_r", rank).filter(F.col("_r") <= most).select(key).distinct()
     sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
-    by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), *sums)
-    found = by_key.orderBy(F.desc("total"), key).limit(most).drop("total").toArrow()
+    found = counts.join(chosen, key, "left_semi").groupBy(key).agg(*sums).orderBy(key).toArrow()
     return found[key].to_pylist(), np.array([found[f"n{i}"].to_numpy() for i in range(len(languages))], float).reshape(len(languages), -1).T
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = 15_000, max_words: int = 50_000, max_grams: int = 60_000, longest: int = 5, longest_word: int = 40) -> Model:
-    """Learn from the rows of labelled that have a language, or from about max_rows of them picked by a hash of the id.
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = 5_000, max_words: int = 20_000, max_grams: int = 30_000, longest: int = 5, longest_word: int = 40) -> Model:
+    """Learn from the rows of labelled that have a language: of each language all, or about max_rows picked by a hash of
+    the id where it has more.
 
-    max_rows bounds the work, max_words and max_grams the model, which is sent to every task. The picked texts are
-    used whole; words over longest_word letters don't enter the tables.
+    max_rows bounds the work, max_words and max_grams the model, which is sent to every task; all three hold for each
+    language, so that none is crowded out by others. The picked texts are used whole; words over longest_word letters
+    don't enter the tables. A language whose picked texts hold no word can't be learned.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, max_rows / max(1, rows.count()))))
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    if not sizes:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), longest)
+    limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 20) * min(1.0, max_rows / n)))))
+    picked = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.element_at(limits, F.col(lang_col)))
     words = picked.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("word"))
     words = words.filter((F.length("word") > 0) & (F.length("word") <= longest_word))
     counts = checkpointed(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i: F.substring(marked, i, n))))
-    grams = counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = checkpointed(counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
 
     if not languages:
@@ -97,7 +104,9 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows
         kinds = np.array([group(k) for k in keys], int)
         out = np.zeros_like(seen)
         for k in set(kinds.tolist()):
-            part = seen[kinds == k] + 0.5
+            # Counts are taken as of equally large samples: what is unseen weighs the same in rare languages.
+            part = seen[kinds == k]
+            part = part / np.maximum(part.sum(0), 1) * part.sum(0).max() + 0.5
             out[kinds == k] = np.log(part / part.sum(0))
         return {k: i for i, k in enumerate(keys)}, out
 
