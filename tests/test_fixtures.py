@@ -235,3 +235,12 @@ def test_containers_and_useful_logs(spark):
     assert sorted(r["container"][-1] for r in logs.executor_containers(c).collect()) == ["2", "3", "4"]
     df = logs.lines(spark.createDataFrame([("a", "ERROR x"), ("b", "hello"), ("c", "spark.x.y = 1")], "log_id string, text string"))
     assert {r["log_id"]: r["is_useful"] for r in logs.useful(df).collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_shortest_paths_follow_long_chains(spark):
+    chain = [("p", str(k), str(k + 1)) for k in range(60)] + [("p", "60", "0")]
+    edges = spark.createDataFrame(chain, "project string, source string, target string")
+    seed = spark.createDataFrame([("p", "0")], "project string, source string")
+    steps = {r["target"]: len(r["path"]) - 1 for r in graph.shortest_paths(edges, seed).collect()}
+    assert steps == {str(k): k for k in range(1, 61)}
+    assert graph.shortest_paths(edges, seed, 3).count() == 3

@@ -111,11 +111,13 @@ def all_paths(edges: DataFrame, project: str, source: str, target: str, max_dept
     return paths(edges, seed, max_depth).filter(F.element_at("path", -1) == target)
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(project, source, target, path): a shortest path to everything that a seed reaches; of equals the smallest."""
     hop = checkpointed(clean(edges).select("project", F.col("source").alias("target"), F.col("target").alias("next")))
     found = frontier = checkpointed(seeds.select("project", "source", F.col("source").alias("target"), F.array("source").alias("path")))
-    for _ in range(max_depth):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(hop, ["project", "target"]).select("project", "source", F.col("next").alias("target"), F.array_append("path", F.col("next")).alias("path"))
         step = step.groupBy("project", "source", "target").agg(F.min("path").alias("path"))
         frontier = checkpointed(step.join(found, ["project", "source", "target"], "left_anti"))
