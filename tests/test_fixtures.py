@@ -244,3 +244,12 @@ def test_shortest_paths_follow_long_chains(spark):
     steps = {r["target"]: len(r["path"]) - 1 for r in graph.shortest_paths(edges, seed).collect()}
     assert steps == {str(k): k for k in range(1, 61)}
     assert graph.shortest_paths(edges, seed, 3).count() == 3
+
+
+def test_task_distribution_gathers_no_inputs(spark):
+    inputs = {"a": [5, 1, 9, 9, 2, None], "b": [7], "c": [3, 3, 40, 1], "d": [None, None]}
+    rows = [(app, 1, str(k), 10, v) for app, values in inputs.items() for k, v in enumerate(values)]
+    found = runs.task_distribution(spark.createDataFrame(rows, "app string, stage int, task string, duration long, input_bytes long"))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["app"]: (r["n_tasks"], r["median_input"], r["n_input_skewed"]) for r in found.collect()}
+    assert got == {"a": (6, 9, 0), "b": (1, 7, 0), "c": (4, 3, 1), "d": (2, None, 0)}

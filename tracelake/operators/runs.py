@@ -56,8 +56,12 @@ def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
 
     A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs.
     """
-    upper = F.get(F.sort_array(F.collect_list("input_bytes")), F.floor(F.count("*") / 2).cast("int"))
-    stats = tasks.groupBy("app", "stage").agg(F.count("*").alias("n_tasks"), F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"), F.max("duration").alias("max_duration"), upper.alias("median_input"))
+    stats = tasks.groupBy("app", "stage").agg(F.count("*").alias("n_tasks"), F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"), F.max("duration").alias("max_duration"))
+    # The upper median by counts of the distinct inputs, so that no task gathers all inputs of a stage.
+    inputs = tasks.filter("input_bytes IS NOT NULL").groupBy("app", "stage", "input_bytes").agg(F.count("*").alias("_n"))
+    inputs = inputs.withColumn("_upto", F.sum("_n").over(Window.partitionBy("app", "stage").orderBy("input_bytes")))
+    upper = inputs.join(stats.select("app", "stage", "n_tasks"), ["app", "stage"]).filter(F.col("_upto") > F.floor(F.col("n_tasks") / 2))
+    stats = stats.join(upper.groupBy("app", "stage").agg(F.min("input_bytes").alias("median_input")), ["app", "stage"], "left")
     skew = F.try_divide(F.col("max_duration"), F.col("median_duration"))
     stats = stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False)))
     flags = tasks.join(stats.select("app", "stage", "median_duration", "median_input"), ["app", "stage"])
