@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed
@@ -40,15 +40,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text, as a signed long; the columns `carried` come along."""
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts))
         return pa.array(found.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"), *carried)
 
 
 def masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -108,6 +108,24 @@ def links(values: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
     return near
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, keeper): every distinct fingerprint of fps and the least row of all that are linked with it.
+
+    fps has fp and the struct `row`, whose order says which row of a group is the least. The result is checkpointed, so
+    that a join with it reads a plain exchange on both sides, and Spark can split the copies of a hot fingerprint.
+    """
+    reps = checkpointed(fps.groupBy("fp").agg(F.min("row").alias("rep")))
+    roots = checkpointed(components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp"))
+    least = roots.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("keeper"))
+    linked = roots.join(least, "root").select("fp", "keeper")
+    return checkpointed(reps.join(linked, "fp", "left").select("fp", F.coalesce("keeper", "rep").alias("keeper")))
+
+
+def _row(doc_id: str) -> Column:
+    """Rows with the smallest id come first, rows without one last."""
+    return F.struct(F.col(doc_id).isNull().alias("without"), F.col(doc_id).alias("doc_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of each document.
 
@@ -116,17 +134,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint is set if it is set in over half the hashes. Equal fingerprints are reduced to one before the search.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = checkpointed(components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp"))
-    linked = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    by_fp = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _grouped(fps.select("fp", _row("doc_id").alias("row")), radius)
+    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("keeper.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near duplicate with a smaller id; repeated rows (id and text) become one.
+    """One document of each group of near duplicates: that with the smallest id; of equal ids, and where no document has
+    an id, that with the smallest hash of its text. Repeated rows (id and text) become one.
 
-    A document without an id stays if none of its near duplicates has one.
+    Ids and hashes decide; texts are shuffled once, to meet the verdict.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col, text_col])
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(id_col, text_col, text_hash.alias("_h"))
+    fps = checkpointed(fingerprints(marked, id_col, text_col, carried=("_h",)).groupBy("doc_id", "_h", "fp").agg(F.count("*").alias("n")))
+    row = _row("doc_id").withField("h", F.col("_h")).withField("n", F.col("n"))
+    kept = _grouped(fps.select("fp", row.alias("row")), 4).select("keeper.*").distinct()
+    kept = checkpointed(kept.select(F.col("doc_id").alias("_kept"), F.col("h").alias("_kept_h"), (F.col("n") > 1).alias("_again")))
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]) & (text_hash == kept["_kept_h"]))
+    once = joined.filter("NOT _again").select(docs.columns)
+    return once.unionByName(joined.filter("_again").select(docs.columns).dropDuplicates([id_col, text_col]))
