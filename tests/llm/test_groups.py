@@ -112,8 +112,24 @@ def test_repeats_match_brute_force(spark, seed):
         rows.append((i // 2 * 2 if i > 44 else i, "".join(x[(o := rnd.randint(0, 200)) : o + rnd.randint(10, 200)] for x in rnd.choices(base, k=rnd.randint(0, 4)))))
     rows.append(rows[-1])
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, entries string, kind int").repartition(3)
-    got = Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in repeats(df, bucket_bytes=4000, group_bytes=3000, most=700).collect())
-    assert got == brute_repeats(rows)
+    assert digested(repeats(df, bucket_bytes=4000, group_bytes=3000, most=20, hot=2)) == digested(repeats(df)) == brute_repeats(rows)
+
+
+def digested(found):
+    return Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found.collect())
+
+
+def test_repeats_of_one_edge_with_many_contexts_and_of_a_long_text(spark):
+    rnd = random.Random(14)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    edge, line = noise(50), noise(70)
+    rows = [(i, noise(rnd.randint(20, 60)) + edge + noise(40) + (line if i % 3 else line[:49]) + noise(rnd.randint(0, 60))) for i in range(40)]
+    long = noise(150_000)
+    rows += [(100, long), (101, noise(10) + long[65_000:66_000] + noise(70_000) + line), (102, " " * 300), (103, " " * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_repeats(rows)
+    assert digested(repeats(df, group_bytes=3000, bucket_bytes=2000, hot=3)) == want
+    assert digested(repeats(df, hot=0)) == want
 
 
 def test_repeats_of_an_empty_table(spark):
