@@ -1,16 +1,19 @@
 """Operators on single texts: against libraries, plain regular expressions and round trips."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelake.llm import pieces, pii, quality
+from tracelake.llm import langid, pieces, pii, quality
 from tracelake.llm.chat import format_turns, read_back, read_turn, text_parts
 from tracelake.llm.decontaminate import drop_contaminated, overlaps
 from tracelake.llm.langid import fit, identify, keep_identified, predict
@@ -95,7 +98,7 @@ def test_pieces_equal_the_library(spark):
     df = frame(spark, texts[:50] + ["word " * 30000])
     rows = {r["doc_id"]: r for r in pieces.decode(pieces.encode(df), to="back").collect()}
     assert all(rows[i]["ids"] == sp.encode(t or "") and rows[i]["back"] == (t or "").replace("▁", " ") for i, t in enumerate(texts[:50]))
-    assert pieces.digests(pieces.encode(df.limit(0))).count() == 0
+    assert pieces.digests(df.limit(0)).count() == 0
 
 
 def test_unigram_takes_the_cheapest_path():
@@ -146,6 +149,7 @@ def test_overlaps_survive_substitutions(spark):
 
 def test_chat_reads_back_what_was_written(spark):
     turns = [(1, 0, "user", "hi\n### x"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "b"), (2, 0, None, None), (None, 3, "sys\ntem", "<image 0>"), (3, 0, "assistant", "x" * 100000)]
+    turns += [(4, 0, "user", "#a"), (4, 0, "user", "A"), (4, 0, "a#", "z"), (4, 0, "ab", "y")]  # equal turns go by role and text, not as they are escaped
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     formatted = format_turns(df.withColumn("parts", text_parts(F.col("text"))))
     rows = {r["conv_id"]: r for r in read_back(formatted).collect()}
@@ -158,6 +162,7 @@ def test_chat_reads_back_what_was_written(spark):
     assert rows[2]["turns_sha256"] == digest("\n\n") and rows[None]["turns_sha256"] == digest("sys\ntem\n<image 0>\n")
     assert rows[1]["formatted_chars"] == sum(len(r["formatted"]) for r in formatted.filter("conv_id = 1").collect())
     assert rows[3]["loss_chars"] == 100000
+    assert rows[4]["turns_sha256"] == digest("a#\nz\nab\ny\nuser\n#a\nuser\nA\n")
     assert read_back(formatted.limit(0)).count() == 0
 
 
@@ -187,6 +192,54 @@ def test_language_of_held_out_texts(spark):
     assert {r["lang_pred"] for r in identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_matches_plain_code(spark):
+    """The model and its scores by counting in plain code, on words beyond any table and on texts without letters."""
+    rnd = random.Random(18)
+    pools = {"de": "abcdeß", "nl": "abcdeij"}
+    words = {x: ["".join(rnd.choice(a) for _ in range(rnd.randint(1, 9))) for _ in range(60)] + [x * 40] for x, a in pools.items()}
+    rows = [(i, " ".join(rnd.choice(words[x]) for _ in range(12)), x) for i in range(40) for x in ([*pools][i % 2],)]
+    odd = ["½ ² Ⅷ", "12_3", "é", "ab½cd", "x" * 300, "DE" * 40, "…", "zzz qqq", "a" * 70 + " " + "b"]
+    df = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    model = fit(df, "doc_id", "text", "lang")
+    counts, grams = Counter(), Counter()
+    for _, t, x in rows:
+        for w in t.split():
+            counts[w, x] += 1
+            for n in range(1, 6):
+                for i in range(len(w) + 2 - n + 1):
+                    grams[f"<{w}>"[i : i + n], x] += 1
+
+    def logs(table, keys):
+        sums = {x: sum(table[k, x] for k in keys) for x in pools}
+        scaled = {x: {k: table[k, x] / sums[x] * max(sums.values()) + 0.5 for k in keys} for x in pools}
+        return {k: [math.log(scaled[x][k] / sum(scaled[x].values())) for x in sorted(pools)] for k in keys}
+
+    known = logs(counts, {w for w, _ in counts})
+    by_length = {n: logs(grams, {g for g, _ in grams if len(g) == n}) for n in range(1, 6)}
+
+    def word(w):
+        if w in known:
+            return known[w]
+        for n in range(5, 0, -1):
+            hits = [h for i in range(len(w) + 2 - n + 1) if (h := by_length[n].get(f"<{w}>"[i : i + n]))]
+            if hits:
+                return [sum(x) / len(hits) for x in zip(*hits)]
+        return [0.0, 0.0]
+
+    got = {r["doc_id"]: r["p"] for r in df.select("doc_id", predict(df, model).alias("p")).collect()}
+    for i, t in [(i, t) for i, t, _ in rows] + [(100 + i, t) for i, t in enumerate(odd)]:
+        total = [0.0, 0.0]
+        found = regex.findall(r"\p{L}+", t.lower())
+        for w in found:
+            total = [a + b for a, b in zip(total, word(w))]
+        if not found:
+            assert tuple(got[i]) == ("und", 0.0), t
+        else:
+            best = total.index(max(total))
+            assert got[i]["lang"] == sorted(pools)[best], t
+            assert abs(got[i]["score"] - 1 / sum(math.exp(x - total[best]) for x in total)) < 1e-9, t
+
+
 def plain_metrics(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -231,6 +284,62 @@ def test_quality_keeps_one_weak_flag_among_good_votes(spark):
     assert {i for i, r in rows.items() if r["kept"]} == set(range(88))
 
 
+def test_estimates_match_plain_expectation_maximisation(spark):
+    rnd = random.Random(19)
+    names = ["a", "b", "c"]
+    rows = []
+    for _ in range(400):
+        good = rnd.random() < 0.7
+        rows.append(tuple(rnd.choices((1, 0, -1), (0.6, 0.3, 0.1) if good else (0.1, 0.2, 0.7) if k < 2 else (0.3, 0.4, 0.3))[0] for k in range(3)))
+    prior, weights = quality.estimate(spark.createDataFrame(rows, "_v_a int, _v_b int, _v_c int"), names)
+
+    p = [1.0 if min(r) >= 0 else (r.count(1) + 1) / (r.count(1) + r.count(-1) + 2) for r in rows]
+    before = None
+    for _ in range(50):
+        share = (sum(p) + 1) / (len(rows) + 2)
+        rate = {(k, v, g): (sum(w for r, w in zip(rows, side) if r[k] == v) + 2 / 3) / (sum(side) + 2) for g, side in ((1, p), (0, [1 - x for x in p])) for k in range(3) for v in (-1, 0, 1)}
+        if before and max(abs(rate[x] - before[x]) for x in rate) < 1e-4:
+            break
+        before = rate
+        odds = [math.log(share / (1 - share)) + sum(math.log(rate[k, r[k], 1] / rate[k, r[k], 0]) for k in range(3)) for r in rows]
+        p = [1.0 if min(r) >= 0 else 1 / (1 + math.exp(-x)) for r, x in zip(rows, odds)]
+    assert abs(prior - share) < 1e-6
+    for k, name in enumerate(names):
+        assert all(abs(weights[name][v + 1] - math.log(rate[k, v, 1] / rate[k, v, 0])) < 1e-6 for v in (-1, 0, 1))
+
+
+# What is planted: the kind, the plain identifier, and how it can be disguised.
+DISGUISES = {
+    "email": ("ann.lee{n}@mail{n}.example.com", {"brackets": lambda x: x.replace("@", " [at] ").replace(".", " [dot] "), "words": lambda x: x.replace("@", " at ").replace(".", " dot "), "cyrillic": lambda x: x.replace("a", "а").replace("e", "е"), "wide": lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isalnum() else c for c in x), "upper": lambda x: x.replace("@", " (AT) ").replace(".", " (DOT) ")}),
+    "ip": ("10.{n}.0.{n}", {"words": lambda x: x.replace(".", " dot "), "brackets": lambda x: x.replace(".", "[.]"), "wide": lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in x)}),
+    "phone": ("+1 555 010 {n:04d}", {"spelled": lambda x: " ".join(["plus", *(SPELLED[int(c)] for c in x if c.isdigit())]), "mixed": lambda x: x.replace("555", "five five five"), "wide": lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in x), "german": lambda x: " ".join(["plus", *(GERMAN[int(c)] for c in x if c.isdigit())])}),
+    "card": ("4556737586899855", {"spelled": lambda x: " ".join(SPELLED[int(c)] for c in x), "dashed": lambda x: "–".join(x[i : i + 4] for i in range(0, 16, 4)), "upper": lambda x: " ".join(GERMAN[int(c)].upper() for c in x)}),
+}
+SPELLED = "zero one two three four five six seven eight nine".split()
+GERMAN = "null eins zwei drei vier fünf sechs sieben acht neun".split()
+
+
+@pytest.mark.parametrize(("kind", "way"), [(k, w) for k, (_, ways) in DISGUISES.items() for w in ways])
+def test_planted_disguises_are_found_and_prose_is_left_alone(kind, way):
+    rnd = random.Random(20)
+    words = "the cat sat at home and looked on with one eye or two while seven dots of rain fell plus some more".split()
+    caught = 0
+    for n in range(100, 150):
+        plain, disguised = DISGUISES[kind][0].format(n=n), DISGUISES[kind][1][way](DISGUISES[kind][0].format(n=n))
+        before = " ".join(rnd.choice(words) for _ in range(8)) + " | "
+        text = before + disguised + " | " + " ".join(rnd.choice(words) for _ in range(8))
+        spans = [(a, k, b) for a, k, b in pii.spans(text)[1] if k == pii.KINDS.index(kind)]
+        caught += any(a <= len(before) and b >= len(before) + len(disguised) for a, _, b in spans)
+        assert all(a >= len(before) and b <= len(before) + len(disguised) for a, _, b in spans), (text, plain)
+    assert caught == 50
+
+
+def test_a_long_local_part_with_spelled_dots_is_found_whole():
+    local = " dot ".join(["part"] * 60)
+    text = f"so {local} at mail dot example dot com it is"
+    assert [text[a:b] for a, _, b in pii.spans(text)[1]] == [f"{local} at mail dot example dot com"]
+
+
 @pytest.mark.parametrize(
     ("text", "fragment", "whole", "clean"),
     [
@@ -284,9 +393,9 @@ def test_a_rare_language_is_learned_beside_a_large_one(spark):
     rows = [(i, " ".join(rnd.choice(words["en"]) for _ in range(20)), "en") for i in range(3000)]
     rows += [(5000 + i, " ".join(rnd.choice(words["is"]) for _ in range(20)), "is") for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = fit(df, "doc_id", "text", "lang", 60, 100, 200)
+    model = fit(df, "doc_id", "text", "lang", 60)
     assert model.languages == ["en", "is"]
-    seen = {w for r in rows[3000:] for w in r[1].split()}
-    assert len(seen & set(model.words)) >= 70
+    seen = sorted({w for r in rows[3000:] for w in r[1].split()})
+    assert set(langid._hashes(seen).tolist()) <= set(model.words.tolist())
     got = df.withColumn("p", predict(df, model)["lang"])
     assert got.filter("p != lang").count() == 0
