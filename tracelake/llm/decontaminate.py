@@ -1,9 +1,9 @@
-"""Benchmark decontamination by seeds.
+"""Benchmark decontamination by spaced seeds.
 
-A seed is the hash of a few consecutive tokens. Training and benchmark seeds are joined; each hit fixes an alignment of a
-document and an item, and the alignments with enough hits are verified: a segment counts if it holds enough equal tokens
-and is similar enough, whatever lies around it. The seeds' length and the number of hits are such that no segment that
-counts is missed (see seeding()).
+A mask is a row of token positions of which some are ignored ("1" counts, "0" is ignored); a seed is the hash of the
+tokens that count. Training and benchmark seeds are joined; each hit fixes an alignment of a document and an item, and
+around it the overlap is verified with substitutions: a segment counts if it holds enough equal tokens and is similar
+enough, whatever lies around it. The masks are such that no segment that counts is missed (see covers()).
 
 Defined results: null texts count as empty and overlap with nothing; an item of under 2 * least tokens needs its share of
 equal tokens, which is a single token for an item of one or two; an item without tokens matches nothing; equal items are
@@ -11,6 +11,8 @@ reported each under its own id; repeated document rows give repeated rows; an em
 a null doc_id stays null in the result; columns of the inputs that aren't named are ignored.
 """
 
+from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, floor
 
 import numpy as np
@@ -21,9 +23,18 @@ from pyspark.sql import functions as F
 from .bytehash import mix, token_hashes
 from .common import checkpointed
 
-#: Longest seeds that are tried.
-LONGEST = 8
+#: Families of masks, the most selective first. A family serves a rule only where covers() proves it.
+FAMILIES = (
+    ("1111011", "1110100011", "10011111", "111101001"),
+    ("111011", "11001011", "11111"),
+    ("11101", "1111"),
+    ("111", "1101"),
+    ("11",),
+    ("1",),
+)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter of benchmark seeds, 16 MB whatever the benchmark's size, and pairs that are looked at together.
+_FILTER, _PAIRS = 1 << 27, 1 << 20
 
 
 def needed(tokens: int, least: int, share: float) -> int:
@@ -31,29 +42,46 @@ def needed(tokens: int, least: int, share: float) -> int:
     return min(least, max(1, ceil(tokens * share)))
 
 
-def seeding(enough: int, similar: float) -> tuple[int, int]:
-    """(length of seeds, hits on one alignment): the longest seeds of which every segment that counts has a hit.
+@lru_cache
+def covers(masks: tuple[str, ...], enough: int, similar: float, far: int = 60) -> bool:
+    """Whether every segment that counts holds a place where one of masks meets equal tokens only.
 
-    m equal tokens with k others among them form k + 1 runs at most and so hold m - (length - 1) * (k + 1) seeds at least;
-    a segment counts only if m >= enough and k <= m * (1 - similar) / similar. A segment with more equal tokens than
-    some bound has at least as many hits as one below it, so that a few hundred values of m are enough to look at.
+    The least number of unequal tokens in a segment of n tokens that escapes all masks follows from that of n - 1, for
+    each state of the last tokens. It must be over what the rule allows for every n. From `far` on it is enough that it
+    is over n * (1 - similar) up to twice as far, as a longer segment is made of such parts.
     """
-    others = lambda m: floor(m * (1 - similar) / similar + 1e-9)
-    for length in range(LONGEST, 1, -1):
-        # In the long run a hit is left only if a run of equal tokens is longer than length - 1 on average.
-        if (length - 1) * (1 - similar) < similar:
-            hits = min(m - (length - 1) * (others(m) + 1) for m in range(enough, enough + 400))
-            if hits >= 1:
-                return length, hits
-    return 1, enough
-
-
-def seeds(tokens: np.ndarray, length: int) -> np.ndarray:
-    """The hash of the seed at every position of tokens."""
-    out = np.zeros(max(0, len(tokens) - length + 1), np.uint64)
-    for k in range(length):
-        out = out * _STEP + tokens[k : k + len(out)]
-    return mix(out + np.uint64(length))
+    states = 1 << max(map(len, masks)) - 1
+    windows = np.arange(2 * states)
+    hit = np.zeros(2 * states, bool)
+    for m in masks:
+        hit |= windows & int(m, 2) == int(m, 2)
+    never = 1 << 30
+    escaping = np.full(states, never)
+    escaping[0] = 0
+    for n in range(1, 2 * far + 1):
+        after = np.full(states, never)
+        for equal in (0, 1):
+            window = 2 * np.arange(states) + equal
+            np.minimum.at(after, window % states, np.where(hit[window], never, np.minimum(escaping + 1 - equal, never)))
+        escaping = after
+        allowed = min(floor(n * (1 - similar) + 1e-9), n - enough)
+        if 0 <= allowed >= escaping.min() or n >= far and escaping.min() <= n * (1 - similar):
+            return False
+    return True
+
+
+def family(enough: int, similar: float) -> int:
+    """The number of the most selective family that misses nothing; the last one never does."""
+    return next((k for k, masks in enumerate(FAMILIES) if covers(masks, enough, similar)), len(FAMILIES) - 1)
+
+
+def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """The hash under mask at every position of tokens."""
+    out = np.full(max(0, len(tokens) - len(mask) + 1), int(mask, 2), np.uint64)
+    for k, counts in enumerate(mask):
+        if counts == "1":
+            out = out * _STEP + tokens[k : k + len(out)]
+    return mix(out)
 
 
 def best_segment(equal: np.ndarray, enough: int, similar: float) -> tuple[int, int, int] | None:
@@ -81,19 +109,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     An overlap counts if `similar` of its tokens are equal and at least `least` of them, or at least `share` of the
     item if that is less. A benchmark of at most broadcast_items items and broadcast_bytes bytes is sent to all tasks and
-    documents aren't shuffled; a larger one is joined with the seeds of the documents by a shuffle.
+    documents aren't shuffled; a larger one is joined with the seeds of the documents by a shuffle. The rows are the same.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("item_text"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if n <= broadcast_items and size <= broadcast_bytes:
-        return _by_broadcast(texts, items.collect(), (least, similar, share))
+        return _by_broadcast(texts, items, (least, similar, share))
     return _by_join(texts, items, (least, similar, share))
 
 
-_FOUND = "doc_id {id}, item_id {item}, matched_tokens long, overlap_tokens long, item_tokens long, doc_start long"
-
-
+_COUNTS = ("matched_tokens", "overlap_tokens", "item_tokens", "doc_start")
 _Rule = tuple[int, float, float]
 
 
@@ -111,84 +137,113 @@ def _verified(tokens: np.ndarray, item: np.ndarray, shifts, rule: _Rule) -> tupl
     return best and (best[0], -best[1], best[2], best[3])
 
 
-def _by_broadcast(texts: DataFrame, rows: list, rule: _Rule) -> DataFrame:
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _alignments(known: np.ndarray, of: np.ndarray, place: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """Alignments of a document with the items whose seeds it has, as numbers: the item, then the shift, moved to be
+    positive. Pairs of equal seeds are looked at some at a time, as a token repeated in both makes very many."""
+    if not len(known):
+        return
+    low = np.searchsorted(known, own)
+    at = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == own)
+    low = low[at]
+    n = np.searchsorted(known, own[at], side="right") - low
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _PAIRS)))
+        size = n[begin:end]
+        rows = np.repeat(low[begin:end] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield np.unique((of[rows] << 33) + (np.repeat(at[begin:end], size) - place[rows] + (1 << 32)))
+        begin = end
+
+
+def _by_broadcast(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
     least, similar, share = rule
-    kinds = {"id": texts.schema["doc_id"].dataType.simpleString(), "item": "long"}
-    hashed = [(r["item_id"], token_hashes(r["item_text"].encode())) for r in rows]
-    plans = [seeding(needed(len(t), least, share), similar) for _, t in hashed]
-    hits = np.array([h for _, h in plans], np.int64)
-    tables = []  # for each length of seeds: their hashes in order, and the item and the place of each
-    for length in sorted({n for n, _ in plans}):
-        parts = [(i, seeds(t, length)) for i, (_, t) in enumerate(hashed) if plans[i][0] == length]
-        known = np.concatenate([x for _, x in parts])
-        order = np.argsort(known, kind="stable")
-        of, place = np.concatenate([np.full(len(x), i) for i, x in parts]), np.concatenate([np.arange(len(x)) for _, x in parts])
-        tables.append((length, known[order], of[order], place[order]))
-    shared = texts.sparkSession.sparkContext.broadcast((hashed, hits, tables))
+    rows = items.collect()
+    hashed = [token_hashes(r["item_text"].encode()) for r in rows]
+    families = [family(needed(len(t), least, share), similar) for t in hashed]
+    tables = []  # for each mask: the items' seeds in order, and the item and the place of each
+    for f in sorted(set(families)):
+        for m in FAMILIES[f]:
+            parts = [(i, seeds(t, m)) for i, t in enumerate(hashed) if families[i] == f]
+            known = np.concatenate([x for _, x in parts])
+            order = np.argsort(known, kind="stable")
+            of, place = np.concatenate([np.full(len(x), i) for i, x in parts]), np.concatenate([np.arange(len(x)) for _, x in parts])
+            tables.append((m, known[order], of[order], place[order]))
+    shared = texts.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], hashed, tables))
 
     def search(batches):
-        hashed, hits, tables = shared.value
+        ids, hashed, tables = shared.value
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 tokens = token_hashes(text.as_py().encode())
-                for length, known, of, place in tables:
-                    own = seeds(tokens, length)
-                    low = np.searchsorted(known, own)
-                    at = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == own) if len(known) else low[:0]
-                    if not len(at):
-                        continue
-                    low = low[at]
-                    n = np.searchsorted(known, own[at], side="right") - low
-                    rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    # An alignment is a number: the item, then the shift, which is moved to be positive.
-                    width, moved = len(tokens) + (1 << 32), 1 << 31
-                    pairs, times = np.unique(of[rows] * width + (np.repeat(at, n) - place[rows] + moved), return_counts=True)
-                    items, shifts = pairs // width, pairs % width - moved
-                    enough = times >= hits[items]
-                    items, shifts = items[enough], shifts[enough]
-                    for i in np.unique(items).tolist():
-                        if found := _verified(tokens, hashed[i][1], shifts[items == i].tolist(), rule):
-                            out.append((doc, hashed[i][0], *found))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, [batch.schema.field("doc_id").type] + [pa.int64()] * 5)], names=["doc_id", "item_id", "matched_tokens", "overlap_tokens", "item_tokens", "doc_start"])
-
-    return texts.mapInArrow(search, _FOUND.format(**kinds))
+                found = [x for m, known, of, place in tables for x in _alignments(known, of, place, seeds(tokens, m))]
+                if not found:
+                    continue
+                pairs = np.unique(np.concatenate(found))
+                numbers, shifts = pairs >> 33, (pairs & (1 << 33) - 1) - (1 << 32)
+                for i in np.unique(numbers).tolist():
+                    if counts := _verified(tokens, hashed[i], shifts[numbers == i].tolist(), rule):
+                        out.append((doc, ids[i], *counts))
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1]) if out else pa.array([], item_type), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "item_id", *_COUNTS])
+
+    item_type = items.limit(0).toArrow().schema.field("item_id").type
+    return texts.mapInArrow(search, f"doc_id {_kind(texts, 'doc_id')}, item_id {_kind(items, 'item_id')}, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
-    """As by broadcast, by a join of all seeds; one that many items share is still joined, once for each."""
+    """As by broadcast, by a join of seeds. Only those seeds of documents that pass a filter of fixed size, made of all the
+    items' seeds, are shuffled; a seed that many items share is still joined, once for each."""
     least, similar, share = rule
-    lengths = sorted({seeding(e, similar)[0] for e in range(1, least + 1)})
+    spark = texts.sparkSession
+    families = {e: family(e, similar) for e in range(1, least + 1)}
+    items = items.withColumn("_item", F.monotonically_increasing_id())
+    items = checkpointed(items)
 
     def of_items(batches):
         for batch in batches:
-            out = []
-            for i, text in zip(batch["item_id"].to_pylist(), batch["item_text"]):
+            for i, text in zip(batch["_item"].to_pylist(), batch["item_text"]):
                 tokens = token_hashes(text.as_py().encode())
-                length, hits = seeding(needed(len(tokens), least, share), similar)
-                out += [(h, i, k, hits) for k, h in enumerate(seeds(tokens, length).view(np.int64).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["seed", "item_id", "place", "hits"])
+                for m in FAMILIES[families[needed(len(tokens), least, share)]]:
+                    own = seeds(tokens, m).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), i)), pa.array(np.arange(len(own))), pa.array(np.full(len(own), int(m, 2)))], names=["seed", "_item", "place", "mask"])
+
+    right = checkpointed(items.select("_item", "item_text").mapInArrow(of_items, "seed long, _item long, place long, mask long"))
+    used = [f"{r[0]:b}" for r in right.select("mask").distinct().collect()]
+    bit = F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")
+    word = F.pmod(F.shiftrightunsigned("seed", 6), F.lit(_FILTER // 64))
+    words = right.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(_FILTER // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     def of_docs(batches):
+        bits = shared.value
         for batch in batches:
-            for row, text in enumerate(batch["text"]):
+            for row, text in zip(batch["_row"].to_pylist(), batch["text"]):
                 tokens = token_hashes(text.as_py().encode())
-                own = [seeds(tokens, n) for n in lengths]
-                seed, at = np.concatenate(own), np.concatenate([np.arange(len(x)) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), batch["_row"][row].as_py())), pa.array(seed.view(np.int64)), pa.array(at)], names=["_row", "seed", "at"])
+                for m in used:
+                    own = seeds(tokens, m)
+                    at = np.flatnonzero(bits[(own >> np.uint64(6)) % np.uint64(len(bits))] >> (own & np.uint64(63)) & np.uint64(1))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(own[at].view(np.int64)), pa.array(at)], names=["_row", "seed", "at"])
 
     rows = checkpointed(texts.withColumn("_row", F.monotonically_increasing_id()))
     left = rows.select("_row", "text").mapInArrow(of_docs, "_row long, seed long, at long")
-    right = items.mapInArrow(of_items, "seed long, item_id long, place long, hits long")
-    aligned = left.join(right, "seed").groupBy("_row", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.max("hits").alias("hits"))
-    shifts = aligned.filter("n >= hits").groupBy("_row", "item_id").agg(F.collect_list("shift").alias("shifts"))
+    aligned = left.join(right, "seed").select("_row", "_item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    shifts = aligned.groupBy("_row", "_item").agg(F.collect_list("shift").alias("shifts"))
 
-    @F.arrow_udf("matched_tokens long, overlap_tokens long, item_tokens long, doc_start long")
+    @F.arrow_udf(", ".join(f"{c} long" for c in _COUNTS))
     def verified(text: pa.Array, item: pa.Array, moved: pa.Array) -> pa.Array:
         out = [_verified(token_hashes(a.as_py().encode()), token_hashes(b.as_py().encode()), sorted(c.as_py()), rule) or (None,) * 4 for a, b, c in zip(text, item, moved)]
-        return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["matched_tokens", "overlap_tokens", "item_tokens", "doc_start"])
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], list(_COUNTS))
 
-    found = rows.join(shifts, "_row").join(items, "item_id").select("doc_id", "item_id", verified("text", "item_text", "shifts").alias("v"))
+    found = rows.join(shifts, "_row").join(items, "_item").select("doc_id", "item_id", verified("text", "item_text", "shifts").alias("v"))
     return found.select("doc_id", "item_id", "v.*").filter("matched_tokens IS NOT NULL")
 
 
