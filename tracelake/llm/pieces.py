@@ -16,6 +16,7 @@ alike; decoding gives a literal mark back as a space, as the library does; other
 import re
 import struct
 from array import array
+from collections.abc import Iterator
 from math import inf
 
 import ahocorasick
@@ -59,7 +60,7 @@ def _fields(data: bytes):
 class Machine:
     """The compiled transducer of a model file, with bounded memories of what it has already worked out."""
 
-    def __init__(self, model: bytes, most_units: int = 500_000, most_pairs: int = 400_000):
+    def __init__(self, model: bytes, most_units: int = 100_000, most_pairs: int = 100_000):
         self.ids: dict[str, int] = {}
         self.scores: list[float] = []
         self.texts: list[str] = []
@@ -199,10 +200,12 @@ def _shared(docs: DataFrame, path: str | None, most_bytes: int = 16 << 20):
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: str | None = None) -> DataFrame:
     """doc_id, ids (array of int), n_pieces, n_fallback (pieces that are bytes) and n_bytes of every whole text.
 
     path: a model file on the driver; its bytes are sent to all tasks, each of which compiles them once.
+    back: the name of a further column, the text that the ids decode to, for who needs both directions: the task then
+    has one machine for the two.
     """
     model = _shared(docs, path)
 
@@ -217,11 +220,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 fallback = [int(from_bytes[x].sum()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], arrays, pa.array(map(len, ids), pa.int64()), pa.array(fallback, pa.int64()), part["n_bytes"]], names=["doc_id", "ids", "n_pieces", "n_fallback", "n_bytes"])
+                columns = [part["doc_id"], arrays, pa.array(map(len, ids), pa.int64()), pa.array(fallback, pa.int64()), part["n_bytes"]]
+                if back:
+                    columns.append(pa.array([machine.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(encoded, f"doc_id {kind}, ids array<int>, n_pieces long, n_fallback long, n_bytes long")
+    names = ["doc_id", "ids", "n_pieces", "n_fallback", "n_bytes", *[back] * bool(back)]
+    types = [docs.schema[id_col].dataType.simpleString(), "array<int>", "long", "long", "long", "string"]
+    return rows.mapInArrow(encoded, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, to: str = "text") -> DataFrame:
@@ -229,14 +236,15 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, to
     model = _shared(encoded, path)
 
     @F.arrow_udf("string")
-    def decoded(ids: pa.Array) -> pa.Array:
+    def decoded(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = Machine(model.value)
-        return pa.array([None if x is None else machine.decode(x.values.to_numpy().tolist()) for x in ids], pa.string())
+        for ids in lists:
+            yield pa.array([None if x is None else machine.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn(to, decoded(F.col(ids_col)))
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, counts, a hash of the ids (XXH64 of the array), and of the text that they decode to (SHA-256)."""
-    back = decode(encoded, path=path)
-    return back.select("doc_id", "n_bytes", "n_pieces", "n_fallback", F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("decoded_sha256"))
+    both = encode(docs, id_col, text_col, path, back="text")
+    return both.select("doc_id", "n_bytes", "n_pieces", "n_fallback", F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("decoded_sha256"))
