@@ -30,6 +30,10 @@ def escaped(text: Column, signs: str = r"[\\#<]") -> Column:
     return F.regexp_replace(text, f"({signs})", r"\\$1")
 
 
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+
+
 def text_parts(text: Column) -> Column:
     """The parts of a turn that is one text."""
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("n_tokens")))
@@ -118,4 +122,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x.n_tokens)
     rows = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end", F.size("attachments").cast("long").alias("files"), tokens.alias("tokens"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(read, f"conv_id {kind}, {_READ}")
+    role = F.regexp_extract("formatted", r"(?s)^### ((?:[^\\\n]|\\.)*)\n", 1)
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", unescaped(role), unescaped(F.substring("formatted", F.length(role) + 6, F.length("formatted"))))
+    return ordered.mapInArrow(read, f"conv_id {kind}, {_READ}")

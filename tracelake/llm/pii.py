@@ -6,7 +6,8 @@ homoglyphs and wide forms, the second replaces spelled digits, `at` and `dot` di
 rewritten text are mapped back to source spans, and those that don't lie within a base span are added: a disguise in the
 middle of an identifier often leaves a base fragment of it, which the added span then overlaps.
 
-Spans are code points of the source, end exclusive.
+Spans are code points of the source, end exclusive. A bare `at` between words counts only if the domain after it spells
+a dot: "john at example.com" is read as prose.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows; an empty table gives no
 rows; a null doc_id stays null; columns of the input that aren't named are ignored by find() and kept by redact().
@@ -158,12 +159,22 @@ def _dots(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     return [(start + x.start(), start + x.end(), ".") for x in _DOT_LINK.finditer(text[start:end])]
 
 
+def _local_part(text: str, end: int) -> re.Match | None:
+    """The longest local part, dots spelled or not, that ends at `end`; looks back as far as it reaches."""
+    back = 128
+    while True:
+        found = _BEFORE.search(text[max(0, end - back) : end])
+        if not found or found.start() >= 16 or back >= end:  # a spelled dot is shorter than that
+            return found
+        back *= 4
+
+
 def _signs(text: str) -> list[tuple[int, int, str]]:
     """Edits of at and dot disguises. A bare `at` counts only if the domain after it spells a dot."""
     edits = []
     for m in _AT.finditer(text):
         after = _AFTER.match(text, m.end())
-        before = after and _BEFORE.search(text[max(0, m.start() - 120) : m.start()])
+        before = after and _local_part(text, m.start())
         if before:
             dots = _dots(text, after.start(), after.end())
             if m[1] or dots:
@@ -185,7 +196,7 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
 
 def _words_for_signs(text: str) -> list[tuple[int, int, str]]:
     """Edits of disguises that are made of words; the texts without any are told by their set of words."""
-    plain = text.encode().lower()
+    plain = text.lower().encode()
     words = plain.translate(_SPLIT).split()
     edits = []
     if not _DOT_SET.isdisjoint(words) or _BRACKETED.search(plain):
@@ -229,12 +240,12 @@ def _shown(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-_RESULT = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_added: long>"
+_RESULT = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_added: long, n_spans: long>"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the number of base identifiers of each kind, the SHA-256 of their list, all spans, and how many the
-    disguises add."""
+    """doc_id, the number of base identifiers of each kind, the SHA-256 of their list, all spans, how many the
+    disguises add, and the number of all."""
 
     @F.arrow_udf(_RESULT)
     def searched(texts: pa.Array) -> pa.Array:
@@ -242,9 +253,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for x in texts:
             base, every = spans(x.as_py())
             kinds = [k for _, k, _ in base]
-            rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(every), len(every) - len(base)))
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(every), len(every) - len(base), len(every)))
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col(id_col).alias("doc_id"), searched(F.col(text_col)).alias("_f")).select("doc_id", "_f.*")
 

@@ -13,10 +13,11 @@ groups of some MB, and buckets answer to the groups. Rounds:
    is held elsewhere too; and it is hot, i.e. held by over `hot` groups. What is in one document alone ends here.
 2. Groups send the other suffixes with their context c (the identifiers at offsets q - length and length - q). In a
    bucket, a suffix whose (h, c) occurs in a smaller document is settled: all strings round it are repeats. The rest is
-   settled as well if the bucket has one context or one document; else it is open. Of hot identifiers all strings round
-   them are sent at once, each to its own bucket (see 3), so that however many contexts an identifier has, none gathers them.
-3. For the strings round open suffixes that no settled one covers, (identifier at 0, identifier at length - q) is put
-   into buckets again, and a string is a repeat if its pair occurs in a smaller document.
+   settled as well if the bucket has one context or one document; else it is open. Of hot identifiers the strings that
+   sample them are sent at once, each to its own bucket (see 3), so that however many contexts an identifier has, none
+   gathers them.
+3. For the strings that sample an open suffix and that no settled one covers, (identifier at 0, identifier at length - q)
+   is put into buckets again, and a string is a repeat if its pair occurs in a smaller document.
 
 What a round has settled is reused by the next as it is. Before each exchange a group keeps of each pair only what
 belongs to its smallest document, as the rest is settled by that; so a string that a third of all documents hold sends
@@ -43,7 +44,8 @@ _LAST = np.iinfo(np.int64).max
 #: What is sent to buckets, and what comes back to groups. Marks pass through buckets on their way to a later round.
 _KNOWN, _ENTRY, _STRING = 0, 1, 2
 _ANSWER, _OPEN, _COVERED, _COVERED_STRING = 3, 4, 5, 6
-#: What an entry is known by: h and c (48 bits each), document, number of the row in its group, and offset.
+#: What an entry is known by: h and c (48 bits each), document, number of the row in its group, and offset. A suffix's
+#: offset carries the strings that sample it (see _with_run()), a string's is its start.
 _FIELDS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int64))
 
 
@@ -206,6 +208,25 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - size : width - size + n])
 
 
+def _with_run(p: np.ndarray, back: np.ndarray, more: np.ndarray, length: int) -> np.ndarray:
+    """Offsets p of suffixes, with the strings that sample them: the first starts `back` before p, and `more` follow."""
+    bits = length.bit_length()
+    return p << 2 * bits | back << bits | more
+
+
+def _suffixes(at: np.ndarray, length: int) -> np.ndarray:
+    """The offsets alone."""
+    return at >> 2 * length.bit_length()
+
+
+def _sampling(at: np.ndarray, length: int) -> np.ndarray:
+    """The starts of the strings that sample the suffixes."""
+    bits = length.bit_length()
+    mask, more = (1 << bits) - 1, at & (1 << bits) - 1
+    first = (at >> 2 * bits) - (at >> bits & mask)
+    return np.unique(np.repeat(first - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum()))
+
+
 _POWERS: list[np.ndarray] = []
 
 
@@ -243,14 +264,16 @@ def sample(pieces: list[tuple], length: int) -> dict[str, np.ndarray]:
     valid = np.zeros(len(least), bool)
     for at, (_, _, _, offset, a, b) in zip(starts, pieces):
         valid[at + a - offset : at + b - offset] = True
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-    s = np.flatnonzero(first)
+    first, last = valid.copy(), valid.copy()
+    change = least[1:] != least[:-1]
+    first[1:] &= ~valid[:-1] | change
+    last[:-1] &= ~valid[1:] | change
+    s, end = np.flatnonzero(first), np.flatnonzero(last)
     p = s + ((least[s] - s.astype(np.uint64)) & bits).astype(np.int64)
     piece = np.searchsorted(np.array(starts), p, side="right") - 1
     c = mix(mix(h[p - side]) * np.uint64(0x9E3779B97F4A7C15) + mix(h[p + side]))
     table = np.array([(d, r, offset - at) for at, (d, r, _, offset, _, _) in zip(starts, pieces)], np.int64).reshape(-1, 3)[piece]
-    return {"h": mix(h[p]) >> np.uint64(16), "c": c >> np.uint64(16), "doc": table[:, 0].copy(), "row": table[:, 1].copy(), "at": p + table[:, 2]}
+    return {"h": mix(h[p]) >> np.uint64(16), "c": c >> np.uint64(16), "doc": table[:, 0].copy(), "row": table[:, 1].copy(), "at": _with_run(p + table[:, 2], p - s, end - s, length)}
 
 
 def _pieces(doc: int, row: int, data: bytes, length: int, size: int):
@@ -297,12 +320,6 @@ def _strings(rows: list[tuple[int, int, bytes]], wanted: dict[int, np.ndarray],
     return _joined(found) if found else None
 
 
-def _round(at: np.ndarray, size: int, length: int) -> np.ndarray:
-    """The starts of the strings round suffixes at the offsets `at` of a text of so many bytes."""
-    s = np.unique((at[:, None] - np.arange(length - -(-length // 2) + 1)).ravel())
-    return s[(s >= 0) & (s <= size - length)]
-
-
 _TO_BUCKET = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("entries", pa.binary())])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ROWS = "bucket int, group int, kind int, part int, entries binary"
@@ -331,6 +348,7 @@ def _settled(marks: dict[int, dict[int, np.ndarray]], row: int, size: int, lengt
     n, side = size - length + 1, length - -(-length // 2)
     depth = np.zeros(n + 1, np.int64)
     if (at := marks[_COVERED].get(row)) is not None:
+        at = _suffixes(at, length)
         np.add.at(depth, np.clip(at - side, 0, n), 1)
         np.add.at(depth, np.minimum(at + 1, n), -1)
     settled = np.cumsum(depth)[:-1] > 0
@@ -395,7 +413,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     elsewhere[x:y], is_hot[x:y] = flags[: y - x], flags[y - x :]
             hot_ones.append({k: e[k][is_hot[index]] for k in ("row", "at")})
             out += _by_bucket(_take(e, (elsewhere & ~is_hot)[index]), _ENTRY, group, buckets)
-        wanted = {r: _round(at, len(rows[r][2]), length) for r, at in _per_row(_joined(hot_ones)).items()} if hot_ones else {}
+        wanted = {r: _sampling(at, length) for r, at in _per_row(_joined(hot_ones)).items()} if hot_ones else {}
         if (e := _strings(rows, wanted, length)) is not None:
             out += _by_bucket(e, _STRING, group, buckets)
         return _table(out)
@@ -426,7 +444,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         group, rows, marks = left["group"][0].as_py(), _rows(left), _marks(right)
         wanted = {}
         for r, at in marks[_OPEN].items():
-            s = _round(at, len(rows[r][2]), length)
+            s = _sampling(at, length)
             s = s[~_settled(marks, r, len(rows[r][2]), length)[s]]
             if len(s):
                 wanted[r] = s

@@ -74,10 +74,16 @@ class Counter:
         return [next(whole) if u is None else sum(map(self.known.__getitem__, u)) for u in units]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = 1 << 16, overlap: int = 1 << 10, limit: int = 1024, batch_chars: int = 1 << 19) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text, without added special tokens."""
-    with open(path or default_tokenizer()) as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = 1 << 16, overlap: int = 1 << 10, limit: int = 1024, batch_chars: int = 1 << 19, most_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text, without added special tokens.
+
+    path: a tokenizer file on the driver, of most_bytes at most, which is sent to every task.
+    """
+    with open(path or default_tokenizer(), "rb") as file:
+        data = file.read(most_bytes + 1)
+    if len(data) > most_bytes:
+        raise ValueError(f"the tokenizer is larger than {most_bytes} bytes, which are sent to every task")
+    definition = docs.sparkSession.sparkContext.broadcast(data.decode())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
