@@ -52,12 +52,17 @@ def table_type(name: Column) -> Column:
 
 def sync_tables(params: Column) -> Column:
     """Struct (inputs, outputs) of the tables in a data-sync job definition (JSON)."""
-    end = "struct<name: string, parameter: struct<path: string, database: string, table: string, connection: array<struct<table: array<string>>>>>"
+    end = "struct<name: string, parameter: struct<path: string, database: string, `table`: string, connection: array<struct<`table`: array<string>>>>>"
     job = F.from_json(params, f"job struct<content: array<struct<reader: {end}, writer: {end}>>>")
 
     def named(x: Column) -> Column:
         p, kind = x["parameter"], F.lower(F.coalesce(x["name"], F.lit("")))
-        return F.when(kind.contains("hdfs"), F.concat(F.lit("hdfs:"), F.regexp_replace(p["path"], r"/dt=[^/]*", ""))).when(kind.contains("hive"), F.concat_ws(".", p["database"], p["table"])).when(kind.contains("mysql"), F.concat(F.lit("mysql:"), F.get(F.get(p["connection"], F.lit(0))["table"], F.lit(0))))
+        # A table is a name, or a list of which the first counts.
+        table = F.coalesce(F.get_json_object(p["table"], "$[0]"), p["table"], F.get(F.get(p["connection"], F.lit(0))["table"], F.lit(0)))
+        hdfs = F.concat(F.lit("hdfs:"), F.regexp_replace(p["path"], r"/dt=[^/]*", ""))
+        hive = F.when(p["database"].isNotNull() & p["table"].isNotNull(), F.concat_ws(".", p["database"], table))
+        mysql = F.when(table.isNotNull(), F.concat(F.lit("mysql:"), F.concat_ws(".", p["database"], table)))
+        return F.when(kind.contains("hdfs"), hdfs).when(kind.contains("hive"), hive).when(kind.contains("mysql"), mysql)
 
     ends = lambda side: F.array_distinct(F.filter(F.transform(F.coalesce(job["job"]["content"], F.array()), lambda c: named(c[side])), lambda x: x.isNotNull()))
     return F.struct(ends("reader").alias("inputs"), ends("writer").alias("outputs"))
@@ -103,6 +108,11 @@ def partition_base(path: Column) -> Column:
     return F.regexp_replace(path, r"/(?:(?:dt|date|day)=)?(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}/\d{2}/\d{2})(?:/.*)?$", "")
 
 
+def partition_path(base: Column, day: Column, key: str = "dt") -> Column:
+    """The path of a day's partition under base."""
+    return F.concat(F.rtrim(base, F.lit("/")), F.lit(f"/{key}="), day.cast("string"), F.lit("/"))
+
+
 def memory_mb(text: Column) -> Column:
     """A memory string such as 4g, 512m, 2048k or 1t in whole MB; a bare number counts as MB."""
     n, unit = F.regexp_extract(F.lower(text), r"^\s*([\d.]+)", 1).try_cast("double"), F.regexp_extract(F.lower(text), r"^\s*[\d.]+\s*([kmgt]?)", 1)
@@ -142,12 +152,29 @@ def storage_paths(text: Column, n: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(F.transform(paths, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("path")))), 1, n), lambda x: x.path)
 
 
+# Errors by class; all others are of class EXECUTION.
+ERROR_CLASSES = {
+    "oom_executor": "RESOURCE",
+    "oom_driver": "RESOURCE",
+    "oom_driver_direct": "RESOURCE",
+    "container_killed": "RESOURCE",
+    "executor_lost": "RESOURCE",
+    "class_not_found": "CONFIG",
+    "no_class_def": "CONFIG",
+    "shuffle_failed": "NETWORK",
+    "connection_refused": "NETWORK",
+    "hdfs_not_found": "DATA",
+    "schema_mismatch": "DATA",
+    "syntax_error": "EXECUTION",
+    "broadcast_timeout": "EXECUTION",
+    "stage_failed": "EXECUTION",
+    "command_not_found": "EXECUTION",
+}
+
+
 def error_class(error_type: Column) -> Column:
-    kinds = {"RESOURCE": "oom|memory|container_killed|disk|resource|executor_lost", "CONFIG": "config|class_not_found|permission|parameter", "NETWORK": "connect|network|timeout|fetch|shuffle", "DATA": "path|file|table|data|duplicate|schema|column"}
-    out = F
-    for kind, words in kinds.items():
-        out = out.when(F.lower(error_type).rlike(words), kind)
-    return out.otherwise("EXECUTION")
+    table = F.create_map(*(F.lit(x) for kv in ERROR_CLASSES.items() for x in kv))
+    return F.coalesce(F.element_at(table, error_type), F.lit("EXECUTION"))
 
 
 def excerpt(text: Column, n: int = 100) -> Column:
@@ -184,9 +211,9 @@ def combined(*texts: Column) -> Column:
 
 
 def diagnostics_tail(text: Column) -> Column:
-    """What follows `Diagnostics:`, if it speaks of a killed container or of memory."""
-    tail = F.substring(F.trim(F.regexp_extract(text, r"(?is)diagnostics:(.*)", 1)), 1, 300)
-    return F.when(tail.rlike(r"(?i)container killed|memory"), tail)
+    """The first 300 characters after the mark of YARN's diagnostics, if they speak of a killed container or of memory."""
+    tail = F.regexp_extract(text, r"(?s)\[YARN Diagnostics\]\n(.+)", 1)
+    return F.when(tail.contains("Container killed") | F.lower(tail).contains("memory"), F.substring(tail, 1, 300))
 
 
 def database_type(text: Column) -> Column:

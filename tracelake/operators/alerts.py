@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import memory_mb, memory_text_whole
+
 # The message keys that a field may come under, and task types with an analysis of their own.
 ALIASES = {
     "project_code": ("projectCode", "project_code"),
@@ -42,46 +44,71 @@ def normalised(alerts: DataFrame, col: str = "alert") -> DataFrame:
     return out.withColumn("is_sub_workflow", F.coalesce(F.col("root_id") != F.col("instance_id"), F.lit(False)))
 
 
+# Keys that tell an alert, in an object, in the first object of a list, in a request, and in text that is no JSON.
+MESSAGE_KEYS = ("alerts", "projectCode", "processDefinitionCode", "taskInstanceId", "taskType")
+LIST_KEYS = ("projectCode", "processDefinitionCode", "taskInstanceId")
+REQUEST_KEYS = ("processInstanceId", "taskCode", "taskType", "processDefinitionCode")
+TEXT_PATTERNS = (
+    r'"projectCode"\s*:',
+    r'"processDefinitionCode"\s*:',
+    r'"taskInstanceId"\s*:',
+    r'"taskType"\s*:',
+    r'"alerts"\s*:',
+)
+
+
+def _has_key(json: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(json), F.array(*map(F.lit, keys))), F.lit(False))
+
+
 def is_alert(text: Column) -> Column:
-    """Whether a message is an alert: JSON with a known key, or text with two of the usual words."""
-    v = F.try_parse_json(text)
-    keys = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in ("projectCode", "processDefinitionCode", "taskCode", "taskState")))
-    words = sum((text.rlike(p).cast("int") for p in (r"(?i)projectCode", r"(?i)process(Definition|Instance)", r"(?i)task(Code|Name|Type)", r"(?i)\bFAILURE\b")), F.lit(0))
-    return F.coalesce(keys.isNotNull() | (v.isNull() & (words >= 2)), F.lit(False))
+    """Whether a message is an alert: an object or the first object of a list with a known key, whatever its value, or text
+    that is no JSON with two of the keys."""
+    hits = sum((F.coalesce(text.rlike(p), F.lit(False)).cast("int") for p in TEXT_PATTERNS), F.lit(0))
+    in_json = _has_key(text, MESSAGE_KEYS) | _has_key(F.get_json_object(text, "$[0]"), LIST_KEYS)
+    return in_json | (F.try_parse_json(text).isNull() & (hits >= 2))
+
+
+def is_request(text: Column) -> Column:
+    """Whether a request (JSON) is about an alert rather than a question."""
+    return _has_key(text, REQUEST_KEYS)
 
 
 # Verbs of recorded commands by what they may do.
-BLOCKED = ("delete", "drop", "remove", "online", "offline", "release")
-RISKY, CHANGING = ("recover", "recover-failed"), ("edit", "modify", "update")
+BLOCKED = ("delete", "remove")
+RISKS_OF_VERBS = {"recover": "HIGH", "edit": "MEDIUM", "modify": "MEDIUM"}
+HTTP_BLOCKED = ("POST", "PUT", "DELETE", "PATCH")
+STORAGE_BLOCKED = ("cp", "mv", "rm", "put", "sync")
 
 
 def command_class(args: Column) -> Column:
-    """Struct (risk, blocked, verb) of a recorded command's arguments, by the first telling one."""
+    """Struct (risk, blocked, verb) of a recorded command's arguments: the first verb that blocks it, else the first that
+    carries a risk."""
     low = F.transform(args, lambda x: F.lower(x))
-    out = F
-    for verbs, risk, blocked in ((BLOCKED, "CRITICAL", True), (RISKY, "HIGH", False), (CHANGING, "MEDIUM", False)):
-        listed = F.array(*map(F.lit, verbs))
-        hit = F.filter(low, lambda x: F.array_contains(listed, x))
-        out = out.when(F.size(hit) > 0, F.struct(F.lit(risk).alias("risk"), F.lit(blocked).alias("blocked"), hit[0].alias("verb")))
-    return out.otherwise(F.struct(F.lit("LOW").alias("risk"), F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("verb")))
+    first = lambda verbs: F.get(F.filter(low, lambda x: F.coalesce(x.isin(*verbs), F.lit(False))), F.lit(0))
+    blocked, risky = first(BLOCKED), first(tuple(RISKS_OF_VERBS))
+    risk = F.element_at(F.create_map(*(F.lit(x) for kv in RISKS_OF_VERBS.items() for x in kv)), risky)
+    return F.struct(F.when(blocked.isNotNull(), "CRITICAL").otherwise(F.coalesce(risk, F.lit("LOW"))).alias("risk"), blocked.isNotNull().alias("blocked"), F.coalesce(blocked, risky).alias("verb"))
 
 
 def http_blocked(method: Column) -> Column:
-    return F.upper(method).isin("POST", "PUT", "DELETE", "PATCH")
+    return F.coalesce(F.upper(method).isin(*HTTP_BLOCKED), F.lit(False))
 
 
 def storage_blocked(args: Column) -> Column:
-    return F.arrays_overlap(F.transform(args, lambda x: F.lower(x)), F.array(*map(F.lit, ("rm", "cp", "mv", "put", "mkdir", "sync", "restore"))))
+    """By a command's first argument, its operation."""
+    return F.coalesce(F.lower(F.get(args, F.lit(0))).isin(*STORAGE_BLOCKED), F.lit(False))
 
 
-def feedback(text: Column, valid: tuple[str, ...] = ("有效", "valid", "correct", "yes"), invalid: tuple[str, ...] = ("无效", "invalid", "wrong", "no")) -> Column:
-    def has(words):
-        hit = F.lit(False)
-        for w in words:
-            hit |= F.lower(text).contains(w)
-        return hit
+# What feedback says.
+VALID = ("修复正确", "有效", "✅", "正确")
+INVALID = ("修复错误", "无效", "❌", "错误")
 
-    return F.when(F.lower(text).contains("invalid"), "invalid").when(has(valid), "valid").when(has(invalid), "invalid").otherwise("unknown")
+
+def feedback(text: Column, valid: tuple[str, ...] = VALID, invalid: tuple[str, ...] = INVALID) -> Column:
+    """valid, else invalid, else unknown, by the words in a text."""
+    has = lambda words: F.coalesce(F.lower(text).rlike("|".join(words).lower()), F.lit(False))
+    return F.when(has(valid), "valid").when(has(invalid), "invalid").otherwise("unknown")
 
 
 def upstream_failures(alerts: DataFrame, instances: DataFrame, hours: int = 6) -> DataFrame:
@@ -132,29 +159,84 @@ def skill_risk(category: Column) -> Column:
     return F.when(category == "AUTO_FIXABLE", "LOW").otherwise("HIGH")
 
 
-def needs_deep_analysis(n_blocks: Column, category: Column, error_type: Column, types: tuple[str, ...] = ("oom_executor", "oom_driver", "shuffle_fetch_failed", "executor_lost", "container_killed", "stage_failed", "job_aborted", "task_failed", "broadcast_timeout", "data_skew", "gc_overhead", "heartbeat_timeout")) -> Column:
-    return (n_blocks == 0) | category.isin("RESOURCE", "UNKNOWN") | error_type.isin(*types)
+# Errors of known kinds that need a look into the event log.
+DEEP_ERRORS = (
+    "shuffle_failed",
+    "shuffle_connection",
+    "executor_lost",
+    "executor_crash",
+    "executor_lost_heartbeat",
+    "container_killed",
+    "yarn_container_exit",
+    "broadcast_timeout",
+    "stage_failed",
+    "task_failed",
+    "driver_disconnected",
+    "block_manager_lost",
+)
+
 
+def needs_deep_analysis(n_blocks: Column, category: Column, error_type: Column) -> Column:
+    """Without blocks, or of a category that always needs it, or one of DEEP_ERRORS among the known ones."""
+    known = (category == "KNOWN_NEEDS_LLM") & error_type.isin(*DEEP_ERRORS)
+    return F.coalesce((n_blocks == 0) | category.isin("RESOURCE_SUGGESTED", "UNKNOWN") | known, F.lit(False))
 
-# Settings that fix an error.
+
+# By error, the kind of fix and the settings that it changes; None is worked out.
 FIXES = {
-    "oom_executor": {"spark.executor.memory": "x2"},
-    "oom_driver": {"spark.driver.memory": "x2"},
-    "broadcast_timeout": {"spark.sql.broadcastTimeout": "1200", "spark.sql.autoBroadcastJoinThreshold": "-1"},
-    "shuffle_fetch_failed": {"spark.shuffle.io.maxRetries": "10", "spark.shuffle.io.retryWait": "30s"},
-    "heartbeat_timeout": {"spark.executor.heartbeatInterval": "30s", "spark.network.timeout": "600s"},
-    "container_killed": {"spark.executor.memoryOverhead": "x2"},
+    "oom_executor": ("memory_increase", {"spark.executor.memory": None, "spark.executor.memoryOverhead": None}),
+    "oom_driver": ("memory_increase", {"spark.driver.memory": None, "spark.driver.maxResultSize": None}),
+    "container_killed_memory": ("memory_increase", {"spark.executor.memory": None, "spark.executor.memoryOverhead": None}),
+    "broadcast_timeout": ("config_change", {"spark.sql.autoBroadcastJoinThreshold": "-1"}),
+    "oom_driver_direct": ("memory_increase", {"spark.driver.maxResultSize": "2g"}),
+    "oom_offheap": ("memory_increase", {"spark.memory.offHeap.enabled": "true", "spark.memory.offHeap.size": "2g"}),
+    "oom_storage": ("config_change", {"spark.memory.storageFraction": "0.3"}),
+    "shuffle_timeout": ("config_change", {"spark.shuffle.io.timeout": "120s"}),
+    "network_timeout": ("config_change", {"spark.network.timeout": "300s"}),
+    "rpc_timeout": ("config_change", {"spark.rpc.timeout": "300s"}),
+    "executor_lost_heartbeat": ("config_change", {"spark.executor.heartbeatInterval": "60s", "spark.network.timeout": "300s"}),
+    "gc_overhead": ("memory_increase", {"spark.executor.memory": None, "spark.executor.memoryOverhead": None}),
+    "driver_memory_insufficient": ("memory_increase", {"spark.driver.memory": None, "spark.driver.memoryOverhead": None}),
+    "executor_memory_insufficient": ("memory_increase", {"spark.executor.memory": None, "spark.executor.memoryOverhead": None}),
 }
+EXECUTOR_MEMORY_ERRORS = ("oom_executor", "container_killed_memory", "executor_memory_insufficient", "gc_overhead")
+DRIVER_MEMORY_ERRORS = ("oom_driver", "driver_memory_insufficient")
+
 
+def fixes(errors: DataFrame, executor_limit_mb: int | None = None, driver_limit_mb: int | None = None) -> DataFrame:
+    """errors with status, fix_type, source and changes (a map of settings).
+
+    errors has error_type and the maps config (the present settings) and history (those of a past run that went well, see
+    historical_fixes(); null without one). Memory is doubled within the cluster's limit; history is preferred where it
+    gives as much within the limit, and for the settings that aren't memory. The table of fixes has 14 rows, so it is
+    broadcast.
+    """
+    rows = [(e, kind, changes) for e, (kind, changes) in FIXES.items()]
+    table = errors.sparkSession.createDataFrame(rows, "error_type string, fix_type string, _default map<string, string>")
+
+    def memory(key: str, least: int, limit: int | None) -> tuple[Column, Column]:
+        """(MB, source)"""
+        now = F.coalesce(memory_mb(F.element_at("config", key)), F.lit(least))
+        most = F.lit(limit if limit and limit > 0 else None).cast("long")
+        past = F.coalesce(memory_mb(F.element_at("history", key)), F.lit(0))
+        prefer = some_history & (past >= 2 * now) & F.coalesce(past <= most, F.lit(True))
+        mb = F.when(prefer, past).otherwise(F.least(2 * now, most)).cast("long")
+        return mb, F.when(prefer, "historical").when(mb < 2 * now, "limited").otherwise("default")
 
-def fixes(errors: DataFrame, memory_mb: Column, limit_mb: int = 16384) -> DataFrame:
-    """errors(error_type) with the settings that fix them; doubled memory stays within limit_mb."""
-    rows = [(e, k, v) for e, changes in FIXES.items() for k, v in changes.items()]
-    table = errors.sparkSession.createDataFrame(rows, "error_type string, setting string, value string")
     out = errors.join(F.broadcast(table), "error_type", "left")
-    doubled = F.least(memory_mb * 2, F.lit(limit_mb))
-    value = F.when(F.col("value") == "x2", F.concat(doubled.cast("string"), F.lit("m"))).otherwise(F.col("value"))
-    return out.withColumn("value", value).withColumn("source", F.when(F.col("setting").isNull(), "none").when(memory_mb * 2 > limit_mb, "limited").otherwise("default"))
+    some_history = F.coalesce(F.size("history") > 0, F.lit(False))
+    executor, driver = F.col("error_type").isin(*EXECUTOR_MEMORY_ERRORS), F.col("error_type").isin(*DRIVER_MEMORY_ERRORS)
+    (e_mb, e_from), (d_mb, d_from) = memory("spark.executor.memory", 1024, executor_limit_mb), memory("spark.driver.memory", 512, driver_limit_mb)
+    size = memory_text_whole
+    for_executor = F.create_map(F.lit("spark.executor.memory"), size(e_mb), F.lit("spark.executor.memoryOverhead"), size(F.greatest(F.floor(e_mb / 4), F.lit(256))))
+    second = F.map_filter("_default", lambda k, _: k != "spark.driver.memory")
+    for_driver = F.map_concat(F.create_map(F.lit("spark.driver.memory"), size(d_mb)), F.transform_values(second, lambda k, v: F.when(k == "spark.driver.maxResultSize", size(F.least(d_mb, F.lit(2048))))))
+    others = F.transform_values("_default", lambda k, v: F.coalesce(F.element_at("history", k), v))
+    none = F.from_json(F.lit("{}"), "map<string, string>")
+    found = F.col("fix_type").isNotNull()
+    changes = F.when(~found, none).when(executor, for_executor).when(driver, for_driver).otherwise(others)
+    source = F.when(executor, e_from).when(driver, d_from).when(some_history, "historical").otherwise("default")
+    return out.withColumn("status", F.when(found, "success").otherwise("no_fix_needed")).withColumn("source", F.when(found, source)).withColumn("changes", changes).drop("_default")
 
 
 def actions_of(results: DataFrame, most: int = 3) -> DataFrame:
@@ -163,10 +245,11 @@ def actions_of(results: DataFrame, most: int = 3) -> DataFrame:
     return results.select("alert_id", F.posexplode(listed).alias("ord", "action"))
 
 
-def enriched(alerts: DataFrame, classes: DataFrame, knowledge: DataFrame, impacts: DataFrame, risks: DataFrame) -> DataFrame:
-    """An alert with what each analysis says of it, all keyed by alert_id; what is missing stays null."""
+def enriched(alerts: DataFrame, *analyses: DataFrame) -> DataFrame:
+    """An alert with what each analysis says of it (rule, knowledge, impact, risk), all keyed by alert_id; what is missing
+    stays null."""
     out = alerts
-    for x in (classes, knowledge, impacts, risks):
+    for x in analyses:
         out = out.join(x, "alert_id", "left")
     return out
 
@@ -175,11 +258,31 @@ def batch_counts(handled: DataFrame) -> DataFrame:
     return handled.agg(F.count("*").alias("handled"), F.count_if("executed").alias("executed"))
 
 
+#: The sections of a stored report and their columns.
+SECTIONS = {
+    "basic_info": ("report_time", "project_name", "project_code", "workflow_name", "task_name", "task_code", "task_type", "instance_id", "error_time", "is_sub_workflow"),
+    "analysis_process": ("error_patterns", "category", "n_blocks"),
+    "error_analysis": ("error_type", "error_class", "root_cause", "hint"),
+    "skill_result": ("facts", "needs_deep"),
+    "log_preprocess": ("driver_log_chars", "spark_log_chars", "yarn_log_chars", "log_text"),
+    "resource_data": ("data_metrics", "spark_metrics"),
+    "risk_assessment": ("risk", "needs_approval", "n_downstream", "impact_level", "impact_source"),
+    "suggested_actions": ("actions",),
+    "execution_result": ("executed_actions", "execution_success"),
+    "token_consumption": ("tokens",),
+    "approval_status": ("approval",),
+}
+
+
 def reports(rows: DataFrame, excerpt: int = 500) -> DataFrame:
-    """One nested record for each alert, as it is stored. rows has alert_id, dt, workflow_code and the sections."""
-    cut = lambda c: F.substring(F.col(c), 1, excerpt).alias(c)
-    sections = [F.struct(cut("log_text")).alias("logs"), F.struct("error_type", "category").alias("analysis"), F.struct("n_downstream", "impact_level").alias("impact"), F.struct("risk", "needs_approval").alias("risk")]
-    return rows.select("alert_id", "dt", "workflow_code", *sections)
+    """One nested record for each alert, as it is stored: alert_id, dt, workflow_code and SECTIONS. Columns that rows doesn't
+    have are null; of log_text an excerpt is kept."""
+
+    def field(c: str) -> Column:
+        value = F.col(c) if c in rows.columns else F.lit(None).cast("string")
+        return (F.substring(value, 1, excerpt) if c == "log_text" else value).alias(c)
+
+    return rows.select("alert_id", "dt", "workflow_code", *(F.struct(*map(field, columns)).alias(k) for k, columns in SECTIONS.items()))
 
 
 def list_reports(stored: DataFrame, dt: str, workflow: str | None = None, n: int = 20) -> DataFrame:
@@ -205,7 +308,7 @@ class Skills:
         rest = alerts.filter(~F.coalesce(F.col("task_type").isin(*self.by_type), F.lit(False))) if self.by_type else alerts
         out = self.default(rest)
         for p in parts:
-            out = out.unionByName(p)
+            out = out.unionByName(p, allowMissingColumns=True)
         return out
 
 

@@ -5,15 +5,20 @@ plans stay short and an executor's loss costs a round at most. Only the number o
 """
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that spark.checkpoint.dir names. A local session may do without the setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -29,17 +34,18 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     """
     steps = checkpointed(clean(edges).filter("source != target"))
     first = steps if seeds is None else steps.join(seeds.select("project", "source").distinct(), ["project", "source"], "left_semi")
-    found = frontier = checkpointed(first.withColumn("depth", F.lit(1)))
-    hop = steps.select("project", F.col("source").alias("target"), F.col("target").alias("next"))
+    frontier = checkpointed(first.withColumn("depth", F.lit(1)))
+    rounds, hop = [frontier], steps.select("project", F.col("source").alias("target"), F.col("target").alias("next"))
     depth = 1
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         if seeds is None and depth == linear_rounds:
-            return _doubled(found, max_depth)
+            return _doubled(reduce(DataFrame.unionByName, rounds), max_depth)
         depth += 1
         reached = frontier.join(hop, ["project", "target"]).filter("next != source").select("project", "source", F.col("next").alias("target")).distinct()
-        frontier = checkpointed(reached.join(found, ["project", "source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = checkpointed(found.unionByName(frontier))
-    return found
+        known = reduce(DataFrame.unionByName, rounds).select("project", "source", "target")
+        frontier = checkpointed(reached.join(known, ["project", "source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def _doubled(found: DataFrame, max_depth: int | None) -> DataFrame:
@@ -106,7 +112,8 @@ def paths(edges: DataFrame, seeds: DataFrame, max_depth: int, simple: bool = Tru
     return out
 
 
-def all_paths(edges: DataFrame, project: str, source: str, target: str, max_depth: int = 10) -> DataFrame:
+def all_paths(edges: DataFrame, project: str, source: str, target: str, max_depth: int) -> DataFrame:
+    """Simple paths of at most max_depth edges; their number is exponential in it, so the caller gives it."""
     seed = edges.sparkSession.createDataFrame([(project, source)], "project string, source string")
     return paths(edges, seed, max_depth).filter(F.element_at("path", -1) == target)
 
@@ -127,7 +134,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     return found.filter("source != target")
 
 
-def cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def cycles(edges: DataFrame, max_depth: int) -> DataFrame:
     """(project, cycle): each simple cycle of at most max_depth edges once, from its smallest node; loops included."""
     hop = checkpointed(clean(edges).select("project", F.col("source").alias("last"), F.col("target").alias("next")))
     loops = hop.filter("last = next").select("project", F.array("last").alias("cycle"))
@@ -142,6 +149,30 @@ def cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     return out
 
 
+def downstream_in_workflow(edges: DataFrame, tasks: DataFrame, project: str, task: str) -> DataFrame:
+    """Downstream of a task among the tasks (project, code, workflow) of its own workflow."""
+    own = tasks.filter((F.col("project") == project) & (F.col("code") == task)).select("project", "workflow")
+    return downstream(within(edges, tasks.join(own, ["project", "workflow"], "left_semi")), project, task)
+
+
+def path_edges(found: DataFrame) -> DataFrame:
+    """The distinct edges of paths (project, path)."""
+    steps = F.transform(F.slice("path", 1, F.size("path") - 1), lambda x, i: F.struct(x.alias("source"), F.get("path", i + 1).alias("target")))
+    return found.select("project", F.explode(steps).alias("e")).select("project", "e.source", "e.target").distinct()
+
+
+def table_edges(uses: DataFrame) -> DataFrame:
+    """Lineage through tables as edges: task to table where it produces, table to task where it consumes."""
+    makes = F.col("role") == "produce"
+    return uses.select("project", F.when(makes, F.col("task")).otherwise(F.col("table_name")).alias("source"), F.when(makes, F.col("table_name")).otherwise(F.col("task")).alias("target"), F.when(makes, "task_produces_table").otherwise("task_consumes_table").alias("edge_type")).distinct()
+
+
+def merged_edges(**kinds: DataFrame) -> DataFrame:
+    """Edges of several kinds in one table, each edge once, with the sorted kinds that it is of."""
+    parts = [e.select("project", "source", "target", F.lit(k).alias("edge_type")) for k, e in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("project", "source", "target").agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """In and out degree of every node (project, code); 0 where it has no edges."""
     e = clean(edges)

@@ -4,9 +4,13 @@ Columns: workflows(project, code, name), tasks(project, code, workflow, task_typ
 table_name, role) with role `produce` or `consume`, edges(project, source, target) from upstream to downstream.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import embedded_sql, sql_sources, sql_targets
+
 # What table names say of their layer, and workflow names of tests and copies.
 OUTPUT_TOKENS = ("ads", "dws", "report", "result", "output")
 INPUT_TOKENS = ("ods", "dwd", "original", "raw", "source", "input")
@@ -74,7 +78,10 @@ def implicit_dependencies(uses: DataFrame, explicit: DataFrame, input_tokens: tu
     return flagged.select("*", F.col("via_tables")[0].alias("first_table"), F.size("via_tables").alias("n_tables"), F.when(F.col("is_explicit"), "LOW").otherwise("MEDIUM").alias("risk"))
 
 
-def missing_dependencies(implicit: DataFrame, explicit: DataFrame) -> DataFrame:
+def missing_dependencies(implicit: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """Implicit dependencies that aren't declared: by the flag that they carry, or by another table of declared ones."""
+    if explicit is None:
+        return implicit.filter("NOT is_explicit")
     known = explicit.select("project", F.col("source").alias("upstream"), F.col("target").alias("downstream"))
     return implicit.join(known, ["project", "upstream", "downstream"], "left_anti")
 
@@ -109,6 +116,31 @@ def dependents(tasks: DataFrame, params_col: str = "params") -> DataFrame:
     return found.withColumn("is_empty", F.size("depends_on") == 0)
 
 
+def code_projects(names: DataFrame, mapping: DataFrame, name_col: str = "project_name") -> DataFrame:
+    """names with code_project: what mapping (project_name, code_project) says, else the name with dashes for underscores."""
+    known = mapping.select(F.col("project_name").alias(name_col), "code_project")
+    return names.join(known, name_col, "left").withColumn("code_project", F.coalesce("code_project", F.replace(name_col, F.lit("_"), F.lit("-"))))
+
+
+def class_uses(class_files: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, class, task, table_name, role): tables that the SQL in the file of a task's class names.
+
+    class_files(project, class, task, path) as match.best_class_file() finds them, files(path, content). A table that one
+    file names twice counts once.
+    """
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    strings = files.select("path", F.explode(embedded_sql(extension, F.col("content"))).alias("sql"))
+    made = strings.select("path", F.explode(sql_targets(F.col("sql"))).alias("table_name"), F.lit("produce").alias("role"))
+    read = strings.select("path", F.explode(sql_sources(F.col("sql"))).alias("table_name"), F.lit("consume").alias("role"))
+    return class_files.join(made.unionByName(read).distinct(), "path").select("project", "class", "task", "table_name", "role").distinct()
+
+
+def merged_uses(*results: DataFrame) -> DataFrame:
+    """Uses of tables from several extractions, each once."""
+    columns = ("project", "task", "table_name", "role")
+    return reduce(DataFrame.unionByName, [r.select(*columns) for r in results]).distinct()
+
+
 def table_users(uses: DataFrame, table_name: str | None = None, role: str | None = None) -> DataFrame:
     """Index: the distinct workflows and tasks of each (project, table, role); one table or role if named."""
     rows = uses

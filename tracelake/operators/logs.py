@@ -10,37 +10,131 @@ from ..functions.text import every, found
 
 # What starts an error block, tested without regard to case on the trimmed line.
 STARTS = (
-    r"\bERROR\b", r"\bFATAL\b", r"\bException\b", r"^FetchFailedException", r"^Traceback \(most recent call last\)",
-    r"^java\.[a-z]+\.[A-Z]", r"^org\.[a-z]+\.[A-Z]", r"^com\.[a-z]+\.[A-Z]", r"^\w+Error:", r"^\w+Exception:", r"^[A-Z][a-zA-Z]+Error",
-    r"/bin/bash:.*error", r"\bPermission denied\b", r"\bConnection refused\b", r"\bno space left\b", r"\bCannot connect\b",
-    r"\bFailed to connect\b", r"\bCommunications link failure\b", r"\bDuplicate entry.*for key\b", r"\bAccess denied for user\b",
-    r"\bTable.*doesn'?t exist\b", r"\bORA-\d+", r"\bContainer killed\b", r"\bPath.*does not exist\b",
-    r"process has exited.*exitStatusCode\s*[=:]\s*[1-9]", r"\bexitStatusCode\s*[=:]\s*[1-9]", r"\bSend task execute status: FAILURE\b",
-    r"\bFinalize task instance\b.*FAILURE", r"^(?:ls|cat|rm):.*No such file", r"^mkdir:.*cannot create", r"^(?:cp|mv|chmod|chown):.*cannot",
-    r"^(?:grep|find|sed|awk|curl|wget|ssh|scp|tar|unzip|python|pip|docker|kubectl):.*",
-    r"\bNo such file or directory\b", r"\bcommand not found\b", r"\bsyntax error\b", r"\bsegmentation fault\b", r"\bcore dumped\b",
-)
+    r"\bERROR\b",
+    r"\bFATAL\b",
+    r"\bException\b",
+    r"^FetchFailedException",
+    r"^Traceback \(most recent call last\)",
+    r"^java\.[a-z]+\.[A-Z]",
+    r"^org\.[a-z]+\.[A-Z]",
+    r"^com\.[a-z]+\.[A-Z]",
+    r"^\w+Error:",
+    r"^\w+Exception:",
+    r"^[A-Z][a-zA-Z]+Error",
+    r"/bin/bash:.*error",
+    r"\bPermission denied\b",
+    r"\bConnection refused\b",
+    r"\bno space left\b",
+    r"\bCannot connect\b",
+    r"\bFailed to connect\b",
+    r"\bCommunications link failure\b",
+    r"\bDuplicate entry.*for key\b",
+    r"\bAccess denied for user\b",
+    r"\bTable.*doesn'?t exist\b",
+    r"\bORA-\d+",
+    r"\bContainer killed\b",
+    r"\bPath.*does not exist\b",
+    r"process has exited.*exitStatusCode\s*[=:]\s*[1-9]",
+    r"\bexitStatusCode\s*[=:]\s*[1-9]",
+    r"\bSend task execute status: FAILURE\b",
+    r"\bFinalize task instance\b.*FAILURE",
+    r"^ls:.*No such file",
+    r"^cat:.*No such file",
+    r"^rm:.*No such file",
+    r"^mkdir:.*cannot create",
+    r"^cp:.*cannot",
+    r"^mv:.*cannot",
+    r"^chmod:.*cannot",
+    r"^chown:.*cannot",
+    r"^grep:.*",
+    r"^find:.*",
+    r"^sed:.*",
+    r"^awk:.*",
+    r"^curl:.*",
+    r"^wget:.*",
+    r"^ssh:.*",
+    r"^scp:.*",
+    r"^tar:.*",
+    r"^unzip:.*",
+    r"^python:.*",
+    r"^pip:.*",
+    r"^docker:.*",
+    r"^kubectl:.*",
+    r"\bNo such file or directory\b",
+    r"\bcommand not found\b",
+    r"\bsyntax error\b",
+    r"\bsegmentation fault\b",
+    r"\bcore dumped\b",
+)
 # What continues an open block; case counts. Lines are trimmed, so nothing here starts with white space.
 CONTINUES = (
-    r"Caused by:", r"^The last packet", r"^During handling", r"^Duplicate entry", r"^Access denied", r"^Table.*doesn", r"^Connection refused",
-    r"^Timeout", r"^Invalid", r"^Out of range", r"^Data truncation", r"^com\.mysql", r"^java\.\w+", r"^org\.\w+",
-    r"^[a-z]+\.[a-z]+\.[A-Z]", r"^[A-Z][a-zA-Z]+Error:", r"^[A-Z][a-zA-Z]+Exception",
-)
+    r"Caused by:",
+    r"^The last packet",
+    r"^During handling",
+    r"^Duplicate entry",
+    r"^Access denied",
+    r"^Table.*doesn",
+    r"^Connection refused",
+    r"^Timeout",
+    r"^Invalid",
+    r"^Out of range",
+    r"^Data truncation",
+    r"^com\.mysql",
+    r"^java\.\w+",
+    r"^org\.\w+",
+    r"^[a-z]+\.[a-z]+\.[A-Z]",
+    r"^[A-Z][a-zA-Z]+Error:",
+    r"^[A-Z][a-zA-Z]+Exception",
+)
+# What begins a line that continues a block of fewer than 30 lines.
 SOFT = ("at", "Caused", "File", "import", "The", "More", "Error", "Exception")
 # Warnings that matter.
 CRITICAL = (
-    "GC overhead limit exceeded", "GC pause.*exceeds", "Shuffle fetch failed.*retry", "Executor lost.*heartbeat", "Memory pressure detected",
-    "Low memory", "Slow task detected", "Skew detected", "Connection.*retry", "Retrying.*connection", "Retry.*attempt.*failed",
-    "Remote shuffle server unavailable", "Container memory limit exceeded", "BlockManager heartbeat timeout", "Checkpoint timeout",
-    "Task execution timeout", "Task timeout", "execution time exceeds", "Heartbeat timeout", "Job stuck",
-)
+    r"GC overhead limit exceeded",
+    r"GC pause.*exceeds",
+    r"Shuffle fetch failed.*retry",
+    r"Executor lost.*heartbeat",
+    r"Memory pressure detected",
+    r"Low memory",
+    r"Slow task detected",
+    r"Skew detected",
+    r"Connection.*retry",
+    r"Retrying.*connection",
+    r"Retry.*attempt.*failed",
+    r"Remote shuffle server unavailable",
+    r"Container memory limit exceeded",
+    r"BlockManager heartbeat timeout",
+    r"Checkpoint timeout",
+    r"Task execution timeout",
+    r"Task timeout",
+    r"execution time exceeds",
+    r"Heartbeat timeout",
+    r"Job stuck",
+)
 # Weights of words in a block; the greatest counts.
 WEIGHTS = {
-    10: ("OutOfMemoryError", "GC overhead limit exceeded"), 9: ("Memory limit exceeded", "Container killed"),
-    8: ("Executor lost", "heartbeat timeout", "FetchFailedException"), 7: ("SparkException: Job aborted", "Job aborted"),
-    6: ("Task failed", "Stage failed", "Communications link failure"), 5: ("Access denied", "Permission denied", "Duplicate entry", "process has exited", "exitStatusCode"),
-    4: ("Exception",), 3: ("Error",), 2: ("FATAL",), 1: ("ERROR",),
-}
+    "OutOfMemoryError": 10,
+    "GC overhead limit exceeded": 10,
+    "Memory limit exceeded": 9,
+    "Container killed": 9,
+    "Executor lost": 8,
+    "heartbeat timeout": 8,
+    "FetchFailedException": 8,
+    "SparkException: Job aborted": 7,
+    "Job aborted": 7,
+    "Task failed": 6,
+    "Stage failed": 6,
+    "Communications link failure": 6,
+    "Access denied": 5,
+    "Permission denied": 5,
+    "Duplicate entry": 5,
+    "process has exited": 5,
+    "exitStatusCode": 5,
+    "Exception": 4,
+    "Error": 3,
+    "FATAL": 2,
+    "ERROR": 1,
+}
 
 
 def lines(logs: DataFrame, id_col: str = "log_id", text_col: str = "text") -> DataFrame:
@@ -60,24 +154,34 @@ def _any(patterns: tuple[str, ...], flags: str = "") -> str:
 def error_blocks(log_lines: DataFrame, most: int = 30) -> DataFrame:
     """(log_id, pos, n_lines, block): error blocks in order.
 
-    A start line opens a block; a blank or unrelated line closes it; stack frames, exception lines and causes extend it,
-    and so do lines with a soft prefix up to `most` lines. Each line is a start, hard, soft or break; a running count of
-    starts and breaks names the blocks, so that one window does it.
+    A start line opens a block; a blank line closes it. Stack frames, exception lines and causes extend it, and so do
+    lines with a soft prefix while it has fewer than `most` lines. Another line closes it if it has fewer; else that line is
+    skipped, and the block goes on with exception lines and causes up to the next start or blank line. A cause opens a
+    block only where none is open. All this follows from running counts over a log's lines in order, so that one
+    sort does it.
     """
     t = trimmed(F.col("line"))
-    caused = t.startswith("Caused by:")
-    kind = F.when(t == "", "break").when(~caused & t.rlike(_any(STARTS, "(?i)")), "start").when(t.rlike(_any(CONTINUES)), "hard").when(t.rlike(f"^(?:{'|'.join(SOFT)})"), "soft").otherwise("break")
-    # A cause outside a block is a start if it looks like one.
-    late = F.when(caused & t.rlike(_any(STARTS, "(?i)")), True).otherwise(False)
+    caused, starts = t.startswith("Caused by:"), t.rlike(_any(STARTS, "(?i)"))
+    kind = F.when(t == "", "blank").when(~caused & starts, "start").when(t.rlike(_any(CONTINUES)), "hard").when(t.rlike(f"^(?:{'|'.join(SOFT)})"), "soft").otherwise("other")
     by_log = Window.partitionBy("log_id").orderBy("line_no")
-    marked = log_lines.withColumn("_kind", kind).withColumn("_late", late)
-    state = F.last(F.when(F.col("_kind") == "start", 1).when(F.col("_kind") == "break", 0).when(F.col("_late"), 1), ignorenulls=True).over(by_log.rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("_kind", F.when(F.col("_late") & (F.coalesce(state, F.lit(0)) == 0), "start").otherwise(F.col("_kind"))).drop("_late")
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_kind").isin("start", "break"), 1).otherwise(0)).over(by_log))
+    before = by_log.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_log.rowsBetween(Window.unboundedPreceding, 0)
+    marked = log_lines.select("log_id", "line_no", "line", kind.alias("_kind"), (caused & starts).alias("_late"))
+    # As if every other line closed a block: whether one is open, and which causes open one then.
+    is_open = F.last(F.when((F.col("_kind") == "start") | F.col("_late"), True).when(F.col("_kind").isin("blank", "other"), False), ignorenulls=True).over(before)
+    marked = marked.withColumn("_opens", (F.col("_kind") == "start") | (F.col("_late") & ~F.coalesce(is_open, F.lit(False))))
+    marked = marked.withColumn("_run", F.sum(F.when(F.col("_opens") | F.col("_kind").isin("blank", "other"), 1).otherwise(0)).over(by_log))
     in_run = Window.partitionBy("log_id", "_run").orderBy("line_no")
-    marked = marked.withColumn("_first", F.first("_kind").over(in_run)).withColumn("_n", F.row_number().over(in_run))
-    kept = marked.filter((F.col("_first") == "start") & ((F.col("_kind") != "soft") | (F.col("_n") <= most)))
-    blocks = kept.groupBy("log_id", "_run").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    marked = marked.withColumn("_n", F.when(F.first("_opens").over(in_run), F.row_number().over(in_run)).otherwise(0))
+    # Another line after a block of `most` lines doesn't close it: what follows up to a start or a blank line is absorbed.
+    passed = (F.col("_kind") == "other") & (F.lag("_n", 1, 0).over(by_log) >= most)
+    marked = marked.withColumn("_stretch", F.sum(F.when(F.col("_kind").isin("start", "blank"), 1).otherwise(0)).over(by_log)).withColumn("_passed", passed)
+    absorbed = F.max("_passed").over(Window.partitionBy("log_id", "_stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("_absorbed", absorbed)
+    block_no = F.last(F.when((F.col("_n") > 0) & ~F.col("_absorbed"), F.col("_run")), ignorenulls=True).over(so_far)
+    in_block = F.when(F.col("_absorbed"), F.col("_kind") == "hard").otherwise((F.col("_n") > 0) & ((F.col("_kind") != "soft") | (F.col("_n") <= most)))
+    kept = marked.withColumn("_block", block_no).filter(in_block)
+    blocks = kept.groupBy("log_id", "_block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     return blocks.select("log_id", F.col("_l")[0].line_no.alias("pos"), F.size("_l").cast("long").alias("n_lines"), F.array_join(F.transform("_l", lambda x: x.line), "\n").alias("block"))
 
 
@@ -103,13 +207,7 @@ def first_of_type(blocks: DataFrame) -> DataFrame:
 
 def score(block: Column) -> Column:
     low = F.lower(block)
-    out = F
-    for weight in sorted(WEIGHTS, reverse=True):
-        hit = F.lit(False)
-        for word in WEIGHTS[weight]:
-            hit |= low.contains(word.lower())
-        out = out.when(hit, weight)
-    return out.otherwise(0)
+    return F.greatest(*(F.when(low.contains(w.lower()), k).otherwise(0) for w, k in WEIGHTS.items()))
 
 
 def ranked(blocks: DataFrame) -> DataFrame:
@@ -169,12 +267,15 @@ def progress(stamped: DataFrame, minutes: float = 5.0, stuck: float = 10.0) -> D
     return out.withColumn("has_progress", F.col("max_gap_minutes") <= stuck)
 
 
-def snippets(log_lines: DataFrame, pattern: str, around: int = 5) -> DataFrame:
-    """The lines round the first match in each log."""
-    near = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(-around, around)
-    hit = F.col("line").rlike(pattern)
-    first = F.min(F.when(hit, F.col("line_no"))).over(Window.partitionBy("log_id"))
-    return log_lines.withColumn("snippet", F.array_join(F.collect_list("line").over(near), "\n")).withColumn("_f", first).filter("line_no = _f").select("log_id", "line_no", "snippet")
+def snippets(log_lines: DataFrame, pattern: str, around: int = 5, head: int = 500) -> DataFrame:
+    """(log_id, line_no, snippet): the lines round the first match in each log; without a match, line_no is null and the
+    snippet is the log's first `head` characters."""
+    first = log_lines.filter(F.col("line").rlike(pattern)).groupBy("log_id").agg(F.min("line_no").alias("_f"))
+    at, f = F.col("line_no"), F.col("_f")
+    near = log_lines.join(first, "log_id", "left").filter(F.when(f.isNull(), at <= head + 1).otherwise(at.between(f - around, f + around)))
+    by = near.groupBy("log_id").agg(F.min("_f").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    joined = F.array_join(F.transform("_l", lambda x: x.line), "\n")
+    return by.select("log_id", "line_no", F.when(F.col("line_no").isNull(), F.substring(joined, 1, head)).otherwise(joined).alias("snippet"))
 
 
 def last_error_lines(log_lines: DataFrame, n: int = 5, pattern: str = r"(?i)error|exception|failed|fatal") -> DataFrame:

@@ -10,46 +10,47 @@ def checked_catalogue(patterns: DataFrame, valid: DataFrame) -> tuple[DataFrame,
     return patterns.join(ok, "pattern", "left_semi"), patterns.join(ok, "pattern", "left_anti")
 
 
-def valid_patterns(patterns: DataFrame, most: int = 100_000) -> DataFrame:
-    """The patterns that compile, tested one by one on the driver; a catalogue over `most` rules is refused."""
-    spark = patterns.sparkSession
-    rows = [r["pattern"] for r in patterns.select("pattern").distinct().limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"a catalogue of over {most} patterns isn't one")
-    compile_ = spark._jvm.java.util.regex.Pattern.compile
-    good = []
-    for p in rows:
-        try:
-            compile_(p)
-            good.append((p,))
-        except Exception:  # the JVM's PatternSyntaxException
-            continue
-    return spark.createDataFrame(good, "pattern string")
-
-
-def match_rules(logs: DataFrame, patterns: DataFrame, most_rules: int = 5_000) -> DataFrame:
+def valid_patterns(patterns: DataFrame) -> DataFrame:
+    """The distinct patterns that compile, tested by the executors' own regex engine."""
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    return patterns.select("pattern").distinct().filter(compiles)
+
+
+#: How large a catalogue is sent to every task, and over how many parts logs are dealt where it is larger.
+MOST_RULES, MOST_BYTES, SPREAD = 5_000, 8 << 20, 64
+
+
+def _by_type(logs: DataFrame, rules: DataFrame, most_rules: int) -> DataFrame:
+    """logs joined with the rules of their task type. A catalogue whose rows and bytes are counted as few is broadcast; of a
+    larger one each of SPREAD parts of the logs meets a copy, so that a task type, of which there are few, isn't a hot key."""
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if n <= most_rules and size <= MOST_BYTES:
+        return logs.join(F.broadcast(rules), "task_type")
+    dealt = rules.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return logs.withColumn("_part", F.pmod(F.xxhash64("log_id"), F.lit(SPREAD)).cast("int")).join(dealt, ["task_type", "_part"]).drop("_part")
+
+
+def match_rules(logs: DataFrame, patterns: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
     """Each log's first rule of its task type: by category_rank, then ord; without any, UNKNOWN.
 
-    logs(log_id, task_type, text), patterns(task_type, category, category_rank, ord, error_type, pattern, hint). The
-    rules are a small catalogue, checked to be one before it is broadcast; a larger one joins on task_type by a shuffle.
+    logs(log_id, task_type, text), patterns(task_type, category, category_rank, ord, error_type, pattern, hint).
     Matching disregards case, and the dot matches line ends.
     """
     rules = patterns.select("task_type", "category", "category_rank", "ord", "error_type", "pattern", "hint")
-    small = rules.limit(most_rules + 1).count() <= most_rules
-    pairs = logs.join(F.broadcast(rules) if small else rules, "task_type").filter(F.expr("text rlike concat('(?is)', pattern)"))
+    pairs = _by_type(logs, rules, most_rules).filter(F.expr("text rlike concat('(?is)', pattern)"))
     hit = F.struct("category_rank", "ord", "category", "error_type", "pattern", "hint")
     first = pairs.groupBy("log_id").agg(F.min(hit).alias("m")).select("log_id", "m.category", "m.error_type", "m.pattern", "m.hint")
     out = logs.select("log_id", "task_type").join(first, "log_id", "left")
     return out.withColumn("error_type", F.coalesce("error_type", F.lit("UNKNOWN"))).withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
 
 
-def match_knowledge(logs: DataFrame, knowledge: DataFrame) -> DataFrame:
+def match_knowledge(logs: DataFrame, knowledge: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
     """Each log's confirmed knowledge entry whose pattern it contains: one with a fix first, then by ord.
 
     knowledge(id, task_type, pattern, has_fix, ord, status); logs(log_id, task_type, text).
     """
     known = knowledge.filter("status = 'confirmed'").select("task_type", "id", "pattern", "has_fix", "ord")
-    pairs = logs.join(known, "task_type").filter(F.col("text").contains(F.col("pattern")))
+    pairs = _by_type(logs, known, most_rules).filter(F.col("text").contains(F.col("pattern")))
     best = pairs.groupBy("log_id").agg(F.min_by("id", F.struct((~F.col("has_fix")).alias("a"), "ord")).alias("knowledge_id"))
     return logs.select("log_id").join(best, "log_id", "left")
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import memory_mb, memory_text_whole
+
 
 def by_state(instances: DataFrame, start: str, end: str, state: str | None = None, project: str | None = None, workflow: str | None = None) -> DataFrame:
     """Instances that started in [start, end); every filter reaches the scan."""
@@ -27,18 +29,20 @@ def daily_workflow_metrics(instances: DataFrame) -> DataFrame:
     """By project and day: instances by state, success rate, and durations."""
     is_ = lambda s: F.count_if(F.col("state") == s)
     out = instances.groupBy("project", F.to_date("start_time").alias("day")).agg(F.count("*").alias("total"), is_("SUCCESS").alias("success"), is_("FAILURE").alias("failure"), is_("RUNNING").alias("running"), F.avg("duration").alias("avg_duration"), F.max("duration").alias("max_duration"), F.min("duration").alias("min_duration"))
-    return out.withColumn("other", F.col("total") - F.col("success") - F.col("failure") - F.col("running")).withColumn("success_rate", F.col("success") / F.col("total"))
+    return out.withColumn("other", F.col("total") - F.col("success") - F.col("failure") - F.col("running")).withColumn("success_rate", F.col("success") / F.col("total")).withColumn("failure_rate", F.col("failure") / F.col("total"))
 
 
 def daily_type_metrics(instances: DataFrame) -> DataFrame:
     return instances.groupBy("project", F.to_date("start_time").alias("day"), "task_type").agg(F.count("*").alias("total"), F.count_if(F.col("state") == "FAILURE").alias("failure"), F.avg("duration").alias("avg_duration"))
 
 
-def daily_error_metrics(instances: DataFrame, examples: int = 3) -> DataFrame:
-    """By project, day and error type (task type of failures): count, and the first few ids."""
-    rank = F.row_number().over(Window.partitionBy("project", F.to_date("start_time"), "task_type").orderBy("id"))
-    failed = instances.filter("state = 'FAILURE'").withColumn("_r", rank)
-    return failed.groupBy("project", F.to_date("start_time").alias("day"), "task_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col("id")))).alias("examples"))
+def daily_error_metrics(failures: DataFrame, examples: int = 3) -> DataFrame:
+    """By project, day and error type: how many failures (id, project, start_time, error_type, task_type), of which task
+    types, and the first few ids."""
+    rank = F.row_number().over(Window.partitionBy("project", F.to_date("start_time"), "error_type").orderBy("id"))
+    first = F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col("id")))).alias("examples")
+    by = failures.withColumn("_r", rank).groupBy("project", F.to_date("start_time").alias("day"), "error_type")
+    return by.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"), first)
 
 
 def range_report(instances: DataFrame, first: str, last: str) -> DataFrame:
@@ -176,17 +180,30 @@ def timeout_metrics(tasks: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def timeout_class(m: DataFrame) -> DataFrame:
-    """The first of nine rules that holds, with its confidence. Columns: util, containers, queue_used, apps, max_retry, max_wait, avg_wait, max_duration, avg_duration, is_data_spike, upstream_delay."""
+    """The first of nine rules that holds: timeout_type, category and confidence.
+
+    Columns: util (percent, the greater of memory and cores), containers, queue_used (percent), apps, max_retry, max_wait,
+    avg_wait, max_duration, avg_duration, is_data_spike, upstream_delay.
+    """
     c = F.col
+    times = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
+    advised, known = "RESOURCE_SUGGESTED", "KNOWN_NEEDS_LLM"
     rules = [
-        ("CLUSTER_OVERLOAD", 0.9, c("util") > 85), ("CONTAINER_BACKLOG", 0.85, c("containers") > 100), ("QUEUE_FULL", 0.85, c("queue_used") > 90),
-        ("TOO_MANY_APPS", 0.8, c("apps") > 10), ("RETRY", 0.9, c("max_retry") >= 3), ("QUEUE_WAIT", 0.8, (c("max_wait") > 300) & (c("max_wait") > 2 * c("avg_wait"))),
-        ("SLOW_EXECUTION", 0.75, c("max_duration") > 3 * c("avg_duration")), ("DATA_SPIKE", 0.8, c("is_data_spike")), ("UPSTREAM_DELAY", 0.7, c("upstream_delay")),
-    ]
+        ("cluster_overloaded", advised, 0.85, c("util") > 85),
+        ("cluster_overloaded", advised, 0.8, c("containers") > 100),
+        ("queue_congested", advised, 0.8, c("queue_used") > 90),
+        ("queue_congested", advised, 0.75, c("apps") > 10),
+        ("task_retry_timeout", known, 0.9, c("max_retry") >= 3),
+        ("queue_wait_long", known, 0.85, (c("max_wait") > 300) & (times("max_wait", "avg_wait") > 2)),
+        ("task_execution_slow", known, 0.8, times("max_duration", "avg_duration") > 3),
+        ("data_volume_spike", known, 0.7, c("is_data_spike")),
+        ("upstream_delay", known, 0.65, c("upstream_delay")),
+    ]
+    row = lambda name, category, confidence: F.struct(F.lit(name).alias("timeout_type"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
     out = F
-    for name, confidence, holds in rules:
-        out = out.when(holds, F.struct(F.lit(name).alias("timeout_type"), F.lit(confidence).alias("confidence")))
-    return m.withColumn("_t", out.otherwise(F.struct(F.lit("UNKNOWN").alias("timeout_type"), F.lit(0.0).alias("confidence")))).select(*m.columns, "_t.*")
+    for name, category, confidence, holds in rules:
+        out = out.when(holds, row(name, category, confidence))
+    return m.withColumn("_t", out.otherwise(row("unknown", "UNKNOWN", 0.0))).select(*m.columns, "_t.*")
 
 
 def cluster_status(snapshots: DataFrame) -> DataFrame:
@@ -206,50 +223,102 @@ def is_safe(memory_pct: Column, apps: Column) -> Column:
 # Event logs: one JSON event a line, read by sources.event_log().
 
 
+def _of(events: DataFrame, name: str) -> DataFrame:
+    return events.filter(F.col("Event") == f"SparkListener{name}")
+
+
+def _one(rows: DataFrame, keys: list[str], which) -> DataFrame:
+    """One row for each of keys: that with the least or the greatest line number (which: F.min_by or F.max_by)."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(which(F.struct(*rest), "line_no").alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest if c != "line_no"))
+
+
 def event_totals(events: DataFrame) -> DataFrame:
     """Bytes by app over finished tasks, and counts of events."""
     m = F.col("`Task Metrics`")
-    part = lambda x: F.sum(F.when(F.col("Event") == "SparkListenerTaskEnd", F.coalesce(x, F.lit(0))).otherwise(0))
+    is_task = F.col("Event") == "SparkListenerTaskEnd"
+    part = lambda x: F.sum(F.when(is_task, F.coalesce(x, F.lit(0))).otherwise(0))
     n = lambda e: F.count_if(F.col("Event") == e)
-    return events.groupBy("app").agg(part(m["Input Metrics"]["Bytes Read"]).alias("input_bytes"), part(m["Shuffle Read Metrics"]["Remote Bytes Read"]).alias("shuffle_read_bytes"), part(m["Shuffle Write Metrics"]["Shuffle Bytes Written"]).alias("shuffle_write_bytes"), part(m["Memory Bytes Spilled"]).alias("spilled_bytes"), n("SparkListenerJobStart").alias("n_jobs"), n("SparkListenerStageCompleted").alias("n_stages"), n("SparkListenerTaskEnd").alias("n_tasks"), F.count_if((F.col("Event") == "SparkListenerTaskEnd") & F.col("`Task End Reason`.Failure").isNotNull()).alias("n_failed_tasks"))
+    return events.groupBy("app").agg(
+        part(m["Input Metrics"]["Bytes Read"]).alias("input_bytes"),
+        part(m["Shuffle Read Metrics"]["Remote Bytes Read"]).alias("shuffle_read_bytes"),
+        part(m["Shuffle Write Metrics"]["Shuffle Bytes Written"]).alias("shuffle_write_bytes"),
+        part(m["Memory Bytes Spilled"]).alias("spilled_bytes"),
+        n("SparkListenerJobStart").alias("n_jobs"),
+        n("SparkListenerStageCompleted").alias("n_stages"),
+        n("SparkListenerTaskEnd").alias("n_tasks"),
+        F.count_if(is_task & F.col("`Task End Reason`.Failure").isNotNull()).alias("n_failed_tasks"),
+    )
+
+
+# The settings that a log is asked for, and their names in a report.
+SETTINGS = {
+    "spark.driver.memory": "driver_memory",
+    "spark.driver.cores": "driver_cores",
+    "spark.executor.memory": "executor_memory",
+    "spark.executor.cores": "executor_cores",
+    "spark.executor.instances": "executor_instances",
+}
 
 
 def event_config(events: DataFrame) -> DataFrame:
-    """Settings by app, from its first environment update."""
-    return events.filter("Event = 'SparkListenerEnvironmentUpdate'").groupBy("app").agg(F.min_by("Spark Properties", "line_no").alias("config"))
+    """All settings by app (config), from its first environment update, and those of SETTINGS under their names."""
+    own, older = F.col("`Spark Properties`"), F.col("`Environment Details`.`Spark Properties`")
+    rows = _of(events, "EnvironmentUpdate").select("app", "line_no", F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(older).alias("config"))
+    first = rows.groupBy("app").agg(F.min_by("config", "line_no").alias("config"))
+    return first.select("app", "config", *(F.element_at("config", k).alias(v) for k, v in SETTINGS.items()))
 
 
 def event_stages(events: DataFrame) -> DataFrame:
-    """Submitted stages with their completion, if any: state, duration and failures."""
+    """Submitted stages with their completion, if any: state (submitted, completed), duration, failed tasks, failure, and
+    what the accumulables say of input and shuffle write. A completion without a submission is left out; of several
+    submissions the first counts, of completions the last."""
     s = F.col("`Stage Info`")
-    one = lambda e: events.filter(F.col("Event") == e)
-    began = one("SparkListenerStageSubmitted").select("app", s["Stage ID"].alias("stage"), s["Stage Name"].alias("name"), s["Number of Tasks"].alias("n_tasks"), s["Submission Time"].alias("start"))
-    ended = one("SparkListenerStageCompleted").select("app", s["Stage ID"].alias("stage"), s["Completion Time"].alias("end"), s["Failure Reason"].alias("failure"))
-    out = began.join(ended, ["app", "stage"], "left")
-    return out.withColumn("state", F.when(F.col("failure").isNotNull(), "failed").when(F.col("end").isNotNull(), "completed").otherwise("running")).withColumn("duration_ms", F.col("end") - F.col("start"))
+    began = _of(events, "StageSubmitted").select("app", "line_no", s["Stage ID"].alias("stage"), F.coalesce(s["Stage Name"], s["Name"]).alias("name"), s["Number of Tasks"].alias("n_tasks"), s["Submission Time"].alias("start"))
+    last = lambda word: F.element_at(F.filter(s["Accumulables"], lambda a: F.lower(a["Name"]).contains(word)), -1)["Value"].try_cast("long")
+    summed = lambda word: F.when(F.size(F.filter(s["Accumulables"], lambda a: F.lower(a["Name"]).contains(word))) > 0, last(word))
+    ended = _of(events, "StageCompleted").select(
+        "app", "line_no", s["Stage ID"].alias("stage"), s["Submission Time"].alias("again"), s["Completion Time"].alias("end"), F.coalesce(s["Number of Failed Tasks"], F.lit(0)).alias("n_failed_tasks"),
+        s["Failure Reason"].alias("failure"), summed("shuffle write").alias("shuffle_write_bytes"), summed("input").alias("input_bytes"), F.lit("completed").alias("state"),
+    )
+    out = _one(began, ["app", "stage"], F.min_by).join(_one(ended, ["app", "stage"], F.max_by), ["app", "stage"], "left")
+    out = out.withColumn("duration_ms", F.col("end") - F.coalesce("again", "start")).drop("again")
+    return out.fillna("submitted", ["state"]).fillna(0, ["n_failed_tasks"])
 
 
 def event_jobs(events: DataFrame) -> DataFrame:
-    one = lambda e: events.filter(F.col("Event") == e)
-    began = one("SparkListenerJobStart").select("app", F.col("`Job ID`").alias("job"), F.col("`Submission Time`").alias("start"))
-    ended = one("SparkListenerJobEnd").select("app", F.col("`Job ID`").alias("job"), F.col("`Completion Time`").alias("end"), F.col("`Job Result`.Result").alias("result"))
-    out = began.join(ended, ["app", "job"], "left")
-    return out.withColumn("state", F.when(F.col("result").isNull(), "running").when(F.col("result") == "JobSucceeded", "succeeded").otherwise("failed")).withColumn("duration_ms", F.col("end") - F.col("start"))
+    """Started jobs with their end, if any: state (started, or the result), duration, stages and description."""
+    began = _of(events, "JobStart").select("app", "line_no", F.col("`Job ID`").alias("job"), F.col("`Submission Time`").alias("start"), F.col("`Stage IDs`").alias("stages"), F.substring("Description", 1, 100).alias("description"))
+    ended = _of(events, "JobEnd").select("app", "line_no", F.col("`Job ID`").alias("job"), F.col("`Completion Time`").alias("end"), F.coalesce("`Job Result`.Result", F.lit("unknown")).alias("state"))
+    out = _one(began, ["app", "job"], F.min_by).join(_one(ended, ["app", "job"], F.max_by), ["app", "job"], "left")
+    return out.fillna("started", ["state"]).withColumn("duration_ms", F.col("end") - F.col("start"))
 
 
 def event_executors(events: DataFrame) -> DataFrame:
-    one = lambda e: events.filter(F.col("Event") == e)
-    added = one("SparkListenerExecutorAdded").select("app", F.col("`Executor ID`").alias("executor"), F.col("Timestamp").alias("added"))
-    removed = one("SparkListenerExecutorRemoved").select("app", F.col("`Executor ID`").alias("executor"), F.col("Timestamp").alias("removed"), F.col("`Removed Reason`").alias("reason"))
-    return added.join(removed, ["app", "executor"], "left")
+    """Executors by their last addition: host, cores, memory, when added, and when and why removed, if they were."""
+    at, info = F.coalesce("Timestamp", "Time"), F.col("`Executor Info`")
+    added = _of(events, "ExecutorAdded").select("app", "line_no", F.col("`Executor ID`").alias("executor"), info["Host"].alias("host"), info["Total Cores"].alias("cores"), info["Memory"].alias("memory"), at.alias("added"))
+    removed = _of(events, "ExecutorRemoved").select("app", "line_no", F.col("`Executor ID`").alias("executor"), at.alias("removed"), F.coalesce("`Removed Reason`", F.lit("")).alias("reason"))
+    out = _one(added, ["app", "executor"], F.max_by).join(_one(removed, ["app", "executor"], F.max_by), ["app", "executor"], "left")
+    return out.withColumn("status", F.when(F.col("reason").isNull(), "active").otherwise("removed"))
 
 
 def event_failures(events: DataFrame) -> DataFrame:
-    """Failed tasks and stages of each app, in one table."""
-    t, s = F.col("`Task Info`"), F.col("`Stage Info`")
-    tasks = events.filter((F.col("Event") == "SparkListenerTaskEnd") & F.col("`Task End Reason`.Failure").isNotNull()).select("app", F.lit("task").alias("kind"), t["Task ID"].alias("id"), F.col("`Task End Reason`.Failure.ClassName").alias("error"))
-    stages = events.filter((F.col("Event") == "SparkListenerStageCompleted") & s["Failure Reason"].isNotNull()).select("app", F.lit("stage").alias("kind"), s["Stage ID"].alias("id"), s["Failure Reason"].alias("error"))
-    return tasks.unionByName(stages)
+    """Failed tasks, stages and jobs of each app in one table: kind, id, stage, attempt, reason, executor, host and duration."""
+    t, s, why = F.col("`Task Info`"), F.col("`Stage Info`"), F.col("`Task End Reason`")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(kind, id_, stage, attempt, reason, executor, host, duration):
+        return ["app", F.lit(kind).alias("kind"), id_.alias("id"), stage.alias("stage"), attempt.alias("attempt"), reason.alias("reason"), executor.alias("executor"), host.alias("host"), duration.alias("duration")]
+
+    reason = F.coalesce(F.nullif(why["Failure"]["ClassName"], F.lit("")), why["Description"], F.lit(""))
+    tasks = _of(events, "TaskEnd").filter(why["Failure"].isNotNull())
+    tasks = tasks.select(*row("task", t["Task ID"], F.col("`Stage ID`"), F.coalesce(t["Attempt"], F.lit(0)), reason, t["Executor ID"], t["Host"], F.coalesce(t["Duration"], F.lit(0))))
+    stages = _of(events, "StageCompleted").filter(s["Failure Reason"].isNotNull())
+    stages = stages.select(*row("stage", s["Stage ID"], s["Stage ID"], none("long"), s["Failure Reason"], none("string"), none("string"), none("long")))
+    jobs = _of(events, "JobEnd").filter(F.col("`Job Result`.Result") != "JobSucceeded")
+    jobs = jobs.select(*row("job", F.col("`Job ID`"), none("long"), none("long"), F.col("`Job Result`.Result"), none("string"), none("string"), none("long")))
+    return tasks.unionByName(stages).unionByName(jobs)
 
 
 def app_rollup(executors: DataFrame, stages: DataFrame) -> DataFrame:
@@ -292,9 +361,10 @@ def simple_timeout_cause(m: DataFrame) -> DataFrame:
 
 
 def timeout_advice(m: DataFrame) -> DataFrame:
-    """Concurrency, queue and resource advice by kind of timeout. Columns: timeout_type, running."""
-    kind = F.col("timeout_type")
-    advice = F.when(kind == "TOO_MANY_APPS", F.concat(F.lit("concurrency "), F.greatest(F.lit(5), 20 - F.col("running")).cast("string"))).when(kind == "QUEUE_FULL", "queue capacity +20 %").when(kind.isin("CLUSTER_OVERLOAD", "CONTAINER_BACKLOG"), "add resources").otherwise("none")
+    """What to do about a kind of timeout: fewer tasks at once, more of the queue, or more resources. Columns: timeout_type,
+    running."""
+    kind, most = F.col("timeout_type"), F.greatest(F.lit(5), 20 - F.coalesce("running", F.lit(10)))
+    advice = F.when(kind == "cluster_overloaded", F.concat(F.lit("reduce_concurrency "), most.cast("string"))).when(kind == "queue_congested", "adjust_queue_capacity +20%").when(kind.isin("memory_pressure", "vcore_pressure"), "add_resources")
     return m.withColumn("advice", advice)
 
 
@@ -316,3 +386,46 @@ def sized_by_data(input_gb: Column, current_gb: Column, spilled: Column, shuffle
     half more than the present."""
     need = F.greatest(0.6 * input_gb, current_gb) * F.when(spilled, 1.5).otherwise(1.0) + 0.3 * shuffle_gb
     return F.greatest(need, 1.5 * current_gb)
+
+
+# Errors by what is sized for them.
+EXECUTOR_ERRORS = ("oom_executor", "container_killed_memory", "executor_memory_insufficient", "gc_overhead")
+DRIVER_ERRORS = ("oom_driver", "driver_memory_insufficient")
+TIMEOUT_ERRORS = ("shuffle_timeout", "network_timeout", "rpc_timeout")
+
+
+def data_driven_changes(errors: DataFrame) -> DataFrame:
+    """errors with changes, a map of settings sized by the data.
+
+    Columns: error_type, config (a map of the present settings), input_bytes, shuffle_read_bytes, shuffle_write_bytes and
+    spilled_bytes; nulls count as 0. Errors of no known kind get twice the executor memory.
+    """
+    gb = lambda c: F.coalesce(F.col(c), F.lit(0)) / float(1 << 30)
+    now = lambda k, least: F.coalesce(memory_mb(F.element_at("config", k)), F.lit(least)).cast("long")
+    executor, driver = now("spark.executor.memory", 1024), now("spark.driver.memory", 512)
+    read, write = gb("shuffle_read_bytes"), gb("shuffle_write_bytes")
+    need = F.greatest(0.6 * gb("input_bytes"), executor / 1024) * F.when(gb("spilled_bytes") > 0, 1.5).otherwise(1.0) + 0.3 * read
+    executor_mb = F.greatest((need * 1024).cast("long"), (executor * 1.5).cast("long"))
+    base = F.greatest(F.lit(2.0), driver / 1024)
+    driver_mb = F.greatest((F.when(write > 1, write * 0.2 + base).otherwise(base) * 1024).cast("long"), (driver * 1.5).cast("long"))
+    size, kind = memory_text_whole, F.col("error_type")
+    changes = (
+        F.when(kind.isin(*EXECUTOR_ERRORS), _settings({"spark.executor.memory": size(executor_mb), "spark.executor.memoryOverhead": size(F.greatest(F.floor(executor_mb / 4), F.lit(256)))}))
+        .when(kind.isin(*DRIVER_ERRORS), _settings({"spark.driver.memory": size(driver_mb), "spark.driver.maxResultSize": size(F.least(F.floor(driver_mb / 2), F.lit(2048)))}))
+        .when(kind == "oom_offheap", _settings({"spark.memory.offHeap.enabled": F.lit("true"), "spark.memory.offHeap.size": size((F.greatest(F.lit(2.0), read * 0.2) * 1024).cast("long"))}))
+        .when(kind == "oom_storage", _settings({"spark.memory.storageFraction": F.lit("0.3")}))
+        .when(kind.isin(*TIMEOUT_ERRORS), _settings({"spark.shuffle.io.timeout": F.when(read > 10, "300s").otherwise("120s"), "spark.network.timeout": F.when(read > 10, "600s").otherwise("300s")}))
+        .when(kind == "executor_lost_heartbeat", _settings({"spark.executor.heartbeatInterval": F.lit("60s"), "spark.network.timeout": F.lit("300s")}))
+        .otherwise(_settings({"spark.executor.memory": size(executor * 2), "spark.executor.memoryOverhead": size(F.floor(executor / 2))}))
+    )
+    return errors.withColumn("changes", changes)
+
+
+def _settings(values: dict[str, Column]) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))
+
+
+def quick_fix(error_type: Column) -> Column:
+    """A change of settings for a timeout that is too short (half more) or a retry that is too fast (60 s); else null."""
+    change = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    return F.when(error_type == "timeout_config_too_short", change("timeout", "x1.5")).when(error_type == "retry_config_too_aggressive", change("retry_interval", "60s"))

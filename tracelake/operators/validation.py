@@ -82,7 +82,8 @@ def match_rates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validate(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame], tables: DataFrame, uses: DataFrame) -> DataFrame:
-    """All issues between two snapshots (dicts of workflows, tasks and edges) and of the tables, with one schema."""
+    """All issues between two snapshots (dicts of workflows, tasks and edges, and of calls and classes where there are any)
+    and of the tables, with one schema. Tasks may have main_class; classes(project, class, task)."""
     parts = [
         set_differences(graph["workflows"], scheduler["workflows"], ["code"], "workflow"),
         attribute_differences(graph["workflows"], scheduler["workflows"], "code", "name", "workflow_name"),
@@ -91,4 +92,16 @@ def validate(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame], table
         set_differences(graph["edges"], scheduler["edges"], ["source", "target"], "dependency"),
         table_checks(tables, uses),
     ]
+    if "main_class" in graph["tasks"].columns and "main_class" in scheduler["tasks"].columns:
+        parts.append(attribute_differences(graph["tasks"], scheduler["tasks"], "code", "main_class", "main_class"))
+    if "calls" in graph and "calls" in scheduler:
+        parts.append(set_differences(graph["calls"], scheduler["calls"], ["source", "target"], "sub_workflow_call"))
+    if "classes" in graph and "classes" in scheduler:
+        parts.append(set_valued_differences(graph["classes"], scheduler["classes"], "class", "task", "class_tasks"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def all_rates(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame]) -> DataFrame:
+    """match_rates() of workflows, tasks and dependencies, with their kind."""
+    keys = {"workflows": ["code"], "tasks": ["code"], "edges": ["source", "target"]}
+    return reduce(DataFrame.unionByName, [match_rates(graph[k], scheduler[k], on).withColumn("kind", F.lit(k)) for k, on in keys.items()])

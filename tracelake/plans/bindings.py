@@ -11,8 +11,9 @@ VIEWS = {
     "task_use": "SELECT DISTINCT CAST(c_nationkey AS {s}) AS project, CAST(l_orderkey AS {s}) AS task, concat(CASE l_partkey % 5 WHEN 0 THEN 'ods.t' WHEN 1 THEN 'ads.t' WHEN 2 THEN 'temp_' ELSE 'mid.t' END, CAST(l_partkey AS {s})) AS table_name, CASE WHEN l_returnflag = 'R' THEN 'produce' ELSE 'consume' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
     "table_use": "SELECT u.project, t.workflow, u.task, u.table_name, u.role FROM task_use u JOIN task t ON u.project = t.project AND u.task = t.code",
     "wf_edge": "SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = 2 * a.c_custkey WHERE a.c_custkey >= 1 UNION SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = 2 * a.c_custkey + 1 WHERE a.c_custkey >= 1 UNION SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = 3 * a.c_custkey WHERE a.c_custkey >= 1",
-    "cyc_edge": "SELECT 'p' AS project, CAST(c_custkey AS {s}) AS source, CAST((c_custkey * 7) % 97 + 1 AS {s}) AS target FROM customer WHERE c_custkey BETWEEN 1 AND 97",
-    "loop_edge": "SELECT 'p' AS project, CAST(c_custkey AS {s}) AS source, CAST((c_custkey * 3) % 20 + 1 AS {s}) AS target FROM customer WHERE c_custkey BETWEEN 1 AND 20 UNION SELECT 'p' AS project, CAST(c_custkey AS {s}) AS source, CAST((c_custkey * 5) % 20 + 1 AS {s}) AS target FROM customer WHERE c_custkey BETWEEN 1 AND 20",
+    # Edges with cycles, in blocks of 97 and of 20 customers, as many blocks as there are customers for.
+    "cyc_edge": "SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - (a.c_custkey - 1) % 97 + ((a.c_custkey - 1) % 97 * 7 + 7) % 97 WHERE a.c_custkey >= 1",
+    "loop_edge": "SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - (a.c_custkey - 1) % 20 + ((a.c_custkey - 1) % 20 * 3 + 3) % 20 WHERE a.c_custkey >= 1 UNION SELECT 'p' AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - (a.c_custkey - 1) % 20 + ((a.c_custkey - 1) % 20 * 5 + 5) % 20 WHERE a.c_custkey >= 1",
     "calls": "SELECT DISTINCT CAST(a.c_nationkey AS {s}) AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 25 WHERE a.c_custkey % 3 = 0",
     "declared": "SELECT DISTINCT CAST(a.c_nationkey AS {s}) AS project, CAST(a.c_custkey AS {s}) AS source, CAST(b.c_custkey AS {s}) AS target FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE (a.c_custkey + b.c_custkey) % 7 = 0 AND a.c_custkey <> b.c_custkey",
     "snapshot_b": "SELECT project, code, workflow, CASE WHEN CAST(code AS BIGINT) % 7 = 0 THEN 'CHANGED' ELSE task_type END AS task_type FROM task WHERE CAST(code AS BIGINT) % 10 <> 0",
@@ -22,7 +23,34 @@ VIEWS = {
     "log_line": "SELECT CAST(user_id AS {s}) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, ts, CASE event_type WHEN 'error' THEN concat('ERROR Executor: Exception in task ', CAST(event_id AS {s}), ' java.lang.OutOfMemoryError: Java heap space') WHEN 'signup' THEN concat('Caused by: org.apache.spark.SparkException: Job aborted due to stage ', CAST(event_id % 50 AS {s})) WHEN 'click' THEN concat('  at org.apache.spark.Worker.run(Worker.java:', CAST(event_id AS {s}), ')') WHEN 'view' THEN concat('INFO application_1700000000_', CAST(user_id AS {s}), ' Stage ', CAST(event_id % 40 AS {s}), ' finished in ', CAST(event_id AS {s}), ' ms') ELSE '' END AS line FROM events",
     "sql_text": "SELECT CAST(o_orderkey AS {s}) AS sql_id, concat('INSERT OVERWRITE TABLE ads.t', CAST(o_custkey AS {s}), ' SELECT * FROM ods.t', CAST(o_orderkey % 97 AS {s}), ' a JOIN dwd.t', CAST(o_custkey % 89 AS {s}), ' b ON a.k = b.k') AS content FROM orders",
     "partition_stat": "SELECT event_type AS table_name, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS file_count, CAST(floor(sum(value * 10000)) AS BIGINT) AS total_size FROM events GROUP BY event_type, CAST(ts AS DATE)",
-    "candidate": "SELECT doc_id, source AS skill_name, substr(text, 1, 500) AS original_log, CASE WHEN doc_id % 4 = 0 THEN 'approved' WHEN doc_id % 4 = 1 THEN 'rejected' ELSE 'pending' END AS status, CAST(doc_id % 10 AS DOUBLE) / 10 AS llm_confidence FROM documents",
+    "candidate": "SELECT doc_id, source AS skill_name, text AS original_log, CASE WHEN doc_id % 4 = 0 THEN 'approved' WHEN doc_id % 4 = 1 THEN 'rejected' ELSE 'pending' END AS status, CAST(doc_id % 10 AS DOUBLE) / 10 AS llm_confidence FROM documents",
+    # Messages of ten forms: an object, a list, a list as text, an object with a null, a full alert, a list that tells nothing, text with two keys and with one, prose, a request.
+    "message": """SELECT event_id, CASE event_id % 10
+WHEN 0 THEN concat('{"projectCode": ', CAST(user_id AS {s}), ', "taskType": " spark"}')
+WHEN 1 THEN concat('[{"processDefinitionCode": ', CAST(user_id AS {s}), '}, {"projectCode": ', CAST(user_id + 1 AS {s}), '}]')
+WHEN 2 THEN concat('{"alerts": "[{', chr(92), '"projectCode', chr(92), '": ', CAST(user_id AS {s}), ', ', chr(92), '"logPath', chr(92), '": ', chr(92), '"/x/77.log', chr(92), '"}]"}')
+WHEN 3 THEN '{"taskType": null}'
+WHEN 4 THEN concat('{"taskInstanceId": "', CAST(event_id AS {s}), '", "processName": "load-orders-1-2", "rootProcessInstanceId": 4, "processId": 5}')
+WHEN 5 THEN '[{"taskType": "SQL"}]'
+WHEN 6 THEN 'log: "projectCode" : 1, "taskType": x'
+WHEN 7 THEN 'log: "projectCode": 1'
+WHEN 8 THEN 'projectCode taskType FAILURE'
+ELSE concat('{"taskCode": ', CAST(user_id AS {s}), ', "question": "why"}') END AS raw FROM events""",
+    # Event logs: an app for each supplier; task ends from line items, of which some fail and some have no metrics; stages and jobs that end
+    # well, badly or not at all; executors, some removed; two environment updates, in either place; and lines that are no events.
+    "event_line": """SELECT CAST(l_suppkey AS {s}) AS app, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line_no, concat('{"Event":"SparkListenerTaskEnd","Stage ID":', CAST(l_linenumber AS {s}), ',"Task Info":{"Task ID":', CAST(l_orderkey AS {s}), ',"Attempt":', CAST(l_linenumber % 3 AS {s}), ',"Executor ID":"', CAST(l_orderkey % 5 AS {s}), '","Host":"h', CAST(l_orderkey % 5 AS {s}), '","Duration":', CAST(l_partkey AS {s}), '}',
+CASE WHEN l_linenumber = 7 THEN '' ELSE concat(',"Task Metrics":{"Input Metrics":{"Bytes Read":', CAST(l_partkey AS {s}), '},"Shuffle Read Metrics":{"Remote Bytes Read":', CAST(l_partkey * 2 AS {s}), '},"Shuffle Write Metrics":{"Shuffle Bytes Written":', CAST(l_suppkey AS {s}), '},"Memory Bytes Spilled":', CAST(l_linenumber AS {s}), '}') END,
+CASE WHEN l_orderkey % 26 = 0 THEN ',"Task End Reason":{"Reason":"ExceptionFailure","Failure":{"ClassName":""},"Description":"lost"}' WHEN l_orderkey % 13 = 0 THEN ',"Task End Reason":{"Reason":"ExceptionFailure","Failure":{"ClassName":"java.io.IOException"}}' ELSE ',"Task End Reason":{"Reason":"Success"}' END, '}') AS line FROM lineitem
+UNION ALL SELECT CAST(s_suppkey AS {s}), r_regionkey, concat('{"Event":"SparkListenerStageSubmitted","Stage Info":{"Stage ID":', CAST(r_regionkey AS {s}), ',', CASE WHEN r_regionkey % 2 = 0 THEN '"Stage Name"' ELSE '"Name"' END, ':"s', CAST(r_regionkey AS {s}), '","Number of Tasks":', CAST(s_suppkey % 9 AS {s}), ',"Submission Time":100}}') FROM supplier CROSS JOIN region WHERE r_regionkey < 4
+UNION ALL SELECT CAST(s_suppkey AS {s}), 9, '{"Event":"SparkListenerStageSubmitted","Stage Info":{"Stage ID":2,"Stage Name":"again","Number of Tasks":99}}' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS {s}), 10 + r_regionkey, concat('{"Event":"SparkListenerStageCompleted","Stage Info":{"Stage ID":', CAST(r_regionkey AS {s}), ',"Submission Time":100,"Completion Time":', CAST(100 + s_suppkey AS {s}), ',"Number of Failed Tasks":', CAST(s_suppkey % 3 AS {s}), ',"Accumulables":[{"Name":"internal.metrics.Shuffle Write bytes","Value":', CAST(s_suppkey * 5 AS {s}), '},{"Name":"input rows","Value":"', CAST(s_suppkey AS {s}), '"},{"Name":"other","Value":"x"}]', CASE WHEN (s_suppkey + r_regionkey) % 4 = 1 THEN ',"Failure Reason":"boom"' ELSE '' END, '}}') FROM supplier CROSS JOIN region WHERE (s_suppkey + r_regionkey) % 4 <> 0
+UNION ALL SELECT CAST(s_suppkey AS {s}), 20 + r_regionkey, concat('{"Event":"SparkListenerJobStart","Job ID":', CAST(r_regionkey AS {s}), ',"Submission Time":50,"Stage IDs":[1,2],"Description":"job ', CAST(s_suppkey AS {s}), '"}') FROM supplier CROSS JOIN region WHERE r_regionkey < 3
+UNION ALL SELECT CAST(s_suppkey AS {s}), 30 + r_regionkey, concat('{"Event":"SparkListenerJobEnd","Job ID":', CAST(r_regionkey AS {s}), ',"Completion Time":', CAST(50 + s_suppkey AS {s}), CASE (s_suppkey + r_regionkey) % 3 WHEN 1 THEN ',"Job Result":{"Result":"JobSucceeded"}' ELSE ',"Job Result":{"Result":"JobFailed"}' END, '}') FROM supplier CROSS JOIN region WHERE (s_suppkey + r_regionkey) % 3 <> 0
+UNION ALL SELECT CAST(s_suppkey AS {s}), 40 + n_nationkey, concat('{"Event":"SparkListenerExecutorAdded",', CASE WHEN n_nationkey % 2 = 0 THEN '"Timestamp":7' ELSE '"Time":8' END, ',"Executor ID":"', CAST(n_nationkey AS {s}), '","Executor Info":{"Host":"h', CAST(n_nationkey AS {s}), '","Total Cores":4,"Memory":', CAST(s_suppkey AS {s}), '}}') FROM supplier CROSS JOIN nation WHERE n_nationkey < 6
+UNION ALL SELECT CAST(s_suppkey AS {s}), 70 + n_nationkey, concat('{"Event":"SparkListenerExecutorRemoved","Timestamp":99,"Executor ID":"', CAST(n_nationkey AS {s}), '"', CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE ',"Removed Reason":"lost"' END, '}') FROM supplier CROSS JOIN nation WHERE n_nationkey < 9 AND (s_suppkey + n_nationkey) % 2 = 0
+UNION ALL SELECT CAST(s_suppkey AS {s}), -1, CASE WHEN s_suppkey % 2 = 0 THEN concat('{"Event":"SparkListenerEnvironmentUpdate","Environment Details":{"Spark Properties":{"spark.executor.memory":"', CAST(s_suppkey AS {s}), 'g","spark.driver.cores":"2"}}}') ELSE concat('{"Event":"SparkListenerEnvironmentUpdate","Spark Properties":{"spark.executor.memory":"', CAST(s_suppkey AS {s}), 'm","spark.executor.instances":"3"}}') END FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS {s}), 0, '{"Event":"SparkListenerEnvironmentUpdate","Spark Properties":{"spark.executor.memory":"99g"}}' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS {s}), -2, CASE WHEN s_suppkey % 2 = 0 THEN 'not an event' ELSE '{"Event":"SparkListenerTaskEnd","Stage ID' END FROM supplier""",
     "storage_path": "SELECT event_id, concat('/user/hive/warehouse/db.db/', event_type, CASE event_id % 4 WHEN 0 THEN concat('/dt=', CAST(CAST(ts AS DATE) AS {s})) WHEN 1 THEN concat('/', replace(CAST(CAST(ts AS DATE) AS {s}), '-', '')) WHEN 2 THEN concat('/', replace(CAST(CAST(ts AS DATE) AS {s}), '-', '/')) ELSE '' END, '/part-0.parquet') AS path FROM events",
 }
 
@@ -33,9 +61,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a supplied table, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].format(s="STRING")
+    sql = VIEWS[name].replace("{s}", "STRING")
     needs = [x for x in (*VIEWS, *TABLES) if x != name and _uses(sql, x)]
-    return spark.sql(_named(sql, needs), **{x: view(spark, sf_dir, x) for x in needs})
+    braced = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(_named(braced, needs), **{x: view(spark, sf_dir, x) for x in needs})
 
 
 def _uses(sql: str, name: str) -> bool:
@@ -64,5 +93,5 @@ def with_views(body: str) -> str:
     recursive = body.lstrip().upper().startswith("WITH RECURSIVE")
     own = body.lstrip()[len("WITH RECURSIVE") if recursive else len("WITH") :] if body.lstrip().upper().startswith("WITH") else None
     head = "WITH RECURSIVE " if recursive else "WITH "
-    views = ", ".join(f"{x} AS ({VIEWS[x].format(s='VARCHAR')})" for x in order)
+    views = ", ".join(f"{x} AS ({VIEWS[x].replace('{s}', 'VARCHAR')})" for x in order)
     return f"{head}{views}, {own}" if own else f"{head}{views} {body}"

@@ -1,8 +1,10 @@
 """Lineage, graph and validation queries over the supplied tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, lineage, validation
+from ..functions import text
+from ..operators import graph, lineage, match, validation
 from .bindings import view
 from .registry import query
 
@@ -35,7 +37,7 @@ def implicit_dependencies(s, d):
 
 @query("WITH " + _PAIRS + """SELECT p.* FROM pairs p ANTI JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target""")
 def missing_dependencies(s, d):
-    return lineage.missing_dependencies(_implicit(s, d), view(s, d, "declared")).select(*_shown())
+    return lineage.missing_dependencies(_implicit(s, d)).select(*_shown())
 
 
 _ROLES = """
@@ -68,14 +70,20 @@ def independent_dependencies(s, d):
     return lineage.independent_dependencies(view(s, d, "table_use"), roles, view(s, d, "declared")).select(*_shown(), "has_dependent_task")
 
 
-@query("SELECT * FROM workflow WHERE project = '3' AND code = '7'")
+def _looked_up(nodes):
+    """The node with the greatest code, looked up by its project and code."""
+    one = nodes.orderBy(F.desc(F.col("code").cast("long"))).first()
+    return lineage.lookup(nodes, one["project"], one["code"])
+
+
+@query("SELECT * FROM workflow ORDER BY CAST(code AS BIGINT) DESC LIMIT 1")
 def workflow_lookup(s, d):
-    return lineage.lookup(view(s, d, "workflow"), "3", "7")
+    return _looked_up(view(s, d, "workflow"))
 
 
-@query("SELECT * FROM task WHERE project = '3' AND code = '100'")
+@query("SELECT * FROM task ORDER BY CAST(code AS BIGINT) DESC LIMIT 1")
 def task_lookup(s, d):
-    return lineage.lookup(view(s, d, "task"), "3", "100")
+    return _looked_up(view(s, d, "task"))
 
 
 @query("""SELECT w.*, coalesce(string_agg(target, ',' ORDER BY target), '') AS sub_workflows FROM workflow w LEFT JOIN calls c ON w.project = c.project AND w.code = c.source GROUP BY ALL""")
@@ -195,10 +203,82 @@ def all_paths(s, d):
 
 
 @query("""WITH RECURSIVE walk AS (SELECT target AS pos, ['1', target] AS path FROM wf_edge WHERE source = '1' UNION ALL SELECT e.target, list_append(w.path, e.target) FROM walk w JOIN wf_edge e ON e.source = w.pos)
-SELECT 'p' AS project, '1' AS source, pos AS target, min(len(path)) - 1 AS steps FROM walk GROUP BY pos""")
+SELECT 'p' AS project, '1' AS source, pos AS target, array_to_string(arg_min(path, struct_pack(n := len(path), p := path)), '>') AS path FROM walk GROUP BY pos""")
 def shortest_paths(s, d):
     seed = s.createDataFrame([("p", "1")], "project string, source string")
-    return graph.shortest_paths(view(s, d, "wf_edge"), seed).select("project", "source", "target", (F.size("path") - 1).cast("long").alias("steps"))
+    return graph.shortest_paths(view(s, d, "wf_edge"), seed).select("project", "source", "target", F.array_join("path", ">").alias("path"))
+
+
+@query("""WITH RECURSIVE walk AS (SELECT source, target AS pos, [source, target] AS path FROM wf_edge WHERE source = '1' UNION ALL SELECT w.source, e.target, list_append(w.path, e.target) FROM walk w JOIN wf_edge e ON e.source = w.pos WHERE NOT list_contains(w.path, e.target) AND len(w.path) < 9)
+SELECT DISTINCT 'p' AS project, path[i] AS source, path[i + 1] AS target FROM (SELECT path, unnest(range(1, len(path))) AS i FROM walk WHERE pos = '72')""")
+def path_edges(s, d):
+    return graph.path_edges(graph.all_paths(view(s, d, "wf_edge"), "p", "1", "72", 8))
+
+
+@query("""SELECT DISTINCT project, CASE WHEN role = 'produce' THEN task ELSE table_name END AS source, CASE WHEN role = 'produce' THEN table_name ELSE task END AS target, 'task_' || role || 's_table' AS edge_type FROM task_use""")
+def table_edges(s, d):
+    return graph.table_edges(view(s, d, "task_use"))
+
+
+@query("""SELECT project, source, target, string_agg(edge_type, ',' ORDER BY edge_type) AS edge_types FROM (SELECT project, source, target, 'calls' AS edge_type FROM calls UNION SELECT project, source, target, 'depends' FROM declared) GROUP BY ALL""")
+def merged_edges(s, d):
+    return graph.merged_edges(calls=view(s, d, "calls"), depends=view(s, d, "declared")).select("project", "source", "target", *joined("edge_types"))
+
+
+# A chain of the tasks of each workflow by number; the chain of one task's workflow, from it.
+@query("""WITH c AS (SELECT project, workflow, code, lead(code) OVER (PARTITION BY project, workflow ORDER BY CAST(code AS BIGINT)) AS next FROM task),
+first AS (SELECT project, workflow, code FROM task ORDER BY CAST(code AS BIGINT) LIMIT 1) SELECT f.project, f.code AS source, t.code AS target FROM first f JOIN task t ON t.project = f.project AND t.workflow = f.workflow AND CAST(t.code AS BIGINT) > CAST(f.code AS BIGINT)""")
+def downstream_in_workflow(s, d):
+    tasks = view(s, d, "task").withColumn("n", F.col("code").cast("long"))
+    chain = Window.partitionBy("project", "workflow").orderBy("n")
+    onward = tasks.select("project", F.col("code").alias("source"), F.lead("code").over(chain).alias("target"))
+    # Edges to the tasks of other workflows, which are to be left out.
+    astray = tasks.select("project", F.col("code").alias("source"), (F.col("n") + 1).cast("string").alias("target"))
+    one = tasks.orderBy("n").first()
+    return graph.downstream_in_workflow(onward.unionByName(astray.filter("source % 2 = 1")), tasks, one["project"], one["code"]).select("project", "source", "target")
+
+
+# A class for each order, in a file of its own project or, for every fourth, of the next; the file holds an SQL string.
+@query("""SELECT CAST(o_custkey % 5 AS VARCHAR) AS project, 'com.x.Job' || o_orderkey AS "class", CASE WHEN o_orderkey % 4 = 3 THEN '/p' || (o_custkey % 5 + 1) ELSE '/p' || (o_custkey % 5) END || '/com/x/Job' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.scala' WHEN 1 THEN '.java' ELSE '.py' END AS path,
+o_orderkey % 4 = 3 AS cross_project FROM orders""")
+def class_files(s, d):
+    return _class_files(s, d)[0].select("project", "class", "path", "cross_project")
+
+
+def _class_files(s, d):
+    o = view(s, d, "orders")
+    number, project = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 5).cast("string")
+    name = F.concat(F.lit("com.x.Job"), number)
+    own = F.col("o_orderkey") % 4 != 3
+    home = F.when(own, project).otherwise((F.col("o_custkey") % 5 + 1).cast("string"))
+    suffix = F.concat(F.lit("com/x/Job"), number, F.element_at(F.array(*map(F.lit, (".scala", ".java", ".py"))), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    sql = F.concat(F.lit('x = """INSERT INTO TABLE ads.t'), F.col("o_custkey").cast("string"), F.lit(" SELECT a FROM ods.t"), (F.col("o_orderkey") % 97).cast("string"), F.lit(" a JOIN dwd.t"), (F.col("o_custkey") % 89).cast("string"), F.lit(' b ON a.k = b.k"""'))
+    sources = o.select(home.alias("project"), F.concat(F.lit("/p"), home, F.lit("/"), suffix).alias("path"), suffix.alias("suffix"), sql.alias("content"))
+    classes = o.select(project.alias("project"), name.alias("class"), text.class_paths(name).alias("candidates"))
+    return match.best_class_file(classes, sources), sources, o.select(name.alias("class"), number.alias("task"))
+
+
+@query("""WITH o AS (SELECT CAST(o_custkey % 5 AS VARCHAR) AS project, 'com.x.Job' || o_orderkey AS "class", CAST(o_orderkey AS VARCHAR) AS task, o_custkey AS c, o_orderkey AS k FROM orders)
+SELECT project, "class", task, 'ads.t' || c AS table_name, 'produce' AS role FROM o UNION SELECT project, "class", task, 'ods.t' || k % 97, 'consume' FROM o UNION SELECT project, "class", task, 'dwd.t' || c % 89, 'consume' FROM o""")
+def class_uses(s, d):
+    found, sources, tasks = _class_files(s, d)
+    return lineage.class_uses(found.join(tasks, "class"), sources)
+
+
+@query("""SELECT project, task, table_name, role FROM task_use UNION SELECT CAST(o_custkey % 5 AS VARCHAR), CAST(o_orderkey AS VARCHAR), 'ads.t' || o_custkey, 'produce' FROM orders UNION SELECT CAST(o_custkey % 5 AS VARCHAR), CAST(o_orderkey AS VARCHAR), 'ods.t' || o_orderkey % 97, 'consume' FROM orders
+UNION SELECT CAST(o_custkey % 5 AS VARCHAR), CAST(o_orderkey AS VARCHAR), 'dwd.t' || o_custkey % 89, 'consume' FROM orders""")
+def merged_uses(s, d):
+    found, sources, tasks = _class_files(s, d)
+    uses = lineage.class_uses(found.join(tasks, "class"), sources)
+    return lineage.merged_uses(view(s, d, "task_use"), uses, uses)
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'a-b-' || c_custkey WHEN 2 THEN 'plain' ELSE 'kept_name' END AS code_project FROM customer""")
+def code_projects(s, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, "old_one").when(k % 4 == 1, F.concat(F.lit("a_b_"), k.cast("string"))).when(k % 4 == 2, "plain").otherwise("kept_name")
+    mapping = s.createDataFrame([("old_one", "moved"), ("kept_name", "kept_name")], "project_name string, code_project string")
+    return lineage.code_projects(view(s, d, "customer").select("c_custkey", name.alias("project_name")), mapping).select("c_custkey", "code_project")
 
 
 @query("""WITH RECURSIVE walk AS (SELECT source AS start, target AS pos, [source] AS path FROM loop_edge WHERE target >= source UNION ALL SELECT w.start, e.target, list_append(w.path, w.pos) FROM walk w JOIN loop_edge e ON e.source = w.pos WHERE w.pos > w.start AND e.target >= w.start AND len(w.path) < 20 AND NOT list_contains(w.path, w.pos))
@@ -263,6 +343,51 @@ def match_rates(s, d):
     return validation.match_rates(view(s, d, "task"), view(s, d, "snapshot_b"), ["code"])
 
 
+# The scheduler's snapshot: workflows without every thirteenth and with every eleventh renamed, edges without every third but with the calls.
+_OTHER = """w2 AS (SELECT project, code, CASE WHEN CAST(code AS BIGINT) % 11 = 0 THEN 'renamed' ELSE name END AS name FROM workflow WHERE CAST(code AS BIGINT) % 13 <> 0),
+e2 AS (SELECT project, source, target FROM declared WHERE CAST(source AS BIGINT) % 3 <> 0 UNION SELECT project, source, target FROM calls)"""
+
+
+def _snapshots(s, d):
+    w, t, e, c = (view(s, d, x) for x in ("workflow", "task", "declared", "calls"))
+    n = lambda x: F.col(x).cast("long")
+    main = F.concat(F.lit("com.Job"), F.col("code"))
+    w2 = w.filter(n("code") % 13 != 0).withColumn("name", F.when(n("code") % 11 == 0, "renamed").otherwise(F.col("name")))
+    e2 = e.filter(n("source") % 3 != 0).select("project", "source", "target").unionByName(c.select("project", "source", "target")).distinct()
+    t2 = view(s, d, "snapshot_b").withColumn("main_class", F.when(n("code") % 17 != 0, main))
+    classes = t.select("project", (n("code") % 50).cast("string").alias("class"), F.col("code").alias("task"))
+    graph_side = {"workflows": w, "tasks": t.withColumn("main_class", main), "edges": e, "calls": c, "classes": classes}
+    return graph_side, {"workflows": w2, "tasks": t2, "edges": e2, "calls": c.filter(n("source") % 2 == 0), "classes": classes.filter("CAST(task AS LONG) % 50 != 7 OR CAST(task AS LONG) % 4 = 0")}
+
+
+@query(f"""WITH {_OTHER}, c2 AS (SELECT project, CAST(CAST(code AS BIGINT) % 50 AS VARCHAR) AS k, code FROM task WHERE CAST(code AS BIGINT) % 50 <> 7 OR CAST(code AS BIGINT) % 4 = 0), c1 AS (SELECT project, CAST(CAST(code AS BIGINT) % 50 AS VARCHAR) AS k, code FROM task),
+counts AS (SELECT coalesce(a.project, b.project) AS project, coalesce(a.workflow, b.workflow) AS workflow, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM (SELECT project, workflow, count(*) AS n FROM task GROUP BY ALL) a FULL JOIN (SELECT project, workflow, count(*) AS n FROM snapshot_b GROUP BY ALL) b USING (project, workflow)),
+sets AS (SELECT coalesce(a.project, b.project) AS project, a.l IS NOT DISTINCT FROM b.l AS same FROM (SELECT project, k, list(code ORDER BY code) AS l FROM c1 GROUP BY ALL) a FULL JOIN (SELECT project, k, list(code ORDER BY code) AS l FROM c2 GROUP BY ALL) b USING (project, k)),
+flags AS (SELECT project, table_name, bool_or(role = 'produce') AS made, bool_or(role = 'consume') AS red FROM task_use GROUP BY ALL),
+issues AS (SELECT project, 'workflow_extra' AS category, 'MEDIUM' AS severity FROM workflow WHERE CAST(code AS BIGINT) % 13 = 0
+UNION ALL SELECT project, 'workflow_name', 'MEDIUM' FROM w2 WHERE name = 'renamed'
+UNION ALL SELECT project, 'task_type', 'MEDIUM' FROM task a JOIN snapshot_b b USING (project, code) WHERE a.task_type IS DISTINCT FROM b.task_type
+UNION ALL SELECT project, 'task_count', 'MEDIUM' FROM counts WHERE x <> y
+UNION ALL SELECT project, 'dependency_missing', 'HIGH' FROM (SELECT project, source, target FROM e2 EXCEPT SELECT project, source, target FROM declared)
+UNION ALL SELECT project, 'dependency_extra', 'MEDIUM' FROM (SELECT project, source, target FROM declared EXCEPT SELECT project, source, target FROM e2)
+UNION ALL SELECT project, 'no_producer', 'MEDIUM' FROM flags WHERE NOT made AND NOT regexp_matches(lower(table_name), 'ads|dws|report')
+UNION ALL SELECT project, 'main_class', 'MEDIUM' FROM snapshot_b WHERE CAST(code AS BIGINT) % 17 = 0
+UNION ALL SELECT project, 'sub_workflow_call_extra', 'MEDIUM' FROM calls WHERE CAST(source AS BIGINT) % 2 = 1
+UNION ALL SELECT project, 'class_tasks', 'MEDIUM' FROM sets WHERE NOT same)
+SELECT project, category, severity, count(*) AS n FROM issues GROUP BY ALL""")
+def validation_issues(s, d):
+    uses = view(s, d, "task_use")
+    found = validation.validate(*_snapshots(s, d), uses.select("project", "table_name").distinct(), uses)
+    return found.groupBy("project", "category", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_OTHER}, k AS (SELECT 'workflows' AS kind, project, code AS key, 1 AS a, 0 AS b FROM workflow UNION ALL SELECT 'workflows', project, code, 0, 1 FROM w2 UNION ALL SELECT 'tasks', project, code, 1, 0 FROM task UNION ALL SELECT 'tasks', project, code, 0, 1 FROM snapshot_b
+UNION ALL SELECT 'edges', project, source || '>' || target, 1, 0 FROM declared UNION ALL SELECT 'edges', project, source || '>' || target, 0, 1 FROM e2), m AS (SELECT kind, project, key, max(a) AS a, max(b) AS b FROM k GROUP BY ALL)
+SELECT kind, project, count(*) FILTER (b = 1) AS expected, count(*) FILTER (a = 1 AND b = 1) AS matched, coalesce(round(count(*) FILTER (a = 1 AND b = 1) / nullif(count(*) FILTER (b = 1), 0), 6), 1) AS rate FROM m GROUP BY ALL""")
+def all_match_rates(s, d):
+    return validation.all_rates(*_snapshots(s, d)).select("kind", "project", "expected", "matched", F.round("rate", 6).alias("rate"))
+
+
 _TABLES = """tables AS (SELECT DISTINCT project, table_name FROM table_use UNION SELECT '0', concat('ods.extra', p_partkey) FROM part WHERE p_partkey % 50 = 0),
 flags AS (SELECT t.project, t.table_name, coalesce(bool_or(role = 'produce'), false) AS made, coalesce(bool_or(role = 'consume'), false) AS red FROM tables t LEFT JOIN table_use u USING (project, table_name) GROUP BY ALL)"""
 

@@ -39,9 +39,12 @@ def root_causes(s, d):
     return logs.error_blocks(view(s, d, "log_line")).select("log_id", "pos", logs.root_cause(F.col("block")).alias("root_cause"))
 
 
-@query("WITH " + _BLOCKS + """ SELECT l.log_id, coalesce(n, 0) AS n_blocks, CAST(0 AS BIGINT) AS n_warnings FROM (SELECT DISTINCT log_id FROM log_line) l LEFT JOIN (SELECT log_id, count(*) AS n FROM blocks GROUP BY log_id) USING (log_id)""")
+# Logs of ten lines for each user, of which some warn.
+@query("WITH " + _BLOCKS + """, w AS (SELECT log_id, count(*) AS n FROM log_line WHERE line_no % 10 = 3 AND line <> '' GROUP BY log_id)
+SELECT l.log_id, coalesce(b.n, 0) AS n_blocks, coalesce(w.n, 0) AS n_warnings FROM (SELECT DISTINCT log_id FROM log_line) l LEFT JOIN (SELECT log_id, count(*) AS n FROM blocks GROUP BY log_id) b USING (log_id) LEFT JOIN w USING (log_id)""")
 def error_summary(s, d):
-    return logs.error_summary(view(s, d, "log_line")).select("log_id", "n_blocks", "n_warnings")
+    line = F.when((F.col("line_no") % 10 == 3) & (F.col("line") != ""), F.concat("line", F.lit(" Low memory"))).otherwise(F.col("line"))
+    return logs.error_summary(view(s, d, "log_line").withColumn("line", line)).select("log_id", "n_blocks", "n_warnings")
 
 
 _GAPS = """g AS (SELECT log_id, lag(ts) OVER (PARTITION BY log_id ORDER BY line_no) AS from_ts, ts AS to_ts FROM log_line), gaps AS (SELECT *, (epoch_us(to_ts) - epoch_us(from_ts)) / 60e6 AS gap_minutes FROM g WHERE from_ts IS NOT NULL)"""
@@ -57,9 +60,10 @@ def log_progress(s, d):
     return logs.progress(view(s, d, "log_line"), 300, 2000).select("log_id", "n_gaps", R("max_gap_minutes"), "has_progress")
 
 
-@query("""WITH x AS (SELECT log_id, line_no, string_agg(line, chr(10)) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s, min(CASE WHEN contains(line, 'OutOfMemory') THEN line_no END) OVER (PARTITION BY log_id) AS f FROM log_line) SELECT log_id, line_no, md5(s) AS snippet_md5 FROM x WHERE line_no = f""")
+@query("""WITH x AS (SELECT log_id, line_no, string_agg(line, chr(10)) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s, min(CASE WHEN contains(line, 'in task 7') THEN line_no END) OVER (PARTITION BY log_id) AS f FROM log_line) SELECT log_id, line_no, md5(s) AS snippet_md5 FROM x WHERE line_no = f
+UNION ALL SELECT log_id, NULL, md5(substr(string_agg(line, chr(10) ORDER BY line_no), 1, 500)) FROM log_line GROUP BY log_id HAVING NOT bool_or(contains(line, 'in task 7'))""")
 def snippets(s, d):
-    return logs.snippets(view(s, d, "log_line"), "OutOfMemory").select("log_id", "line_no", F.md5("snippet").alias("snippet_md5"))
+    return logs.snippets(view(s, d, "log_line"), "in task 7").select("log_id", "line_no", F.md5("snippet").alias("snippet_md5"))
 
 
 @query("SELECT log_id, line_no, line FROM log_line WHERE regexp_matches(line, '(?i)error|exception|failed|fatal') QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) <= 5")

@@ -51,9 +51,11 @@ def daily_type_metrics(s, d):
     return runs.daily_type_metrics(view(s, d, "instance")).select("project", "day", "task_type", "total", "failure", R("avg_duration"))
 
 
-@query("SELECT project, CAST(start_time AS DATE) AS day, task_type, count(*) AS n, array_to_string(list(id ORDER BY id)[1:3], ',') AS examples FROM instance WHERE state = 'FAILURE' GROUP BY ALL")
+@query("""SELECT project, CAST(start_time AS DATE) AS day, 'e' || retry AS error_type, count(*) AS n, string_agg(DISTINCT task_type, ',' ORDER BY task_type) AS task_types, array_to_string(list(id ORDER BY id)[1:3], ',') AS examples
+FROM instance WHERE state <> 'SUCCESS' GROUP BY ALL""")
 def daily_error_metrics(s, d):
-    return runs.daily_error_metrics(view(s, d, "instance")).select("project", "day", "task_type", "n", J("examples"))
+    failures = view(s, d, "instance").filter("state != 'SUCCESS'").withColumn("error_type", F.concat(F.lit("e"), F.col("retry").cast("string")))
+    return runs.daily_error_metrics(failures).select("project", "day", "error_type", "n", J("task_types"), J("examples"))
 
 
 @query("SELECT CAST(start_time AS DATE) AS day, count(*) FILTER (state = 'SUCCESS') AS success, count(*) FILTER (state = 'FAILURE') AS failure, count(*) FILTER (state = 'RUNNING') AS running FROM instance GROUP BY ALL")
@@ -129,11 +131,23 @@ def timeout_metrics(s, d):
     return _timeouts(s, d).select("workflow", "max_retry", "retry_task", F.col("retry_time").cast("long").alias("retry_time"), "max_duration", "slowest_task", "max_wait", "is_slow")
 
 
-@query("WITH " + _TIMEOUT + """ SELECT workflow, CASE WHEN max_retry >= 5 THEN 'RETRY' WHEN max_wait > 300 AND max_wait > 2 * avg_wait THEN 'QUEUE_WAIT' WHEN max_duration > 3 * avg_duration THEN 'SLOW_EXECUTION' ELSE 'UNKNOWN' END AS timeout_type,
-CASE WHEN max_retry >= 5 THEN 0.9 WHEN max_wait > 300 AND max_wait > 2 * avg_wait THEN 0.8 WHEN max_duration > 3 * avg_duration THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence FROM m""")
+# Metrics for each event such that every rule is the first to hold for some, and none for others.
+_METRICS = """m AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 90.0 ELSE 50.0 END AS util, event_id % 110 AS containers, CASE WHEN event_id % 7 = 0 THEN 95.0 ELSE 60.0 END AS queue_used, event_id % 12 AS apps, event_id % 4 AS max_retry,
+CASE WHEN event_id % 5 = 0 THEN 400.0 ELSE 100.0 END AS max_wait, event_id % 300 AS avg_wait, event_id % 900 AS max_duration, event_id % 200 AS avg_duration, event_id % 13 = 1 AS is_data_spike, event_id % 3 = 1 AS upstream_delay, event_id % 30 AS running FROM events)"""
+
+
+@query("WITH " + _METRICS + """, k AS (SELECT *, CASE WHEN util > 85 THEN 1 WHEN containers > 100 THEN 2 WHEN queue_used > 90 THEN 3 WHEN apps > 10 THEN 4 WHEN max_retry >= 3 THEN 5 WHEN max_wait > 300 AND max_wait / greatest(avg_wait, 1) > 2 THEN 6
+WHEN max_duration / greatest(avg_duration, 1) > 3 THEN 7 WHEN is_data_spike THEN 8 WHEN upstream_delay THEN 9 ELSE 10 END AS r FROM m)
+SELECT event_id, ['cluster_overloaded', 'cluster_overloaded', 'queue_congested', 'queue_congested', 'task_retry_timeout', 'queue_wait_long', 'task_execution_slow', 'data_volume_spike', 'upstream_delay', 'unknown'][r] AS timeout_type,
+CASE WHEN r < 5 THEN 'RESOURCE_SUGGESTED' WHEN r < 10 THEN 'KNOWN_NEEDS_LLM' ELSE 'UNKNOWN' END AS category, [0.85, 0.8, 0.8, 0.75, 0.9, 0.85, 0.8, 0.7, 0.65, 0.0][r]::DOUBLE AS confidence,
+CASE WHEN r < 3 THEN 'reduce_concurrency ' || greatest(5, 20 - running) WHEN r < 5 THEN 'adjust_queue_capacity +20%' END AS advice FROM k""")
 def timeout_classes(s, d):
-    m = _timeouts(s, d).withColumns({"util": F.lit(50.0), "containers": F.lit(0), "queue_used": F.lit(10.0), "apps": F.lit(1), "upstream_delay": F.lit(False), "max_retry": F.col("max_retry") - 2})
-    return runs.timeout_class(m).select("workflow", "timeout_type", "confidence")
+    e = F.col("event_id")
+    m = view(s, d, "events").select(
+        e, F.when(e % 11 == 0, 90.0).otherwise(50.0).alias("util"), (e % 110).alias("containers"), F.when(e % 7 == 0, 95.0).otherwise(60.0).alias("queue_used"), (e % 12).alias("apps"), (e % 4).alias("max_retry"), F.when(e % 5 == 0, 400.0).otherwise(100.0).alias("max_wait"),
+        (e % 300).alias("avg_wait"), (e % 900).alias("max_duration"), (e % 200).alias("avg_duration"), (e % 13 == 1).alias("is_data_spike"), (e % 3 == 1).alias("upstream_delay"), (e % 30).alias("running"),
+    )
+    return runs.timeout_advice(runs.timeout_class(m)).select("event_id", "timeout_type", "category", "confidence", "advice")
 
 
 @query("""WITH x AS (SELECT event_id AS id, 1000 AS total_memory_mb, event_id % 1000 AS used_memory_mb, 100 AS total_vcores, event_id % 100 AS used_vcores, 10 - event_id % 4 AS active_nodes, event_id % 4 AS unhealthy_nodes, event_id % 150 AS pending_containers FROM events),
@@ -215,13 +229,6 @@ def alert_risks(s, d):
     return alerts.alert_risk(_actions(s, d))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'CRITICAL' WHEN event_id % 5 = 1 THEN 'HIGH' WHEN event_id % 5 = 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, event_id % 5 = 0 AS blocked FROM events""")
-def command_classes(s, d):
-    verb = F.element_at(F.array(*map(F.lit, ("Delete", "recover", "edit", "list", "get"))), (F.col("event_id") % 5 + 1).cast("int"))
-    c = alerts.command_class(F.array(F.lit("workflow"), verb, F.lit("x")))
-    return view(s, d, "events").select("event_id", c.risk.alias("risk"), c.blocked.alias("blocked"))
-
-
 @query("""WITH x AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IN ('signup', 'purchase'))
 SELECT CAST(f.user_id AS VARCHAR) AS "user", f.event_id AS feedback_id, (SELECT CASE WHEN epoch_us(f.ts) - epoch_us(max(e.ts)) <= 18000000000 THEN CAST(arg_max(e.event_id, e.ts) AS VARCHAR) END FROM x e WHERE e.event_type = 'purchase' AND e.user_id = f.user_id AND e.ts <= f.ts) AS execution_id FROM x f WHERE f.event_type = 'signup'""")
 def feedback_matches(s, d):
@@ -284,11 +291,11 @@ def project_list(s, d):
     return files.projects(view(s, d, "workflow"))
 
 
-_BLOCKS = "b AS (SELECT CAST(l_suppkey AS VARCHAR) AS app, l_linenumber AS rdd, CAST(l_orderkey % 10 AS VARCHAR) AS executor, l_quantity AS memory_mb, CASE WHEN l_orderkey % 11 = 0 THEN l_tax ELSE 0 END AS disk_mb FROM lineitem WHERE l_suppkey % 9 > 0)"
+_BLOCKS = "b AS (SELECT CAST(l_suppkey AS VARCHAR) AS app, l_linenumber AS rdd, CAST(l_orderkey % 10 AS VARCHAR) AS executor, l_quantity AS memory_mb, CASE WHEN l_orderkey % 11 = 0 THEN l_tax ELSE 0 END AS disk_mb FROM lineitem)"
 
 
 def _blocks(s, d):
-    li = view(s, d, "lineitem").filter("l_suppkey % 9 > 0")
+    li = view(s, d, "lineitem")
     return li.select(F.col("l_suppkey").cast("string").alias("app"), F.col("l_linenumber").alias("rdd"), (F.col("l_orderkey") % 10).cast("string").alias("executor"), F.col("l_quantity").alias("memory_mb"), F.when(F.col("l_orderkey") % 11 == 0, F.col("l_tax")).otherwise(0).alias("disk_mb"))
 
 

@@ -1,5 +1,8 @@
 """Sources and sinks: lineage graphs, definitions, logs, event logs, listings, catalogues, audit and reports."""
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,25 @@ def write_by_project(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
 
 
+#: The indexes that are kept, with the columns that tell them apart.
+INDEXES = {"downstream": "direct", "table_users": "table_name", "workflow_nodes": "tasks"}
+
+
+def write_index(df: DataFrame, base: str, kind: str) -> None:
+    """Store an index of INDEXES for the projects in df."""
+    if INDEXES[kind] not in df.columns:
+        raise ValueError(f"this isn't the index {kind}: it has no {INDEXES[kind]}")
+    write_by_project(df, f"{base}/{kind}")
+
+
+def read_index(spark: SparkSession, base: str, kind: str, project: str | None = None) -> DataFrame:
+    """A stored index; of one project if named, of which only the partition is read."""
+    if kind not in INDEXES:
+        raise ValueError(f"no index {kind}")
+    out = spark.read.parquet(f"{base}/{kind}").withColumn("project", F.col("project").cast("string"))
+    return out.filter(F.col("project") == project) if project is not None else out
+
+
 def projects(df: DataFrame) -> DataFrame:
     return df.select("project").distinct()
 
@@ -58,8 +80,9 @@ def parse_definitions(definitions: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content) of whole files."""
-    return spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, content) of whole files; those that can't be read, or have gone, are left out."""
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_logs(spark: SparkSession, base: str) -> DataFrame:
@@ -79,6 +102,12 @@ def write_logs(logs: DataFrame, path: str) -> None:
     kept.withColumns({c: safe_part(F.col(c)) for c in ("workflow_code", "task_code")}).write.mode("append").partitionBy("dt", "workflow_code", "task_code").json(path)
 
 
+def log_metadata(logs: DataFrame) -> DataFrame:
+    """A row for each date, workflow and task that write_logs() stores: sources and characters of its logs."""
+    kept = logs.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
+    return kept.groupBy("dt", "workflow_code", "task_code").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.sum(F.length("text")).alias("n_chars"))
+
+
 def latest_logs(logs: DataFrame) -> DataFrame:
     """The newest date's logs of each workflow and task."""
     rank = F.rank().over(Window.partitionBy("workflow_code", "task_code").orderBy(F.desc("dt")))
@@ -89,15 +118,36 @@ def retained(logs: DataFrame, today: Column, days: int = 7) -> DataFrame:
     return logs.filter(F.col("dt").cast("date") >= F.date_sub(today, days))
 
 
+def drop_old(spark: SparkSession, path: str, today: str, days: int = 7) -> int:
+    """Delete the date partitions (dt=...) under path that are older; returns how many. Only their names are read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    oldest = (date.fromisoformat(today) - timedelta(days)).isoformat()
+    old = [x.getPath() for x in files.listStatus(folder) if x.isDirectory() and re.fullmatch(r"dt=\d{4}-\d{2}-\d{2}", x.getPath().getName()) and x.getPath().getName()[3:] < oldest]
+    for p in old:
+        files.delete(p, True)
+    return len(old)
+
+
 def n_dropped_days(logs: DataFrame, today: Column, days: int = 7) -> DataFrame:
     return logs.filter(F.col("dt").cast("date") < F.date_sub(today, days)).agg(F.countDistinct("dt").alias("n_dropped"))
 
 
-_METRICS = "struct<`Input Metrics`: struct<`Bytes Read`: long>, `Shuffle Read Metrics`: struct<`Remote Bytes Read`: long>, `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: long>, `Memory Bytes Spilled`: long>"
+_METRICS = (
+    "struct<`Input Metrics`: struct<`Bytes Read`: long>, `Shuffle Read Metrics`: struct<`Remote Bytes Read`: long>,"
+    " `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: long>, `Memory Bytes Spilled`: long>"
+)
+_STAGE = (
+    "struct<`Stage ID`: long, `Stage Name`: string, Name: string, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long,"
+    " `Failure Reason`: string, `Number of Failed Tasks`: long, Accumulables: array<struct<Name: string, Value: string>>>"
+)
+_TASK = "struct<`Task ID`: long, Attempt: long, `Executor ID`: string, Host: string, Duration: long>"
+_PROPERTIES = "map<string, string>"
 EVENT = (
-    "Event string, `Job ID` long, `Executor ID` string, Timestamp long, `Removed Reason` string, `Submission Time` long, `Completion Time` long, `Job Result` struct<Result: string>, `Stage ID` long,"
-    f" `Task Info` struct<`Task ID`: long, Attempt: long, `Executor ID`: string, Host: string>, `Task Metrics` {_METRICS}, `Task End Reason` struct<Reason: string, Failure: struct<ClassName: string>, Description: string>,"
-    " `Stage Info` struct<`Stage ID`: long, `Stage Name`: string, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long, `Failure Reason`: string>, `Spark Properties` map<string, string>"
+    "Event string, `Job ID` long, `Stage IDs` array<long>, Description string, `Submission Time` long, `Completion Time` long, `Job Result` struct<Result: string>,"
+    " `Executor ID` string, `Executor Info` struct<Host: string, `Total Cores`: long, Memory: long>, Timestamp long, Time long, `Removed Reason` string,"
+    f" `Stage ID` long, `Task Info` {_TASK}, `Task Metrics` {_METRICS}, `Task End Reason` struct<Reason: string, Failure: struct<ClassName: string>, Description: string>,"
+    f" `Stage Info` {_STAGE}, `Spark Properties` {_PROPERTIES}, `Environment Details` struct<`Spark Properties`: {_PROPERTIES}>"
 )
 
 
@@ -139,6 +189,22 @@ def parse_catalogue(lines: DataFrame) -> DataFrame:
     return found.select("task_type", "category", rank.alias("category_rank"), "sub_category", F.col("line_no").alias("ord"), F.trim(F.get(cells, F.lit(1))).alias("error_type"), pattern.alias("pattern"), F.trim(F.get(cells, F.lit(3))).alias("hint"))
 
 
+KNOWLEDGE = "id string, task_type string, error_type string, pattern string, solution string, auto_fix boolean, status string, correction string, confirmed_at string"
+
+
+def read_knowledge(spark: SparkSession, base: str) -> DataFrame:
+    """Entries of base/<task type>/confirmed.json and pending.json: the path says type and status where an entry doesn't."""
+    raw = spark.read.schema(KNOWLEDGE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(base)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    status = F.regexp_replace(F.element_at(parts, -1), r"\.json$", "")
+    return raw.withColumns({"task_type": F.upper(F.coalesce("task_type", F.element_at(parts, -2))), "status": F.coalesce("status", status)})
+
+
+def write_knowledge(entries: DataFrame, base: str) -> None:
+    """Replace the entries of the task types and states in `entries`, a folder for each."""
+    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_type", "status").json(base)
+
+
 def audit_rows(operations: DataFrame, most: int = 500) -> DataFrame:
     """Operations as audit rows: details cut to `most` characters, and the date that they are stored under."""
     cut = {c: F.substring(F.col(c), 1, most) for c in ("operation_detail", "result_detail") if c in operations.columns}
@@ -153,14 +219,19 @@ def write_reports(nested: DataFrame, path: str) -> None:
     nested.write.mode("append").partitionBy("dt", "workflow_code").json(path)
 
 
-def graph_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One nested record a project for a viewer: sorted nodes and edges, and how many there are."""
+def graph_export(nodes: DataFrame, edges: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """One nested record a project for a viewer: sorted nodes, tasks (code, workflow) and edges, and how many there are."""
     n = nodes.groupBy("project").agg(F.array_sort(F.collect_set("code")).alias("nodes"))
     e = edges.groupBy("project").agg(F.array_sort(F.collect_set(F.struct("source", "target"))).alias("edges"))
     out = n.join(e, "project", "left")
+    if tasks is not None:
+        out = out.join(tasks.groupBy("project").agg(F.array_sort(F.collect_set(F.struct("code", "workflow"))).alias("tasks")), "project", "left")
+        out = out.withColumn("n_tasks", F.coalesce(F.array_size("tasks"), F.lit(0)).cast("long"))
     return out.withColumn("n_nodes", F.size("nodes").cast("long")).withColumn("n_edges", F.coalesce(F.array_size("edges"), F.lit(0)).cast("long"))
 
 
 def issue_report(issues: DataFrame) -> DataFrame:
-    """A project's issues as one record: how many there are, and of each severity."""
-    return issues.groupBy("project").agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")))
+    """A project's issues as one record: how many there are, and of each severity, and the issues themselves in order."""
+    rows = [c for c in ("category", "severity", "subject", "detail") if c in issues.columns]
+    listed = F.array_sort(F.collect_list(F.struct(*rows))).alias("issues")
+    return issues.groupBy("project").agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")), listed)

@@ -1,13 +1,14 @@
 """Streams of alerts, approvals and feedback, with bounds on what is kept as state."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.alerts import is_alert, messages, normalised
+from ..operators import graph, match
+from ..operators.alerts import enriched, is_alert, messages, normalised
 
 
 def alert_stream(raw: DataFrame) -> DataFrame:
@@ -15,6 +16,24 @@ def alert_stream(raw: DataFrame) -> DataFrame:
     return normalised(messages(raw.filter(is_alert(F.col("raw")))))
 
 
+def enriched_alerts(alerts: DataFrame, patterns: DataFrame, knowledge: DataFrame, index: DataFrame) -> DataFrame:
+    """Alerts (alert_id, project, code, task_type, text) with their rule, knowledge and downstream impact."""
+    logs = alerts.select(F.col("alert_id").alias("log_id"), "task_type", "text")
+    classes = match.match_rules(logs, patterns).select(F.col("log_id").alias("alert_id"), "category", "error_type", "hint")
+    known = match.match_knowledge(logs, knowledge).select(F.col("log_id").alias("alert_id"), "knowledge_id")
+    impacts = graph.impact(alerts.select("alert_id", "project", "code"), index).select("alert_id", "n_downstream", "impact_source", "impact_level")
+    return enriched(alerts, classes, known, impacts)
+
+
+def enrich_stream(alerts: DataFrame, patterns: DataFrame, knowledge: DataFrame, index: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer that gives each micro-batch of alerts, enriched from static tables, to write(rows, batch number).
+
+    The first matching rule of an alert is a ranking, which a stream can't do itself; within a batch it can. The batch number
+    lets `write` replace what a batch that failed half-way has written.
+    """
+    return alerts.writeStream.foreachBatch(lambda batch, n: write(enriched_alerts(batch, patterns, knowledge, index), n))
+
+
 def daily_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts by project and day, emitted when the watermark has passed the day; start_time may be without a zone."""
     timed = instances.withColumn("ts", F.col("start_time").cast("timestamp")).withWatermark("ts", late)
@@ -22,57 +41,97 @@ def daily_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
     return by.agg(F.count("*").alias("total"), *(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("SUCCESS", "FAILURE", "RUNNING"))).select("project", F.to_date("w.start").alias("day"), "total", "success", "failure", "running")
 
 
+def _timed(rows: DataFrame, column: str, late: str) -> DataFrame:
+    return rows.withColumn("ts", F.col(column).cast("timestamp")).withWatermark("ts", late)
+
+
+def daily_type_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Counts, failures and mean duration by project, day and task type."""
+    by = _timed(instances, "start_time", late).groupBy("project", F.window("ts", "1 day").alias("w"), "task_type")
+    out = by.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "FAILURE").alias("failure"), F.avg("duration").alias("avg_duration"))
+    return out.select("project", F.to_date("w.start").alias("day"), "task_type", "total", "failure", "avg_duration")
+
+
+def daily_error_metrics(errors: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Counts by project, day and error type, with the task types (a few) and the first and the last id as examples, so that
+    the state of a key stays small."""
+    by = _timed(errors, "start_time", late).groupBy("project", F.window("ts", "1 day").alias("w"), "error_type")
+    out = by.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return out.select("project", F.to_date("w.start").alias("day"), "error_type", "n", "task_types", "first_id", "last_id")
+
+
+def audit_counts(audit: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Operations by day, result, risk and type."""
+    by = _timed(audit, "timestamp", late).groupBy(F.window("ts", "1 day").alias("w"), "result", "risk_level", "operation_type")
+    return by.count().select(F.to_date("w.start").alias("day"), "result", "risk_level", "operation_type", F.col("count").alias("n"))
+
+
 def deduplicated(candidates: DataFrame, ts_col: str = "ts", late: str = "1 day") -> DataFrame:
     """The first of candidates with one (skill_name, original_log) within the watermark."""
     return candidates.withWatermark(ts_col, late).dropDuplicatesWithinWatermark(["skill_name", "original_log"])
 
 
 def feedback_pairs(feedbacks: DataFrame, executions: DataFrame, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
-    """Every execution of the user within `seconds` before a feedback; state is bounded by the range and watermark."""
+    """Each feedback (user, ts, feedback_id) with the user's last execution up to `seconds` before, null without one.
+
+    Emitted when the watermark has passed, as a later execution may still come before; the range bounds the state.
+    """
     f = feedbacks.select(F.col("user").alias("f_user"), F.col("ts").alias("f_ts"), "feedback_id").withWatermark("f_ts", late)
     e = executions.select(F.col("user").alias("e_user"), F.col("ts").alias("e_ts"), "execution_id").withWatermark("e_ts", late)
     near = (F.col("f_user") == F.col("e_user")) & (F.col("e_ts") <= F.col("f_ts")) & (F.col("e_ts") >= F.col("f_ts") - F.expr(f"INTERVAL {seconds} SECONDS"))
-    return f.join(e, near)
+    last = f.join(e, near, "leftOuter").groupBy(F.col("f_user").alias("user"), "feedback_id", F.col("f_ts").alias("ts")).agg(F.max_by("execution_id", F.struct("e_ts", "execution_id")).alias("execution_id"))
+    return last.select("user", "feedback_id", "execution_id")
 
 
 class Approvals(StatefulProcessor):
-    """A request is pending until its first decision or, by a timer in processing time, its expiry."""
+    """A request is pending until its first decision in time or, by a timer in processing time, its expiry.
+
+    A decision counts by its own time, not by when it is read: one that was made in time still decides a request that has
+    timed out, and one that is read before its request waits for it.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("request", "status string, expires_ms long")
+        self.state = handle.getValueState("request", "status string, expires_ms long, early string, early_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for pdf in rows:
-            for r in pdf.itertuples():
-                now = timerValues.getCurrentProcessingTimeInMs()
-                if r.kind == "request" and not self.state.exists():
-                    self.state.update(("pending", int(r.expires_ms)))
-                    self.handle.registerTimer(max(int(r.expires_ms), now + 1))
-                    out.append((key[0], "pending"))
-                elif r.kind == "decision" and self.state.exists():
-                    status, expires = self.state.get()
-                    if status == "pending":
-                        new = r.status if now <= expires else "timeout"
-                        self.state.update((new, expires))
-                        out.append((key[0], new))
-        yield pd.DataFrame(out, columns=["request_id", "status"])
+        out, now = [], timerValues.getCurrentProcessingTimeInMs()
+        events = pd.concat(list(rows)).sort_values(["kind", "ts_ms"], ascending=[False, True])  # requests before decisions
+        status, expires, early, early_ms = self.state.get() if self.state.exists() else (None, -1, None, -1)
+        for r in events.itertuples():
+            if r.kind == "request" and status is None:
+                status, expires = "pending", int(r.expires_ms)
+                out.append((key[0], status))
+                if early is not None and early_ms <= expires:
+                    status = early
+                    out.append((key[0], status))
+                else:
+                    self.handle.registerTimer(max(expires, now + 1))
+            elif r.kind == "decision" and status is None and early is None:
+                early, early_ms = r.status, int(r.ts_ms)
+            elif r.kind == "decision" and status in ("pending", "timeout"):
+                new = r.status if int(r.ts_ms) <= expires else "timeout"
+                if new != status:
+                    status = new
+                    out.append((key[0], status))
+        self.state.update((status, expires, early, early_ms))
+        yield pd.DataFrame(out, columns=["request_id", "status"], dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, expires = self.state.get() if self.state.exists() else (None, 0)
+        status, expires, early, early_ms = self.state.get() if self.state.exists() else (None, -1, None, -1)
         if status == "pending":
-            self.state.update(("timeout", expires))
-            yield pd.DataFrame([(key[0], "timeout")], columns=["request_id", "status"])
+            self.state.update(("timeout", expires, early, early_ms))
+            yield pd.DataFrame([(key[0], "timeout")], columns=["request_id", "status"], dtype=object)
         else:
-            yield pd.DataFrame({"request_id": [], "status": []})
+            yield pd.DataFrame({"request_id": [], "status": []}, dtype=object)
 
     def close(self) -> None:
         pass
 
 
 def approvals(events: DataFrame) -> DataFrame:
-    """Changes of state (request_id, status) from events (request_id, kind, status, expires_ms).
+    """Changes of state (request_id, status) from events (request_id, kind, status, ts_ms, expires_ms); kind is
+    `request` or `decision`.
 
     The session needs the RocksDB state store provider.
     """
