@@ -157,3 +157,20 @@ def test_shards_without_rows_and_with_too_few(spark):
     assert shard(spark.createDataFrame([], DOCS)).count() == 0
     rows = shard(spark.createDataFrame(rows_of(["a", "a", "b"]), DOCS)).collect()
     assert len(rows) == 3 and all(0 <= r["shard"] < 40 for r in rows)
+
+
+def test_shards_follow_metadata_and_keep_equal_texts_together(spark):
+    rnd = random.Random(15)
+    rows = [(i, "x" * rnd.randint(100, 400) + str(i), rnd.choice(["en", "de"]), rnd.choice(["web", "book", "wiki", None])) for i in range(3000)]
+    copies = [(10_000 + 10 * g + k, "copy" * 30 + str(g), "en", rnd.choice(["web", "book"])) for g in range(60) for k in range(6)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in shard(df, shards=8).collect()}
+    sizes = Counter()
+    for r in got.values():
+        sizes[r["shard"]] += r["size"]
+    mean = sum(sizes.values()) / 8
+    assert all(0.94 * mean < x < 1.06 * mean for x in sizes.values()) and set(sizes) == set(range(8))
+    whole = sum(len({got[10_000 + 10 * g + k]["shard"] for k in range(6)}) == 1 for g in range(60))
+    assert whole == 60
+    kinds = {x: {(r[2], r[3]) for r in rows if got[r[0]]["shard"] == x} for x in range(8)}
+    assert sum(map(len, kinds.values())) <= 40  # of 64, were the shards made without regard to the metadata

@@ -1,10 +1,12 @@
 """Sharding by a k-d tree over metadata.
 
 The space of the metadata dimensions is split again and again: a node that is to hold n shards is cut along its widest
-dimension (relative to the whole range) at the weighted quantile that leaves its halves their shares of the bytes. A cut
-is searched by histograms of the node's bytes, all nodes of a level in one aggregation, with ever narrower bins; where
-rows tie in a dimension, the others decide, and last the id. Rows with equal texts tie in all dimensions made of the
-text: a group of equal texts is cut only if it is larger than `group_slack` of a shard.
+dimension (relative to the whole range) at the weighted quantile that leaves its halves their shares of the bytes. The
+dimensions are the size and, as codes of 20 bits, the values of metadata columns such as language and source; rows with
+equal texts take the least code of their group. A cut is searched by histograms of the node's bytes, all nodes of a level
+in one aggregation, with ever narrower bins; where rows tie in a dimension, the others decide, then the text's checksum,
+and last the id. So rows with equal texts tie in all but the id: a group of them is cut only where the law of equal bytes
+asks for it, i.e. if it is larger than `group_slack` of a shard and lies across a cut.
 
 Only histograms (at most `bins` sums for each shard) come to the driver; texts are read once, for sizes and checksums.
 
@@ -109,8 +111,9 @@ def _search(rows: DataFrame, nodes: list[Node], group_keys: set[str], bins: int)
         todo = still
 
 
-def build_tree(rows: DataFrame, dims: list[str], id_col: str, shards: int, bins: int = 1024, group_slack: float = 0.05, slack: float = 0.002) -> Node:
-    """The tree over rows (dims, id_col and size, all long). slack: how far, in shares of a shard, a cut may be off."""
+def build_tree(rows: DataFrame, dims: list[str], ties: list[str], shards: int, bins: int = 1024, group_slack: float = 0.05, slack: float = 0.002) -> Node:
+    """The tree over rows (dims, ties and size, all long). Nodes are cut along one of dims; ties decide between equals, of
+    which all but the last (the id) belong to a text. slack: how far, in shares of a shard, a cut may be off."""
     root = Node(0, shards)
     whole = None
     while nodes := [x for x in _leaves(root) if x.n > 1]:
@@ -124,33 +127,44 @@ def build_tree(rows: DataFrame, dims: list[str], id_col: str, shards: int, bins:
                 x.cut = [(dims[0], 0)]
             else:
                 widest = max(dims, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / whole[d])
-                x.keys = [widest, *(d for d in dims if d != widest), id_col]
+                x.keys = [widest, *(d for d in dims if d != widest), *ties]
                 x.low, x.high = r[f"low_{widest}"], r[f"high_{widest}"]
                 x.target, x.slack, x.group_slack = r["size"] * half / x.n, slack * r["size"] / x.n, group_slack * r["size"] / x.n
-        _search(at, [x for x in nodes if not x.cut], set(dims), bins)
+        _search(at, [x for x in nodes if not x.cut], {*dims, *ties[:-1]}, bins)
         for x in nodes:
             half = x.n // 2
             x.left, x.right = Node(x.first, half), Node(x.first + half, x.n - half)
     return root
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = 40, target_bytes: int | None = None, per_row: int = 16) -> DataFrame:
+def _code(value: Column) -> Column:
+    """20 bits that tell values apart well enough to keep equal ones together; they take two rounds of a search."""
+    return F.shiftrightunsigned(F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 12)
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = 40, target_bytes: int | None = None, per_row: int = 16, metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row.
 
     size: bytes of the text plus per_row. shards of nearly equal bytes; if it is None, as many as target_bytes asks for.
+    metadata: columns that make dimensions besides the size; those that docs doesn't have are left out.
     slot: gapless from 0 in each shard, by id. Slots come from counts by range partition, not from one task a shard.
     """
+    codes = {f"_m{i}": _code(F.col(c)) for i, c in enumerate(metadata) if c in docs.columns}
     meta = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + per_row).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        *(c.alias(k) for k, c in codes.items()),
     )
     meta = checkpointed(meta)
+    if codes:
+        least = checkpointed(meta.groupBy("size", "text_crc32").agg(*(F.min(k).alias(k) for k in codes)))
+        meta = checkpointed(meta.drop(*codes).join(least, ["size", "text_crc32"]))
     if shards is None:
         shards = max(1, -(-(meta.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    tree = build_tree(meta.select("_id", "size", "text_crc32"), ["size", "text_crc32"], "_id", shards)
-    ranged = meta.withColumn("shard", _which(tree).cast("int")).repartitionByRange("shard", "_id", "text_crc32")
+    tree = build_tree(meta.select("_id", "size", "text_crc32", *codes), ["size", *codes], ["text_crc32", "_id"], shards)
+    ranged = meta.withColumn("shard", _which(tree).cast("int")).drop(*codes).repartitionByRange("shard", "_id", "text_crc32")
     ranged = checkpointed(ranged.withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part", "shard").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
