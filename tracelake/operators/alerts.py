@@ -111,8 +111,9 @@ def feedback(text: Column, valid: tuple[str, ...] = VALID, invalid: tuple[str, .
     return F.when(has(valid), "valid").when(has(invalid), "invalid").otherwise("unknown")
 
 
-def upstream_failures(alerts: DataFrame, instances: DataFrame, hours: int = 6) -> DataFrame:
-    """The first upstream instance that failed within +-hours of each alert.
+def upstream_failures(alerts: DataFrame, instances: DataFrame, hours: int = 6, tasks: DataFrame | None = None) -> DataFrame:
+    """The first upstream instance that failed within +-hours of each alert; with tasks(instance_id, task, state), also the
+    sorted tasks of it that failed.
 
     alerts(alert_id, project, upstream, ts), instances(id, project, workflow, state, start_time). Both sides are cut into
     buckets as wide as the range, so that the join is on equality; each alert looks into the three it can reach.
@@ -122,7 +123,11 @@ def upstream_failures(alerts: DataFrame, instances: DataFrame, hours: int = 6) -
     reach = alerts.withColumn("_b", F.explode(F.sequence(F.floor(secs("ts") / width) - 1, F.floor(secs("ts") / width) + 1)))
     failed = instances.filter("state = 'FAILURE'").select("project", F.col("workflow").alias("upstream"), F.col("id").alias("instance_id"), "start_time", F.floor(secs("start_time") / width).alias("_b"))
     pairs = reach.join(failed, ["project", "upstream", "_b"]).filter(F.abs(secs("start_time") - secs("ts")) <= width)
-    return pairs.groupBy("alert_id").agg(F.min(F.struct("start_time", "instance_id")).alias("f")).select("alert_id", "f.instance_id", "f.start_time")
+    first = pairs.groupBy("alert_id").agg(F.min(F.struct("start_time", "instance_id")).alias("f")).select("alert_id", "f.instance_id", "f.start_time")
+    if tasks is None:
+        return first
+    failed_tasks = tasks.filter("state = 'FAILURE'").groupBy("instance_id").agg(F.array_sort(F.collect_set("task")).alias("failed_tasks"))
+    return first.join(failed_tasks, "instance_id", "left").withColumn("failed_tasks", F.coalesce("failed_tasks", F.array().cast("array<string>")))
 
 
 def sub_workflow_failures(alerts: DataFrame, children: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -135,6 +140,11 @@ def latest_instances(instances: DataFrame) -> DataFrame:
     return instances.groupBy("project", "workflow").agg(F.max(F.struct("start_time", "id")).alias("m")).select("project", "workflow", "m.id", "m.start_time")
 
 
+def latest_logs(instances: DataFrame, logs: DataFrame) -> DataFrame:
+    """The newest instance of each workflow with its log (id, text), null without one."""
+    return latest_instances(instances).join(logs.select("id", "text"), "id", "left")
+
+
 RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -343,14 +353,20 @@ def historical_fixes(errors: DataFrame, configs: DataFrame) -> DataFrame:
     return pairs.groupBy("alert_id").agg(best.alias("config"))
 
 
-def path_findings(alerts: DataFrame, checked: DataFrame, types: tuple[str, ...] = ("path_not_found", "file_not_found", "partition_not_found", "input_path_missing", "empty_partition", "table_not_found")) -> DataFrame:
-    """Alerts of path errors with the state of their first two paths; if the first exists, the alert can be fixed.
+# Errors of paths.
+PATH_ERRORS = ("hdfs_not_found", "file_not_found", "partition_not_found", "path_not_found", "input_path_error", "output_path_error")
+
+
+def path_findings(alerts: DataFrame, checked: DataFrame, n_paths: int = 2, n_files: int = 3) -> DataFrame:
+    """Alerts of path errors with the state of their first paths and the first files in each; if the first path exists, the
+    alert can be fixed.
 
-    alerts(alert_id, error_type, category), checked(alert_id, ord, path, status).
+    alerts(alert_id, error_type, category), checked(alert_id, ord, path, status, files).
     """
-    by = checked.filter(F.col("ord") < 2).groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "status"))).alias("paths"))
+    row = F.struct("ord", "path", "status", F.slice(F.coalesce("files", F.array().cast("array<string>")), 1, n_files).alias("files"))
+    by = checked.filter(F.col("ord") < n_paths).groupBy("alert_id").agg(F.array_sort(F.collect_list(row)).alias("paths"))
     out = alerts.join(by, "alert_id", "left")
-    hit = F.col("error_type").isin(*types)
+    hit = F.coalesce(F.col("error_type").isin(*PATH_ERRORS), F.lit(False))
     first_exists = F.coalesce(F.get("paths", F.lit(0)).status == "exists", F.lit(False))
     return out.withColumn("paths", F.when(hit, F.col("paths"))).withColumn("category", F.when(hit & first_exists, "AUTO_FIXABLE").otherwise(F.col("category")))
 

@@ -42,8 +42,9 @@ def confirm(entries: DataFrame, feedback: DataFrame) -> DataFrame:
     return out.select(*(c for c in entries.columns if c != "status"), status.alias("status"), F.when((F.col("status") == "pending") & (status == "rejected"), F.col("f.suggestion")).alias("correction"))
 
 
-def new_candidates(unmatched: DataFrame, least: float = 0.5) -> DataFrame:
-    """Candidates from unmatched logs (skill_name, original_log, confidence): excerpt and pattern, confident ones only."""
+def new_candidates(unmatched: DataFrame, least: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates from unmatched logs (skill_name, original_log, confidence, and the columns to keep): excerpt and pattern,
+    confident ones only."""
     short = excerpt(F.col("original_log"))
     sure = unmatched.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).filter(F.col("confidence") >= least)
-    return sure.select("skill_name", F.substring("original_log", 1, 500).alias("original_log"), "confidence", short.alias("log_excerpt"), generalised(short).alias("suggested_pattern"))
+    return sure.select(*keep, "skill_name", F.substring("original_log", 1, 500).alias("original_log"), "confidence", short.alias("log_excerpt"), generalised(short).alias("suggested_pattern"))

@@ -369,16 +369,38 @@ def timeout_advice(m: DataFrame) -> DataFrame:
 
 
 # Errors for which a size is suggested.
-RESOURCE_ERRORS = ("oom_executor", "oom_driver", "oom_driver_direct", "container_killed", "gc_overhead", "memory_limit", "executor_lost", "shuffle_fetch_failed", "heartbeat_timeout", "broadcast_timeout", "data_skew")
-
-
-def with_suggestions(errors: DataFrame) -> DataFrame:
-    """Errors of the resource kind with suggested sizes. Columns: error_type, executor_mb, driver_mb, instances,
-    predicted_mb, spilled_mb, peak_mb, shuffle_mb, slots."""
+RESOURCE_ERRORS = (
+    "oom_executor",
+    "oom_driver",
+    "oom_driver_direct",
+    "oom_offheap",
+    "container_killed_memory",
+    "gc_overhead",
+    "shuffle_timeout",
+    "shuffle_failed",
+    "executor_lost_heartbeat",
+    "driver_memory_insufficient",
+    "executor_memory_insufficient",
+)
+
+
+def resource_suggestions(errors: DataFrame) -> DataFrame:
+    """(alert_id, status, confidence, method, suggested_mb, suggested_instances) of errors of the resource kind.
+
+    Columns: alert_id, error_type, executor_mb, instances, predicted_mb, spilled_mb, peak_mb, shuffle_mb, slots. With a
+    shuffle the configuration is balanced to it; else the executor's memory follows the first of executor_memory()'s
+    ways. Where the memory fits the shuffle already and it isn't memory that ran out, nothing is suggested.
+    """
     c = F.col
-    e = errors.filter(c("error_type").isin(*RESOURCE_ERRORS))
-    memory = executor_memory(c("executor_mb"), c("predicted_mb"), c("spilled_mb"), c("peak_mb"), c("shuffle_mb"), c("slots"))
-    return e.withColumn("suggested", memory).withColumn("suggested_driver_mb", F.when(c("error_type").startswith("oom_driver"), driver_memory(c("driver_mb"), c("spilled_mb")))).withColumn("suggested_instances", executor_instances(c("instances"), c("shuffle_mb")))
+    kind = c("error_type")
+    e = errors.filter(kind.isin(*RESOURCE_ERRORS)).withColumn("status", memory_use_status(c("executor_mb") * c("instances"), F.nullif("shuffle_mb", F.lit(0))))
+    e = e.filter((c("status") != "optimal") | kind.isin("oom_executor", "container_killed_memory", "gc_overhead"))
+    sure = F.when(c("status") == "risky", "HIGH").when(c("status").isin("need_increase", "optimal"), "MEDIUM").when(c("status").isin("slightly_over", "over_configured") & kind.isin("oom_executor", "container_killed_memory"), "MEDIUM").otherwise("LOW")
+    balanced = balanced_config(e.filter("shuffle_mb > 0").select(c("alert_id").alias("key"), "shuffle_mb")).select(c("key").alias("alert_id"), c("executor_memory_mb").alias("_mb"), c("executor_instances").alias("_n"))
+    out = e.join(balanced, "alert_id", "left")
+    other = executor_memory(c("executor_mb"), c("predicted_mb"), c("spilled_mb"), c("peak_mb"), c("shuffle_mb"), c("slots"))
+    by_balance = c("_mb").isNotNull()
+    return out.select("alert_id", "status", sure.alias("confidence"), F.when(by_balance, "balanced_config").otherwise(other.method).alias("method"), F.when(by_balance, c("_mb")).otherwise(other.mb).cast("long").alias("suggested_mb"), c("_n").alias("suggested_instances"))
 
 
 def sized_by_data(input_gb: Column, current_gb: Column, spilled: Column, shuffle_gb: Column) -> Column:
