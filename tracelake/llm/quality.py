@@ -87,7 +87,6 @@ def rules() -> dict[str, Column]:
     same, windows, ended, letters = c("n_dup_lines"), c("n_repeat_words"), c("n_ended_lines"), c("n_letters")
     prose = (words >= 50) & (200 * symbols <= chars) & (10 * same <= 3 * lines) & (10 * letters >= 8 * chars)
     votes = {
-        "short": (words < 50, words >= 50),
         "word_length": ((words > 0) & ((chars < 2 * words) | (chars > 14 * words)), (chars >= 3 * words) & (chars <= 10 * words)),
         "symbols": (100 * symbols > 3 * chars, 200 * symbols <= chars),
         "same_lines": (10 * same > 3 * lines, (same == 0) & (lines >= 2)),
