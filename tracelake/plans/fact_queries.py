@@ -187,3 +187,30 @@ def log_settings(s, d):
     E, U = _ids()
     made = _log_lines(s, d, _said("--conf spark.executor.memory=", U, "m"), F.when(E % 3 == 0, "spark.executor.memory: 8g").otherwise("at x.y.spark.executor.memory=1g(Z.java:1)"), F.when(E % 3 == 0, _said("spark.executor.instances=", U)).otherwise(F.lit("import spark.executor.memory=9g")))
     return logs.current_config(logs.config_lines(made)).select("log_id", "executor_memory", "executor_instances")
+
+
+_WORDS = ("java.lang.OutOfMemoryError", "GC overhead limit exceeded", "Memory limit exceeded", "Container killed", "Executor lost", "heartbeat timeout", "FetchFailedException", "Job aborted", "Task failed", "Stage failed", "Communications link failure", "Access denied", "Permission denied", "Duplicate entry", "exitStatusCode", "Exception x", "Error x", "FATAL x", "nothing")
+_SCORES = (10, 10, 9, 9, 8, 8, 8, 7, 6, 6, 6, 5, 5, 5, 5, 4, 3, 2, 0)
+
+
+@query(f"""SELECT event_id, {list(_SCORES)}[event_id % {len(_WORDS)} + 1] AS score FROM events""")
+def block_scores(s, d):
+    E, _ = _ids()
+    word = F.get(F.array(*map(F.lit, _WORDS)), (E % len(_WORDS)).cast("int"))
+    return _events(s, d, score=logs.score(_said("line ", E, " ", word)))
+
+
+@query("""SELECT event_id, ['java.io.IOException', 'org.apache.Job', 'com.mysql.Driver', 'KeyError', 'permission denied', 'connection refused', 'no such file', 'command not found', 'process has exited', 'exitstatuscode', 'unknown'][event_id % 11 + 1] AS type FROM events""")
+def exception_types(s, d):
+    E, _ = _ids()
+    said = ("x java.io.IOException: y", "org.apache.Job z", "com.mysql.Driver", "KeyError: 'k'", "x: Permission denied", "Connection refused", "No such file or directory", "foo: command not found", "process has exited with 1", "exitStatusCode = 1", "hello")
+    return _events(s, d, type=logs.exception_type(F.get(F.array(*map(F.lit, said)), (E % 11).cast("int"))))
+
+
+_WARNED = ("GC overhead limit exceeded", "shuffle fetch failed, retry 3", "Low memory", "Skew detected in stage", "task timeout", "job stuck", "all is well", "retry")
+
+
+@query("""SELECT event_id AS log_id FROM events WHERE event_id % 8 < 6""")
+def critical_warnings(s, d):
+    E, _ = _ids()
+    return logs.critical_warnings(_log_lines(s, d, F.lit("INFO x"), F.get(F.array(*map(F.lit, _WARNED)), (E % 8).cast("int")))).select("log_id")
