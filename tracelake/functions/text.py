@@ -64,7 +64,9 @@ def sync_tables(params: Column) -> Column:
         mysql = F.when(table.isNotNull(), F.concat(F.lit("mysql:"), F.concat_ws(".", p["database"], table)))
         return F.when(kind.contains("hdfs"), hdfs).when(kind.contains("hive"), hive).when(kind.contains("mysql"), mysql)
 
-    ends = lambda side: F.array_distinct(F.filter(F.transform(F.coalesce(job["job"]["content"], F.array()), lambda c: named(c[side])), lambda x: x.isNotNull()))
+    ends = lambda side: F.array_distinct(
+        F.filter(F.transform(F.coalesce(job["job"]["content"], F.array()), lambda c: named(c[side])), lambda x: x.isNotNull())
+    )
     return F.struct(ends("reader").alias("inputs"), ends("writer").alias("outputs"))
 
 
@@ -94,9 +96,17 @@ _DATES = (r"(?:dt|date|day)=(\d{4}-\d{2}-\d{2})", r"(?:dt|date|day)=(\d{8})", r"
 
 def partition_date(path: Column) -> Column:
     """The date in a path, or null."""
-    slashed = F.concat_ws("-", found(path, r"/(\d{4})/\d{2}/\d{2}(?:/|$)"), found(path, r"/\d{4}/(\d{2})/\d{2}(?:/|$)"), found(path, r"/\d{4}/\d{2}/(\d{2})(?:/|$)"))
+    slashed = F.concat_ws(
+        "-",
+        found(path, r"/(\d{4})/\d{2}/\d{2}(?:/|$)"),
+        found(path, r"/\d{4}/(\d{2})/\d{2}(?:/|$)"),
+        found(path, r"/\d{4}/\d{2}/(\d{2})(?:/|$)")
+    )
     text = F.coalesce(*(found(path, p) for p in _DATES), F.nullif(slashed, F.lit("")))
-    return F.when(F.length(text) == 8, F.try_to_timestamp(text, F.lit("yyyyMMdd"))).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("date")
+    return F.when(
+        F.length(text) == 8,
+        F.try_to_timestamp(text, F.lit("yyyyMMdd"))
+    ).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("date")
 
 
 def partition_key(path: Column) -> Column:
@@ -122,12 +132,18 @@ def memory_mb(text: Column) -> Column:
 def memory_text(mb: Column) -> Column:
     """Whole GB as `4g`, halves and the like as `1.5g`, less than one as `512m`."""
     gb = mb / 1024
-    return F.when(mb < 1024, F.concat(mb.cast("string"), F.lit("m"))).when(mb % 1024 == 0, F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))).otherwise(F.format_string("%.1fg", F.round(gb, 1)))
+    return F.when(mb < 1024, F.concat(mb.cast("string"), F.lit("m"))).when(
+        mb % 1024 == 0,
+        F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))
+    ).otherwise(F.format_string("%.1fg", F.round(gb, 1)))
 
 
 def memory_text_whole(mb: Column) -> Column:
     """Whole GB as `4g`, anything else in MB."""
-    return F.when((mb >= 1024) & (mb % 1024 == 0), F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))).otherwise(F.concat(mb.cast("string"), F.lit("m")))
+    return F.when(
+        (mb >= 1024) & (mb % 1024 == 0),
+        F.concat((mb / 1024).cast("long").cast("string"), F.lit("g"))
+    ).otherwise(F.concat(mb.cast("string"), F.lit("m")))
 
 
 def application_id(text: Column) -> Column:
@@ -149,7 +165,10 @@ def storage_paths(text: Column, n: int = 5) -> Column:
     """The n longest distinct storage paths of a text; of equals in alphabetical order."""
     local = F.filter(every(text, r"(/(?:user|data|warehouse|hive|tmp|output)[/\w.=-]+)"), lambda x: F.length(x) > 10)
     paths = F.array_distinct(F.concat(every(text, r"(oss://[\w.-]+(?:/[\w./=-]+)?)"), every(text, r"(hdfs://[\w.:-]*(?:/[\w./=-]+)?)"), local))
-    return F.transform(F.slice(F.array_sort(F.transform(paths, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("path")))), 1, n), lambda x: x.path)
+    return F.transform(
+        F.slice(F.array_sort(F.transform(paths, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("path")))), 1, n),
+        lambda x: x.path
+    )
 
 
 # Errors by class; all others are of class EXECUTION.
@@ -225,8 +244,17 @@ def database_type(text: Column) -> Column:
 
 def broadcast_mb(text: Column) -> Column:
     """The largest broadcast that a log speaks of, in MB."""
-    sizes = F.arrays_zip(every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*([\d.]+)").alias("n"), F.transform(every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*[\d.]+\s*((?:MB|KB|GB|bytes)?)"), lambda x: F.lower(x)).alias("unit"))
-    mb = F.transform(sizes, lambda x: x["n"].cast("double") * F.when(x["unit"] == "kb", 1 / 1024).when(x["unit"] == "mb", 1).when(x["unit"] == "gb", 1024).otherwise(1 / 1048576))
+    sizes = F.arrays_zip(
+        every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*([\d.]+)").alias("n"),
+        F.transform(
+            every(text, r"(?i)(?:broadcast size|Build relation size)\s*[=:]\s*[\d.]+\s*((?:MB|KB|GB|bytes)?)"),
+            lambda x: F.lower(x)
+        ).alias("unit")
+    )
+    mb = F.transform(
+        sizes,
+        lambda x: x["n"].cast("double") * F.when(x["unit"] == "kb", 1 / 1024).when(x["unit"] == "mb", 1).when(x["unit"] == "gb", 1024).otherwise(1 / 1048576)
+    )
     return F.coalesce(F.array_max(mb), F.lit(0.0))
 
 
@@ -266,7 +294,13 @@ def dependency_facts(text: Column) -> Column:
     """What the log of a dependent task says it waits for: definition, project and task codes, cycle and date value."""
     plain = F.replace(text, F.lit('\\"'), F.lit('"'))
     codes = lambda key: F.array_distinct(every(plain, rf'"{key}"\s*:\s*"?(\d+)'))
-    return F.struct(codes("definitionCode").alias("definitions"), codes("projectCode").alias("projects"), codes("depTaskCode").alias("tasks"), found(plain, r'"cycle"\s*:\s*"(\w+)"').alias("cycle"), found(plain, r'"dateValue"\s*:\s*"(\w+)"').alias("date_value"))
+    return F.struct(
+        codes("definitionCode").alias("definitions"),
+        codes("projectCode").alias("projects"),
+        codes("depTaskCode").alias("tasks"),
+        found(plain, r'"cycle"\s*:\s*"(\w+)"').alias("cycle"),
+        found(plain, r'"dateValue"\s*:\s*"(\w+)"').alias("date_value")
+    )
 
 
 def executor_sequence(container: Column) -> Column:

@@ -27,7 +27,10 @@ TASK_TYPES = ("SPARK", "SHELL", "PYTHON", "DATAX", "SQL", "DEPENDENT", "SUB_PROC
 def messages(raw: DataFrame, col: str = "raw") -> DataFrame:
     """One row for each alert in a message: an object, a list, or an object whose `alerts` is a list, also as text."""
     v = F.try_parse_json(col)
-    inner = F.coalesce(F.try_variant_get(v, "$.alerts", "array<variant>"), F.try_variant_get(F.try_parse_json(F.try_variant_get(v, "$.alerts", "string")), "$", "array<variant>"))
+    inner = F.coalesce(
+        F.try_variant_get(v, "$.alerts", "array<variant>"),
+        F.try_variant_get(F.try_parse_json(F.try_variant_get(v, "$.alerts", "string")), "$", "array<variant>")
+    )
     items = F.coalesce(inner, F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     return raw.select(*raw.columns, F.explode(items).alias("alert")).filter("alert IS NOT NULL")
 
@@ -35,12 +38,19 @@ def messages(raw: DataFrame, col: str = "raw") -> DataFrame:
 def normalised(alerts: DataFrame, col: str = "alert") -> DataFrame:
     """Alerts (variants) as columns: aliases resolved, types in upper case, ids from the log's name, workflow names."""
     field = lambda names: F.coalesce(*(F.try_variant_get(col, f"$.{n}", "string") for n in names))
-    out = alerts.select(*(c for c in alerts.columns if c != col), *(field(names).alias(k) for k, names in ALIASES.items()), F.to_json(col).alias("payload"))
+    out = alerts.select(
+        *(c for c in alerts.columns if c != col),
+        *(field(names).alias(k) for k, names in ALIASES.items()),
+        F.to_json(col).alias("payload")
+    )
     kind = F.upper(F.trim("task_type"))
     out = out.withColumn("task_type", F.when(kind.isin(*TASK_TYPES), kind).otherwise("SHELL"))
     out = out.withColumn("task_instance_id", F.coalesce("task_instance_id", F.nullif(F.regexp_extract("log_path", r"(\d+)\.log$", 1), F.lit(""))))
     parts = F.split("instance_name", "-")
-    out = out.withColumn("workflow_name", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, F.size(parts) - 2), "-")).otherwise(F.col("instance_name")))
+    out = out.withColumn(
+        "workflow_name",
+        F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, F.size(parts) - 2), "-")).otherwise(F.col("instance_name"))
+    )
     return out.withColumn("is_sub_workflow", F.coalesce(F.col("root_id") != F.col("instance_id"), F.lit(False)))
 
 
@@ -88,7 +98,11 @@ def command_class(args: Column) -> Column:
     first = lambda verbs: F.get(F.filter(low, lambda x: F.coalesce(x.isin(*verbs), F.lit(False))), F.lit(0))
     blocked, risky = first(BLOCKED), first(tuple(RISKS_OF_VERBS))
     risk = F.element_at(F.create_map(*(F.lit(x) for kv in RISKS_OF_VERBS.items() for x in kv)), risky)
-    return F.struct(F.when(blocked.isNotNull(), "CRITICAL").otherwise(F.coalesce(risk, F.lit("LOW"))).alias("risk"), blocked.isNotNull().alias("blocked"), F.coalesce(blocked, risky).alias("verb"))
+    return F.struct(
+        F.when(blocked.isNotNull(), "CRITICAL").otherwise(F.coalesce(risk, F.lit("LOW"))).alias("risk"),
+        blocked.isNotNull().alias("blocked"),
+        F.coalesce(blocked, risky).alias("verb")
+    )
 
 
 def http_blocked(method: Column) -> Column:
@@ -121,7 +135,13 @@ def upstream_failures(alerts: DataFrame, instances: DataFrame, hours: int = 6, t
     width = hours * 3600
     secs = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     reach = alerts.withColumn("_b", F.explode(F.sequence(F.floor(secs("ts") / width) - 1, F.floor(secs("ts") / width) + 1)))
-    failed = instances.filter("state = 'FAILURE'").select("project", F.col("workflow").alias("upstream"), F.col("id").alias("instance_id"), "start_time", F.floor(secs("start_time") / width).alias("_b"))
+    failed = instances.filter("state = 'FAILURE'").select(
+        "project",
+        F.col("workflow").alias("upstream"),
+        F.col("id").alias("instance_id"),
+        "start_time",
+        F.floor(secs("start_time") / width).alias("_b")
+    )
     pairs = reach.join(failed, ["project", "upstream", "_b"]).filter(F.abs(secs("start_time") - secs("ts")) <= width)
     first = pairs.groupBy("alert_id").agg(F.min(F.struct("start_time", "instance_id")).alias("f")).select("alert_id", "f.instance_id", "f.start_time")
     if tasks is None:
@@ -238,15 +258,26 @@ def fixes(errors: DataFrame, executor_limit_mb: int | None = None, driver_limit_
     executor, driver = F.col("error_type").isin(*EXECUTOR_MEMORY_ERRORS), F.col("error_type").isin(*DRIVER_MEMORY_ERRORS)
     (e_mb, e_from), (d_mb, d_from) = memory("spark.executor.memory", 1024, executor_limit_mb), memory("spark.driver.memory", 512, driver_limit_mb)
     size = memory_text_whole
-    for_executor = F.create_map(F.lit("spark.executor.memory"), size(e_mb), F.lit("spark.executor.memoryOverhead"), size(F.greatest(F.floor(e_mb / 4), F.lit(256))))
+    for_executor = F.create_map(
+        F.lit("spark.executor.memory"),
+        size(e_mb),
+        F.lit("spark.executor.memoryOverhead"),
+        size(F.greatest(F.floor(e_mb / 4), F.lit(256)))
+    )
     second = F.map_filter("_default", lambda k, _: k != "spark.driver.memory")
-    for_driver = F.map_concat(F.create_map(F.lit("spark.driver.memory"), size(d_mb)), F.transform_values(second, lambda k, v: F.when(k == "spark.driver.maxResultSize", size(F.least(d_mb, F.lit(2048))))))
+    for_driver = F.map_concat(
+        F.create_map(F.lit("spark.driver.memory"), size(d_mb)),
+        F.transform_values(second, lambda k, v: F.when(k == "spark.driver.maxResultSize", size(F.least(d_mb, F.lit(2048)))))
+    )
     others = F.transform_values("_default", lambda k, v: F.coalesce(F.element_at("history", k), v))
     none = F.from_json(F.lit("{}"), "map<string, string>")
     found = F.col("fix_type").isNotNull()
     changes = F.when(~found, none).when(executor, for_executor).when(driver, for_driver).otherwise(others)
     source = F.when(executor, e_from).when(driver, d_from).when(some_history, "historical").otherwise("default")
-    return out.withColumn("status", F.when(found, "success").otherwise("no_fix_needed")).withColumn("source", F.when(found, source)).withColumn("changes", changes).drop("_default")
+    return out.withColumn(
+        "status",
+        F.when(found, "success").otherwise("no_fix_needed")
+    ).withColumn("source", F.when(found, source)).withColumn("changes", changes).drop("_default")
 
 
 def actions_of(results: DataFrame, most: int = 3) -> DataFrame:
@@ -324,7 +355,15 @@ class Skills:
 
 def feedback_matches(feedbacks: DataFrame, executions: DataFrame, seconds: int = 300) -> DataFrame:
     """Each feedback(user, ts) with the user's last execution(user, ts, execution_id) up to `seconds` before."""
-    rows = feedbacks.select("user", "ts", "feedback_id", F.lit(None).cast("string").alias("execution_id"), F.lit(1).alias("o")).unionByName(executions.select("user", "ts", F.lit(None).cast(feedbacks.schema["feedback_id"].dataType).alias("feedback_id"), F.col("execution_id").cast("string"), F.lit(0).alias("o")))
+    rows = feedbacks.select("user", "ts", "feedback_id", F.lit(None).cast("string").alias("execution_id"), F.lit(1).alias("o")).unionByName(
+        executions.select(
+            "user",
+            "ts",
+            F.lit(None).cast(feedbacks.schema["feedback_id"].dataType).alias("feedback_id"),
+            F.col("execution_id").cast("string"),
+            F.lit(0).alias("o")
+        )
+    )
     at = Window.partitionBy("user").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("o") == 0, F.struct("ts", "execution_id")), ignorenulls=True).over(at)
     out = rows.withColumn("l", last).filter("o = 1")
@@ -368,7 +407,10 @@ def path_findings(alerts: DataFrame, checked: DataFrame, n_paths: int = 2, n_fil
     out = alerts.join(by, "alert_id", "left")
     hit = F.coalesce(F.col("error_type").isin(*PATH_ERRORS), F.lit(False))
     first_exists = F.coalesce(F.get("paths", F.lit(0)).status == "exists", F.lit(False))
-    return out.withColumn("paths", F.when(hit, F.col("paths"))).withColumn("category", F.when(hit & first_exists, "AUTO_FIXABLE").otherwise(F.col("category")))
+    return out.withColumn("paths", F.when(hit, F.col("paths"))).withColumn(
+        "category",
+        F.when(hit & first_exists, "AUTO_FIXABLE").otherwise(F.col("category"))
+    )
 
 
 def with_evidence(results: DataFrame, diagnostics: DataFrame, stages: DataFrame, executors: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -381,5 +423,12 @@ def with_evidence(results: DataFrame, diagnostics: DataFrame, stages: DataFrame,
     for df, name in ((stages, "_s"), (executors, "_e"), (tasks, "_t")):
         out = out.join(first(df, name), "app", "left")
     kind = F.lower("error_type")
-    more = F.array_compact(F.array(F.col("_d"), F.when(kind.contains("shuffle"), F.col("_s")), F.when(kind.contains("executor"), F.col("_e")), F.when(kind.rlike("stage|task|job"), F.col("_t"))))
+    more = F.array_compact(
+        F.array(
+            F.col("_d"),
+            F.when(kind.contains("shuffle"), F.col("_s")),
+            F.when(kind.contains("executor"), F.col("_e")),
+            F.when(kind.rlike("stage|task|job"), F.col("_t"))
+        )
+    )
     return out.withColumn("blocks", F.array_union("blocks", more)).drop("_d", "_s", "_e", "_t")

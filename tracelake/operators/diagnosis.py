@@ -13,7 +13,20 @@ from ..functions.text import dependency_facts, diagnostics_tail, error_class, sy
 from . import logs, match, runs
 from .alerts import Skills, needs_deep_analysis, skill_risk, with_evidence
 
-COLUMNS = ("alert_id", "task_type", "category", "error_type", "hint", "n_blocks", "blocks", "root_cause", "error_class", "risk", "needs_deep", "facts")
+COLUMNS = (
+    "alert_id",
+    "task_type",
+    "category",
+    "error_type",
+    "hint",
+    "n_blocks",
+    "blocks",
+    "root_cause",
+    "error_class",
+    "risk",
+    "needs_deep",
+    "facts"
+)
 Skill = Callable[[DataFrame], DataFrame]
 
 # Suggestions by task type and error types.
@@ -62,7 +75,11 @@ def diagnose(alerts: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     texts = alerts.select(F.col("alert_id").alias("log_id"), "task_type", F.coalesce("text", F.lit("")).alias("text"))
     blocks = logs.ranked(logs.first_of_type(logs.error_blocks(logs.lines(texts))))
-    by = blocks.groupBy("log_id").agg(F.count("*").alias("n_blocks"), F.max(F.when(F.col("rank") == 1, logs.root_cause(F.col("block")))).alias("root_cause"), F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("_b"))
+    by = blocks.groupBy("log_id").agg(
+        F.count("*").alias("n_blocks"),
+        F.max(F.when(F.col("rank") == 1, logs.root_cause(F.col("block")))).alias("root_cause"),
+        F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("_b")
+    )
     by = by.withColumn("blocks", F.transform("_b", lambda x: x.block)).drop("_b")
     base = texts.join(by, "log_id", "left").fillna(0, ["n_blocks"]).withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>")))
     shown = F.concat_ws("\n", diagnostics_tail(F.col("text")), F.array_join("blocks", "\n\n"))
@@ -70,7 +87,9 @@ def diagnose(alerts: DataFrame, patterns: DataFrame) -> DataFrame:
     out = base.select("log_id", "n_blocks", "blocks", "root_cause").join(matched, "log_id").withColumnRenamed("log_id", "alert_id")
     deep = needs_deep_analysis(F.col("n_blocks"), F.col("category"), F.col("error_type"))
     none = F.from_json(F.lit("{}"), "map<string, string>")
-    return out.withColumns({"error_class": error_class(F.col("error_type")), "risk": skill_risk(F.col("category")), "needs_deep": deep, "facts": none}).select(*COLUMNS)
+    return out.withColumns(
+        {"error_class": error_class(F.col("error_type")), "risk": skill_risk(F.col("category")), "needs_deep": deep, "facts": none}
+    ).select(*COLUMNS)
 
 
 def _with_facts(results: DataFrame, facts: DataFrame) -> DataFrame:
@@ -133,7 +152,16 @@ def _followed(alerts: DataFrame, patterns: DataFrame, error_type: Column, found:
     """Alerts whose cause lies elsewhere: the error type is given, and a person or a model looks on from there."""
     base = diagnose(alerts, patterns).join(alerts.select("alert_id", error_type.alias("_type")), "alert_id")
     deep = needs_deep_analysis(F.col("n_blocks"), F.lit("KNOWN_NEEDS_LLM"), F.col("_type"))
-    base = base.withColumns({"category": F.lit("KNOWN_NEEDS_LLM"), "error_type": F.col("_type"), "hint": F.lit(None).cast("string"), "error_class": error_class(F.col("_type")), "risk": F.lit("HIGH"), "needs_deep": deep})
+    base = base.withColumns(
+        {
+            "category": F.lit("KNOWN_NEEDS_LLM"),
+            "error_type": F.col("_type"),
+            "hint": F.lit(None).cast("string"),
+            "error_class": error_class(F.col("_type")),
+            "risk": F.lit("HIGH"),
+            "needs_deep": deep
+        }
+    )
     return _with_facts(base.select(*COLUMNS), found)
 
 
@@ -147,7 +175,13 @@ def dependent_skill(patterns: DataFrame, upstream: DataFrame) -> Skill:
         text = F.coalesce("text", F.lit(""))
         waits = dependency_facts(text)
         told = alerts.select("alert_id", waits.alias("w")).join(upstream, "alert_id", "left")
-        found = _facts(definitions=F.nullif(F.array_join("w.definitions", ","), F.lit("")), projects=F.nullif(F.array_join("w.projects", ","), F.lit("")), cycle=F.col("w.cycle"), instance=F.col("instance_id"), failed_tasks=F.array_join("failed_tasks", ","))
+        found = _facts(
+            definitions=F.nullif(F.array_join("w.definitions", ","), F.lit("")),
+            projects=F.nullif(F.array_join("w.projects", ","), F.lit("")),
+            cycle=F.col("w.cycle"),
+            instance=F.col("instance_id"),
+            failed_tasks=F.array_join("failed_tasks", ",")
+        )
         kind = F.when(F.lower(text).contains("timeout"), "dependent_waiting_timeout").otherwise("dependent_check_failed")
         return _followed(alerts, patterns, kind, told.select("alert_id", found.alias("found")))
 
@@ -161,7 +195,10 @@ def sub_process_skill(patterns: DataFrame, failures: DataFrame) -> Skill:
     """
 
     def analyse(alerts: DataFrame) -> DataFrame:
-        by = failures.groupBy("alert_id").agg(F.max("child_instance_id").alias("child"), F.array_join(F.array_sort(F.collect_set("task")), ",").alias("tasks"))
+        by = failures.groupBy("alert_id").agg(
+            F.max("child_instance_id").alias("child"),
+            F.array_join(F.array_sort(F.collect_set("task")), ",").alias("tasks")
+        )
         code = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r'"processDefinitionCode"\s*:\s*(\d+)', 1), F.lit(""))
         told = alerts.select("alert_id", code.alias("definition")).join(by, "alert_id", "left")
         found = _facts(definition=F.col("definition"), instance=F.col("child"), failed_tasks=F.col("tasks"))
@@ -178,7 +215,11 @@ def timeout_skill(patterns: DataFrame, metrics: DataFrame) -> Skill:
 
     def analyse(alerts: DataFrame) -> DataFrame:
         kinds = runs.timeout_advice(runs.timeout_class(metrics))
-        rows = alerts.join(kinds.select("workflow", "timeout_type", "confidence", "advice"), "workflow", "left").withColumn("timeout_type", F.coalesce("timeout_type", F.lit("unknown")))
+        rows = alerts.join(
+            kinds.select("workflow", "timeout_type", "confidence", "advice"),
+            "workflow",
+            "left"
+        ).withColumn("timeout_type", F.coalesce("timeout_type", F.lit("unknown")))
         found = rows.select("alert_id", _facts(confidence=F.col("confidence"), advice=F.col("advice")).alias("found"))
         return _followed(rows, patterns, F.col("timeout_type"), found)
 

@@ -54,7 +54,12 @@ def _doubled(found: DataFrame, max_depth: int | None) -> DataFrame:
     while (n := found.count()) != before:
         before = n
         tail = found.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
-        longer = found.join(tail, ["project", "target"]).filter("next != source").select("project", "source", F.col("next").alias("target"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = found.join(tail, ["project", "target"]).filter("next != source").select(
+            "project",
+            "source",
+            F.col("next").alias("target"),
+            (F.col("depth") + F.col("more")).alias("depth")
+        )
         if max_depth is not None:
             longer = longer.filter(F.col("depth") <= max_depth)
         found = checkpointed(found.unionByName(longer).groupBy("project", "source", "target").agg(F.min("depth").alias("depth")))
@@ -63,7 +68,11 @@ def _doubled(found: DataFrame, max_depth: int | None) -> DataFrame:
 
 def reached_index(all_pairs: DataFrame) -> DataFrame:
     """Direct and all downstream codes of each source, and their number."""
-    return all_pairs.groupBy("project", "source").agg(F.array_sort(F.collect_set(F.when(F.col("depth") == 1, F.col("target")))).alias("direct"), F.array_sort(F.collect_set("target")).alias("all"), F.countDistinct("target").alias("n"))
+    return all_pairs.groupBy("project", "source").agg(
+        F.array_sort(F.collect_set(F.when(F.col("depth") == 1, F.col("target")))).alias("direct"),
+        F.array_sort(F.collect_set("target")).alias("all"),
+        F.countDistinct("target").alias("n")
+    )
 
 
 def downstream(edges: DataFrame, project: str, code: str) -> DataFrame:
@@ -72,7 +81,12 @@ def downstream(edges: DataFrame, project: str, code: str) -> DataFrame:
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("project", F.col("target").alias("source"), F.col("source").alias("target"), *(c for c in edges.columns if c not in ("project", "source", "target")))
+    return edges.select(
+        "project",
+        F.col("target").alias("source"),
+        F.col("source").alias("target"),
+        *(c for c in edges.columns if c not in ("project", "source", "target"))
+    )
 
 
 def upstream(edges: DataFrame, project: str, code: str) -> DataFrame:
@@ -125,7 +139,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(hop, ["project", "target"]).select("project", "source", F.col("next").alias("target"), F.array_append("path", F.col("next")).alias("path"))
+        step = frontier.join(hop, ["project", "target"]).select(
+            "project",
+            "source",
+            F.col("next").alias("target"),
+            F.array_append("path", F.col("next")).alias("path")
+        )
         step = step.groupBy("project", "source", "target").agg(F.min("path").alias("path"))
         frontier = checkpointed(step.join(found, ["project", "source", "target"], "left_anti"))
         if frontier.isEmpty():
@@ -143,7 +162,11 @@ def cycles(edges: DataFrame, max_depth: int) -> DataFrame:
     for _ in range(max_depth - 1):
         step = at.withColumn("last", F.element_at("path", -1)).join(hop, ["project", "last"])
         out = out.unionByName(step.filter(F.col("next") == F.col("path")[0]).select("project", F.col("path").alias("cycle")))
-        at = checkpointed(step.filter((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select("project", F.array_append("path", F.col("next")).alias("path")))
+        at = checkpointed(
+            step.filter(
+                (F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))
+            ).select("project", F.array_append("path", F.col("next")).alias("path"))
+        )
         if at.isEmpty():
             break
     return out
@@ -164,13 +187,20 @@ def path_edges(found: DataFrame) -> DataFrame:
 def table_edges(uses: DataFrame) -> DataFrame:
     """Lineage through tables as edges: task to table where it produces, table to task where it consumes."""
     makes = F.col("role") == "produce"
-    return uses.select("project", F.when(makes, F.col("task")).otherwise(F.col("table_name")).alias("source"), F.when(makes, F.col("table_name")).otherwise(F.col("task")).alias("target"), F.when(makes, "task_produces_table").otherwise("task_consumes_table").alias("edge_type")).distinct()
+    return uses.select(
+        "project",
+        F.when(makes, F.col("task")).otherwise(F.col("table_name")).alias("source"),
+        F.when(makes, F.col("table_name")).otherwise(F.col("task")).alias("target"),
+        F.when(makes, "task_produces_table").otherwise("task_consumes_table").alias("edge_type")
+    ).distinct()
 
 
 def merged_edges(**kinds: DataFrame) -> DataFrame:
     """Edges of several kinds in one table, each edge once, with the sorted kinds that it is of."""
     parts = [e.select("project", "source", "target", F.lit(k).alias("edge_type")) for k, e in kinds.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("project", "source", "target").agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
+    return reduce(DataFrame.unionByName, parts).groupBy("project", "source", "target").agg(
+        F.array_sort(F.collect_set("edge_type")).alias("edge_types")
+    )
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,8 +252,17 @@ def sub_workflow_impact(task_edges: DataFrame, tasks: DataFrame, calls: DataFram
     inner = clean(task_edges).join(owner, ["project", "source"]).join(other, ["project", "target"]).filter("workflow = to_workflow").select("project", "source", "target")
     within_sub = closure(inner).groupBy("project", "source").agg(F.countDistinct("target").alias("n")).join(owner, ["project", "source"])
     sub = within_sub.select("project", "workflow", F.col("source").alias("task"), F.lit("sub").alias("scope"), "n")
-    after = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("workflow")).join(index.select("project", F.col("source").alias("parent"), "n"), ["project", "parent"])
-    parent = tasks.select("project", "workflow", F.col("code").alias("task")).join(after, ["project", "workflow"]).select("project", "workflow", "task", F.lit("parent").alias("scope"), "n")
+    after = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("workflow")).join(
+        index.select("project", F.col("source").alias("parent"), "n"),
+        ["project", "parent"]
+    )
+    parent = tasks.select("project", "workflow", F.col("code").alias("task")).join(after, ["project", "workflow"]).select(
+        "project",
+        "workflow",
+        "task",
+        F.lit("parent").alias("scope"),
+        "n"
+    )
     both = sub.unionByName(parent)
     return both.unionByName(both.groupBy("project", "workflow", "task").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("total")))
 

@@ -38,7 +38,9 @@ def is_test(name: Column) -> Column:
 
 def roles(workflows: DataFrame, calls: DataFrame) -> DataFrame:
     """workflows with role: test by name, else main (calls another), child (called), or independent."""
-    ends = calls.select("project", F.col("source").alias("code"), F.lit(1).alias("calls"), F.lit(0).alias("called")).unionByName(calls.select("project", F.col("target").alias("code"), F.lit(0).alias("calls"), F.lit(1).alias("called")))
+    ends = calls.select("project", F.col("source").alias("code"), F.lit(1).alias("calls"), F.lit(0).alias("called")).unionByName(
+        calls.select("project", F.col("target").alias("code"), F.lit(0).alias("calls"), F.lit(1).alias("called"))
+    )
     flags = ends.groupBy("project", "code").agg(F.max("calls").alias("calls"), F.max("called").alias("called"))
     role = F.when(is_test(F.col("name")), "test").when(F.col("calls") == 1, "main").when(F.col("called") == 1, "child").otherwise("independent")
     return workflows.join(flags, ["project", "code"], "left").withColumn("role", role).drop("calls", "called")
@@ -73,9 +75,18 @@ def implicit_dependencies(uses: DataFrame, explicit: DataFrame, input_tokens: tu
         read = read.filter(names_any(F.col("table_name"), input_tokens))
     pairs = made.join(read, ["project", "table_name"]).filter("upstream != downstream")
     pairs = pairs.groupBy("project", "upstream", "downstream").agg(F.array_sort(F.collect_set("table_name")).alias("via_tables"))
-    known = explicit.select("project", F.col("source").alias("upstream"), F.col("target").alias("downstream")).distinct().withColumn("_known", F.lit(True))
+    known = explicit.select(
+        "project",
+        F.col("source").alias("upstream"),
+        F.col("target").alias("downstream")
+    ).distinct().withColumn("_known", F.lit(True))
     flagged = pairs.join(known, ["project", "upstream", "downstream"], "left").withColumn("is_explicit", F.coalesce("_known", F.lit(False))).drop("_known")
-    return flagged.select("*", F.col("via_tables")[0].alias("first_table"), F.size("via_tables").alias("n_tables"), F.when(F.col("is_explicit"), "LOW").otherwise("MEDIUM").alias("risk"))
+    return flagged.select(
+        "*",
+        F.col("via_tables")[0].alias("first_table"),
+        F.size("via_tables").alias("n_tables"),
+        F.when(F.col("is_explicit"), "LOW").otherwise("MEDIUM").alias("risk")
+    )
 
 
 def missing_dependencies(implicit: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
@@ -107,9 +118,17 @@ def calls_with_names(calls: DataFrame, workflows: DataFrame) -> DataFrame:
 
 def dependents(tasks: DataFrame, params_col: str = "params") -> DataFrame:
     """Dependencies that DEPENDENT tasks declare in any of three shapes, with is_empty for those without."""
-    params = F.from_json(params_col, "processDefinitionCode string, dependence struct<dependTaskList: array<struct<processDefinitionCode: string, definitionCode: string, dependItemList: array<struct<definitionCode: string, processDefinitionCode: string>>>>>")
+    params = F.from_json(
+        params_col,
+        "processDefinitionCode string, dependence struct<dependTaskList: array<struct<processDefinitionCode: string, definitionCode: string, dependItemList: array<struct<definitionCode: string, processDefinitionCode: string>>>>>"
+    )
     lists = F.coalesce(F.col("p.dependence.dependTaskList"), F.array())
-    nested = F.flatten(F.transform(lists, lambda x: F.transform(F.coalesce(x.dependItemList, F.array()), lambda y: F.coalesce(y.definitionCode, y.processDefinitionCode))))
+    nested = F.flatten(
+        F.transform(
+            lists,
+            lambda x: F.transform(F.coalesce(x.dependItemList, F.array()), lambda y: F.coalesce(y.definitionCode, y.processDefinitionCode))
+        )
+    )
     codes = F.concat(F.array("p.processDefinitionCode"), F.transform(lists, lambda x: F.coalesce(x.processDefinitionCode, x.definitionCode)), nested)
     found = tasks.filter("task_type = 'DEPENDENT'").withColumn("p", params)
     found = found.select("project", "code", "workflow", F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.isNotNull()))).alias("depends_on"))
@@ -148,7 +167,10 @@ def table_users(uses: DataFrame, table_name: str | None = None, role: str | None
         rows = rows.filter(F.col("table_name") == table_name)
     if role is not None:
         rows = rows.filter(F.col("role") == role)
-    return rows.groupBy("project", "table_name", "role").agg(F.array_sort(F.collect_set("workflow")).alias("workflows"), F.array_sort(F.collect_set("task")).alias("tasks"))
+    return rows.groupBy("project", "table_name", "role").agg(
+        F.array_sort(F.collect_set("workflow")).alias("workflows"),
+        F.array_sort(F.collect_set("task")).alias("tasks")
+    )
 
 
 def cross_project_lineage(uses: DataFrame, table_name: str) -> DataFrame:
@@ -181,13 +203,22 @@ def workflow_nodes(workflows: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def project_summary(workflows: DataFrame, tasks: DataFrame, uses: DataFrame) -> DataFrame:
     """Counts of workflows, tasks and tables by project, with a grand total whose project is null."""
-    rows = workflows.select("project", F.lit("w").alias("kind"), "code").unionByName(tasks.select("project", F.lit("t").alias("kind"), "code")).unionByName(uses.select("project", F.lit("b").alias("kind"), F.col("table_name").alias("code")))
+    rows = workflows.select("project", F.lit("w").alias("kind"), "code").unionByName(tasks.select("project", F.lit("t").alias("kind"), "code")).unionByName(
+        uses.select("project", F.lit("b").alias("kind"), F.col("table_name").alias("code"))
+    )
     rows = rows.distinct()
-    return rows.rollup("project").agg(F.count_if(F.col("kind") == "w").alias("n_workflows"), F.count_if(F.col("kind") == "t").alias("n_tasks"), F.countDistinct(F.when(F.col("kind") == "b", F.col("code"))).alias("n_tables"))
+    return rows.rollup("project").agg(
+        F.count_if(F.col("kind") == "w").alias("n_workflows"),
+        F.count_if(F.col("kind") == "t").alias("n_tasks"),
+        F.countDistinct(F.when(F.col("kind") == "b", F.col("code"))).alias("n_tables")
+    )
 
 
 def role_counts(with_roles: DataFrame) -> DataFrame:
-    return with_roles.groupBy("project").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("main", "child", "independent", "test")), F.count("*").alias("n_workflows"))
+    return with_roles.groupBy("project").agg(
+        *(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("main", "child", "independent", "test")),
+        F.count("*").alias("n_workflows")
+    )
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -139,7 +139,10 @@ WEIGHTS = {
 
 def lines(logs: DataFrame, id_col: str = "log_id", text_col: str = "text") -> DataFrame:
     """One row for each line of a log, from 1."""
-    return logs.select(F.col(id_col).alias("log_id"), F.posexplode(F.split(text_col, "\n")).alias("p", "line")).select("log_id", (F.col("p") + 1).alias("line_no"), "line")
+    return logs.select(
+        F.col(id_col).alias("log_id"),
+        F.posexplode(F.split(text_col, "\n")).alias("p", "line")
+    ).select("log_id", (F.col("p") + 1).alias("line_no"), "line")
 
 
 def trimmed(c: Column) -> Column:
@@ -168,21 +171,34 @@ def error_blocks(log_lines: DataFrame, most: int = 30) -> DataFrame:
     so_far = by_log.rowsBetween(Window.unboundedPreceding, 0)
     marked = log_lines.select("log_id", "line_no", "line", kind.alias("_kind"), (caused & starts).alias("_late"))
     # As if every other line closed a block: whether one is open, and which causes open one then.
-    is_open = F.last(F.when((F.col("_kind") == "start") | F.col("_late"), True).when(F.col("_kind").isin("blank", "other"), False), ignorenulls=True).over(before)
+    is_open = F.last(
+        F.when((F.col("_kind") == "start") | F.col("_late"), True).when(F.col("_kind").isin("blank", "other"), False),
+        ignorenulls=True
+    ).over(before)
     marked = marked.withColumn("_opens", (F.col("_kind") == "start") | (F.col("_late") & ~F.coalesce(is_open, F.lit(False))))
     marked = marked.withColumn("_run", F.sum(F.when(F.col("_opens") | F.col("_kind").isin("blank", "other"), 1).otherwise(0)).over(by_log))
     in_run = Window.partitionBy("log_id", "_run").orderBy("line_no")
     marked = marked.withColumn("_n", F.when(F.first("_opens").over(in_run), F.row_number().over(in_run)).otherwise(0))
     # Another line after a block of `most` lines doesn't close it: what follows up to a start or a blank line is absorbed.
     passed = (F.col("_kind") == "other") & (F.lag("_n", 1, 0).over(by_log) >= most)
-    marked = marked.withColumn("_stretch", F.sum(F.when(F.col("_kind").isin("start", "blank"), 1).otherwise(0)).over(by_log)).withColumn("_passed", passed)
+    marked = marked.withColumn(
+        "_stretch",
+        F.sum(F.when(F.col("_kind").isin("start", "blank"), 1).otherwise(0)).over(by_log)
+    ).withColumn("_passed", passed)
     absorbed = F.max("_passed").over(Window.partitionBy("log_id", "_stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("_absorbed", absorbed)
     block_no = F.last(F.when((F.col("_n") > 0) & ~F.col("_absorbed"), F.col("_run")), ignorenulls=True).over(so_far)
-    in_block = F.when(F.col("_absorbed"), F.col("_kind") == "hard").otherwise((F.col("_n") > 0) & ((F.col("_kind") != "soft") | (F.col("_n") <= most)))
+    in_block = F.when(F.col("_absorbed"), F.col("_kind") == "hard").otherwise(
+        (F.col("_n") > 0) & ((F.col("_kind") != "soft") | (F.col("_n") <= most))
+    )
     kept = marked.withColumn("_block", block_no).filter(in_block)
     blocks = kept.groupBy("log_id", "_block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    return blocks.select("log_id", F.col("_l")[0].line_no.alias("pos"), F.size("_l").cast("long").alias("n_lines"), F.array_join(F.transform("_l", lambda x: x.line), "\n").alias("block"))
+    return blocks.select(
+        "log_id",
+        F.col("_l")[0].line_no.alias("pos"),
+        F.size("_l").cast("long").alias("n_lines"),
+        F.array_join(F.transform("_l", lambda x: x.line), "\n").alias("block")
+    )
 
 
 def critical_warnings(log_lines: DataFrame) -> DataFrame:
@@ -257,7 +273,12 @@ def silent_periods(stamped: DataFrame, minutes: float = 5.0) -> DataFrame:
     before = F.lag("ts").over(Window.partitionBy("log_id").orderBy("line_no"))
     gaps = stamped.filter("ts IS NOT NULL").withColumn("from_ts", before)
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("from_ts").cast("timestamp"))) / 60e6
-    return gaps.withColumn("gap_minutes", gap).filter(F.col("gap_minutes") > minutes).select("log_id", "from_ts", F.col("ts").alias("to_ts"), "gap_minutes")
+    return gaps.withColumn("gap_minutes", gap).filter(F.col("gap_minutes") > minutes).select(
+        "log_id",
+        "from_ts",
+        F.col("ts").alias("to_ts"),
+        "gap_minutes"
+    )
 
 
 def progress(stamped: DataFrame, minutes: float = 5.0, stuck: float = 10.0) -> DataFrame:
@@ -284,14 +305,22 @@ def last_error_lines(log_lines: DataFrame, n: int = 5, pattern: str = r"(?i)erro
     return hits.select("log_id", "line_no", "line")
 
 
-def config_lines(log_lines: DataFrame, pattern: str = r"(?i)(spark\.[\w.]+\s*[=:]|--(conf|executor|driver|num-executors|master|queue|class)\b)") -> DataFrame:
+def config_lines(
+    log_lines: DataFrame,
+    pattern: str = r"(?i)(spark\.[\w.]+\s*[=:]|--(conf|executor|driver|num-executors|master|queue|class)\b)"
+) -> DataFrame:
     code = r"(?i)^\s*at\s|exception|caused by|^\s*import\s"
     return log_lines.filter(F.col("line").rlike(pattern) & ~F.col("line").rlike(code))
 
 
 def current_config(lines_with_config: DataFrame) -> DataFrame:
     """The last value of each known setting of a log."""
-    keys = {"driver_memory": r"spark\.driver\.memory\s*[=:]\s*(\w+)", "executor_memory": r"spark\.executor\.memory\s*[=:]\s*(\w+)", "executor_cores": r"spark\.executor\.cores\s*[=:]\s*(\d+)", "executor_instances": r"spark\.executor\.instances\s*[=:]\s*(\d+)"}
+    keys = {
+        "driver_memory": r"spark\.driver\.memory\s*[=:]\s*(\w+)",
+        "executor_memory": r"spark\.executor\.memory\s*[=:]\s*(\w+)",
+        "executor_cores": r"spark\.executor\.cores\s*[=:]\s*(\d+)",
+        "executor_instances": r"spark\.executor\.instances\s*[=:]\s*(\d+)"
+    }
     values = {k: found(F.col("line"), p) for k, p in keys.items()}
     return lines_with_config.groupBy("log_id").agg(*(F.max_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(k) for k, v in values.items()))
 
@@ -300,10 +329,22 @@ def stage_times(log_lines: DataFrame) -> DataFrame:
     """(log_id, stage, status, duration_s, reason): of each field the last line that speaks of the stage."""
     line = F.col("line")
     stage = F.coalesce(found(line, r"(?i)Stage\s+(\d+)\s+(?:started|completed|finished|failed)")).cast("long")
-    n, unit = found(line, r"(?i)(?:duration\s*[=:]\s*|finished\s+in\s+)(\d+)\s*(?:ms|s|min|h)?").cast("double"), F.lower(F.regexp_extract(line, r"(?i)(?:duration\s*[=:]\s*|finished\s+in\s+)\d+\s*(ms|s|min|h)?", 1))
+    n, unit = found(line, r"(?i)(?:duration\s*[=:]\s*|finished\s+in\s+)(\d+)\s*(?:ms|s|min|h)?").cast("double"), F.lower(
+        F.regexp_extract(line, r"(?i)(?:duration\s*[=:]\s*|finished\s+in\s+)\d+\s*(ms|s|min|h)?", 1)
+    )
     seconds = n * F.when(unit == "min", 60.0).when(unit == "h", 3600.0).when(unit == "s", 1.0).otherwise(0.001)
-    status = F.when(line.rlike(r"(?i)Stage\s+\d+\s+failed"), "failed").when(line.rlike(r"(?i)Stage\s+\d+\s+(completed|finished)"), "completed").otherwise("running")
-    rows = log_lines.select("log_id", "line_no", stage.alias("stage"), status.alias("status"), seconds.alias("duration_s"), F.substring(found(line, r"(?i)Stage\s+\d+\s+failed\s*[,:]\s*(.*)"), 1, 100).alias("reason")).filter("stage IS NOT NULL")
+    status = F.when(line.rlike(r"(?i)Stage\s+\d+\s+failed"), "failed").when(
+        line.rlike(r"(?i)Stage\s+\d+\s+(completed|finished)"),
+        "completed"
+    ).otherwise("running")
+    rows = log_lines.select(
+        "log_id",
+        "line_no",
+        stage.alias("stage"),
+        status.alias("status"),
+        seconds.alias("duration_s"),
+        F.substring(found(line, r"(?i)Stage\s+\d+\s+failed\s*[,:]\s*(.*)"), 1, 100).alias("reason")
+    ).filter("stage IS NOT NULL")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     return rows.groupBy("log_id", "stage").agg(last("status"), last("duration_s"), last("reason"))
 
@@ -311,19 +352,48 @@ def stage_times(log_lines: DataFrame) -> DataFrame:
 def executor_events(log_lines: DataFrame) -> DataFrame:
     """(log_id, line_no, event, executor, reason) of executors added, removed, lost or timed out."""
     line = F.col("line")
-    kinds = {"added": r"(?i)Added executor\s+(\d+)", "removed": r"(?i)Removed executor\s+(\d+)", "lost": r"(?i)Executor\s+(\d+)\s+lost", "heartbeat_timeout": r"(?i)Executor\s+(\d+)\s+heartbeat timeout"}
-    events = F.filter(F.array(*(F.struct(F.lit(k).alias("event"), found(line, p).cast("long").alias("executor")) for k, p in kinds.items())), lambda x: x.executor.isNotNull())
+    kinds = {
+        "added": r"(?i)Added executor\s+(\d+)",
+        "removed": r"(?i)Removed executor\s+(\d+)",
+        "lost": r"(?i)Executor\s+(\d+)\s+lost",
+        "heartbeat_timeout": r"(?i)Executor\s+(\d+)\s+heartbeat timeout"
+    }
+    events = F.filter(
+        F.array(*(F.struct(F.lit(k).alias("event"), found(line, p).cast("long").alias("executor")) for k, p in kinds.items())),
+        lambda x: x.executor.isNotNull()
+    )
     reason = F.trim(found(line, r"(?i)Removed executor\s+\d+[\s:]+(?:reason\s*[=:]\s*)?([^)]*)"))
-    return log_lines.select("log_id", "line_no", F.explode(events).alias("e"), reason.alias("reason")).select("log_id", "line_no", "e.event", "e.executor", F.when(F.col("e.event") == "removed", F.col("reason")).alias("reason"))
+    return log_lines.select("log_id", "line_no", F.explode(events).alias("e"), reason.alias("reason")).select(
+        "log_id",
+        "line_no",
+        "e.event",
+        "e.executor",
+        F.when(F.col("e.event") == "removed", F.col("reason")).alias("reason")
+    )
 
 
 def jvm_exceptions(blocks: DataFrame) -> DataFrame:
     """Type, message, root cause and frames of blocks with a JVM exception."""
     block = F.col("block")
-    frames = F.arrays_zip(every(block, r"at\s+([\w.$]+)\.[\w$<>]+\("), every(block, r"at\s+[\w.$]+\.([\w$<>]+)\("), every(block, r"at\s+[\w.$]+\.[\w$<>]+\(([^:)]*)"), every(block, r"at\s+[\w.$]+\.[\w$<>]+\([^:)]*:?(\d*)"))
-    named = F.transform(frames, lambda x: F.struct(x["0"].alias("class"), x["1"].alias("method"), x["2"].alias("file"), x["3"].try_cast("int").alias("line")))
+    frames = F.arrays_zip(
+        every(block, r"at\s+([\w.$]+)\.[\w$<>]+\("),
+        every(block, r"at\s+[\w.$]+\.([\w$<>]+)\("),
+        every(block, r"at\s+[\w.$]+\.[\w$<>]+\(([^:)]*)"),
+        every(block, r"at\s+[\w.$]+\.[\w$<>]+\([^:)]*:?(\d*)")
+    )
+    named = F.transform(
+        frames,
+        lambda x: F.struct(x["0"].alias("class"), x["1"].alias("method"), x["2"].alias("file"), x["3"].try_cast("int").alias("line"))
+    )
     kind = found(block, r"((?:[a-z]\w*\.)+[A-Z]\w*(?:Exception|Error))")
-    return blocks.filter(kind.isNotNull()).select("log_id", "pos", kind.alias("type"), F.trim(found(block, r"(?:[a-z]\w*\.)+[A-Z]\w*(?:Exception|Error):\s*([^\n]*)")).alias("message"), root_cause(block).alias("root_cause"), named.alias("frames"))
+    return blocks.filter(kind.isNotNull()).select(
+        "log_id",
+        "pos",
+        kind.alias("type"),
+        F.trim(found(block, r"(?:[a-z]\w*\.)+[A-Z]\w*(?:Exception|Error):\s*([^\n]*)")).alias("message"),
+        root_cause(block).alias("root_cause"),
+        named.alias("frames")
+    )
 
 
 def python_tracebacks(blocks: DataFrame) -> DataFrame:
@@ -332,15 +402,31 @@ def python_tracebacks(blocks: DataFrame) -> DataFrame:
     Segmentation starts a block of its own at the exception's line, so this takes whole logs as blocks.
     """
     block = F.col("block")
-    frames = F.transform(F.arrays_zip(every(block, r'File "([^"]+)"'), every(block, r'File "[^"]+", line (\d+)'), every(block, r'File "[^"]+", line \d+, in (\S+)')), lambda x: F.struct(x["0"].alias("file"), x["1"].try_cast("int").alias("line"), x["2"].alias("function")))
+    frames = F.transform(
+        F.arrays_zip(every(block, r'File "([^"]+)"'), every(block, r'File "[^"]+", line (\d+)'), every(block, r'File "[^"]+", line \d+, in (\S+)')),
+        lambda x: F.struct(x["0"].alias("file"), x["1"].try_cast("int").alias("line"), x["2"].alias("function"))
+    )
     kind = found(block, r"(?m)^\s*([A-Z]\w*(?:Error|Exception))\b")
-    return blocks.filter(block.contains("Traceback") & kind.isNotNull()).select("log_id", "pos", kind.alias("type"), F.trim(found(block, r"(?m)^\s*[A-Z]\w*(?:Error|Exception):\s*(.*)$")).alias("message"), frames.alias("frames"), F.when(F.size(frames) > 0, F.element_at(frames, -1)).alias("deepest"))
+    return blocks.filter(block.contains("Traceback") & kind.isNotNull()).select(
+        "log_id",
+        "pos",
+        kind.alias("type"),
+        F.trim(found(block, r"(?m)^\s*[A-Z]\w*(?:Error|Exception):\s*(.*)$")).alias("message"),
+        frames.alias("frames"),
+        F.when(F.size(frames) > 0, F.element_at(frames, -1)).alias("deepest")
+    )
 
 
 def shell_errors(log_lines: DataFrame) -> DataFrame:
     line = F.col("line")
     kind = F.when(line.contains("syntax error"), "syntax_error").when(line.contains("command not found"), "command_not_found").when(line.contains("Permission denied"), "permission_denied").when(line.contains("No such file"), "file_not_found")
-    return log_lines.filter(kind.isNotNull()).select("log_id", "line_no", found(line, r"line (\d+):").cast("int").alias("script_line"), kind.alias("type"), F.substring(line, 1, 200).alias("message"))
+    return log_lines.filter(kind.isNotNull()).select(
+        "log_id",
+        "line_no",
+        found(line, r"line (\d+):").cast("int").alias("script_line"),
+        kind.alias("type"),
+        F.substring(line, 1, 200).alias("message")
+    )
 
 
 def executor_containers(containers: DataFrame, n: int = 3) -> DataFrame:

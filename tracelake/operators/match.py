@@ -59,7 +59,10 @@ def services(hosts: DataFrame) -> DataFrame:
     """(ip, port, hostname, service) of host rows whose services are `name (port), name (port)`."""
     octets = F.transform(F.split("ip", r"\."), lambda x: x.try_cast("int"))
     valid = (F.size(octets) == 4) & F.forall(octets, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
-    pairs = F.arrays_zip(F.regexp_extract_all("services", F.lit(r"([\w -]+?)\s*\((\d+)\)"), F.lit(1)), F.regexp_extract_all("services", F.lit(r"([\w -]+?)\s*\((\d+)\)"), F.lit(2)))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("services", F.lit(r"([\w -]+?)\s*\((\d+)\)"), F.lit(1)),
+        F.regexp_extract_all("services", F.lit(r"([\w -]+?)\s*\((\d+)\)"), F.lit(2))
+    )
     out = hosts.filter(valid).select("ip", "hostname", F.explode(pairs).alias("p"))
     return out.select("ip", F.col("p")["1"].cast("int").alias("port"), "hostname", F.trim(F.col("p")["0"]).alias("service"))
 

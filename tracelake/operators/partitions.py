@@ -9,7 +9,10 @@ from ..functions.text import partition_base, partition_date
 def partition_stats(listing: DataFrame) -> DataFrame:
     """Files and bytes by table and day of a listing (path, length); only data files count."""
     data = listing.filter(F.lower("path").rlike(r"\.(parquet|csv|json|txt|orc|avro|snappy|gz)$"))
-    return data.groupBy(partition_base(F.col("path")).alias("table_name"), partition_date(F.col("path")).alias("day")).agg(F.count("*").alias("file_count"), F.sum("length").alias("total_size"))
+    return data.groupBy(
+        partition_base(F.col("path")).alias("table_name"),
+        partition_date(F.col("path")).alias("day")
+    ).agg(F.count("*").alias("file_count"), F.sum("length").alias("total_size"))
 
 
 def densified(stats: DataFrame) -> DataFrame:
@@ -28,7 +31,10 @@ def with_baseline(stats: DataFrame, days: int = 7) -> DataFrame:
     out = stats.withColumn("_n", n)
     for c, short in (("file_count", "count"), ("total_size", "size")):
         v = F.when(F.col("file_count") > 0, F.col(c))
-        out = out.withColumn(f"avg_{short}", F.avg(v).over(before)).withColumn(f"std_{short}", F.coalesce(F.stddev_pop(v).over(before), F.lit(0.0))).withColumn(f"min_{short}", F.min(v).over(before)).withColumn(f"max_{short}", F.max(v).over(before))
+        out = out.withColumn(f"avg_{short}", F.avg(v).over(before)).withColumn(
+            f"std_{short}",
+            F.coalesce(F.stddev_pop(v).over(before), F.lit(0.0))
+        ).withColumn(f"min_{short}", F.min(v).over(before)).withColumn(f"max_{short}", F.max(v).over(before))
     return out.withColumn("n_history", F.count(F.when(F.col("file_count") > 0, 1)).over(before)).drop("_n")
 
 
@@ -50,7 +56,10 @@ def anomalies(stats: DataFrame) -> DataFrame:
     worst = F.greatest(*(F.when(h, rank).otherwise(0) for _, rank, h in rules))
     has = lambda x: F.array_contains("anomalies", x)
     severity = F.when(worst == 4, "CRITICAL").when(worst == 3, "HIGH").when(worst == 2, "MEDIUM").when(worst == 1, "LOW").otherwise("NONE")
-    advice = F.when(has("PARTITION_MISSING"), "check the upstream job").when(has("NO_HISTORY_DATA"), "collect history first").when(has("FILE_COUNT_LOW") | has("TOTAL_SIZE_LOW"), "check whether the data is complete").when(F.size("anomalies") > 0, "watch the partition").otherwise("none")
+    advice = F.when(has("PARTITION_MISSING"), "check the upstream job").when(has("NO_HISTORY_DATA"), "collect history first").when(
+        has("FILE_COUNT_LOW") | has("TOTAL_SIZE_LOW"),
+        "check whether the data is complete"
+    ).when(F.size("anomalies") > 0, "watch the partition").otherwise("none")
     return out.withColumn("severity", severity).withColumn("advice", advice)
 
 
@@ -63,4 +72,7 @@ def check_paths(paths: DataFrame, stats: DataFrame) -> DataFrame:
     """paths (key, path) against partitions: exists, empty, missing, or INVALID_PATH without a date."""
     keyed = paths.withColumn("table_name", partition_base(F.col("path"))).withColumn("day", partition_date(F.col("path")))
     out = keyed.join(stats.select("table_name", "day", "file_count"), ["table_name", "day"], "left")
-    return out.withColumn("status", F.when(F.col("day").isNull(), "INVALID_PATH").when(F.col("file_count").isNull(), "missing").when(F.col("file_count") == 0, "empty").otherwise("exists"))
+    return out.withColumn(
+        "status",
+        F.when(F.col("day").isNull(), "INVALID_PATH").when(F.col("file_count").isNull(), "missing").when(F.col("file_count") == 0, "empty").otherwise("exists")
+    )

@@ -39,7 +39,11 @@ def confirm(entries: DataFrame, feedback: DataFrame) -> DataFrame:
     last = feedback.groupBy("id").agg(F.max_by(F.struct("feedback", "suggestion", "at"), "at").alias("f"))
     out = entries.join(last, "id", "left")
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("f.feedback") == "valid", "confirmed").when(F.col("f").isNotNull(), "rejected").otherwise("pending")
-    return out.select(*(c for c in entries.columns if c != "status"), status.alias("status"), F.when((F.col("status") == "pending") & (status == "rejected"), F.col("f.suggestion")).alias("correction"))
+    return out.select(
+        *(c for c in entries.columns if c != "status"),
+        status.alias("status"),
+        F.when((F.col("status") == "pending") & (status == "rejected"), F.col("f.suggestion")).alias("correction")
+    )
 
 
 def new_candidates(unmatched: DataFrame, least: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -47,4 +51,11 @@ def new_candidates(unmatched: DataFrame, least: float = 0.5, keep: tuple[str, ..
     confident ones only."""
     short = excerpt(F.col("original_log"))
     sure = unmatched.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).filter(F.col("confidence") >= least)
-    return sure.select(*keep, "skill_name", F.substring("original_log", 1, 500).alias("original_log"), "confidence", short.alias("log_excerpt"), generalised(short).alias("suggested_pattern"))
+    return sure.select(
+        *keep,
+        "skill_name",
+        F.substring("original_log", 1, 500).alias("original_log"),
+        "confidence",
+        short.alias("log_excerpt"),
+        generalised(short).alias("suggested_pattern")
+    )

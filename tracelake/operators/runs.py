@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from ..functions.text import memory_mb, memory_text_whole
 
 
-def by_state(instances: DataFrame, start: str, end: str, state: str | None = None, project: str | None = None, workflow: str | None = None) -> DataFrame:
+def by_state(
+    instances: DataFrame,
+    start: str,
+    end: str,
+    state: str | None = None,
+    project: str | None = None,
+    workflow: str | None = None
+) -> DataFrame:
     """Instances that started in [start, end); every filter reaches the scan."""
     out = instances.filter((F.col("start_time") >= F.lit(start).cast("timestamp_ntz")) & (F.col("start_time") < F.lit(end).cast("timestamp_ntz")))
     for c, v in (("state", state), ("project", project), ("workflow", workflow)):
@@ -28,12 +35,27 @@ def newest(instances: DataFrame, n: int = 50) -> DataFrame:
 def daily_workflow_metrics(instances: DataFrame) -> DataFrame:
     """By project and day: instances by state, success rate, and durations."""
     is_ = lambda s: F.count_if(F.col("state") == s)
-    out = instances.groupBy("project", F.to_date("start_time").alias("day")).agg(F.count("*").alias("total"), is_("SUCCESS").alias("success"), is_("FAILURE").alias("failure"), is_("RUNNING").alias("running"), F.avg("duration").alias("avg_duration"), F.max("duration").alias("max_duration"), F.min("duration").alias("min_duration"))
-    return out.withColumn("other", F.col("total") - F.col("success") - F.col("failure") - F.col("running")).withColumn("success_rate", F.col("success") / F.col("total")).withColumn("failure_rate", F.col("failure") / F.col("total"))
+    out = instances.groupBy("project", F.to_date("start_time").alias("day")).agg(
+        F.count("*").alias("total"),
+        is_("SUCCESS").alias("success"),
+        is_("FAILURE").alias("failure"),
+        is_("RUNNING").alias("running"),
+        F.avg("duration").alias("avg_duration"),
+        F.max("duration").alias("max_duration"),
+        F.min("duration").alias("min_duration")
+    )
+    return out.withColumn(
+        "other",
+        F.col("total") - F.col("success") - F.col("failure") - F.col("running")
+    ).withColumn("success_rate", F.col("success") / F.col("total")).withColumn("failure_rate", F.col("failure") / F.col("total"))
 
 
 def daily_type_metrics(instances: DataFrame) -> DataFrame:
-    return instances.groupBy("project", F.to_date("start_time").alias("day"), "task_type").agg(F.count("*").alias("total"), F.count_if(F.col("state") == "FAILURE").alias("failure"), F.avg("duration").alias("avg_duration"))
+    return instances.groupBy("project", F.to_date("start_time").alias("day"), "task_type").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("state") == "FAILURE").alias("failure"),
+        F.avg("duration").alias("avg_duration")
+    )
 
 
 def daily_error_metrics(failures: DataFrame, examples: int = 3) -> DataFrame:
@@ -52,7 +74,9 @@ def range_report(instances: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def state_counts(instances: DataFrame) -> DataFrame:
-    return instances.groupBy(F.to_date("start_time").alias("day")).agg(*(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("SUCCESS", "FAILURE", "RUNNING")))
+    return instances.groupBy(F.to_date("start_time").alias("day")).agg(
+        *(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("SUCCESS", "FAILURE", "RUNNING"))
+    )
 
 
 def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
@@ -60,7 +84,11 @@ def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
 
     A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs.
     """
-    stats = tasks.groupBy("app", "stage").agg(F.count("*").alias("n_tasks"), F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"), F.max("duration").alias("max_duration"))
+    stats = tasks.groupBy("app", "stage").agg(
+        F.count("*").alias("n_tasks"),
+        F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"),
+        F.max("duration").alias("max_duration")
+    )
     # The upper median by counts of the distinct inputs, so that no task gathers all inputs of a stage.
     inputs = tasks.filter("input_bytes IS NOT NULL").groupBy("app", "stage", "input_bytes").agg(F.count("*").alias("_n"))
     inputs = inputs.withColumn("_upto", F.sum("_n").over(Window.partitionBy("app", "stage").orderBy("input_bytes")))
@@ -69,12 +97,19 @@ def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
     skew = F.try_divide(F.col("max_duration"), F.col("median_duration"))
     stats = stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False)))
     flags = tasks.join(stats.select("app", "stage", "median_duration", "median_input"), ["app", "stage"])
-    slow = flags.groupBy("app", "stage").agg(F.count_if(F.col("duration") > ratio * F.col("median_duration")).alias("n_stragglers"), F.count_if((F.col("input_bytes") > ratio * F.col("median_input")) & (F.col("median_input") > 0)).alias("n_input_skewed"))
+    slow = flags.groupBy("app", "stage").agg(
+        F.count_if(F.col("duration") > ratio * F.col("median_duration")).alias("n_stragglers"),
+        F.count_if((F.col("input_bytes") > ratio * F.col("median_input")) & (F.col("median_input") > 0)).alias("n_input_skewed")
+    )
     return stats.join(slow, ["app", "stage"])
 
 
 def app_skew(distribution: DataFrame) -> DataFrame:
-    by = distribution.groupBy("app").agg(F.bool_or("is_skewed").alias("is_skewed"), F.max("skew_ratio").alias("max_ratio"), F.sum("n_input_skewed").alias("n_input_skewed"))
+    by = distribution.groupBy("app").agg(
+        F.bool_or("is_skewed").alias("is_skewed"),
+        F.max("skew_ratio").alias("max_ratio"),
+        F.sum("n_input_skewed").alias("n_input_skewed")
+    )
     return by.withColumn("advice", F.when(~F.col("is_skewed"), "none").when(F.col("n_input_skewed") > 0, "salting").otherwise("parallelism"))
 
 
@@ -107,14 +142,24 @@ def predict_memory(history: DataFrame, current_mb: Column) -> DataFrame:
         F.avg(F.col("shuffle_read_mb") + F.col("shuffle_write_mb")).alias("_s"),
         F.min("executor_memory_mb").alias("_m"), F.min("executor_instances").alias("_i0"), F.max("executor_instances").alias("_i1"),
     )
-    slope = F.when((F.col("n") >= 5) & (F.col("_d1") > F.col("_d0")), (F.col("_p1") - F.col("_p0")) / (F.col("_d1") - F.col("_d0"))).otherwise(F.try_divide("_p", "_d"))
+    slope = F.when(
+        (F.col("n") >= 5) & (F.col("_d1") > F.col("_d0")),
+        (F.col("_p1") - F.col("_p0")) / (F.col("_d1") - F.col("_d0"))
+    ).otherwise(F.try_divide("_p", "_d"))
     enough = (F.col("n") >= 3) & (F.col("_d") > 0)
     peak = current_mb * slope
     memory = F.greatest((peak * 1.3).cast("long"), F.col("_m"))
     wanted = F.greatest(F.lit(2), (current_mb * F.col("_s") / F.col("_d") / 2048).cast("long"))
     instances = F.greatest(F.col("_i0"), F.least(wanted, F.col("_i1") * 2))
     when = lambda x: F.when(enough, x)
-    return agg.select("workflow", "n", F.when(~enough, "LOW").when(F.col("n") >= 5, "HIGH").otherwise("MEDIUM").alias("confidence"), when(slope).alias("memory_per_data"), when(memory).alias("executor_memory_mb"), when(instances).alias("executor_instances"))
+    return agg.select(
+        "workflow",
+        "n",
+        F.when(~enough, "LOW").when(F.col("n") >= 5, "HIGH").otherwise("MEDIUM").alias("confidence"),
+        when(slope).alias("memory_per_data"),
+        when(memory).alias("executor_memory_mb"),
+        when(instances).alias("executor_instances")
+    )
 
 
 #: The settings that a balanced configuration may take.
@@ -127,7 +172,10 @@ def balanced_config(needs: DataFrame, target: float = 1.5) -> DataFrame:
     The grid has 133 rows whatever the input, so it is broadcast.
     """
     spark = needs.sparkSession
-    grid = spark.createDataFrame([(m, n) for m in MEMORIES for n in INSTANCES if not (m <= 512 and n > 8 or m >= 6144 and n < 4)], "mem long, inst long")
+    grid = spark.createDataFrame(
+        [(m, n) for m in MEMORIES for n in INSTANCES if not (m <= 512 and n > 8 or m >= 6144 and n < 4)],
+        "mem long, inst long"
+    )
     keys = needs.select("key", "shuffle_mb").distinct()
     ratio = F.col("mem") * F.col("inst") / F.col("shuffle_mb")
     tried = keys.filter("shuffle_mb > 0").crossJoin(F.broadcast(grid)).withColumn("ratio", ratio).filter(F.col("ratio").between(1.5, 2.5))
@@ -135,7 +183,12 @@ def balanced_config(needs: DataFrame, target: float = 1.5) -> DataFrame:
     best = tried.groupBy("key", "shuffle_mb").agg(F.min(F.struct(F.round(score, 9).alias("s"), "mem", "inst")).alias("b"))
     out = keys.join(best, ["key", "shuffle_mb"], "left")
     fallback = F.greatest(F.lit(2), F.least(F.lit(20), (F.col("shuffle_mb") * target / 4096).cast("long") + 1))
-    return out.select("key", "shuffle_mb", F.coalesce("b.mem", F.lit(4096)).cast("long").alias("executor_memory_mb"), F.coalesce("b.inst", fallback).cast("long").alias("executor_instances"))
+    return out.select(
+        "key",
+        "shuffle_mb",
+        F.coalesce("b.mem", F.lit(4096)).cast("long").alias("executor_memory_mb"),
+        F.coalesce("b.inst", fallback).cast("long").alias("executor_instances")
+    )
 
 
 def memory_use_status(total_mb: Column, shuffle_mb: Column) -> Column:
@@ -143,7 +196,15 @@ def memory_use_status(total_mb: Column, shuffle_mb: Column) -> Column:
     return F.when(r < 1, "risky").when(r < 1.5, "need_increase").when(r <= 2, "optimal").when(r <= 3, "slightly_over").when(r.isNotNull(), "over_configured").otherwise("unknown")
 
 
-def executor_memory(current_mb: Column, predicted_mb: Column, spilled_mb: Column, peak_mb: Column, shuffle_mb: Column, slots: Column, cap: int = 16384) -> Column:
+def executor_memory(
+    current_mb: Column,
+    predicted_mb: Column,
+    spilled_mb: Column,
+    peak_mb: Column,
+    shuffle_mb: Column,
+    slots: Column,
+    cap: int = 16384
+) -> Column:
     """Struct (mb, method): a prediction first, then spill, peak, shuffle, else twice the present; at most cap."""
     made = [
         ("history_prediction", predicted_mb, predicted_mb.isNotNull()),
@@ -174,9 +235,20 @@ def timeout_metrics(tasks: DataFrame, history: DataFrame) -> DataFrame:
     avg_duration, avg_data).
     """
     first = lambda c: F.max_by("name", F.struct(c, (-F.col("ord")).alias("o")))
-    by = tasks.groupBy("workflow").agg(F.max("retry_count").alias("max_retry"), first("retry_count").alias("retry_task"), F.max(F.col("retry_count") * F.col("retry_interval")).alias("retry_time"), F.max("duration").alias("max_duration"), first("duration").alias("slowest_task"), F.max("queue_wait").alias("max_wait"), F.sum("data_size").alias("data_size"))
+    by = tasks.groupBy("workflow").agg(
+        F.max("retry_count").alias("max_retry"),
+        first("retry_count").alias("retry_task"),
+        F.max(F.col("retry_count") * F.col("retry_interval")).alias("retry_time"),
+        F.max("duration").alias("max_duration"),
+        first("duration").alias("slowest_task"),
+        F.max("queue_wait").alias("max_wait"),
+        F.sum("data_size").alias("data_size")
+    )
     out = by.join(history, "workflow", "left")
-    return out.withColumn("is_slow", F.coalesce(F.col("max_duration") > 2 * F.col("avg_duration"), F.lit(False))).withColumn("is_data_spike", F.coalesce(F.col("data_size") > 5 * F.col("avg_data"), F.lit(False)))
+    return out.withColumn(
+        "is_slow",
+        F.coalesce(F.col("max_duration") > 2 * F.col("avg_duration"), F.lit(False))
+    ).withColumn("is_data_spike", F.coalesce(F.col("data_size") > 5 * F.col("avg_data"), F.lit(False)))
 
 
 def timeout_class(m: DataFrame) -> DataFrame:
@@ -199,7 +271,11 @@ def timeout_class(m: DataFrame) -> DataFrame:
         ("data_volume_spike", known, 0.7, c("is_data_spike")),
         ("upstream_delay", known, 0.65, c("upstream_delay")),
     ]
-    row = lambda name, category, confidence: F.struct(F.lit(name).alias("timeout_type"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
+    row = lambda name, category, confidence: F.struct(
+        F.lit(name).alias("timeout_type"),
+        F.lit(category).alias("category"),
+        F.lit(confidence).alias("confidence")
+    )
     out = F
     for name, category, confidence, holds in rules:
         out = out.when(holds, row(name, category, confidence))
@@ -210,8 +286,18 @@ def cluster_status(snapshots: DataFrame) -> DataFrame:
     """Utilisation and health in percent, and the reasons for calling a cluster overloaded."""
     pct = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a) * 100.0, F.col(b)), F.lit(0.0)), 2)
     out = snapshots.withColumn("memory_pct", pct("used_memory_mb", "total_memory_mb")).withColumn("vcore_pct", pct("used_vcores", "total_vcores"))
-    out = out.withColumn("health_pct", F.round(F.coalesce(F.try_divide(F.col("active_nodes") * 100.0, F.col("active_nodes") + F.col("unhealthy_nodes")), F.lit(0.0)), 2))
-    reasons = F.array_compact(F.array(F.when(F.col("memory_pct") > 85, "memory"), F.when(F.col("vcore_pct") > 85, "vcores"), F.when(F.col("pending_containers") > 100, "containers"), F.when(F.col("health_pct") < 80, "nodes")))
+    out = out.withColumn(
+        "health_pct",
+        F.round(F.coalesce(F.try_divide(F.col("active_nodes") * 100.0, F.col("active_nodes") + F.col("unhealthy_nodes")), F.lit(0.0)), 2)
+    )
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("memory_pct") > 85, "memory"),
+            F.when(F.col("vcore_pct") > 85, "vcores"),
+            F.when(F.col("pending_containers") > 100, "containers"),
+            F.when(F.col("health_pct") < 80, "nodes")
+        )
+    )
     return out.withColumn("reasons", reasons).withColumn("is_overloaded", F.size("reasons") > 0)
 
 
@@ -230,7 +316,10 @@ def _of(events: DataFrame, name: str) -> DataFrame:
 def _one(rows: DataFrame, keys: list[str], which) -> DataFrame:
     """One row for each of keys: that with the least or the greatest line number (which: F.min_by or F.max_by)."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(which(F.struct(*rest), "line_no").alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest if c != "line_no"))
+    return rows.groupBy(*keys).agg(which(F.struct(*rest), "line_no").alias("_r")).select(
+        *keys,
+        *(F.col("_r")[c].alias(c) for c in rest if c != "line_no")
+    )
 
 
 def event_totals(events: DataFrame) -> DataFrame:
@@ -264,7 +353,11 @@ SETTINGS = {
 def event_config(events: DataFrame) -> DataFrame:
     """All settings by app (config), from its first environment update, and those of SETTINGS under their names."""
     own, older = F.col("`Spark Properties`"), F.col("`Environment Details`.`Spark Properties`")
-    rows = _of(events, "EnvironmentUpdate").select("app", "line_no", F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(older).alias("config"))
+    rows = _of(events, "EnvironmentUpdate").select(
+        "app",
+        "line_no",
+        F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(older).alias("config")
+    )
     first = rows.groupBy("app").agg(F.min_by("config", "line_no").alias("config"))
     return first.select("app", "config", *(F.element_at("config", k).alias(v) for k, v in SETTINGS.items()))
 
@@ -274,8 +367,18 @@ def event_stages(events: DataFrame) -> DataFrame:
     what the accumulables say of input and shuffle write. A completion without a submission is left out; of several
     submissions the first counts, of completions the last."""
     s = F.col("`Stage Info`")
-    began = _of(events, "StageSubmitted").select("app", "line_no", s["Stage ID"].alias("stage"), F.coalesce(s["Stage Name"], s["Name"]).alias("name"), s["Number of Tasks"].alias("n_tasks"), s["Submission Time"].alias("start"))
-    last = lambda word: F.element_at(F.filter(s["Accumulables"], lambda a: F.lower(a["Name"]).contains(word)), -1)["Value"].try_cast("long")
+    began = _of(events, "StageSubmitted").select(
+        "app",
+        "line_no",
+        s["Stage ID"].alias("stage"),
+        F.coalesce(s["Stage Name"], s["Name"]).alias("name"),
+        s["Number of Tasks"].alias("n_tasks"),
+        s["Submission Time"].alias("start")
+    )
+    last = lambda word: F.element_at(
+        F.filter(s["Accumulables"], lambda a: F.lower(a["Name"]).contains(word)),
+        -1
+    )["Value"].try_cast("long")
     summed = lambda word: F.when(F.size(F.filter(s["Accumulables"], lambda a: F.lower(a["Name"]).contains(word))) > 0, last(word))
     ended = _of(events, "StageCompleted").select(
         "app", "line_no", s["Stage ID"].alias("stage"), s["Submission Time"].alias("again"), s["Completion Time"].alias("end"), F.coalesce(s["Number of Failed Tasks"], F.lit(0)).alias("n_failed_tasks"),
@@ -288,8 +391,21 @@ def event_stages(events: DataFrame) -> DataFrame:
 
 def event_jobs(events: DataFrame) -> DataFrame:
     """Started jobs with their end, if any: state (started, or the result), duration, stages and description."""
-    began = _of(events, "JobStart").select("app", "line_no", F.col("`Job ID`").alias("job"), F.col("`Submission Time`").alias("start"), F.col("`Stage IDs`").alias("stages"), F.substring("Description", 1, 100).alias("description"))
-    ended = _of(events, "JobEnd").select("app", "line_no", F.col("`Job ID`").alias("job"), F.col("`Completion Time`").alias("end"), F.coalesce("`Job Result`.Result", F.lit("unknown")).alias("state"))
+    began = _of(events, "JobStart").select(
+        "app",
+        "line_no",
+        F.col("`Job ID`").alias("job"),
+        F.col("`Submission Time`").alias("start"),
+        F.col("`Stage IDs`").alias("stages"),
+        F.substring("Description", 1, 100).alias("description")
+    )
+    ended = _of(events, "JobEnd").select(
+        "app",
+        "line_no",
+        F.col("`Job ID`").alias("job"),
+        F.col("`Completion Time`").alias("end"),
+        F.coalesce("`Job Result`.Result", F.lit("unknown")).alias("state")
+    )
     out = _one(began, ["app", "job"], F.min_by).join(_one(ended, ["app", "job"], F.max_by), ["app", "job"], "left")
     return out.fillna("started", ["state"]).withColumn("duration_ms", F.col("end") - F.col("start"))
 
@@ -297,8 +413,22 @@ def event_jobs(events: DataFrame) -> DataFrame:
 def event_executors(events: DataFrame) -> DataFrame:
     """Executors by their last addition: host, cores, memory, when added, and when and why removed, if they were."""
     at, info = F.coalesce("Timestamp", "Time"), F.col("`Executor Info`")
-    added = _of(events, "ExecutorAdded").select("app", "line_no", F.col("`Executor ID`").alias("executor"), info["Host"].alias("host"), info["Total Cores"].alias("cores"), info["Memory"].alias("memory"), at.alias("added"))
-    removed = _of(events, "ExecutorRemoved").select("app", "line_no", F.col("`Executor ID`").alias("executor"), at.alias("removed"), F.coalesce("`Removed Reason`", F.lit("")).alias("reason"))
+    added = _of(events, "ExecutorAdded").select(
+        "app",
+        "line_no",
+        F.col("`Executor ID`").alias("executor"),
+        info["Host"].alias("host"),
+        info["Total Cores"].alias("cores"),
+        info["Memory"].alias("memory"),
+        at.alias("added")
+    )
+    removed = _of(events, "ExecutorRemoved").select(
+        "app",
+        "line_no",
+        F.col("`Executor ID`").alias("executor"),
+        at.alias("removed"),
+        F.coalesce("`Removed Reason`", F.lit("")).alias("reason")
+    )
     out = _one(added, ["app", "executor"], F.max_by).join(_one(removed, ["app", "executor"], F.max_by), ["app", "executor"], "left")
     return out.withColumn("status", F.when(F.col("reason").isNull(), "active").otherwise("removed"))
 
@@ -309,22 +439,52 @@ def event_failures(events: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
 
     def row(kind, id_, stage, attempt, reason, executor, host, duration):
-        return ["app", F.lit(kind).alias("kind"), id_.alias("id"), stage.alias("stage"), attempt.alias("attempt"), reason.alias("reason"), executor.alias("executor"), host.alias("host"), duration.alias("duration")]
+        return [
+            "app",
+            F.lit(kind).alias("kind"),
+            id_.alias("id"),
+            stage.alias("stage"),
+            attempt.alias("attempt"),
+            reason.alias("reason"),
+            executor.alias("executor"),
+            host.alias("host"),
+            duration.alias("duration")
+        ]
 
     reason = F.coalesce(F.nullif(why["Failure"]["ClassName"], F.lit("")), why["Description"], F.lit(""))
     tasks = _of(events, "TaskEnd").filter(why["Failure"].isNotNull())
-    tasks = tasks.select(*row("task", t["Task ID"], F.col("`Stage ID`"), F.coalesce(t["Attempt"], F.lit(0)), reason, t["Executor ID"], t["Host"], F.coalesce(t["Duration"], F.lit(0))))
+    tasks = tasks.select(
+        *row(
+            "task",
+            t["Task ID"],
+            F.col("`Stage ID`"),
+            F.coalesce(t["Attempt"], F.lit(0)),
+            reason,
+            t["Executor ID"],
+            t["Host"],
+            F.coalesce(t["Duration"], F.lit(0))
+        )
+    )
     stages = _of(events, "StageCompleted").filter(s["Failure Reason"].isNotNull())
-    stages = stages.select(*row("stage", s["Stage ID"], s["Stage ID"], none("long"), s["Failure Reason"], none("string"), none("string"), none("long")))
+    stages = stages.select(
+        *row("stage", s["Stage ID"], s["Stage ID"], none("long"), s["Failure Reason"], none("string"), none("string"), none("long"))
+    )
     jobs = _of(events, "JobEnd").filter(F.col("`Job Result`.Result") != "JobSucceeded")
-    jobs = jobs.select(*row("job", F.col("`Job ID`"), none("long"), none("long"), F.col("`Job Result`.Result"), none("string"), none("string"), none("long")))
+    jobs = jobs.select(
+        *row("job", F.col("`Job ID`"), none("long"), none("long"), F.col("`Job Result`.Result"), none("string"), none("string"), none("long"))
+    )
     return tasks.unionByName(stages).unionByName(jobs)
 
 
 def app_rollup(executors: DataFrame, stages: DataFrame) -> DataFrame:
     """By app: executors, their memory, and sums over stages. executors(app, executor, max_memory_mb, peak_memory_mb)."""
     is_driver = F.col("executor") == "driver"
-    e = executors.groupBy("app").agg(F.count_if(~is_driver).alias("n_executors"), F.sum(F.when(~is_driver, F.col("max_memory_mb"))).alias("total_memory_mb"), F.max(F.when(~is_driver, F.col("peak_memory_mb"))).alias("peak_memory_mb"), F.max(F.when(is_driver, F.col("max_memory_mb"))).alias("driver_memory_mb"))
+    e = executors.groupBy("app").agg(
+        F.count_if(~is_driver).alias("n_executors"),
+        F.sum(F.when(~is_driver, F.col("max_memory_mb"))).alias("total_memory_mb"),
+        F.max(F.when(~is_driver, F.col("peak_memory_mb"))).alias("peak_memory_mb"),
+        F.max(F.when(is_driver, F.col("max_memory_mb"))).alias("driver_memory_mb")
+    )
     s = stages.groupBy("app").agg(*(F.sum(c).alias(c) for c in ("input_bytes", "shuffle_read_bytes", "shuffle_write_bytes", "spilled_bytes")))
     return e.join(s, "app", "full")
 
@@ -345,26 +505,40 @@ def cached_totals(rdds: DataFrame) -> DataFrame:
 
 def cached_skew(blocks: DataFrame, ratio: float = 3.0) -> DataFrame:
     """By app and RDD: skewed if two executors or more hold it and the most is over `ratio` medians."""
-    out = blocks.groupBy("app", "rdd").agg(F.countDistinct("executor").alias("n_executors"), F.median("memory_mb").alias("median_mb"), F.max("memory_mb").alias("max_mb"))
+    out = blocks.groupBy("app", "rdd").agg(
+        F.countDistinct("executor").alias("n_executors"),
+        F.median("memory_mb").alias("median_mb"),
+        F.max("memory_mb").alias("max_mb")
+    )
     r = F.try_divide(F.col("max_mb"), F.col("median_mb"))
     return out.withColumn("ratio", r).withColumn("is_skewed", (F.col("n_executors") >= 2) & F.coalesce(r > ratio, F.lit(False)))
 
 
 def report_totals(reports: DataFrame) -> DataFrame:
     """By workflow: stored reports, tokens used and characters of logs."""
-    return reports.groupBy("workflow_code").agg(F.count("*").alias("n_reports"), F.sum("tokens").alias("tokens"), F.sum(F.length("log_text")).alias("log_chars"))
+    return reports.groupBy("workflow_code").agg(
+        F.count("*").alias("n_reports"),
+        F.sum("tokens").alias("tokens"),
+        F.sum(F.length("log_text")).alias("log_chars")
+    )
 
 
 def simple_timeout_cause(m: DataFrame) -> DataFrame:
     """A retried task first, then waiting of over twice the average, else unknown."""
-    return m.withColumn("cause", F.when(F.col("max_retry") > 0, "retry").when(F.col("max_wait") > 2 * F.col("avg_wait"), "queue_wait").otherwise("unknown"))
+    return m.withColumn(
+        "cause",
+        F.when(F.col("max_retry") > 0, "retry").when(F.col("max_wait") > 2 * F.col("avg_wait"), "queue_wait").otherwise("unknown")
+    )
 
 
 def timeout_advice(m: DataFrame) -> DataFrame:
     """What to do about a kind of timeout: fewer tasks at once, more of the queue, or more resources. Columns: timeout_type,
     running."""
     kind, most = F.col("timeout_type"), F.greatest(F.lit(5), 20 - F.coalesce("running", F.lit(10)))
-    advice = F.when(kind == "cluster_overloaded", F.concat(F.lit("reduce_concurrency "), most.cast("string"))).when(kind == "queue_congested", "adjust_queue_capacity +20%").when(kind.isin("memory_pressure", "vcore_pressure"), "add_resources")
+    advice = F.when(
+        kind == "cluster_overloaded",
+        F.concat(F.lit("reduce_concurrency "), most.cast("string"))
+    ).when(kind == "queue_congested", "adjust_queue_capacity +20%").when(kind.isin("memory_pressure", "vcore_pressure"), "add_resources")
     return m.withColumn("advice", advice)
 
 
@@ -393,14 +567,31 @@ def resource_suggestions(errors: DataFrame) -> DataFrame:
     """
     c = F.col
     kind = c("error_type")
-    e = errors.filter(kind.isin(*RESOURCE_ERRORS)).withColumn("status", memory_use_status(c("executor_mb") * c("instances"), F.nullif("shuffle_mb", F.lit(0))))
+    e = errors.filter(kind.isin(*RESOURCE_ERRORS)).withColumn(
+        "status",
+        memory_use_status(c("executor_mb") * c("instances"), F.nullif("shuffle_mb", F.lit(0)))
+    )
     e = e.filter((c("status") != "optimal") | kind.isin("oom_executor", "container_killed_memory", "gc_overhead"))
-    sure = F.when(c("status") == "risky", "HIGH").when(c("status").isin("need_increase", "optimal"), "MEDIUM").when(c("status").isin("slightly_over", "over_configured") & kind.isin("oom_executor", "container_killed_memory"), "MEDIUM").otherwise("LOW")
-    balanced = balanced_config(e.filter("shuffle_mb > 0").select(c("alert_id").alias("key"), "shuffle_mb")).select(c("key").alias("alert_id"), c("executor_memory_mb").alias("_mb"), c("executor_instances").alias("_n"))
+    sure = F.when(c("status") == "risky", "HIGH").when(c("status").isin("need_increase", "optimal"), "MEDIUM").when(
+        c("status").isin("slightly_over", "over_configured") & kind.isin("oom_executor", "container_killed_memory"),
+        "MEDIUM"
+    ).otherwise("LOW")
+    balanced = balanced_config(e.filter("shuffle_mb > 0").select(c("alert_id").alias("key"), "shuffle_mb")).select(
+        c("key").alias("alert_id"),
+        c("executor_memory_mb").alias("_mb"),
+        c("executor_instances").alias("_n")
+    )
     out = e.join(balanced, "alert_id", "left")
     other = executor_memory(c("executor_mb"), c("predicted_mb"), c("spilled_mb"), c("peak_mb"), c("shuffle_mb"), c("slots"))
     by_balance = c("_mb").isNotNull()
-    return out.select("alert_id", "status", sure.alias("confidence"), F.when(by_balance, "balanced_config").otherwise(other.method).alias("method"), F.when(by_balance, c("_mb")).otherwise(other.mb).cast("long").alias("suggested_mb"), c("_n").alias("suggested_instances"))
+    return out.select(
+        "alert_id",
+        "status",
+        sure.alias("confidence"),
+        F.when(by_balance, "balanced_config").otherwise(other.method).alias("method"),
+        F.when(by_balance, c("_mb")).otherwise(other.mb).cast("long").alias("suggested_mb"),
+        c("_n").alias("suggested_instances")
+    )
 
 
 def sized_by_data(input_gb: Column, current_gb: Column, spilled: Column, shuffle_gb: Column) -> Column:
@@ -450,4 +641,7 @@ def _settings(values: dict[str, Column]) -> Column:
 def quick_fix(error_type: Column) -> Column:
     """A change of settings for a timeout that is too short (half more) or a retry that is too fast (60 s); else null."""
     change = lambda k, v: F.create_map(F.lit(k), F.lit(v))
-    return F.when(error_type == "timeout_config_too_short", change("timeout", "x1.5")).when(error_type == "retry_config_too_aggressive", change("retry_interval", "60s"))
+    return F.when(error_type == "timeout_config_too_short", change("timeout", "x1.5")).when(
+        error_type == "retry_config_too_aggressive",
+        change("retry_interval", "60s")
+    )

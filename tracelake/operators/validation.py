@@ -11,7 +11,13 @@ ISSUE = ("project", "category", "severity", "subject", "detail")
 
 
 def _issues(df: DataFrame, category: str, severity: str, subject: Column, detail: Column) -> DataFrame:
-    return df.select("project", F.lit(category).alias("category"), F.lit(severity).alias("severity"), subject.alias("subject"), detail.cast("string").alias("detail"))
+    return df.select(
+        "project",
+        F.lit(category).alias("category"),
+        F.lit(severity).alias("severity"),
+        subject.alias("subject"),
+        detail.cast("string").alias("detail")
+    )
 
 
 def set_differences(a: DataFrame, b: DataFrame, keys: list[str], category: str) -> DataFrame:
@@ -20,12 +26,20 @@ def set_differences(a: DataFrame, b: DataFrame, keys: list[str], category: str)
     on = ["project", *keys]
     missing = b.select(on).distinct().join(a.select(on), on, "left_anti")
     extra = a.select(on).distinct().join(b.select(on), on, "left_anti")
-    return _issues(missing, f"{category}_missing", "HIGH", subject, F.lit("")).unionByName(_issues(extra, f"{category}_extra", "MEDIUM", subject, F.lit("")))
+    return _issues(missing, f"{category}_missing", "HIGH", subject, F.lit("")).unionByName(
+        _issues(extra, f"{category}_extra", "MEDIUM", subject, F.lit(""))
+    )
 
 
 def attribute_differences(a: DataFrame, b: DataFrame, key: str, attribute: str, category: str) -> DataFrame:
     both = a.select("project", key, F.col(attribute).alias("_a")).join(b.select("project", key, F.col(attribute).alias("_b")), ["project", key])
-    return _issues(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))), category, "MEDIUM", F.col(key), F.concat_ws(" / ", F.coalesce("_a", F.lit("null")), F.coalesce("_b", F.lit("null"))))
+    return _issues(
+        both.filter(~F.col("_a").eqNullSafe(F.col("_b"))),
+        category,
+        "MEDIUM",
+        F.col(key),
+        F.concat_ws(" / ", F.coalesce("_a", F.lit("null")), F.coalesce("_b", F.lit("null")))
+    )
 
 
 def count_differences(a: DataFrame, b: DataFrame, key: str, category: str) -> DataFrame:
@@ -37,12 +51,21 @@ def count_differences(a: DataFrame, b: DataFrame, key: str, category: str) -> Da
 def set_valued_differences(a: DataFrame, b: DataFrame, key: str, member: str, category: str) -> DataFrame:
     sa, sb = (x.groupBy("project", key).agg(F.array_sort(F.collect_set(member)).alias(n)) for x, n in ((a, "_a"), (b, "_b")))
     both = sa.join(sb, ["project", key], "full")
-    return _issues(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))), category, "MEDIUM", F.col(key), F.concat_ws(" / ", F.coalesce(F.size("_a"), F.lit(0)), F.coalesce(F.size("_b"), F.lit(0))))
+    return _issues(
+        both.filter(~F.col("_a").eqNullSafe(F.col("_b"))),
+        category,
+        "MEDIUM",
+        F.col(key),
+        F.concat_ws(" / ", F.coalesce(F.size("_a"), F.lit(0)), F.coalesce(F.size("_b"), F.lit(0)))
+    )
 
 
 def table_roles(tables: DataFrame, uses: DataFrame) -> DataFrame:
     """tables (project, table_name) with whether anything makes or reads them."""
-    flags = uses.groupBy("project", "table_name").agg(F.max(F.col("role") == "produce").alias("produced"), F.max(F.col("role") == "consume").alias("consumed"))
+    flags = uses.groupBy("project", "table_name").agg(
+        F.max(F.col("role") == "produce").alias("produced"),
+        F.max(F.col("role") == "consume").alias("consumed")
+    )
     return tables.join(flags, ["project", "table_name"], "left").fillna(False, ["produced", "consumed"])
 
 
@@ -69,15 +92,31 @@ def accuracy_checks(workflows: DataFrame, tasks: DataFrame, tables: DataFrame, u
         .when(~read, "no_consumer")
     )
     broken = table_roles(tables, uses).withColumn("rule", rule).filter("rule IS NOT NULL")
-    by_rule = broken.select("project", F.col("rule").alias("category"), F.when(F.col("rule") == "orphan_table", "MEDIUM").otherwise("LOW").alias("severity"), name.alias("subject"), F.lit("").alias("detail"))
-    return reduce(DataFrame.unionByName, [_issues(lost, "task_without_workflow", "HIGH", F.col("code"), F.lit("")), _issues(empty, "workflow_without_tasks", "LOW", F.col("workflow"), F.lit("")), by_rule])
+    by_rule = broken.select(
+        "project",
+        F.col("rule").alias("category"),
+        F.when(F.col("rule") == "orphan_table", "MEDIUM").otherwise("LOW").alias("severity"),
+        name.alias("subject"),
+        F.lit("").alias("detail")
+    )
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _issues(lost, "task_without_workflow", "HIGH", F.col("code"), F.lit("")),
+            _issues(empty, "workflow_without_tasks", "LOW", F.col("workflow"), F.lit("")),
+            by_rule
+        ]
+    )
 
 
 def match_rates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """By project: how many of b's keys a has, of how many, and the rate (1 where b has none)."""
     on = ["project", *keys]
     both = a.select(on).distinct().withColumn("_a", F.lit(1)).join(b.select(on).distinct().withColumn("_b", F.lit(1)), on, "full")
-    out = both.groupBy("project").agg(F.count_if(F.col("_b") == 1).alias("expected"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("matched"))
+    out = both.groupBy("project").agg(
+        F.count_if(F.col("_b") == 1).alias("expected"),
+        F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("matched")
+    )
     return out.withColumn("rate", F.coalesce(F.try_divide("matched", "expected"), F.lit(1.0)))
 
 

@@ -22,7 +22,11 @@ def _sql_list(values):
 def alert_messages(s, d):
     m = view(s, d, "message")
     # A list isn't a request: of numbers 1 and 5 the first object is asked about.
-    return m.select("event_id", alerts.is_alert(F.col("raw")).alias("is_alert"), alerts.is_request(F.regexp_replace("raw", r"^\[(\{.*?\}).*\]$", "$1")).alias("is_request"))
+    return m.select(
+        "event_id",
+        alerts.is_alert(F.col("raw")).alias("is_alert"),
+        alerts.is_request(F.regexp_replace("raw", r"^\[(\{.*?\}).*\]$", "$1")).alias("is_request")
+    )
 
 
 @query("""WITH x AS (SELECT event_id AS e, user_id AS u FROM events)
@@ -34,7 +38,15 @@ UNION ALL SELECT e, NULL, NULL, NULL, 'SHELL', NULL, false FROM x WHERE e % 10 =
 UNION ALL SELECT e, NULL, NULL, CAST(e AS VARCHAR), 'SHELL', 'load-orders', true FROM x WHERE e % 10 = 4""")
 def normalised_alerts(s, d):
     found = alerts.messages(view(s, d, "message").filter(alerts.is_alert(F.col("raw")) & F.try_parse_json("raw").isNotNull()))
-    return alerts.normalised(found).select("event_id", "project_code", "workflow_code", "task_instance_id", "task_type", "workflow_name", "is_sub_workflow")
+    return alerts.normalised(found).select(
+        "event_id",
+        "project_code",
+        "workflow_code",
+        "task_instance_id",
+        "task_type",
+        "workflow_name",
+        "is_sub_workflow"
+    )
 
 
 _VERBS = ("Delete", "remove", "recover", "edit", "MODIFY", "list", "drop", "online", "recover-failed", "update", "edit recover", "edit delete", "")
@@ -56,13 +68,19 @@ _OPERATIONS = ("ls", "cp", "MV", "rm", "put", "sync", "stat", "mkdir", "restore"
 lower({_sql_list(_OPERATIONS)}[event_id % 9 + 1]) IN ('cp', 'mv', 'rm', 'put', 'sync') AS storage_blocked FROM events""")
 def write_verbs(s, d):
     e = F.col("event_id")
-    return view(s, d, "events").select("event_id", alerts.http_blocked(_listed(e, _METHODS)).alias("http_blocked"), alerts.storage_blocked(F.array(_listed(e, _OPERATIONS), F.lit("rm"))).alias("storage_blocked"))
+    return view(s, d, "events").select(
+        "event_id",
+        alerts.http_blocked(_listed(e, _METHODS)).alias("http_blocked"),
+        alerts.storage_blocked(F.array(_listed(e, _OPERATIONS), F.lit("rm"))).alias("storage_blocked")
+    )
 
 
 _SAID = ("修复正确", "很有效", "✅", "正确", "修复错误", "无效", "❌ no", "错误", "I know it works now", "not valid", "正确? 错误!", "")
 
 
-@query(f"""SELECT event_id, CASE WHEN n IN (0, 1, 2, 3, 10) THEN 'valid' WHEN n IN (4, 5, 6, 7) THEN 'invalid' ELSE 'unknown' END AS feedback FROM (SELECT event_id, event_id % {len(_SAID)} AS n FROM events)""")
+@query(
+    f"""SELECT event_id, CASE WHEN n IN (0, 1, 2, 3, 10) THEN 'valid' WHEN n IN (4, 5, 6, 7) THEN 'invalid' ELSE 'unknown' END AS feedback FROM (SELECT event_id, event_id % {len(_SAID)} AS n FROM events)"""
+)
 def feedback_kinds(s, d):
     return view(s, d, "events").select("event_id", alerts.feedback(_listed(F.col("event_id"), _SAID)).alias("feedback"))
 
@@ -108,6 +126,15 @@ def error_fixes(s, d):
 
 @query("""SELECT a.event_id AS alert_id, CASE WHEN a.event_id % 3 = 0 THEN 'c1' WHEN a.event_id % 3 = 1 THEN 'c0' END AS config FROM events a""")
 def historical_fixes(s, d):
-    errors = view(s, d, "events").select(F.col("event_id").alias("alert_id"), _listed(F.col("event_id"), ("oom", "other", "oom")).alias("error_type"), _listed(F.col("event_id"), ("w0", "w0", "w9")).alias("workflow"))
-    configs = view(s, d, "region").select(F.lit("w0").alias("workflow"), F.col("r_regionkey").cast("int").alias("ord"), F.when(F.col("r_regionkey") == 1, F.array(F.lit("oom"))).otherwise(F.array(F.lit("x"))).alias("fixed_errors"), F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("config"))
+    errors = view(s, d, "events").select(
+        F.col("event_id").alias("alert_id"),
+        _listed(F.col("event_id"), ("oom", "other", "oom")).alias("error_type"),
+        _listed(F.col("event_id"), ("w0", "w0", "w9")).alias("workflow")
+    )
+    configs = view(s, d, "region").select(
+        F.lit("w0").alias("workflow"),
+        F.col("r_regionkey").cast("int").alias("ord"),
+        F.when(F.col("r_regionkey") == 1, F.array(F.lit("oom"))).otherwise(F.array(F.lit("x"))).alias("fixed_errors"),
+        F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("config")
+    )
     return alerts.historical_fixes(errors, configs)

@@ -23,7 +23,9 @@ def event_totals(s, d):
     return runs.event_totals(_events(s, d))
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS app, CASE WHEN s_suppkey % 2 = 0 THEN '2' END AS driver_cores, CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN 'g' ELSE 'm' END AS executor_memory, CASE WHEN s_suppkey % 2 = 1 THEN '3' END AS executor_instances FROM supplier""")
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS app, CASE WHEN s_suppkey % 2 = 0 THEN '2' END AS driver_cores, CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN 'g' ELSE 'm' END AS executor_memory, CASE WHEN s_suppkey % 2 = 1 THEN '3' END AS executor_instances FROM supplier"""
+)
 def event_settings(s, d):
     return runs.event_config(_events(s, d)).select("app", "driver_cores", "executor_memory", "executor_instances")
 
@@ -34,13 +36,32 @@ _STAGES = """stages AS (SELECT s_suppkey, r_regionkey AS stage, 's' || r_regionk
 @query(f"""WITH {_STAGES} SELECT CAST(s_suppkey AS VARCHAR) AS app, stage, name, n_tasks, CASE WHEN done THEN 'completed' ELSE 'submitted' END AS state, CASE WHEN done THEN s_suppkey END AS duration_ms, CASE WHEN done THEN s_suppkey % 3 ELSE 0 END AS n_failed_tasks,
 CASE WHEN failed THEN 'boom' END AS failure, CASE WHEN done THEN s_suppkey * 5 END AS shuffle_write_bytes, CASE WHEN done THEN s_suppkey END AS input_bytes FROM stages""")
 def event_stages(s, d):
-    return runs.event_stages(_events(s, d)).select("app", "stage", "name", "n_tasks", "state", "duration_ms", "n_failed_tasks", "failure", "shuffle_write_bytes", "input_bytes")
+    return runs.event_stages(_events(s, d)).select(
+        "app",
+        "stage",
+        "name",
+        "n_tasks",
+        "state",
+        "duration_ms",
+        "n_failed_tasks",
+        "failure",
+        "shuffle_write_bytes",
+        "input_bytes"
+    )
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS app, r_regionkey AS job, 50 AS "start", '1,2' AS stages, 'job ' || s_suppkey AS description, CASE (s_suppkey + r_regionkey) % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'JobSucceeded' ELSE 'JobFailed' END AS state,
 CASE WHEN (s_suppkey + r_regionkey) % 3 <> 0 THEN s_suppkey END AS duration_ms FROM supplier, region WHERE r_regionkey < 3""")
 def event_jobs(s, d):
-    return runs.event_jobs(_events(s, d)).select("app", "job", "start", F.array_join(F.col("stages").cast("array<string>"), ",").alias("stages"), "description", "state", "duration_ms")
+    return runs.event_jobs(_events(s, d)).select(
+        "app",
+        "job",
+        "start",
+        F.array_join(F.col("stages").cast("array<string>"), ",").alias("stages"),
+        "description",
+        "state",
+        "duration_ms"
+    )
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS app, CAST(n_nationkey AS VARCHAR) AS executor, 'h' || n_nationkey AS host, 4 AS cores, s_suppkey AS memory, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE 8 END AS added, CASE WHEN gone THEN 99 END AS removed,
@@ -64,14 +85,35 @@ SELECT CAST(s_suppkey AS VARCHAR) AS app, n_executors, total_memory_mb, peak_mem
 def app_rollups(s, d):
     events = _events(s, d)
     number = F.col("executor").cast("long")
-    e = runs.event_executors(events).select("app", F.when(number == 0, "driver").otherwise(F.col("executor")).alias("executor"), (F.col("memory") + number).alias("max_memory_mb"), (number * 3).alias("peak_memory_mb"))
+    e = runs.event_executors(events).select(
+        "app",
+        F.when(number == 0, "driver").otherwise(F.col("executor")).alias("executor"),
+        (F.col("memory") + number).alias("max_memory_mb"),
+        (number * 3).alias("peak_memory_mb")
+    )
     zero = F.lit(0).cast("long")
-    stages = runs.event_stages(events).select("app", "input_bytes", "shuffle_write_bytes", zero.alias("shuffle_read_bytes"), zero.alias("spilled_bytes"))
-    return runs.app_rollup(e, stages).select("app", "n_executors", "total_memory_mb", "peak_memory_mb", "driver_memory_mb", "input_bytes", "shuffle_write_bytes")
+    stages = runs.event_stages(events).select(
+        "app",
+        "input_bytes",
+        "shuffle_write_bytes",
+        zero.alias("shuffle_read_bytes"),
+        zero.alias("spilled_bytes")
+    )
+    return runs.app_rollup(e, stages).select(
+        "app",
+        "n_executors",
+        "total_memory_mb",
+        "peak_memory_mb",
+        "driver_memory_mb",
+        "input_bytes",
+        "shuffle_write_bytes"
+    )
 
 
 # The API knows the suppliers of even numbers and some that have no log; what a log says goes before it.
-@query(f"""WITH t AS ({_TOTALS}), api AS (SELECT s_suppkey * 2 AS k, -1 AS v FROM supplier) SELECT CAST(coalesce(s_suppkey, k) AS VARCHAR) AS app, CASE WHEN s_suppkey IS NULL THEN -1 ELSE coalesce(input_bytes, 0) END AS input_bytes FROM (SELECT s_suppkey, input_bytes FROM supplier LEFT JOIN t ON l_suppkey = s_suppkey) e FULL JOIN api ON k = s_suppkey""")
+@query(
+    f"""WITH t AS ({_TOTALS}), api AS (SELECT s_suppkey * 2 AS k, -1 AS v FROM supplier) SELECT CAST(coalesce(s_suppkey, k) AS VARCHAR) AS app, CASE WHEN s_suppkey IS NULL THEN -1 ELSE coalesce(input_bytes, 0) END AS input_bytes FROM (SELECT s_suppkey, input_bytes FROM supplier LEFT JOIN t ON l_suppkey = s_suppkey) e FULL JOIN api ON k = s_suppkey"""
+)
 def merged_metrics(s, d):
     api = view(s, d, "supplier").select((F.col("s_suppkey") * 2).cast("string").alias("app"), F.lit(-1).cast("long").alias("input_bytes"))
     return runs.merged_metrics(runs.event_totals(_events(s, d)), api, ("input_bytes",))

@@ -35,7 +35,9 @@ def implicit_dependencies(s, d):
     return _implicit(s, d).select(*_shown(), "is_explicit", "risk")
 
 
-@query("WITH " + _PAIRS + """SELECT p.* FROM pairs p ANTI JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target""")
+@query(
+    "WITH " + _PAIRS + """SELECT p.* FROM pairs p ANTI JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target"""
+)
 def missing_dependencies(s, d):
     return lineage.missing_dependencies(_implicit(s, d)).select(*_shown())
 
@@ -86,12 +88,16 @@ def task_lookup(s, d):
     return _looked_up(view(s, d, "task"))
 
 
-@query("""SELECT w.*, coalesce(string_agg(target, ',' ORDER BY target), '') AS sub_workflows FROM workflow w LEFT JOIN calls c ON w.project = c.project AND w.code = c.source GROUP BY ALL""")
+@query(
+    """SELECT w.*, coalesce(string_agg(target, ',' ORDER BY target), '') AS sub_workflows FROM workflow w LEFT JOIN calls c ON w.project = c.project AND w.code = c.source GROUP BY ALL"""
+)
 def sub_workflows(s, d):
     return lineage.with_sub_workflows(view(s, d, "workflow"), view(s, d, "calls")).select("project", "code", "name", *joined("sub_workflows"))
 
 
-@query("""SELECT c.*, coalesce(a.name, '') AS source_name, coalesce(b.name, '') AS target_name FROM calls c LEFT JOIN workflow a ON a.project = c.project AND a.code = c.source LEFT JOIN workflow b ON b.project = c.project AND b.code = c.target""")
+@query(
+    """SELECT c.*, coalesce(a.name, '') AS source_name, coalesce(b.name, '') AS target_name FROM calls c LEFT JOIN workflow a ON a.project = c.project AND a.code = c.source LEFT JOIN workflow b ON b.project = c.project AND b.code = c.target"""
+)
 def sub_workflow_calls(s, d):
     return lineage.calls_with_names(view(s, d, "calls"), view(s, d, "workflow")).select("project", "source", "target", "source_name", "target_name")
 
@@ -101,17 +107,23 @@ def uses_by_workflow(s, d):
     return lineage.uses_by_workflow(view(s, d, "task_use"), view(s, d, "task")).select("project", "workflow", "task", "table_name", "role")
 
 
-@query("""SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use GROUP BY ALL""")
+@query(
+    """SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use GROUP BY ALL"""
+)
 def table_index(s, d):
     return lineage.table_users(view(s, d, "table_use")).select("project", "table_name", "role", *joined("workflows", "tasks"))
 
 
-@query("""SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use WHERE table_name = 'ods.t10' AND role = 'consume' GROUP BY ALL""")
+@query(
+    """SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use WHERE table_name = 'ods.t10' AND role = 'consume' GROUP BY ALL"""
+)
 def table_consumers(s, d):
     return lineage.table_users(view(s, d, "table_use"), "ods.t10", "consume").select("project", "table_name", "role", *joined("workflows", "tasks"))
 
 
-@query("""SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use WHERE table_name = 'ods.t10' AND role = 'produce' GROUP BY ALL""")
+@query(
+    """SELECT project, table_name, role, string_agg(DISTINCT workflow, ',' ORDER BY workflow) AS workflows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM table_use WHERE table_name = 'ods.t10' AND role = 'produce' GROUP BY ALL"""
+)
 def table_producers(s, d):
     return lineage.table_users(view(s, d, "table_use"), "ods.t10", "produce").select("project", "table_name", "role", *joined("workflows", "tasks"))
 
@@ -129,16 +141,28 @@ def cross_project_downstream(s, d):
     return lineage.cross_project_downstream(uses).select("project", "workflow", "to_project", "to_workflow", *joined("via_tables"))
 
 
-@query("""SELECT t.*, coalesce(w.name, t.workflow) AS workflow_name FROM task t LEFT JOIN workflow w ON t.project = w.project AND t.workflow = w.code""")
+@query(
+    """SELECT t.*, coalesce(w.name, t.workflow) AS workflow_name FROM task t LEFT JOIN workflow w ON t.project = w.project AND t.workflow = w.code"""
+)
 def task_names(s, d):
-    return lineage.with_name(view(s, d, "task"), "workflow", view(s, d, "workflow"), "workflow_name").select("project", "code", "workflow", "task_type", "workflow_name")
+    return lineage.with_name(
+        view(s, d, "task"),
+        "workflow",
+        view(s, d, "workflow"),
+        "workflow_name"
+    ).select("project", "code", "workflow", "task_type", "workflow_name")
 
 
 @query("""SELECT w.project, w.code, coalesce(string_agg(t.code, ',' ORDER BY t.code), '') AS tasks, coalesce(string_agg(concat(t.code, '=', t.task_type), ',' ORDER BY t.code), '') AS task_types
 FROM workflow w LEFT JOIN task t ON t.project = w.project AND t.workflow = w.code GROUP BY ALL""")
 def workflow_nodes(s, d):
     out = lineage.workflow_nodes(view(s, d, "workflow"), view(s, d, "task"))
-    return out.select("project", "code", *joined("tasks"), F.array_join(F.transform("tasks", lambda t: F.concat(t, F.lit("="), F.element_at("task_types", t))), ",").alias("task_types"))
+    return out.select(
+        "project",
+        "code",
+        *joined("tasks"),
+        F.array_join(F.transform("tasks", lambda t: F.concat(t, F.lit("="), F.element_at("task_types", t))), ",").alias("task_types")
+    )
 
 
 @query("""SELECT project, count(*) FILTER (kind = 'w') AS n_workflows, count(*) FILTER (kind = 't') AS n_tasks, count(DISTINCT CASE WHEN kind = 'b' THEN code END) AS n_tables FROM
@@ -154,7 +178,9 @@ def table_layers(s, d):
     return t.select("table_name", lineage.layer(F.col("table_name")).alias("layer"), lineage.lasting(F.col("table_name")).alias("lasting"))
 
 
-@query("""SELECT project, code, array_to_string(x[1:3], ',') AS shown, greatest(len(x) - 3, 0) AS n_more FROM (SELECT project, workflow AS code, list(code ORDER BY code) AS x FROM task GROUP BY ALL)""")
+@query(
+    """SELECT project, code, array_to_string(x[1:3], ',') AS shown, greatest(len(x) - 3, 0) AS n_more FROM (SELECT project, workflow AS code, list(code ORDER BY code) AS x FROM task GROUP BY ALL)"""
+)
 def first_tasks(s, d):
     lists = view(s, d, "task").groupBy("project", F.col("workflow").alias("code")).agg(F.collect_list("code").alias("x"))
     return lineage.first_of(lists, "x", 3).select("project", "code", *joined("shown"), F.col("n_more").cast("long").alias("n_more"))
@@ -215,12 +241,16 @@ def path_edges(s, d):
     return graph.path_edges(graph.all_paths(view(s, d, "wf_edge"), "p", "1", "72", 8))
 
 
-@query("""SELECT DISTINCT project, CASE WHEN role = 'produce' THEN task ELSE table_name END AS source, CASE WHEN role = 'produce' THEN table_name ELSE task END AS target, 'task_' || role || 's_table' AS edge_type FROM task_use""")
+@query(
+    """SELECT DISTINCT project, CASE WHEN role = 'produce' THEN task ELSE table_name END AS source, CASE WHEN role = 'produce' THEN table_name ELSE task END AS target, 'task_' || role || 's_table' AS edge_type FROM task_use"""
+)
 def table_edges(s, d):
     return graph.table_edges(view(s, d, "task_use"))
 
 
-@query("""SELECT project, source, target, string_agg(edge_type, ',' ORDER BY edge_type) AS edge_types FROM (SELECT project, source, target, 'calls' AS edge_type FROM calls UNION SELECT project, source, target, 'depends' FROM declared) GROUP BY ALL""")
+@query(
+    """SELECT project, source, target, string_agg(edge_type, ',' ORDER BY edge_type) AS edge_types FROM (SELECT project, source, target, 'calls' AS edge_type FROM calls UNION SELECT project, source, target, 'depends' FROM declared) GROUP BY ALL"""
+)
 def merged_edges(s, d):
     return graph.merged_edges(calls=view(s, d, "calls"), depends=view(s, d, "declared")).select("project", "source", "target", *joined("edge_types"))
 
@@ -235,7 +265,12 @@ def downstream_in_workflow(s, d):
     # Edges to the tasks of other workflows, which are to be left out.
     astray = tasks.select("project", F.col("code").alias("source"), (F.col("n") + 1).cast("string").alias("target"))
     one = tasks.orderBy("n").first()
-    return graph.downstream_in_workflow(onward.unionByName(astray.filter("source % 2 = 1")), tasks, one["project"], one["code"]).select("project", "source", "target")
+    return graph.downstream_in_workflow(
+        onward.unionByName(astray.filter("source % 2 = 1")),
+        tasks,
+        one["project"],
+        one["code"]
+    ).select("project", "source", "target")
 
 
 # A class for each order, in a file of its own project or, for every fourth, of the next; the file holds an SQL string.
@@ -251,9 +286,26 @@ def _class_files(s, d):
     name = F.concat(F.lit("com.x.Job"), number)
     own = F.col("o_orderkey") % 4 != 3
     home = F.when(own, project).otherwise((F.col("o_custkey") % 5 + 1).cast("string"))
-    suffix = F.concat(F.lit("com/x/Job"), number, F.element_at(F.array(*map(F.lit, (".scala", ".java", ".py"))), (F.col("o_orderkey") % 3 + 1).cast("int")))
-    sql = F.concat(F.lit('x = """INSERT INTO TABLE ads.t'), F.col("o_custkey").cast("string"), F.lit(" SELECT a FROM ods.t"), (F.col("o_orderkey") % 97).cast("string"), F.lit(" a JOIN dwd.t"), (F.col("o_custkey") % 89).cast("string"), F.lit(' b ON a.k = b.k"""'))
-    sources = o.select(home.alias("project"), F.concat(F.lit("/p"), home, F.lit("/"), suffix).alias("path"), suffix.alias("suffix"), sql.alias("content"))
+    suffix = F.concat(
+        F.lit("com/x/Job"),
+        number,
+        F.element_at(F.array(*map(F.lit, (".scala", ".java", ".py"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    )
+    sql = F.concat(
+        F.lit('x = """INSERT INTO TABLE ads.t'),
+        F.col("o_custkey").cast("string"),
+        F.lit(" SELECT a FROM ods.t"),
+        (F.col("o_orderkey") % 97).cast("string"),
+        F.lit(" a JOIN dwd.t"),
+        (F.col("o_custkey") % 89).cast("string"),
+        F.lit(' b ON a.k = b.k"""')
+    )
+    sources = o.select(
+        home.alias("project"),
+        F.concat(F.lit("/p"), home, F.lit("/"), suffix).alias("path"),
+        suffix.alias("suffix"),
+        sql.alias("content")
+    )
     classes = o.select(project.alias("project"), name.alias("class"), text.class_paths(name).alias("candidates"))
     return match.best_class_file(classes, sources), sources, o.select(name.alias("class"), number.alias("task"))
 
@@ -273,7 +325,9 @@ def merged_uses(s, d):
     return lineage.merged_uses(view(s, d, "task_use"), uses, uses)
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'a-b-' || c_custkey WHEN 2 THEN 'plain' ELSE 'kept_name' END AS code_project FROM customer""")
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'a-b-' || c_custkey WHEN 2 THEN 'plain' ELSE 'kept_name' END AS code_project FROM customer"""
+)
 def code_projects(s, d):
     k = F.col("c_custkey")
     name = F.when(k % 4 == 0, "old_one").when(k % 4 == 1, F.concat(F.lit("a_b_"), k.cast("string"))).when(k % 4 == 2, "plain").otherwise("kept_name")
@@ -287,7 +341,9 @@ def cycles(s, d):
     return graph.cycles(view(s, d, "loop_edge"), 20).select("project", F.array_join("cycle", ">").alias("cycle"))
 
 
-@query("""SELECT 'p' AS project, w.code, (SELECT count(*) FROM wf_edge e WHERE e.target = w.code) AS in_degree, (SELECT count(*) FROM wf_edge e WHERE e.source = w.code) AS out_degree FROM workflow w""")
+@query(
+    """SELECT 'p' AS project, w.code, (SELECT count(*) FROM wf_edge e WHERE e.target = w.code) AS in_degree, (SELECT count(*) FROM wf_edge e WHERE e.source = w.code) AS out_degree FROM workflow w"""
+)
 def degrees(s, d):
     nodes = view(s, d, "workflow").withColumn("project", F.lit("p"))
     return graph.degrees(view(s, d, "wf_edge"), nodes)
@@ -299,7 +355,9 @@ def subgraph(s, d):
     return graph.within(view(s, d, "wf_edge"), members).select("project", "source", "target")
 
 
-@query(_CLOSURE.format(e="wf_edge") + """, m AS (SELECT target AS code FROM reach WHERE source = '3' UNION SELECT '3') SELECT e.* FROM wf_edge e WHERE source IN (SELECT code FROM m) AND target IN (SELECT code FROM m)""")
+@query(
+    _CLOSURE.format(e="wf_edge") + """, m AS (SELECT target AS code FROM reach WHERE source = '3' UNION SELECT '3') SELECT e.* FROM wf_edge e WHERE source IN (SELECT code FROM m) AND target IN (SELECT code FROM m)"""
+)
 def downstream_graph(s, d):
     return graph.induced(view(s, d, "wf_edge"), "p", "3").select("project", "source", "target")
 
@@ -320,7 +378,9 @@ def task_differences(s, d):
     return validation.set_differences(view(s, d, "task"), view(s, d, "snapshot_b"), ["code"], "task")
 
 
-@query("""SELECT a.project, 'task_type' AS category, 'MEDIUM' AS severity, a.code AS subject, concat(a.task_type, ' / ', b.task_type) AS detail FROM task a JOIN snapshot_b b USING (project, code) WHERE a.task_type IS DISTINCT FROM b.task_type""")
+@query(
+    """SELECT a.project, 'task_type' AS category, 'MEDIUM' AS severity, a.code AS subject, concat(a.task_type, ' / ', b.task_type) AS detail FROM task a JOIN snapshot_b b USING (project, code) WHERE a.task_type IS DISTINCT FROM b.task_type"""
+)
 def task_type_differences(s, d):
     return validation.attribute_differences(view(s, d, "task"), view(s, d, "snapshot_b"), "code", "task_type", "task_type")
 
@@ -357,7 +417,13 @@ def _snapshots(s, d):
     t2 = view(s, d, "snapshot_b").withColumn("main_class", F.when(n("code") % 17 != 0, main))
     classes = t.select("project", (n("code") % 50).cast("string").alias("class"), F.col("code").alias("task"))
     graph_side = {"workflows": w, "tasks": t.withColumn("main_class", main), "edges": e, "calls": c, "classes": classes}
-    return graph_side, {"workflows": w2, "tasks": t2, "edges": e2, "calls": c.filter(n("source") % 2 == 0), "classes": classes.filter("CAST(task AS LONG) % 50 != 7 OR CAST(task AS LONG) % 4 = 0")}
+    return graph_side, {
+        "workflows": w2,
+        "tasks": t2,
+        "edges": e2,
+        "calls": c.filter(n("source") % 2 == 0),
+        "classes": classes.filter("CAST(task AS LONG) % 50 != 7 OR CAST(task AS LONG) % 4 = 0")
+    }
 
 
 @query(f"""WITH {_OTHER}, c2 AS (SELECT project, CAST(CAST(code AS BIGINT) % 50 AS VARCHAR) AS k, code FROM task WHERE CAST(code AS BIGINT) % 50 <> 7 OR CAST(code AS BIGINT) % 4 = 0), c1 AS (SELECT project, CAST(CAST(code AS BIGINT) % 50 AS VARCHAR) AS k, code FROM task),
@@ -393,7 +459,10 @@ flags AS (SELECT t.project, t.table_name, coalesce(bool_or(role = 'produce'), fa
 
 
 def _tables(s, d):
-    extra = view(s, d, "part").filter("p_partkey % 50 = 0").select(F.lit("0").alias("project"), F.concat(F.lit("ods.extra"), F.col("p_partkey").cast("string")).alias("table_name"))
+    extra = view(s, d, "part").filter("p_partkey % 50 = 0").select(
+        F.lit("0").alias("project"),
+        F.concat(F.lit("ods.extra"), F.col("p_partkey").cast("string")).alias("table_name")
+    )
     return view(s, d, "table_use").select("project", "table_name").unionByName(extra).distinct()
 
 

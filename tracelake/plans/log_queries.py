@@ -22,7 +22,9 @@ def error_blocks(s, d):
     return logs.error_blocks(view(s, d, "log_line")).select("log_id", "pos", "n_lines", F.md5("block").alias("block_md5"))
 
 
-@query("WITH " + _BLOCKS + """, b AS (SELECT log_id, pos, CASE WHEN contains(block, 'OutOfMemoryError') THEN 10 ELSE 7 END AS score FROM blocks) SELECT log_id, pos, score, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, pos) AS rank FROM b""")
+@query(
+    "WITH " + _BLOCKS + """, b AS (SELECT log_id, pos, CASE WHEN contains(block, 'OutOfMemoryError') THEN 10 ELSE 7 END AS score FROM blocks) SELECT log_id, pos, score, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, pos) AS rank FROM b"""
+)
 def ranked_blocks(s, d):
     return logs.ranked(logs.error_blocks(view(s, d, "log_line"))).select("log_id", "pos", "score", "rank")
 
@@ -55,7 +57,9 @@ def silent_periods(s, d):
     return logs.silent_periods(view(s, d, "log_line"), 300).select("log_id", "from_ts", "to_ts", R("gap_minutes"))
 
 
-@query("WITH " + _GAPS + " SELECT l.log_id, count(gap_minutes) AS n_gaps, round(coalesce(max(gap_minutes), 0), 6) AS max_gap_minutes, coalesce(max(gap_minutes), 0) <= 2000 AS has_progress FROM (SELECT DISTINCT log_id FROM log_line) l LEFT JOIN (SELECT * FROM gaps WHERE gap_minutes > 300) g USING (log_id) GROUP BY l.log_id")
+@query(
+    "WITH " + _GAPS + " SELECT l.log_id, count(gap_minutes) AS n_gaps, round(coalesce(max(gap_minutes), 0), 6) AS max_gap_minutes, coalesce(max(gap_minutes), 0) <= 2000 AS has_progress FROM (SELECT DISTINCT log_id FROM log_line) l LEFT JOIN (SELECT * FROM gaps WHERE gap_minutes > 300) g USING (log_id) GROUP BY l.log_id"
+)
 def log_progress(s, d):
     return logs.progress(view(s, d, "log_line"), 300, 2000).select("log_id", "n_gaps", R("max_gap_minutes"), "has_progress")
 
@@ -66,7 +70,9 @@ def snippets(s, d):
     return logs.snippets(view(s, d, "log_line"), "in task 7").select("log_id", "line_no", F.md5("snippet").alias("snippet_md5"))
 
 
-@query("SELECT log_id, line_no, line FROM log_line WHERE regexp_matches(line, '(?i)error|exception|failed|fatal') QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) <= 5")
+@query(
+    "SELECT log_id, line_no, line FROM log_line WHERE regexp_matches(line, '(?i)error|exception|failed|fatal') QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) <= 5"
+)
 def last_error_lines(s, d):
     return logs.last_error_lines(view(s, d, "log_line"))
 
@@ -77,15 +83,25 @@ def stage_times(s, d):
     return logs.stage_times(view(s, d, "log_line")).select("log_id", "stage", "status", R("duration_s"))
 
 
-@query("SELECT log_id, min(regexp_extract(line, 'application_\\d+_\\d+', 0)) AS app FROM log_line WHERE contains(line, 'application_') GROUP BY log_id")
+@query(
+    "SELECT log_id, min(regexp_extract(line, 'application_\\d+_\\d+', 0)) AS app FROM log_line WHERE contains(line, 'application_') GROUP BY log_id"
+)
 def application_ids(s, d):
     return view(s, d, "log_line").groupBy("log_id").agg(F.min(text.application_id(F.col("line"))).alias("app")).filter("app IS NOT NULL")
 
 
-@query("""SELECT sql_id, 'output' AS role, regexp_extract(content, 'TABLE (\\S+)', 1) AS table_name FROM sql_text UNION ALL SELECT sql_id, 'input', regexp_extract(content, 'FROM (\\S+)', 1) FROM sql_text UNION ALL SELECT sql_id, 'input', regexp_extract(content, 'JOIN (\\S+)', 1) FROM sql_text""")
+@query(
+    """SELECT sql_id, 'output' AS role, regexp_extract(content, 'TABLE (\\S+)', 1) AS table_name FROM sql_text UNION ALL SELECT sql_id, 'input', regexp_extract(content, 'FROM (\\S+)', 1) FROM sql_text UNION ALL SELECT sql_id, 'input', regexp_extract(content, 'JOIN (\\S+)', 1) FROM sql_text"""
+)
 def sql_tables(s, d):
     x = view(s, d, "sql_text")
-    out = [x.select("sql_id", F.lit(r).alias("role"), F.explode(f(F.col("content"))).alias("table_name")) for r, f in (("output", text.sql_targets), ("input", text.sql_sources))]
+    out = [
+        x.select(
+            "sql_id",
+            F.lit(r).alias("role"),
+            F.explode(f(F.col("content"))).alias("table_name")
+        ) for r, f in (("output", text.sql_targets), ("input", text.sql_sources))
+    ]
     return out[0].unionByName(out[1])
 
 
@@ -101,16 +117,29 @@ def page_hosts(s, d):
     return view(s, d, "pages").select("page_id", F.coalesce(text.found(F.col("url"), r"^https?://([^/]+)"), F.lit("")).alias("host"))
 
 
-@query("""SELECT table_name, CASE WHEN starts_with(table_name, 'hdfs:') THEN 'HDFS' WHEN starts_with(table_name, 'mysql:') THEN 'MYSQL' ELSE 'HIVE' END AS table_type, array_to_string(string_split(concat('x.', table_name), '.')[-2:], '.') AS short FROM (SELECT DISTINCT CASE WHEN length(table_name) % 3 = 0 THEN concat('mysql:', table_name) ELSE table_name END AS table_name FROM task_use)""")
+@query(
+    """SELECT table_name, CASE WHEN starts_with(table_name, 'hdfs:') THEN 'HDFS' WHEN starts_with(table_name, 'mysql:') THEN 'MYSQL' ELSE 'HIVE' END AS table_type, array_to_string(string_split(concat('x.', table_name), '.')[-2:], '.') AS short FROM (SELECT DISTINCT CASE WHEN length(table_name) % 3 = 0 THEN concat('mysql:', table_name) ELSE table_name END AS table_name FROM task_use)"""
+)
 def table_types(s, d):
-    t = view(s, d, "task_use").select(F.when(F.length("table_name") % 3 == 0, F.concat(F.lit("mysql:"), F.col("table_name"))).otherwise(F.col("table_name")).alias("table_name")).distinct()
-    return t.select("table_name", text.table_type(F.col("table_name")).alias("table_type"), text.short_table(F.concat(F.lit("x."), F.col("table_name"))).alias("short"))
-
-
-@query("""SELECT event_id, CAST(floor(mb) AS BIGINT) AS mb, CASE WHEN mb < 1024 THEN concat(CAST(mb AS BIGINT), 'm') WHEN mb % 1024 = 0 THEN concat(CAST(mb // 1024 AS BIGINT), 'g') ELSE concat(CAST(mb AS BIGINT), 'm') END AS shown FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 64 * 1024 WHEN 1 THEN event_id % 5000 ELSE event_id % 9000 END AS mb FROM events)""")
+    t = view(s, d, "task_use").select(
+        F.when(F.length("table_name") % 3 == 0, F.concat(F.lit("mysql:"), F.col("table_name"))).otherwise(F.col("table_name")).alias("table_name")
+    ).distinct()
+    return t.select(
+        "table_name",
+        text.table_type(F.col("table_name")).alias("table_type"),
+        text.short_table(F.concat(F.lit("x."), F.col("table_name"))).alias("short")
+    )
+
+
+@query(
+    """SELECT event_id, CAST(floor(mb) AS BIGINT) AS mb, CASE WHEN mb < 1024 THEN concat(CAST(mb AS BIGINT), 'm') WHEN mb % 1024 = 0 THEN concat(CAST(mb // 1024 AS BIGINT), 'g') ELSE concat(CAST(mb AS BIGINT), 'm') END AS shown FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 64 * 1024 WHEN 1 THEN event_id % 5000 ELSE event_id % 9000 END AS mb FROM events)"""
+)
 def memory_sizes(s, d):
     e = F.col("event_id")
-    written = F.when(e % 3 == 0, F.concat((e % 64).cast("string"), F.lit("g"))).when(e % 3 == 1, F.concat((e % 5000).cast("string"), F.lit("M"))).otherwise((e % 9000).cast("string"))
+    written = F.when(e % 3 == 0, F.concat((e % 64).cast("string"), F.lit("g"))).when(
+        e % 3 == 1,
+        F.concat((e % 5000).cast("string"), F.lit("M"))
+    ).otherwise((e % 9000).cast("string"))
     mb = text.memory_mb(written)
     return view(s, d, "events").select("event_id", mb.alias("mb"), text.memory_text_whole(mb).alias("shown"))
 
@@ -134,10 +163,24 @@ def rule_matches(s, d):
     return match.match_rules(texts, rules).select("log_id", "task_type", "error_type")
 
 
-@query("""SELECT concat(log_id, '-', line_no) AS log_id, CASE WHEN line LIKE '%Job aborted%' THEN 'k2' WHEN line LIKE '%stage%' THEN 'k3' END AS knowledge_id FROM log_line WHERE line <> ''""")
+@query(
+    """SELECT concat(log_id, '-', line_no) AS log_id, CASE WHEN line LIKE '%Job aborted%' THEN 'k2' WHEN line LIKE '%stage%' THEN 'k3' END AS knowledge_id FROM log_line WHERE line <> ''"""
+)
 def knowledge_matches(s, d):
-    texts = view(s, d, "log_line").filter("line != ''").select(F.concat_ws("-", "log_id", "line_no").alias("log_id"), F.lit("SPARK").alias("task_type"), F.col("line").alias("text"))
-    known = s.createDataFrame([("k1", "SPARK", "Job", False, 1, "confirmed"), ("k2", "SPARK", "Job aborted", True, 2, "confirmed"), ("k3", "SPARK", "stage", False, 3, "confirmed"), ("k4", "SPARK", "INFO", True, 0, "pending")], "id string, task_type string, pattern string, has_fix boolean, ord int, status string")
+    texts = view(s, d, "log_line").filter("line != ''").select(
+        F.concat_ws("-", "log_id", "line_no").alias("log_id"),
+        F.lit("SPARK").alias("task_type"),
+        F.col("line").alias("text")
+    )
+    known = s.createDataFrame(
+        [
+            ("k1", "SPARK", "Job", False, 1, "confirmed"),
+            ("k2", "SPARK", "Job aborted", True, 2, "confirmed"),
+            ("k3", "SPARK", "stage", False, 3, "confirmed"),
+            ("k4", "SPARK", "INFO", True, 0, "pending")
+        ],
+        "id string, task_type string, pattern string, has_fix boolean, ord int, status string"
+    )
     return match.match_knowledge(texts, known)
 
 

@@ -18,10 +18,19 @@ def _pick(values):
 
 
 # The order of an event's number, and its lines as tasks of a child instance: those that were returned have failed.
-@query("""SELECT CAST(event_id AS VARCHAR) AS alert_id, 'c' || l_orderkey AS child_instance_id, CAST(l_linenumber AS VARCHAR) AS task, 'FAILURE' AS state FROM events JOIN lineitem ON l_orderkey = event_id WHERE l_returnflag = 'R'""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS alert_id, 'c' || l_orderkey AS child_instance_id, CAST(l_linenumber AS VARCHAR) AS task, 'FAILURE' AS state FROM events JOIN lineitem ON l_orderkey = event_id WHERE l_returnflag = 'R'"""
+)
 def sub_workflow_failures(s, d):
-    children = view(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("task_instance_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("child_instance_id"))
-    tasks = view(s, d, "lineitem").select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("child_instance_id"), F.col("l_linenumber").cast("string").alias("task"), F.when(F.col("l_returnflag") == "R", "FAILURE").otherwise("SUCCESS").alias("state"))
+    children = view(s, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("task_instance_id"),
+        F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("child_instance_id")
+    )
+    tasks = view(s, d, "lineitem").select(
+        F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("child_instance_id"),
+        F.col("l_linenumber").cast("string").alias("task"),
+        F.when(F.col("l_returnflag") == "R", "FAILURE").otherwise("SUCCESS").alias("state")
+    )
     return alerts.sub_workflow_failures(_e(s, d, F.col("event_id").cast("string").alias("task_instance_id")), children, tasks)
 
 
@@ -35,14 +44,22 @@ def latest_logs(s, d):
 _PATHS = ("hdfs_not_found", "input_path_error", "oom_executor")
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE WHEN event_id % 3 < 2 AND event_id % 4 = 0 THEN 'AUTO_FIXABLE' ELSE 'UNKNOWN' END AS category, CASE WHEN event_id % 3 < 2 THEN 'p0:' || CASE WHEN event_id % 4 = 0 THEN 'exists:a,b,c' ELSE 'missing:' END || ';p1:empty:' END AS paths FROM events""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE WHEN event_id % 3 < 2 AND event_id % 4 = 0 THEN 'AUTO_FIXABLE' ELSE 'UNKNOWN' END AS category, CASE WHEN event_id % 3 < 2 THEN 'p0:' || CASE WHEN event_id % 4 = 0 THEN 'exists:a,b,c' ELSE 'missing:' END || ';p1:empty:' END AS paths FROM events"""
+)
 def path_findings(s, d):
     rows = _e(s, d, _pick(_PATHS).alias("error_type"), F.lit("UNKNOWN").alias("category"))
     n = F.col("event_id")
     checked = _e(s, d, n, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"))
     status = F.when(F.col("ord") > 0, "empty").when(n % 4 == 0, "exists").otherwise("missing")
     names = F.when((F.col("ord") == 0) & (n % 4 == 0), F.array(*map(F.lit, "abcd")))
-    checked = checked.select("alert_id", "ord", F.concat(F.lit("p"), F.col("ord").cast("string")).alias("path"), status.alias("status"), names.alias("files"))
+    checked = checked.select(
+        "alert_id",
+        "ord",
+        F.concat(F.lit("p"), F.col("ord").cast("string")).alias("path"),
+        status.alias("status"),
+        names.alias("files")
+    )
     shown = F.transform("paths", lambda p: F.concat_ws(":", p.path, p.status, F.array_join(p.files, ",")))
     return alerts.path_findings(rows, checked).select("alert_id", "category", F.array_join(shown, ";").alias("paths"))
 
@@ -50,24 +67,38 @@ def path_findings(s, d):
 _EVIDENCE = ("shuffle_failed", "executor_lost", "stage_failed", "key_error")
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS alert_id, concat_ws(',', 'own', CASE WHEN user_id % 2 = 0 THEN 'yarn' END, CASE event_id % 4 WHEN 0 THEN 's1' WHEN 1 THEN 'e1' WHEN 2 THEN 't1' END) AS blocks FROM events""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS alert_id, concat_ws(',', 'own', CASE WHEN user_id % 2 = 0 THEN 'yarn' END, CASE event_id % 4 WHEN 0 THEN 's1' WHEN 1 THEN 'e1' WHEN 2 THEN 't1' END) AS blocks FROM events"""
+)
 def evidence(s, d):
     app = F.col("user_id").cast("string").alias("app")
     results = _e(s, d, app, _pick(_EVIDENCE).alias("error_type"), F.array(F.lit("own")).alias("blocks"))
     apps = view(s, d, "events").select(app).distinct()
-    parts = [apps.select("app", F.explode(F.array(F.lit(2), F.lit(1))).alias("ord")).withColumn("text", F.concat(F.lit(x), F.col("ord").cast("string"))) for x in ("s", "e", "t")]
+    parts = [
+        apps.select("app", F.explode(F.array(F.lit(2), F.lit(1))).alias("ord")).withColumn("text", F.concat(F.lit(x), F.col("ord").cast("string"))) for x in ("s", "e", "t")
+    ]
     told = apps.filter("CAST(app AS LONG) % 2 = 0").withColumn("text", F.lit("yarn"))
     return alerts.with_evidence(results, told, *parts).select("alert_id", F.array_join("blocks", ",").alias("blocks"))
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE WHEN event_id % 2 = 0 THEN 'oom' END AS error_type, CASE WHEN event_id % 3 = 0 THEN 'k' END AS knowledge_id, CASE WHEN event_id % 5 = 0 THEN user_id END AS n_downstream, CASE WHEN event_id % 7 = 0 THEN 'HIGH' END AS risk FROM events""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE WHEN event_id % 2 = 0 THEN 'oom' END AS error_type, CASE WHEN event_id % 3 = 0 THEN 'k' END AS knowledge_id, CASE WHEN event_id % 5 = 0 THEN user_id END AS n_downstream, CASE WHEN event_id % 7 = 0 THEN 'HIGH' END AS risk FROM events"""
+)
 def enriched_alerts(s, d):
     e = view(s, d, "events").withColumn("alert_id", F.col("event_id").cast("string"))
     part = lambda n, c: e.filter(F.col("event_id") % n == 0).select("alert_id", c)
-    return alerts.enriched(e.select("alert_id"), part(2, F.lit("oom").alias("error_type")), part(3, F.lit("k").alias("knowledge_id")), part(5, F.col("user_id").alias("n_downstream")), part(7, F.lit("HIGH").alias("risk")))
-
-
-@query("""SELECT '10.0.' || s_nationkey || '.' || s_suppkey % 250 AS ip, CAST(8000 + s_suppkey AS INTEGER) AS port, CASE WHEN s_suppkey % 4 <> 0 THEN 'h' || s_suppkey END AS hostname, CASE WHEN s_suppkey % 4 <> 0 THEN 'name node' END AS service FROM supplier""")
+    return alerts.enriched(
+        e.select("alert_id"),
+        part(2, F.lit("oom").alias("error_type")),
+        part(3, F.lit("k").alias("knowledge_id")),
+        part(5, F.col("user_id").alias("n_downstream")),
+        part(7, F.lit("HIGH").alias("risk"))
+    )
+
+
+@query(
+    """SELECT '10.0.' || s_nationkey || '.' || s_suppkey % 250 AS ip, CAST(8000 + s_suppkey AS INTEGER) AS port, CASE WHEN s_suppkey % 4 <> 0 THEN 'h' || s_suppkey END AS hostname, CASE WHEN s_suppkey % 4 <> 0 THEN 'name node' END AS service FROM supplier"""
+)
 def known_services(s, d):
     sup, key = view(s, d, "supplier"), F.col("s_suppkey")
     ip = F.concat_ws(".", F.lit("10.0"), F.col("s_nationkey").cast("string"), (key % 250).cast("string")).alias("ip")
@@ -77,13 +108,37 @@ def known_services(s, d):
     return match.lookup_services(sup.select(ip, (key + 8000).cast("int").alias("port")), hosts)
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS code, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN user_id || ',' || user_id + 1 ELSE '' END AS depends_on, event_id % 4 = 3 AS is_empty FROM events""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS code, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN user_id || ',' || user_id + 1 ELSE '' END AS depends_on, event_id % 4 = 3 AS is_empty FROM events"""
+)
 def declared_dependents(s, d):
     u, v = F.col("user_id").cast("string"), (F.col("user_id") + 1).cast("string")
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    shapes = (said('{"processDefinitionCode": "', u, '"}'), said('{"dependence": {"dependTaskList": [{"processDefinitionCode": "', u, '"}]}}'), said('{"dependence": {"dependTaskList": [{"dependItemList": [{"definitionCode": "', u, '"}, {"definitionCode": "', v, '"}, {"definitionCode": "', u, '"}]}]}}'), F.lit("{}"))
-    tasks = view(s, d, "events").select(F.lit("p").alias("project"), F.col("event_id").cast("string").alias("code"), F.lit("w").alias("workflow"), F.lit("DEPENDENT").alias("task_type"), F.get(F.array(*shapes), (F.col("event_id") % 4).cast("int")).alias("params"))
-    found = lineage.dependents(tasks).withColumn("depends_on", F.transform(F.array_sort(F.transform("depends_on", lambda x: x.cast("long"))), lambda x: x.cast("string")))
+    shapes = (
+        said('{"processDefinitionCode": "', u, '"}'),
+        said('{"dependence": {"dependTaskList": [{"processDefinitionCode": "', u, '"}]}}'),
+        said(
+            '{"dependence": {"dependTaskList": [{"dependItemList": [{"definitionCode": "',
+            u,
+            '"}, {"definitionCode": "',
+            v,
+            '"}, {"definitionCode": "',
+            u,
+            '"}]}]}}'
+        ),
+        F.lit("{}")
+    )
+    tasks = view(s, d, "events").select(
+        F.lit("p").alias("project"),
+        F.col("event_id").cast("string").alias("code"),
+        F.lit("w").alias("workflow"),
+        F.lit("DEPENDENT").alias("task_type"),
+        F.get(F.array(*shapes), (F.col("event_id") % 4).cast("int")).alias("params")
+    )
+    found = lineage.dependents(tasks).withColumn(
+        "depends_on",
+        F.transform(F.array_sort(F.transform("depends_on", lambda x: x.cast("long"))), lambda x: x.cast("string"))
+    )
     return found.select("code", F.array_join("depends_on", ",").alias("depends_on"), "is_empty")
 
 
@@ -95,7 +150,11 @@ def sub_workflow_impacts(s, d):
     tasks = view(s, d, "task")
     chain = F.expr("lead(code) OVER (PARTITION BY project, workflow ORDER BY CAST(code AS LONG))")
     edges = tasks.select("project", F.col("code").alias("source"), chain.alias("target"))
-    calls = view(s, d, "workflow").filter("CAST(code AS LONG) % 3 = 0").select("project", F.concat(F.lit("parent"), F.col("code")).alias("source"), F.col("code").alias("target"))
+    calls = view(s, d, "workflow").filter("CAST(code AS LONG) % 3 = 0").select(
+        "project",
+        F.concat(F.lit("parent"), F.col("code")).alias("source"),
+        F.col("code").alias("target")
+    )
     index = calls.select("project", "source", F.lit(2).cast("long").alias("n"))
     return graph.sub_workflow_impact(edges, tasks, calls, index)
 
@@ -119,7 +178,12 @@ def gates(s, d):
     category = _pick(("AUTO_FIXABLE", "KNOWN_NEEDS_LLM", "RESOURCE_SUGGESTED", "UNKNOWN", "KNOWN_NEEDS_LLM", "AUTO_FIXABLE", "KNOWN_NEEDS_LLM"))
     shown = F.coalesce(F.array_join(F.transform(F.map_entries(fix), lambda x: F.concat_ws("=", x.key, x.value)), ","), F.lit(""))
     deep = alerts.needs_deep_analysis(F.col("event_id") % 5, category, _pick(("executor_crash", "key_error")))
-    return view(s, d, "events").select("event_id", shown.alias("fix"), alerts.skill_risk(_pick(("AUTO_FIXABLE", "UNKNOWN"))).alias("risk"), deep.alias("needs_deep"))
+    return view(s, d, "events").select(
+        "event_id",
+        shown.alias("fix"),
+        alerts.skill_risk(_pick(("AUTO_FIXABLE", "UNKNOWN"))).alias("risk"),
+        deep.alias("needs_deep")
+    )
 
 
 @query("""SELECT count(*) AS handled, count(*) FILTER (event_id % 3 = 0) AS executed FROM events""")
@@ -135,50 +199,131 @@ CASE WHEN sh > 0 THEN 'balanced_config' WHEN spill > 0 THEN 'oom_spill' ELSE 'fa
 def resource_suggestions(s, d):
     none = F.lit(None).cast("long")
     kind = F.get(F.array(*map(F.lit, ("oom_executor", "oom_driver", "shuffle_failed", "key_error"))), (F.col("run") % 4).cast("int"))
-    r = view(s, d, "run_history").select(F.col("run").alias("alert_id"), kind.alias("error_type"), F.col("executor_memory_mb").alias("executor_mb"), F.col("executor_instances").alias("instances"), none.alias("predicted_mb"), F.when(F.col("run") % 5 == 0, 700).otherwise(0).alias("spilled_mb"), none.alias("peak_mb"), F.when(F.col("run") % 3 == 0, 0).otherwise(F.col("shuffle_read_mb")).alias("shuffle_mb"), F.lit(4).alias("slots"))
-    return runs.resource_suggestions(r).select("alert_id", "status", "confidence", "method", F.when(F.col("method") != "balanced_config", F.col("suggested_mb")).alias("memory"))
-
-
-@query("""SELECT doc_id, md5(substr(text, 1, 500)) AS log_md5, coalesce(c, 0.5) AS confidence FROM (SELECT *, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 10 AS DOUBLE) / 10 END AS c FROM documents) WHERE coalesce(c, 0.5) >= 0.5""")
+    r = view(s, d, "run_history").select(
+        F.col("run").alias("alert_id"),
+        kind.alias("error_type"),
+        F.col("executor_memory_mb").alias("executor_mb"),
+        F.col("executor_instances").alias("instances"),
+        none.alias("predicted_mb"),
+        F.when(F.col("run") % 5 == 0, 700).otherwise(0).alias("spilled_mb"),
+        none.alias("peak_mb"),
+        F.when(F.col("run") % 3 == 0, 0).otherwise(F.col("shuffle_read_mb")).alias("shuffle_mb"),
+        F.lit(4).alias("slots")
+    )
+    return runs.resource_suggestions(r).select(
+        "alert_id",
+        "status",
+        "confidence",
+        "method",
+        F.when(F.col("method") != "balanced_config", F.col("suggested_mb")).alias("memory")
+    )
+
+
+@query(
+    """SELECT doc_id, md5(substr(text, 1, 500)) AS log_md5, coalesce(c, 0.5) AS confidence FROM (SELECT *, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 10 AS DOUBLE) / 10 END AS c FROM documents) WHERE coalesce(c, 0.5) >= 0.5"""
+)
 def new_candidates(s, d):
-    rows = view(s, d, "documents").select("doc_id", F.col("source").alias("skill_name"), F.col("text").alias("original_log"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10).cast("double") / 10).alias("confidence"))
+    rows = view(s, d, "documents").select(
+        "doc_id",
+        F.col("source").alias("skill_name"),
+        F.col("text").alias("original_log"),
+        F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10).cast("double") / 10).alias("confidence")
+    )
     return review.new_candidates(rows, keep=("doc_id",)).select("doc_id", F.md5("original_log").alias("log_md5"), "confidence")
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS log_id, CAST(event_id AS VARCHAR) AS pos, CASE WHEN event_id % 2 = 0 THEN 'ERROR a' || event_id || chr(10) || 'Caused by: x' || chr(10) || 'Caused by: y' || user_id ELSE 'ERROR b' || chr(10) || 'at c' END AS summary FROM events""")
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS log_id, CAST(event_id AS VARCHAR) AS pos, CASE WHEN event_id % 2 = 0 THEN 'ERROR a' || event_id || chr(10) || 'Caused by: x' || chr(10) || 'Caused by: y' || user_id ELSE 'ERROR b' || chr(10) || 'at c' END AS summary FROM events"""
+)
 def block_summaries(s, d):
     number = F.col("event_id").cast("string")
     frames = F.array_join(F.array_repeat(F.lit("\tat a.b(C.java:1)"), 12), "\n")
-    long = F.concat(F.lit("ERROR a"), number, F.lit("\n"), frames, F.lit("\nCaused by: x\n"), frames, F.lit("\nCaused by: y"), F.col("user_id").cast("string"))
+    long = F.concat(
+        F.lit("ERROR a"),
+        number,
+        F.lit("\n"),
+        frames,
+        F.lit("\nCaused by: x\n"),
+        frames,
+        F.lit("\nCaused by: y"),
+        F.col("user_id").cast("string")
+    )
     block = F.when(F.col("event_id") % 2 == 0, long).otherwise("ERROR b\nat c")
     return view(s, d, "events").select(F.col("user_id").cast("string").alias("log_id"), number.alias("pos"), logs.summary(block).alias("summary"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS code, 'w' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'CRON' ELSE 'MANUAL' END AS schedule_type, CASE WHEN o_orderkey % 3 = 0 THEN 'UTC' ELSE 'Asia/Shanghai' END AS timezone, 1 AS n_tasks, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n_edges FROM orders""")
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS code, 'w' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'CRON' ELSE 'MANUAL' END AS schedule_type, CASE WHEN o_orderkey % 3 = 0 THEN 'UTC' ELSE 'Asia/Shanghai' END AS timezone, 1 AS n_tasks, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n_edges FROM orders"""
+)
 def parsed_definitions(s, d):
     k = F.col("o_orderkey").cast("string")
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     when = F.when(F.col("o_orderkey") % 3 == 0, ', "schedule": {"crontab": "0 0 * * *", "timezoneId": "UTC"}').otherwise("")
-    own = said('{"data": {"workflow": {"code": ', k, ', "name": "w', k, '"', when, '}, "tasks": [{"code": "t', k, '", "name": "t"}, {"name": "lost"}], "relations": [{"preTaskCode": 0, "postTaskCode": 1}]}}')
-    other = said('{"workflowDefinition": {"code": ', k, ', "name": "w', k, '"', when, '}, "taskDefinitionList": [{"code": "t', k, '"}], "workflowTaskRelationList": [{"preTaskCode": "t', k, '", "postTaskCode": 9}]}')
+    own = said(
+        '{"data": {"workflow": {"code": ',
+        k,
+        ', "name": "w',
+        k,
+        '"',
+        when,
+        '}, "tasks": [{"code": "t',
+        k,
+        '", "name": "t"}, {"name": "lost"}], "relations": [{"preTaskCode": 0, "postTaskCode": 1}]}}'
+    )
+    other = said(
+        '{"workflowDefinition": {"code": ',
+        k,
+        ', "name": "w',
+        k,
+        '"',
+        when,
+        '}, "taskDefinitionList": [{"code": "t',
+        k,
+        '"}], "workflowTaskRelationList": [{"preTaskCode": "t',
+        k,
+        '", "postTaskCode": 9}]}'
+    )
     rows = view(s, d, "orders").select(F.lit("p").alias("project_code"), F.when(F.col("o_orderkey") % 2 == 0, own).otherwise(other).alias("response"))
     got = files.parse_definitions(rows)
     tasks = got["tasks"].groupBy(F.col("workflow").alias("code")).agg(F.count("*").alias("n_tasks"))
-    edges = got["edges"].withColumn("code", F.regexp_replace(F.when(F.col("edge_type") == "workflow_contains_task", F.col("source")).otherwise(F.col("source")), "^t", "")).groupBy("code").agg(F.count("*").alias("n_edges"))
+    edges = got["edges"].withColumn(
+        "code",
+        F.regexp_replace(F.when(F.col("edge_type") == "workflow_contains_task", F.col("source")).otherwise(F.col("source")), "^t", "")
+    ).groupBy("code").agg(F.count("*").alias("n_edges"))
     return got["workflows"].select("code", "name", "schedule_type", "timezone").join(tasks, "code").join(edges, "code")
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS id, least(length(coalesce(repeat('x', CAST(event_id % 900 AS INTEGER)), '')), 500) AS n_chars, CAST(ts AS DATE) AS dt FROM events""")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS id, least(length(coalesce(repeat('x', CAST(event_id % 900 AS INTEGER)), '')), 500) AS n_chars, CAST(ts AS DATE) AS dt FROM events"""
+)
 def audit_rows(s, d):
-    rows = view(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.repeat(F.lit("x"), (F.col("event_id") % 900).cast("int")).alias("operation_detail"), F.col("ts").alias("timestamp"))
+    rows = view(s, d, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        F.repeat(F.lit("x"), (F.col("event_id") % 900).cast("int")).alias("operation_detail"),
+        F.col("ts").alias("timestamp")
+    )
     return files.audit_rows(rows).select("id", F.length("operation_detail").cast("long").alias("n_chars"), "dt")
 
 
-@query("""SELECT project, count(*) AS n, count(*) FILTER (sev = 'HIGH') AS n_high, count(*) FILTER (sev = 'LOW') AS n_low, string_agg(code, ',' ORDER BY sev, code) AS subjects FROM (SELECT project, code, CASE WHEN CAST(code AS BIGINT) % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS sev FROM workflow) GROUP BY project""")
+@query(
+    """SELECT project, count(*) AS n, count(*) FILTER (sev = 'HIGH') AS n_high, count(*) FILTER (sev = 'LOW') AS n_low, string_agg(code, ',' ORDER BY sev, code) AS subjects FROM (SELECT project, code, CASE WHEN CAST(code AS BIGINT) % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS sev FROM workflow) GROUP BY project"""
+)
 def issue_reports(s, d):
     severity = F.when(F.col("code").cast("long") % 3 == 0, "HIGH").otherwise("LOW")
-    issues = view(s, d, "workflow").select("project", F.lit("c").alias("category"), severity.alias("severity"), F.col("code").alias("subject"), F.lit("").alias("detail"))
-    return files.issue_report(issues).select("project", "n", "n_high", "n_low", F.array_join(F.transform("issues", lambda x: x.subject), ",").alias("subjects"))
+    issues = view(s, d, "workflow").select(
+        "project",
+        F.lit("c").alias("category"),
+        severity.alias("severity"),
+        F.col("code").alias("subject"),
+        F.lit("").alias("detail")
+    )
+    return files.issue_report(issues).select(
+        "project",
+        "n",
+        "n_high",
+        "n_low",
+        F.array_join(F.transform("issues", lambda x: x.subject), ",").alias("subjects")
+    )
 
 
 # A catalogue for each nation: two categories, of which one is unknown, with a rule a row.
@@ -187,13 +332,27 @@ UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'KNOWN_NEEDS_LLM', 'Other', 'late
 def parsed_catalogues(s, d):
     k = F.col("n_nationkey").cast("string")
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    rows = ("# Rules", "## AUTO_FIXABLE", "### Memory", "| type | pattern | hint |", "|-|-|-|", said("| oom", k, " | `a|b", k, "` | more |"), "## Notes", "| x | `y` | z |", "## KNOWN_NEEDS_LLM", "### Other", "| late | `slow.*` | wait |")
+    rows = (
+        "# Rules",
+        "## AUTO_FIXABLE",
+        "### Memory",
+        "| type | pattern | hint |",
+        "|-|-|-|",
+        said("| oom", k, " | `a|b", k, "` | more |"),
+        "## Notes",
+        "| x | `y` | z |",
+        "## KNOWN_NEEDS_LLM",
+        "### Other",
+        "| late | `slow.*` | wait |"
+    )
     listed = F.array(*(r if not isinstance(r, str) else F.lit(r) for r in rows))
     lines = view(s, d, "nation").select(k.alias("task_type"), F.posexplode(listed).alias("line_no", "line"))
     return files.parse_catalogue(lines).select("task_type", "category", "sub_category", "error_type", "pattern", "hint")
 
 
-@query("""SELECT event_id, concat_ws(chr(10), CASE WHEN event_id % 2 = 0 THEN 'd' || event_id END, CASE WHEN event_id % 3 = 0 THEN 's' || user_id END, 'y') AS log FROM events""")
+@query(
+    """SELECT event_id, concat_ws(chr(10), CASE WHEN event_id % 2 = 0 THEN 'd' || event_id END, CASE WHEN event_id % 3 = 0 THEN 's' || user_id END, 'y') AS log FROM events"""
+)
 def combined_logs(s, d):
     part = lambda n, x, c: F.when(F.col("event_id") % n == 0, F.concat(F.lit(x), F.col(c).cast("string"))).otherwise("")
     return view(s, d, "events").select("event_id", text.combined(part(2, "d", "event_id"), part(3, "s", "user_id"), F.lit("y")).alias("log"))

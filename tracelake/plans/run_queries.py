@@ -12,7 +12,9 @@ J = lambda c: F.array_join(c, ",").alias(c)
 R = lambda c: F.round(c, 6).alias(c)
 
 
-@query("SELECT id, project, workflow, state FROM instance WHERE start_time >= TIMESTAMP '2024-01-05' AND start_time < TIMESTAMP '2024-01-08' AND state = 'FAILURE' AND project = '2'")
+@query(
+    "SELECT id, project, workflow, state FROM instance WHERE start_time >= TIMESTAMP '2024-01-05' AND start_time < TIMESTAMP '2024-01-08' AND state = 'FAILURE' AND project = '2'"
+)
 def instance_list(s, d):
     return runs.by_state(view(s, d, "instance"), "2024-01-05", "2024-01-08", "FAILURE", "2").select("id", "project", "workflow", "state")
 
@@ -46,7 +48,9 @@ def range_report(s, d):
     return runs.range_report(view(s, d, "instance"), "2024-01-10", "2024-01-12").select(*_daily_cols())
 
 
-@query("SELECT project, CAST(start_time AS DATE) AS day, task_type, count(*) AS total, count(*) FILTER (state = 'FAILURE') AS failure, round(avg(duration), 6) AS avg_duration FROM instance GROUP BY ALL")
+@query(
+    "SELECT project, CAST(start_time AS DATE) AS day, task_type, count(*) AS total, count(*) FILTER (state = 'FAILURE') AS failure, round(avg(duration), 6) AS avg_duration FROM instance GROUP BY ALL"
+)
 def daily_type_metrics(s, d):
     return runs.daily_type_metrics(view(s, d, "instance")).select("project", "day", "task_type", "total", "failure", R("avg_duration"))
 
@@ -58,7 +62,9 @@ def daily_error_metrics(s, d):
     return runs.daily_error_metrics(failures).select("project", "day", "error_type", "n", J("task_types"), J("examples"))
 
 
-@query("SELECT CAST(start_time AS DATE) AS day, count(*) FILTER (state = 'SUCCESS') AS success, count(*) FILTER (state = 'FAILURE') AS failure, count(*) FILTER (state = 'RUNNING') AS running FROM instance GROUP BY ALL")
+@query(
+    "SELECT CAST(start_time AS DATE) AS day, count(*) FILTER (state = 'SUCCESS') AS success, count(*) FILTER (state = 'FAILURE') AS failure, count(*) FILTER (state = 'RUNNING') AS running FROM instance GROUP BY ALL"
+)
 def state_counts(s, d):
     return runs.state_counts(view(s, d, "instance"))
 
@@ -68,9 +74,22 @@ dist AS (SELECT s.*, max_duration / median_duration AS skew_ratio, coalesce(max_
 (SELECT app, stage, count(*) FILTER (r.duration > 3 * median_duration) AS n_stragglers, count(*) FILTER (r.input_bytes > 3 * median_input AND median_input > 0) AS n_input_skewed FROM task_run r JOIN stats USING (app, stage) GROUP BY ALL) USING (app, stage))"""
 
 
-@query("WITH " + _DIST + " SELECT app, stage, n_tasks, round(median_duration, 6) AS median_duration, max_duration, median_input, round(skew_ratio, 6) AS skew_ratio, is_skewed, n_stragglers, n_input_skewed FROM dist")
+@query(
+    "WITH " + _DIST + " SELECT app, stage, n_tasks, round(median_duration, 6) AS median_duration, max_duration, median_input, round(skew_ratio, 6) AS skew_ratio, is_skewed, n_stragglers, n_input_skewed FROM dist"
+)
 def task_distribution(s, d):
-    return runs.task_distribution(view(s, d, "task_run")).select("app", "stage", "n_tasks", R("median_duration"), "max_duration", "median_input", R("skew_ratio"), "is_skewed", "n_stragglers", "n_input_skewed")
+    return runs.task_distribution(view(s, d, "task_run")).select(
+        "app",
+        "stage",
+        "n_tasks",
+        R("median_duration"),
+        "max_duration",
+        "median_input",
+        R("skew_ratio"),
+        "is_skewed",
+        "n_stragglers",
+        "n_input_skewed"
+    )
 
 
 @query("WITH " + _DIST + """ SELECT app, bool_or(is_skewed) AS is_skewed, round(max(skew_ratio), 6) AS max_ratio, CAST(sum(n_input_skewed) AS BIGINT) AS n_input_skewed,
@@ -83,7 +102,11 @@ def app_skew(s, d):
 round(avg(peak_memory_mb) FILTER (peak_memory_mb > 0), 6) AS avg_peak_memory_mb, CASE WHEN count(*) FILTER (peak_memory_mb > 0) > 1 THEN round(stddev_pop(peak_memory_mb) FILTER (peak_memory_mb > 0), 6) END AS std_peak_memory_mb
 FROM (SELECT * FROM run_history WHERE success QUALIFY row_number() OVER (PARTITION BY workflow ORDER BY day DESC, run DESC) <= 5) GROUP BY workflow""")
 def newest_baseline(s, d):
-    return runs.newest_baseline(view(s, d, "run_history")).select("workflow", "n", *(R(f"{k}_{m}") for m in ("input_bytes_mb", "peak_memory_mb") for k in ("avg", "std")))
+    return runs.newest_baseline(view(s, d, "run_history")).select(
+        "workflow",
+        "n",
+        *(R(f"{k}_{m}") for m in ("input_bytes_mb", "peak_memory_mb") for k in ("avg", "std"))
+    )
 
 
 @query("""WITH ok AS (SELECT *, count(*) OVER (PARTITION BY workflow) AS n, row_number() OVER (PARTITION BY workflow ORDER BY input_bytes_mb, run) AS r FROM run_history WHERE success AND peak_memory_mb > 0),
@@ -93,7 +116,14 @@ b AS (SELECT *, CASE WHEN n >= 5 AND d1 > d0 THEN (p1 - p0) / (d1 - d0) ELSE p /
 SELECT workflow, n, CASE WHEN n < 3 OR d <= 0 THEN 'LOW' WHEN n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, CASE WHEN n >= 3 AND d > 0 THEN round(slope, 6) END AS memory_per_data,
 CASE WHEN n >= 3 AND d > 0 THEN greatest(CAST(trunc(10000 * slope * 1.3) AS BIGINT), m) END AS executor_memory_mb, CASE WHEN n >= 3 AND d > 0 THEN greatest(i0, least(greatest(2, CAST(trunc(10000 * s / d / 2048) AS BIGINT)), i1 * 2)) END AS executor_instances FROM b""")
 def predicted_memory(s, d):
-    return runs.predict_memory(view(s, d, "run_history"), F.lit(10000)).select("workflow", "n", "confidence", R("memory_per_data"), "executor_memory_mb", "executor_instances")
+    return runs.predict_memory(view(s, d, "run_history"), F.lit(10000)).select(
+        "workflow",
+        "n",
+        "confidence",
+        R("memory_per_data"),
+        "executor_memory_mb",
+        "executor_instances"
+    )
 
 
 @query("""WITH needs AS (SELECT app AS key, CAST(sum(input_bytes) AS DOUBLE) AS shuffle_mb FROM task_run GROUP BY app), grid AS (SELECT mem, inst FROM (VALUES (512), (1024), (2048), (3072), (4096), (6144), (8192)) m(mem), range(2, 21) i(inst) WHERE NOT (mem <= 512 AND inst > 8 OR mem >= 6144 AND inst < 4)),
@@ -111,10 +141,22 @@ CAST(least(16384, CASE WHEN spilled_mb > 0 THEN 4096 + spilled_mb WHEN peak_mb >
 CASE WHEN spilled_mb > 0 THEN 'oom_spill' WHEN peak_mb > 0 THEN 'peak_memory' ELSE 'shuffle_based' END AS method, CAST(least(8192, CASE WHEN spilled_mb > 0 THEN 1024 + spilled_mb ELSE 2048 END) AS BIGINT) AS driver_mb,
 CASE WHEN shuffle_mb * 10 >= 2048 AND least(greatest(2, shuffle_mb * 10 // 2048), 8, 100) > 4 THEN CAST(least(greatest(2, shuffle_mb * 10 // 2048), 8, 100) AS BIGINT) END AS instances FROM x""")
 def size_suggestions(s, d):
-    x = view(s, d, "task_run").groupBy("app", "stage").agg(F.sum("input_bytes").alias("shuffle"), F.floor(F.max("duration") / 50).alias("peak"), (F.count("*") % 3).alias("spilled"))
+    x = view(s, d, "task_run").groupBy("app", "stage").agg(
+        F.sum("input_bytes").alias("shuffle"),
+        F.floor(F.max("duration") / 50).alias("peak"),
+        (F.count("*") % 3).alias("spilled")
+    )
     c = F.col
     memory = runs.executor_memory(F.lit(4096), F.lit(None).cast("long"), c("spilled"), c("peak"), c("shuffle"), F.lit(4))
-    return x.select("app", "stage", runs.memory_use_status(F.lit(2048.0), c("shuffle")).alias("status"), memory.mb.cast("long").alias("executor_mb"), memory.method.alias("method"), runs.driver_memory(F.lit(1024), c("spilled")).cast("long").alias("driver_mb"), runs.executor_instances(F.lit(4), c("shuffle") * 10).alias("instances"))
+    return x.select(
+        "app",
+        "stage",
+        runs.memory_use_status(F.lit(2048.0), c("shuffle")).alias("status"),
+        memory.mb.cast("long").alias("executor_mb"),
+        memory.method.alias("method"),
+        runs.driver_memory(F.lit(1024), c("spilled")).cast("long").alias("driver_mb"),
+        runs.executor_instances(F.lit(4), c("shuffle") * 10).alias("instances")
+    )
 
 
 _TIMEOUT = """t AS (SELECT workflow, id AS name, CAST(id AS BIGINT) AS ord, retry, CAST(duration * 3 AS BIGINT) AS wait, duration FROM instance),
@@ -122,13 +164,36 @@ m AS (SELECT workflow, max(retry) AS max_retry, arg_max(name, (retry, -ord)) AS
 
 
 def _timeouts(s, d):
-    t = view(s, d, "instance").select("workflow", F.col("id").alias("name"), F.col("id").cast("long").alias("ord"), F.col("retry").alias("retry_count"), F.lit(60).alias("retry_interval"), F.round(F.col("duration") * 3).cast("long").alias("queue_wait"), F.lit(1).alias("data_size"), "duration")
-    return runs.timeout_metrics(t, t.groupBy("workflow").agg(F.avg("duration").alias("avg_duration"), F.lit(1e9).alias("avg_data"), F.avg("queue_wait").alias("avg_wait")))
-
-
-@query("WITH " + _TIMEOUT + " SELECT workflow, max_retry, retry_task, CAST(retry_time AS BIGINT) AS retry_time, max_duration, slowest_task, max_wait, max_duration > 2 * avg_duration AS is_slow FROM m")
+    t = view(s, d, "instance").select(
+        "workflow",
+        F.col("id").alias("name"),
+        F.col("id").cast("long").alias("ord"),
+        F.col("retry").alias("retry_count"),
+        F.lit(60).alias("retry_interval"),
+        F.round(F.col("duration") * 3).cast("long").alias("queue_wait"),
+        F.lit(1).alias("data_size"),
+        "duration"
+    )
+    return runs.timeout_metrics(
+        t,
+        t.groupBy("workflow").agg(F.avg("duration").alias("avg_duration"), F.lit(1e9).alias("avg_data"), F.avg("queue_wait").alias("avg_wait"))
+    )
+
+
+@query(
+    "WITH " + _TIMEOUT + " SELECT workflow, max_retry, retry_task, CAST(retry_time AS BIGINT) AS retry_time, max_duration, slowest_task, max_wait, max_duration > 2 * avg_duration AS is_slow FROM m"
+)
 def timeout_metrics(s, d):
-    return _timeouts(s, d).select("workflow", "max_retry", "retry_task", F.col("retry_time").cast("long").alias("retry_time"), "max_duration", "slowest_task", "max_wait", "is_slow")
+    return _timeouts(s, d).select(
+        "workflow",
+        "max_retry",
+        "retry_task",
+        F.col("retry_time").cast("long").alias("retry_time"),
+        "max_duration",
+        "slowest_task",
+        "max_wait",
+        "is_slow"
+    )
 
 
 # Metrics for each event such that every rule is the first to hold for some, and none for others.
@@ -155,9 +220,25 @@ y AS (SELECT id, round(used_memory_mb * 100.0 / 1000, 2) AS memory_pct, round(us
 SELECT id, CAST(memory_pct AS DOUBLE) AS memory_pct, CAST(vcore_pct AS DOUBLE) AS vcore_pct, CAST(health_pct AS DOUBLE) AS health_pct, concat_ws(',', CASE WHEN memory_pct > 85 THEN 'memory' END, CASE WHEN vcore_pct > 85 THEN 'vcores' END, CASE WHEN pending_containers > 100 THEN 'containers' END, CASE WHEN health_pct < 80 THEN 'nodes' END) AS reasons, NOT (memory_pct > 80 OR pending_containers > 10) AS is_safe FROM y""")
 def cluster_status(s, d):
     e = F.col("event_id")
-    x = view(s, d, "events").select(e.alias("id"), F.lit(1000).alias("total_memory_mb"), (e % 1000).alias("used_memory_mb"), F.lit(100).alias("total_vcores"), (e % 100).alias("used_vcores"), (10 - e % 4).alias("active_nodes"), (e % 4).alias("unhealthy_nodes"), (e % 150).alias("pending_containers"))
+    x = view(s, d, "events").select(
+        e.alias("id"),
+        F.lit(1000).alias("total_memory_mb"),
+        (e % 1000).alias("used_memory_mb"),
+        F.lit(100).alias("total_vcores"),
+        (e % 100).alias("used_vcores"),
+        (10 - e % 4).alias("active_nodes"),
+        (e % 4).alias("unhealthy_nodes"),
+        (e % 150).alias("pending_containers")
+    )
     out = runs.cluster_status(x)
-    return out.select("id", "memory_pct", "vcore_pct", "health_pct", J("reasons"), runs.is_safe(F.col("memory_pct"), F.col("pending_containers")).alias("is_safe"))
+    return out.select(
+        "id",
+        "memory_pct",
+        "vcore_pct",
+        "health_pct",
+        J("reasons"),
+        runs.is_safe(F.col("memory_pct"), F.col("pending_containers")).alias("is_safe")
+    )
 
 
 _HEALTH = """part AS (SELECT * FROM partition_stat WHERE (date_part('day', day) + length(table_name)) % 6 <> 0),
@@ -170,9 +251,19 @@ def _parts(s, d):
     return view(s, d, "partition_stat").filter((F.dayofmonth("day") + F.length("table_name")) % 6 != 0)
 
 
-@query("WITH " + _HEALTH + " SELECT table_name, day, present AS \"exists\", file_count, round(avg_count, 6) AS avg_count, round(std_count, 6) AS std_count, n_history FROM base")
+@query(
+    "WITH " + _HEALTH + " SELECT table_name, day, present AS \"exists\", file_count, round(avg_count, 6) AS avg_count, round(std_count, 6) AS std_count, n_history FROM base"
+)
 def partition_baseline(s, d):
-    return partitions.with_baseline(partitions.densified(_parts(s, d))).select("table_name", "day", "exists", "file_count", R("avg_count"), R("std_count"), "n_history")
+    return partitions.with_baseline(partitions.densified(_parts(s, d))).select(
+        "table_name",
+        "day",
+        "exists",
+        "file_count",
+        R("avg_count"),
+        R("std_count"),
+        "n_history"
+    )
 
 
 @query("WITH " + _HEALTH + """, y AS (SELECT *, present AND n_history > 0 AS k FROM base), z AS (SELECT *, concat_ws(',', CASE WHEN NOT present THEN 'PARTITION_MISSING' END, CASE WHEN present AND n_history = 0 THEN 'NO_HISTORY_DATA' END, CASE WHEN k AND file_count < 0.5 * min_count THEN 'FILE_COUNT_LOW' END,
@@ -187,7 +278,12 @@ def partition_health(s, d):
 CASE event_id % 4 WHEN 3 THEN path ELSE regexp_extract(path, '^(/user/hive/warehouse/db.db/[a-z]+)', 1) END AS base FROM storage_path p""")
 def path_dates(s, d):
     p = F.col("path")
-    return view(s, d, "storage_path").select("event_id", text.partition_date(p).alias("day"), text.partition_key(p).alias("key"), text.partition_base(p).alias("base"))
+    return view(s, d, "storage_path").select(
+        "event_id",
+        text.partition_date(p).alias("day"),
+        text.partition_key(p).alias("key"),
+        text.partition_base(p).alias("base")
+    )
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'INVALID_PATH' WHEN s.file_count IS NULL THEN 'missing' WHEN s.file_count = 0 THEN 'empty' ELSE 'exists' END AS status FROM storage_path p JOIN events e USING (event_id)
@@ -197,7 +293,9 @@ def path_checks(s, d):
     return partitions.check_paths(view(s, d, "storage_path"), stats).select("event_id", "status")
 
 
-@query("""SELECT regexp_extract(path, '^(/user/hive/warehouse/db.db/[a-z]+)', 1) AS table_name, CAST(ts AS DATE) AS day, count(*) AS file_count, CAST(sum(100 + event_id) AS BIGINT) AS total_size FROM storage_path JOIN events USING (event_id) WHERE event_id % 4 <> 3 GROUP BY ALL""")
+@query(
+    """SELECT regexp_extract(path, '^(/user/hive/warehouse/db.db/[a-z]+)', 1) AS table_name, CAST(ts AS DATE) AS day, count(*) AS file_count, CAST(sum(100 + event_id) AS BIGINT) AS total_size FROM storage_path JOIN events USING (event_id) WHERE event_id % 4 <> 3 GROUP BY ALL"""
+)
 def partition_listing(s, d):
     listing = view(s, d, "storage_path").filter("event_id % 4 != 3").withColumn("length", F.col("event_id") + 100)
     return partitions.partition_stats(listing)
@@ -207,11 +305,18 @@ def partition_listing(s, d):
 @query("""WITH a AS (SELECT event_id AS alert_id, CAST(user_id % 5 AS VARCHAR) AS project, CAST(user_id AS VARCHAR) AS upstream, ts FROM events WHERE event_type = 'signup')
 SELECT alert_id, id AS instance_id, start_time FROM a JOIN instance i ON i.project = a.project AND i.workflow = a.upstream AND i.state = 'FAILURE' AND abs(epoch(date_trunc('second', i.start_time)) - epoch(date_trunc('second', a.ts))) <= 21600 QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY start_time, id) = 1""")
 def upstream_failures(s, d):
-    a = view(s, d, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("alert_id"), (F.col("user_id") % 5).cast("string").alias("project"), F.col("user_id").cast("string").alias("upstream"), "ts")
+    a = view(s, d, "events").filter("event_type = 'signup'").select(
+        F.col("event_id").alias("alert_id"),
+        (F.col("user_id") % 5).cast("string").alias("project"),
+        F.col("user_id").cast("string").alias("upstream"),
+        "ts"
+    )
     return alerts.upstream_failures(a, view(s, d, "instance"))
 
 
-@query("SELECT project, workflow, id, start_time FROM instance QUALIFY row_number() OVER (PARTITION BY project, workflow ORDER BY start_time DESC, id DESC) = 1")
+@query(
+    "SELECT project, workflow, id, start_time FROM instance QUALIFY row_number() OVER (PARTITION BY project, workflow ORDER BY start_time DESC, id DESC) = 1"
+)
 def latest_instances(s, d):
     return alerts.latest_instances(view(s, d, "instance"))
 
@@ -219,7 +324,14 @@ def latest_instances(s, d):
 def _actions(s, d):
     e = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, ("rerun", "recover-failed", "delete", "edit"))), (e % 4 + 1).cast("int"))
-    return view(s, d, "events").select((e % 997).alias("alert_id"), kind.alias("action_type"), (e % 11 == 0).alias("structural"), (e % 7 == 0).alias("multi_param"), (e % 6).alias("retry_count"), (e % 9).alias("n_downstream")).filter("action_type != 'delete' OR alert_id % 5 = 0")
+    return view(s, d, "events").select(
+        (e % 997).alias("alert_id"),
+        kind.alias("action_type"),
+        (e % 11 == 0).alias("structural"),
+        (e % 7 == 0).alias("multi_param"),
+        (e % 6).alias("retry_count"),
+        (e % 9).alias("n_downstream")
+    ).filter("action_type != 'delete' OR alert_id % 5 = 0")
 
 
 @query("""WITH x AS (SELECT event_id % 997 AS alert_id, CASE event_id % 4 WHEN 0 THEN 'rerun' WHEN 1 THEN 'recover-failed' WHEN 2 THEN 'delete' ELSE 'edit' END AS action, event_id AS e FROM events),
@@ -242,8 +354,17 @@ d AS (SELECT r.request_id, e.ts, CASE WHEN e.event_id % 2 = 0 THEN 'approved' EL
 SELECT request_id, coalesce((SELECT arg_min(status, ts) FROM d WHERE d.request_id = r.request_id AND d.ts <= r.expires_at), CASE WHEN TIMESTAMP '2024-01-30' > expires_at THEN 'timeout' ELSE 'pending' END) AS status FROM r""")
 def approval_states(s, d):
     e = view(s, d, "events")
-    r = e.filter("event_type = 'view'").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 30 HOURS")).alias("expires_at"))
-    p = e.filter("event_type = 'purchase'").select("user_id", "ts", F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status"))
+    r = e.filter("event_type = 'view'").select(
+        F.col("event_id").alias("request_id"),
+        "user_id",
+        F.col("ts").alias("created_at"),
+        (F.col("ts") + F.expr("INTERVAL 30 HOURS")).alias("expires_at")
+    )
+    p = e.filter("event_type = 'purchase'").select(
+        "user_id",
+        "ts",
+        F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status")
+    )
     decisions = r.join(p, "user_id").filter("ts > created_at AND ts < created_at + INTERVAL 60 HOURS").select("request_id", "ts", "status")
     return alerts.approvals_at(r, decisions, F.lit("2024-01-30").cast("timestamp_ntz"))
 
@@ -253,7 +374,9 @@ def first_candidates(s, d):
     return review.first_candidates(view(s, d, "candidate")).select("doc_id", "skill_name", F.md5("original_log").alias("log_md5"))
 
 
-@query("SELECT skill_name, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'pending') AS pending FROM candidate GROUP BY skill_name")
+@query(
+    "SELECT skill_name, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'pending') AS pending FROM candidate GROUP BY skill_name"
+)
 def candidate_counts(s, d):
     return review.status_counts(view(s, d, "candidate"))
 
@@ -268,20 +391,37 @@ def kept_candidates(s, d):
     return review.without_approved(view(s, d, "candidate")).select("doc_id", "skill_name", "status")
 
 
-@query("SELECT c.doc_id, CASE WHEN e.event_id IS NULL THEN c.status WHEN e.event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM candidate c LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) e ON e.event_id = c.doc_id")
+@query(
+    "SELECT c.doc_id, CASE WHEN e.event_id IS NULL THEN c.status WHEN e.event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM candidate c LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) e ON e.event_id = c.doc_id"
+)
 def reviewed_candidates(s, d):
-    decisions = view(s, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("candidate_id"), F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status"), F.lit("x").alias("reviewed_by"), F.col("ts").alias("reviewed_at"), F.lit("").alias("note"))
+    decisions = view(s, d, "events").filter("event_id % 3 = 0").select(
+        F.col("event_id").alias("candidate_id"),
+        F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status"),
+        F.lit("x").alias("reviewed_by"),
+        F.col("ts").alias("reviewed_at"),
+        F.lit("").alias("note")
+    )
     return review.reviewed(view(s, d, "candidate").withColumn("candidate_id", F.col("doc_id")), decisions).select("doc_id", "status")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN status WHEN doc_id % 3 = 0 THEN 'confirmed' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 4 >= 2 AND doc_id % 3 = 1 THEN 'see notes' END AS correction FROM candidate""")
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN status WHEN doc_id % 3 = 0 THEN 'confirmed' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 4 >= 2 AND doc_id % 3 = 1 THEN 'see notes' END AS correction FROM candidate"""
+)
 def confirmed_knowledge(s, d):
     k = view(s, d, "candidate").select("doc_id", F.col("doc_id").alias("id"), "status")
-    fb = k.filter("id % 3 != 2").select("id", F.when(F.col("id") % 3 == 0, "valid").otherwise("invalid").alias("feedback"), F.lit("see notes").alias("suggestion"), F.lit(1).alias("at"))
+    fb = k.filter("id % 3 != 2").select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "valid").otherwise("invalid").alias("feedback"),
+        F.lit("see notes").alias("suggestion"),
+        F.lit(1).alias("at")
+    )
     return review.confirm(k, fb).select("doc_id", "status", "correction")
 
 
-@query("""SELECT p.*, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT project, string_agg(code, ',' ORDER BY code) AS nodes, count(*) AS n_nodes FROM workflow GROUP BY project) p LEFT JOIN (SELECT project, count(*) AS n_edges FROM calls GROUP BY project) USING (project)""".replace("p.*, n_nodes", "p.project, p.nodes, p.n_nodes"))
+@query(
+    """SELECT p.*, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT project, string_agg(code, ',' ORDER BY code) AS nodes, count(*) AS n_nodes FROM workflow GROUP BY project) p LEFT JOIN (SELECT project, count(*) AS n_edges FROM calls GROUP BY project) USING (project)""".replace("p.*, n_nodes", "p.project, p.nodes, p.n_nodes")
+)
 def graph_export(s, d):
     return files.graph_export(view(s, d, "workflow"), view(s, d, "calls")).select("project", J("nodes"), "n_nodes", "n_edges")
 
@@ -296,31 +436,53 @@ _BLOCKS = "b AS (SELECT CAST(l_suppkey AS VARCHAR) AS app, l_linenumber AS rdd,
 
 def _blocks(s, d):
     li = view(s, d, "lineitem")
-    return li.select(F.col("l_suppkey").cast("string").alias("app"), F.col("l_linenumber").alias("rdd"), (F.col("l_orderkey") % 10).cast("string").alias("executor"), F.col("l_quantity").alias("memory_mb"), F.when(F.col("l_orderkey") % 11 == 0, F.col("l_tax")).otherwise(0).alias("disk_mb"))
-
-
-@query("WITH " + _BLOCKS + " SELECT app, rdd, count(DISTINCT executor) AS n_executors, median(memory_mb) AS median_mb, max(memory_mb) AS max_mb, round(max(memory_mb) / median(memory_mb), 6) AS ratio, count(DISTINCT executor) >= 2 AND max(memory_mb) / median(memory_mb) > 1.9 AS is_skewed FROM b GROUP BY ALL")
+    return li.select(
+        F.col("l_suppkey").cast("string").alias("app"),
+        F.col("l_linenumber").alias("rdd"),
+        (F.col("l_orderkey") % 10).cast("string").alias("executor"),
+        F.col("l_quantity").alias("memory_mb"),
+        F.when(F.col("l_orderkey") % 11 == 0, F.col("l_tax")).otherwise(0).alias("disk_mb")
+    )
+
+
+@query(
+    "WITH " + _BLOCKS + " SELECT app, rdd, count(DISTINCT executor) AS n_executors, median(memory_mb) AS median_mb, max(memory_mb) AS max_mb, round(max(memory_mb) / median(memory_mb), 6) AS ratio, count(DISTINCT executor) >= 2 AND max(memory_mb) / median(memory_mb) > 1.9 AS is_skewed FROM b GROUP BY ALL"
+)
 def cached_skew(s, d):
     return runs.cached_skew(_blocks(s, d), 1.9).select("app", "rdd", "n_executors", "median_mb", "max_mb", R("ratio"), "is_skewed")
 
 
-@query("WITH " + _BLOCKS + " SELECT app, count(*) AS n_rdds, sum(memory_mb) AS memory_mb, round(sum(disk_mb), 6) AS disk_mb, sum(disk_mb) > 0 AS spills, CASE WHEN sum(memory_mb) > 4096 THEN 'HIGH' WHEN sum(memory_mb) > 2048 THEN 'MEDIUM' ELSE 'LOW' END AS oom_risk FROM b GROUP BY app")
+@query(
+    "WITH " + _BLOCKS + " SELECT app, count(*) AS n_rdds, sum(memory_mb) AS memory_mb, round(sum(disk_mb), 6) AS disk_mb, sum(disk_mb) > 0 AS spills, CASE WHEN sum(memory_mb) > 4096 THEN 'HIGH' WHEN sum(memory_mb) > 2048 THEN 'MEDIUM' ELSE 'LOW' END AS oom_risk FROM b GROUP BY app"
+)
 def cached_totals(s, d):
     return runs.cached_totals(_blocks(s, d)).select("app", "n_rdds", "memory_mb", R("disk_mb"), "spills", "oom_risk")
 
 
-@query("SELECT source AS workflow_code, count(*) AS n_reports, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS log_chars FROM documents GROUP BY source")
+@query(
+    "SELECT source AS workflow_code, count(*) AS n_reports, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS log_chars FROM documents GROUP BY source"
+)
 def report_totals(s, d):
-    r = view(s, d, "documents").select(F.col("source").alias("workflow_code"), F.floor(F.col("n_chars") / 4).alias("tokens"), F.col("text").alias("log_text"))
+    r = view(s, d, "documents").select(
+        F.col("source").alias("workflow_code"),
+        F.floor(F.col("n_chars") / 4).alias("tokens"),
+        F.col("text").alias("log_text")
+    )
     return runs.report_totals(r)
 
 
-@query("WITH " + _TIMEOUT + " SELECT workflow, CASE WHEN max_retry > 3 THEN 'retry' WHEN max_wait > 2 * avg_wait THEN 'queue_wait' ELSE 'unknown' END AS cause FROM m")
+@query(
+    "WITH " + _TIMEOUT + " SELECT workflow, CASE WHEN max_retry > 3 THEN 'retry' WHEN max_wait > 2 * avg_wait THEN 'queue_wait' ELSE 'unknown' END AS cause FROM m"
+)
 def timeout_causes(s, d):
-    return runs.simple_timeout_cause(_timeouts(s, d).withColumn("max_retry", F.greatest(F.col("max_retry") - 3, F.lit(0)))).select("workflow", "cause")
+    return runs.simple_timeout_cause(
+        _timeouts(s, d).withColumn("max_retry", F.greatest(F.col("max_retry") - 3, F.lit(0)))
+    ).select("workflow", "cause")
 
 
-@query("SELECT workflow, run, round(greatest(greatest(0.6 * input_bytes_mb / 1024, executor_memory_mb / 1024) * CASE WHEN run % 2 = 0 THEN 1.5 ELSE 1 END + 0.3 * shuffle_read_mb / 1024, 1.5 * executor_memory_mb / 1024), 6) AS need_gb FROM run_history")
+@query(
+    "SELECT workflow, run, round(greatest(greatest(0.6 * input_bytes_mb / 1024, executor_memory_mb / 1024) * CASE WHEN run % 2 = 0 THEN 1.5 ELSE 1 END + 0.3 * shuffle_read_mb / 1024, 1.5 * executor_memory_mb / 1024), 6) AS need_gb FROM run_history"
+)
 def data_driven_sizes(s, d):
     c = lambda x: F.col(x) / 1024
     need = runs.sized_by_data(c("input_bytes_mb"), c("executor_memory_mb"), F.col("run") % 2 == 0, c("shuffle_read_mb"))

@@ -6,7 +6,15 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_EDGES = ("workflow_contains_task", "workflow_depends_workflow", "task_depends_task", "calls_subworkflow", "task_executes_class", "task_produces_table", "task_consumes_table")
+_EDGES = (
+    "workflow_contains_task",
+    "workflow_depends_workflow",
+    "task_depends_task",
+    "calls_subworkflow",
+    "task_executes_class",
+    "task_produces_table",
+    "task_consumes_table"
+)
 _EDGE = "array<struct<source: string, target: string, `from`: string, `to`: string, pre: string, post: string, workflow: string, task: string, `table`: string, parent: string, child: string, task_code: string>>"
 GRAPH = (
     "project_code string, scanned_at string, nodes struct<workflows: array<struct<code: string, name: string, schedule_type: string, schedule_cron: string, is_sub_workflow: boolean, parent_workflow: string>>,"
@@ -19,11 +27,23 @@ GRAPH = (
 def read_graphs(spark: SparkSession, path: str, depends_direction: str = "as_stored") -> dict[str, DataFrame]:
     """Node tables and one edge table of all projects' graph documents; edge keys under any of their names."""
     docs = spark.read.schema(GRAPH).option("multiLine", True).json(path)
-    out = {k: docs.select(F.col("project_code").alias("project"), F.explode(f"nodes.{k}").alias("n")).select("project", "n.*") for k in ("workflows", "tasks", "tables", "classes")}
+    out = {
+        k: docs.select(
+            F.col("project_code").alias("project"),
+            F.explode(f"nodes.{k}").alias("n")
+        ).select("project", "n.*") for k in ("workflows", "tasks", "tables", "classes")
+    }
     edges = None
     for kind in _EDGES:
         e = docs.select(F.col("project_code").alias("project"), F.lit(kind).alias("edge_type"), F.explode(f"edges.{kind}").alias("e"))
-        source, target = F.coalesce("e.source", "e.from", "e.pre", "e.parent", "e.workflow", "e.task"), F.coalesce("e.target", "e.to", "e.post", "e.child", "e.table", "e.task")
+        source, target = F.coalesce(
+            "e.source",
+            "e.from",
+            "e.pre",
+            "e.parent",
+            "e.workflow",
+            "e.task"
+        ), F.coalesce("e.target", "e.to", "e.post", "e.child", "e.table", "e.task")
         if kind == "workflow_depends_workflow" and depends_direction == "reversed":
             source, target = target, source
         e = e.select("project", "edge_type", source.alias("source"), target.alias("target"))
@@ -67,15 +87,47 @@ _DETAIL = f"struct<workflow: {_WORKFLOW}, workflowDefinition: {_WORKFLOW}, tasks
 
 def parse_definitions(definitions: DataFrame) -> dict[str, DataFrame]:
     """Workflows, tasks and edges of definitions (project_code, response), in either spelling, alone or in `data`."""
-    d = definitions.select(F.col("project_code").alias("project"), F.coalesce(F.from_json("response", f"struct<data: {_DETAIL}>")["data"], F.from_json("response", _DETAIL)).alias("d"))
+    d = definitions.select(
+        F.col("project_code").alias("project"),
+        F.coalesce(F.from_json("response", f"struct<data: {_DETAIL}>")["data"], F.from_json("response", _DETAIL)).alias("d")
+    )
     w = F.coalesce("d.workflow", "d.workflowDefinition")
     cron = w["schedule"]["crontab"]
     d = d.withColumn("w", w).filter("w.code IS NOT NULL")
-    workflows = d.select("project", F.col("w.code").alias("code"), F.col("w.name").alias("name"), F.when(F.coalesce(F.length(cron), F.lit(0)) > 0, "CRON").otherwise("MANUAL").alias("schedule_type"), cron.alias("schedule_cron"), F.coalesce("w.schedule.timezoneId", F.lit("Asia/Shanghai")).alias("timezone"))
-    tasks = d.select("project", F.col("w.code").alias("workflow"), F.explode(F.coalesce("d.tasks", "d.taskDefinitionList")).alias("t")).filter("t.code IS NOT NULL").select("project", F.col("t.code").alias("code"), F.col("t.name").alias("name"), "workflow", F.col("t.taskType").alias("task_type"), F.col("t.taskParams").alias("params"))
-    contains = tasks.select("project", F.lit("workflow_contains_task").alias("edge_type"), F.col("workflow").alias("source"), F.col("code").alias("target"))
-    rel = d.select("project", F.explode(F.coalesce("d.relations", "d.workflowTaskRelationList")).alias("r")).filter("r.preTaskCode IS NOT NULL AND r.preTaskCode != '0'")
-    edges = contains.unionByName(rel.select("project", F.lit("task_depends_task").alias("edge_type"), F.col("r.preTaskCode").alias("source"), F.col("r.postTaskCode").alias("target")))
+    workflows = d.select(
+        "project",
+        F.col("w.code").alias("code"),
+        F.col("w.name").alias("name"),
+        F.when(F.coalesce(F.length(cron), F.lit(0)) > 0, "CRON").otherwise("MANUAL").alias("schedule_type"),
+        cron.alias("schedule_cron"),
+        F.coalesce("w.schedule.timezoneId", F.lit("Asia/Shanghai")).alias("timezone")
+    )
+    tasks = d.select("project", F.col("w.code").alias("workflow"), F.explode(F.coalesce("d.tasks", "d.taskDefinitionList")).alias("t")).filter("t.code IS NOT NULL").select(
+        "project",
+        F.col("t.code").alias("code"),
+        F.col("t.name").alias("name"),
+        "workflow",
+        F.col("t.taskType").alias("task_type"),
+        F.col("t.taskParams").alias("params")
+    )
+    contains = tasks.select(
+        "project",
+        F.lit("workflow_contains_task").alias("edge_type"),
+        F.col("workflow").alias("source"),
+        F.col("code").alias("target")
+    )
+    rel = d.select(
+        "project",
+        F.explode(F.coalesce("d.relations", "d.workflowTaskRelationList")).alias("r")
+    ).filter("r.preTaskCode IS NOT NULL AND r.preTaskCode != '0'")
+    edges = contains.unionByName(
+        rel.select(
+            "project",
+            F.lit("task_depends_task").alias("edge_type"),
+            F.col("r.preTaskCode").alias("source"),
+            F.col("r.postTaskCode").alias("target")
+        )
+    )
     return {"workflows": workflows, "tasks": tasks, "edges": edges}
 
 
@@ -89,7 +141,13 @@ def read_logs(spark: SparkSession, base: str) -> DataFrame:
     """Logs under base/date/workflow/task/name.log, with what the path says."""
     p = F.col("path")
     part = lambda k: F.element_at(F.split(p, "/"), -k)
-    return read_texts(spark, base).select(part(4).alias("dt"), part(3).alias("workflow_code"), part(2).alias("task_code"), F.regexp_replace(part(1), r"\.log$", "").alias("source"), F.col("content").alias("text"))
+    return read_texts(spark, base).select(
+        part(4).alias("dt"),
+        part(3).alias("workflow_code"),
+        part(2).alias("task_code"),
+        F.regexp_replace(part(1), r"\.log$", "").alias("source"),
+        F.col("content").alias("text")
+    )
 
 
 def safe_part(c: Column) -> Column:
@@ -99,13 +157,18 @@ def safe_part(c: Column) -> Column:
 def write_logs(logs: DataFrame, path: str) -> None:
     """Non-empty logs by date, workflow and task; path parts hold only word characters and dashes."""
     kept = logs.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
-    kept.withColumns({c: safe_part(F.col(c)) for c in ("workflow_code", "task_code")}).write.mode("append").partitionBy("dt", "workflow_code", "task_code").json(path)
+    kept.withColumns(
+        {c: safe_part(F.col(c)) for c in ("workflow_code", "task_code")}
+    ).write.mode("append").partitionBy("dt", "workflow_code", "task_code").json(path)
 
 
 def log_metadata(logs: DataFrame) -> DataFrame:
     """A row for each date, workflow and task that write_logs() stores: sources and characters of its logs."""
     kept = logs.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
-    return kept.groupBy("dt", "workflow_code", "task_code").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.sum(F.length("text")).alias("n_chars"))
+    return kept.groupBy("dt", "workflow_code", "task_code").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.sum(F.length("text")).alias("n_chars")
+    )
 
 
 def latest_logs(logs: DataFrame) -> DataFrame:
@@ -123,7 +186,9 @@ def drop_old(spark: SparkSession, path: str, today: str, days: int = 7) -> int:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     oldest = (date.fromisoformat(today) - timedelta(days)).isoformat()
-    old = [x.getPath() for x in files.listStatus(folder) if x.isDirectory() and re.fullmatch(r"dt=\d{4}-\d{2}-\d{2}", x.getPath().getName()) and x.getPath().getName()[3:] < oldest]
+    old = [
+        x.getPath() for x in files.listStatus(folder) if x.isDirectory() and re.fullmatch(r"dt=\d{4}-\d{2}-\d{2}", x.getPath().getName()) and x.getPath().getName()[3:] < oldest
+    ]
     for p in old:
         files.delete(p, True)
     return len(old)
@@ -159,13 +224,21 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of all logs under path; the app is the file's name, and order is kept within it."""
-    raw = spark.read.text(path).select(F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^([^.]+)", 1).alias("app"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    raw = spark.read.text(path).select(
+        F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^([^.]+)", 1).alias("app"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.col("value").alias("line")
+    )
     return parse_events(raw)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of all files under path; their contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path",
+        "length",
+        F.col("modificationTime").alias("modified")
+    )
 
 
 # Headings of rule catalogues by category, in order of precedence.
@@ -181,12 +254,24 @@ def parse_catalogue(lines: DataFrame) -> DataFrame:
     heading = F.regexp_extract("line", r"^##\s+(.*)$", 1)
     category = F.when(F.upper(heading).contains("AUTO"), "AUTO_FIXABLE").when(F.upper(heading).contains("LLM"), "KNOWN_NEEDS_LLM").when(heading != "", "")
     by = Window.partitionBy("task_type").orderBy("line_no")
-    rows = lines.withColumn("category", F.last(category, ignorenulls=True).over(by)).withColumn("sub_category", F.last(F.nullif(F.regexp_extract("line", r"^###\s+(.*)$", 1), F.lit("")), ignorenulls=True).over(by))
+    rows = lines.withColumn("category", F.last(category, ignorenulls=True).over(by)).withColumn(
+        "sub_category",
+        F.last(F.nullif(F.regexp_extract("line", r"^###\s+(.*)$", 1), F.lit("")), ignorenulls=True).over(by)
+    )
     pattern = F.regexp_extract("line", r"`([^`]+)`", 1)
     cells = F.split(F.regexp_replace("line", r"`[^`]+`", "PATTERN"), r"\|")
     found = rows.filter(F.col("line").startswith("|") & (pattern != "") & (F.coalesce(F.col("category"), F.lit("")) != ""))
     rank = F.when(F.col("category") == "AUTO_FIXABLE", 1).otherwise(2)
-    return found.select("task_type", "category", rank.alias("category_rank"), "sub_category", F.col("line_no").alias("ord"), F.trim(F.get(cells, F.lit(1))).alias("error_type"), pattern.alias("pattern"), F.trim(F.get(cells, F.lit(3))).alias("hint"))
+    return found.select(
+        "task_type",
+        "category",
+        rank.alias("category_rank"),
+        "sub_category",
+        F.col("line_no").alias("ord"),
+        F.trim(F.get(cells, F.lit(1))).alias("error_type"),
+        pattern.alias("pattern"),
+        F.trim(F.get(cells, F.lit(3))).alias("hint")
+    )
 
 
 KNOWLEDGE = "id string, task_type string, error_type string, pattern string, solution string, auto_fix boolean, status string, correction string, confirmed_at string"
@@ -234,4 +319,8 @@ def issue_report(issues: DataFrame) -> DataFrame:
     """A project's issues as one record: how many there are, and of each severity, and the issues themselves in order."""
     rows = [c for c in ("category", "severity", "subject", "detail") if c in issues.columns]
     listed = F.array_sort(F.collect_list(F.struct(*rows))).alias("issues")
-    return issues.groupBy("project").agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")), listed)
+    return issues.groupBy("project").agg(
+        F.count("*").alias("n"),
+        *(F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")),
+        listed
+    )

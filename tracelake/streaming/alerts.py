@@ -25,7 +25,13 @@ def enriched_alerts(alerts: DataFrame, patterns: DataFrame, knowledge: DataFrame
     return enriched(alerts, classes, known, impacts)
 
 
-def enrich_stream(alerts: DataFrame, patterns: DataFrame, knowledge: DataFrame, index: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+def enrich_stream(
+    alerts: DataFrame,
+    patterns: DataFrame,
+    knowledge: DataFrame,
+    index: DataFrame,
+    write: Callable[[DataFrame, int], None]
+) -> DataStreamWriter:
     """A writer that gives each micro-batch of alerts, enriched from static tables, to write(rows, batch number).
 
     The first matching rule of an alert is a ranking, which a stream can't do itself; within a batch it can. The batch number
@@ -38,7 +44,10 @@ def daily_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts by project and day, emitted when the watermark has passed the day; start_time may be without a zone."""
     timed = instances.withColumn("ts", F.col("start_time").cast("timestamp")).withWatermark("ts", late)
     by = timed.groupBy("project", F.window("ts", "1 day").alias("w"))
-    return by.agg(F.count("*").alias("total"), *(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("SUCCESS", "FAILURE", "RUNNING"))).select("project", F.to_date("w.start").alias("day"), "total", "success", "failure", "running")
+    return by.agg(
+        F.count("*").alias("total"),
+        *(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("SUCCESS", "FAILURE", "RUNNING"))
+    ).select("project", F.to_date("w.start").alias("day"), "total", "success", "failure", "running")
 
 
 def _timed(rows: DataFrame, column: str, late: str) -> DataFrame:
@@ -56,7 +65,12 @@ def daily_error_metrics(errors: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts by project, day and error type, with the task types (a few) and the first and the last id as examples, so that
     the state of a key stays small."""
     by = _timed(errors, "start_time", late).groupBy("project", F.window("ts", "1 day").alias("w"), "error_type")
-    out = by.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    out = by.agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_set("task_type")).alias("task_types"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id")
+    )
     return out.select("project", F.to_date("w.start").alias("day"), "error_type", "n", "task_types", "first_id", "last_id")
 
 
@@ -78,8 +92,12 @@ def feedback_pairs(feedbacks: DataFrame, executions: DataFrame, seconds: int = 3
     """
     f = feedbacks.select(F.col("user").alias("f_user"), F.col("ts").alias("f_ts"), "feedback_id").withWatermark("f_ts", late)
     e = executions.select(F.col("user").alias("e_user"), F.col("ts").alias("e_ts"), "execution_id").withWatermark("e_ts", late)
-    near = (F.col("f_user") == F.col("e_user")) & (F.col("e_ts") <= F.col("f_ts")) & (F.col("e_ts") >= F.col("f_ts") - F.expr(f"INTERVAL {seconds} SECONDS"))
-    last = f.join(e, near, "leftOuter").groupBy(F.col("f_user").alias("user"), "feedback_id", F.col("f_ts").alias("ts")).agg(F.max_by("execution_id", F.struct("e_ts", "execution_id")).alias("execution_id"))
+    near = (F.col("f_user") == F.col("e_user")) & (F.col("e_ts") <= F.col("f_ts")) & (
+        F.col("e_ts") >= F.col("f_ts") - F.expr(f"INTERVAL {seconds} SECONDS")
+    )
+    last = f.join(e, near, "leftOuter").groupBy(F.col("f_user").alias("user"), "feedback_id", F.col("f_ts").alias("ts")).agg(
+        F.max_by("execution_id", F.struct("e_ts", "execution_id")).alias("execution_id")
+    )
     return last.select("user", "feedback_id", "execution_id")
 
 
@@ -135,4 +153,9 @@ def approvals(events: DataFrame) -> DataFrame:
 
     The session needs the RocksDB state store provider.
     """
-    return events.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Approvals(), outputStructType="request_id string, status string", outputMode="Update", timeMode="ProcessingTime")
+    return events.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=Approvals(),
+        outputStructType="request_id string, status string",
+        outputMode="Update",
+        timeMode="ProcessingTime"
+    )
