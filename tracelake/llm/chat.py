@@ -36,10 +36,24 @@ def unescaped(text: Column) -> Column:
 
 def text_parts(text: Column) -> Column:
     """The parts of a turn that is one text."""
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("n_tokens")))
+    return F.array(
+        F.struct(
+            F.lit("text").alias("type"),
+            F.coalesce(text, F.lit("")).alias("text"),
+            F.lit(None).cast("string").alias("ref"),
+            F.lit(None).cast("long").alias("n_tokens")
+        )
+    )
 
 
-def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_turns(
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    parts_col: str = "parts",
+    trained_roles: tuple[str, ...] = ("assistant",)
+) -> DataFrame:
     """A row for each turn: conv_id, turn, formatted, attachments, and the span of formatted that the loss covers.
 
     attachments: structs number, type, ref, n_tokens in order. loss_start and loss_end are code points in formatted,
@@ -48,12 +62,29 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     role = F.coalesce(F.col(role_col), F.lit(""))
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>"))
     others = F.filter(parts, lambda p: F.coalesce(p.type, F.lit("")) != "text")
-    seen = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), parts.alias("_parts"), others.alias("_others"))
+    seen = turns.select(
+        F.col(conv_col).alias("conv_id"),
+        F.col(turn_col).alias("turn"),
+        role.alias("role"),
+        parts.alias("_parts"),
+        others.alias("_others")
+    )
 
     def number(i: Column) -> Column:
         return F.size(F.filter(F.slice("_parts", 1, i), lambda p: F.coalesce(p.type, F.lit("")) != "text"))
 
-    content = F.transform("_parts", lambda p, i: F.when(p.type == "text", escaped(F.coalesce(p.text, F.lit("")))).otherwise(F.concat(F.lit("<"), F.regexp_replace(F.coalesce(p.type, F.lit("part")), r"[^\w-]", "_"), F.lit(" "), number(i).cast("string"), F.lit(">"))))
+    content = F.transform(
+        "_parts",
+        lambda p, i: F.when(p.type == "text", escaped(F.coalesce(p.text, F.lit("")))).otherwise(
+            F.concat(
+                F.lit("<"),
+                F.regexp_replace(F.coalesce(p.type, F.lit("part")), r"[^\w-]", "_"),
+                F.lit(" "),
+                number(i).cast("string"),
+                F.lit(">")
+            )
+        )
+    )
     head = F.concat(F.lit("### "), escaped(F.col("role"), r"[\\#<\n]"), F.lit("\n"))
     seen = seen.select("conv_id", "turn", "role", head.alias("_head"), F.array_join(content, "").alias("_content"), "_others")
     trained = F.col("role").isin(*trained_roles)
@@ -105,7 +136,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for conv, text, start, end, files, tokens in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "files", "tokens"))):
+            for conv, text, start, end, files, tokens in zip(
+                *(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "files", "tokens"))
+            ):
                 if state is None or conv != at:
                     if state is not None:
                         rows.append(row())
@@ -121,7 +154,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield sent([row()], batch.schema.field("conv_id").type)
 
     tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x.n_tokens)
-    rows = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end", F.size("attachments").cast("long").alias("files"), tokens.alias("tokens"))
+    rows = formatted.select(
+        "conv_id",
+        "turn",
+        "formatted",
+        "loss_start",
+        "loss_end",
+        F.size("attachments").cast("long").alias("files"),
+        tokens.alias("tokens")
+    )
     role = F.regexp_extract("formatted", r"(?s)^### ((?:[^\\\n]|\\.)*)\n", 1)
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", unescaped(role), unescaped(F.substring("formatted", F.length(role) + 6, F.length("formatted"))))
+    ordered = rows.repartition("conv_id").sortWithinPartitions(
+        "conv_id",
+        "turn",
+        unescaped(role),
+        unescaped(F.substring("formatted", F.length(role) + 6, F.length("formatted")))
+    )
     return ordered.mapInArrow(read, f"conv_id {kind}, {_READ}")

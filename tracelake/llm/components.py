@@ -18,7 +18,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
-            return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         before = state
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))

@@ -104,7 +104,19 @@ def best_segment(equal: np.ndarray, enough: int, similar: float) -> tuple[int, i
     return start, start + size, best
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 10, similar: float = 0.8, share: float = 0.5, broadcast_items: int = 20_000, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def overlaps(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    least: int = 10,
+    similar: float = 0.8,
+    share: float = 0.5,
+    broadcast_items: int = 20_000,
+    broadcast_bytes: int = 8 << 20
+) -> DataFrame:
     """doc_id, item_id, matched_tokens, overlap_tokens, item_tokens and doc_start of every verified overlap.
 
     An overlap counts if `similar` of its tokens are equal and at least `least` of them, or at least `share` of the
@@ -190,7 +202,14 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
                     if counts := _verified(tokens, hashed[i], shifts[numbers == i].tolist(), rule):
                         out.append((doc, ids[i], *counts))
             columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1]) if out else pa.array([], item_type), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "item_id", *_COUNTS])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(columns[0], batch.schema.field("doc_id").type),
+                    pa.array(columns[1]) if out else pa.array([], item_type),
+                    *(pa.array(c, pa.int64()) for c in columns[2:])
+                ],
+                names=["doc_id", "item_id", *_COUNTS]
+            )
 
     item_type = items.limit(0).toArrow().schema.field("item_id").type
     return texts.mapInArrow(search, f"doc_id {_kind(texts, 'doc_id')}, item_id {_kind(items, 'item_id')}, " + ", ".join(f"{c} long" for c in _COUNTS))
@@ -211,7 +230,10 @@ def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
                 tokens = token_hashes(text.as_py().encode())
                 for m in FAMILIES[families[needed(len(tokens), least, share)]]:
                     own = seeds(tokens, m).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), i)), pa.array(np.arange(len(own))), pa.array(np.full(len(own), int(m, 2)))], names=["seed", "_item", "place", "mask"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), pa.array(np.full(len(own), i)), pa.array(np.arange(len(own))), pa.array(np.full(len(own), int(m, 2)))],
+                        names=["seed", "_item", "place", "mask"]
+                    )
 
     right = checkpointed(items.select("_item", "item_text").mapInArrow(of_items, "seed long, _item long, place long, mask long"))
     used = [f"{r[0]:b}" for r in right.select("mask").distinct().collect()]
@@ -231,7 +253,10 @@ def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
                     own = seeds(tokens, m)
                     at = np.flatnonzero(bits[(own >> np.uint64(6)) % np.uint64(len(bits))] >> (own & np.uint64(63)) & np.uint64(1))
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(own[at].view(np.int64)), pa.array(at)], names=["_row", "seed", "at"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), row)), pa.array(own[at].view(np.int64)), pa.array(at)],
+                            names=["_row", "seed", "at"]
+                        )
 
     rows = checkpointed(texts.withColumn("_row", F.monotonically_increasing_id()))
     left = rows.select("_row", "text").mapInArrow(of_docs, "_row long, seed long, at long")
@@ -240,7 +265,14 @@ def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
 
     @F.arrow_udf(", ".join(f"{c} long" for c in _COUNTS))
     def verified(text: pa.Array, item: pa.Array, moved: pa.Array) -> pa.Array:
-        out = [_verified(token_hashes(a.as_py().encode()), token_hashes(b.as_py().encode()), sorted(c.as_py()), rule) or (None,) * 4 for a, b, c in zip(text, item, moved)]
+        out = [
+            _verified(
+                token_hashes(a.as_py().encode()),
+                token_hashes(b.as_py().encode()),
+                sorted(c.as_py()),
+                rule
+            ) or (None,) * 4 for a, b, c in zip(text, item, moved)
+        ]
         return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], list(_COUNTS))
 
     found = rows.join(shifts, "_row").join(items, "_item").select("doc_id", "item_id", verified("text", "item_text", "shifts").alias("v"))

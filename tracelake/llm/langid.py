@@ -169,7 +169,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         reader = Reader(Model(*shared.value))
         for texts in batches:
             found = [reader.read(x.as_py()) for x in texts]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+            yield pa.StructArray.from_arrays(
+                [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                ["lang", "score"]
+            )
 
     return identified(F.col(text_col))
 
@@ -183,7 +186,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred and score of each document, by a model of the labelled ones that aren't held out."""
     held = is_held_out(id_col)
     model = fit(docs.filter(~held), id_col, text_col, lang_col)
-    return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), predict(docs, model, text_col).alias("_p")).select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        held.alias("held_out"),
+        predict(docs, model, text_col).alias("_p")
+    ).select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:

@@ -100,7 +100,9 @@ class Machine:
         sign, word, follows = ("".join(re.escape(c) for c in sorted(x)) or MARK for x in (signs, words, after))
         self.unit = re.compile(f"(?s){MARK}*[{sign}]*[{word}]+(?:[{follows}][{sign}]*[{word}]*)*|{MARK}*[{sign}]+|{MARK}+|." if joined else "(?s).")
         self.units, self.most_units, self.pairs, self.most_pairs = {}, most_units, {}, most_pairs
-        self.written = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.controls else t.encode() for k, t in enumerate(self.texts)]
+        self.written = [
+            bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.controls else t.encode() for k, t in enumerate(self.texts)
+        ]
         self.arcs = ahocorasick.Automaton()  # at each position it gives the pieces that end there, the longest first
         for text, k in self.ids.items():
             self.arcs.add_word(text, (k, len(text)))
@@ -225,7 +227,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     columns.append(pa.array([machine.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
+    )
     names = ["doc_id", "ids", "n_pieces", "n_fallback", "n_bytes", *[back] * bool(back)]
     types = [docs.schema[id_col].dataType.simpleString(), "array<int>", "long", "long", "long", "string"]
     return rows.mapInArrow(encoded, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
@@ -247,4 +253,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, to
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, counts, a hash of the ids (XXH64 of the array), and of the text that they decode to (SHA-256)."""
     both = encode(docs, id_col, text_col, path, back="text")
-    return both.select("doc_id", "n_bytes", "n_pieces", "n_fallback", F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("decoded_sha256"))
+    return both.select(
+        "doc_id",
+        "n_bytes",
+        "n_pieces",
+        "n_fallback",
+        F.xxhash64("ids").alias("ids_xxh64"),
+        F.sha2("text", 256).alias("decoded_sha256")
+    )

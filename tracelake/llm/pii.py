@@ -84,7 +84,9 @@ _NAMES = {
 _INVISIBLE = "­​‌‍⁠﻿"
 _SIGNS = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "。": ".", "․": "."}
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
-_SUSPECT = re.compile(f"[{''.join(_LOOKALIKES)}{''.join(_SIGNS)}{_INVISIBLE}²³¹⁰⁴-₟℀-⅏①-⓿٠-٩۰-۹߀-߉०-९০-৯੦-੯૦-૯୦-୯௦-௯౦-౯೦-೯൦-൯๐-๙໐-໙༠-༩၀-၉０-￯ﬀ-ﬆ！-～\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]")
+_SUSPECT = re.compile(
+    f"[{''.join(_LOOKALIKES)}{''.join(_SIGNS)}{_INVISIBLE}²³¹⁰⁴-₟℀-⅏①-⓿٠-٩۰-۹߀-߉०-९০-৯੦-੯૦-૯୦-୯௦-௯౦-౯೦-೯൦-൯๐-๙໐-໙༠-༩၀-၉０-￯ﬀ-ﬆ！-～\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]"
+)
 
 
 def _plain(c: str) -> str:
@@ -190,7 +192,9 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     for m in _SPELLED.finditer(text):
         units = [(m.start() + x.start(), m.start() + x.end(), x[1], x[0][0]) for x in _UNIT.finditer(m[0])]
         if sum(bool(x[2]) for x in units) >= 2:
-            edits += [(a, b, _NAMES.get(name.lower(), "+") if name else "") for a, b, name, first in units if name or not (first.isdigit() or first == "+")]
+            edits += [
+                (a, b, _NAMES.get(name.lower(), "+") if name else "") for a, b, name, first in units if name or not (first.isdigit() or first == "+")
+            ]
     return edits
 
 
@@ -253,9 +257,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for x in texts:
             base, every = spans(x.as_py())
             kinds = [k for _, k, _ in base]
-            rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(every), len(every) - len(base), len(every)))
+            rows.append(
+                (
+                    *(kinds.count(k) for k in range(4)),
+                    hashlib.sha256(_shown(base).encode()).hexdigest(),
+                    _shown(every),
+                    len(every) - len(base),
+                    len(every)
+                )
+            )
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
+        return pa.StructArray.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
+            ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
+        )
 
     return docs.select(F.col(id_col).alias("doc_id"), searched(F.col(text_col)).alias("_f")).select("doc_id", "_f.*")
 

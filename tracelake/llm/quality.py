@@ -150,4 +150,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     prior, weights = estimate(voted, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     p = _posterior(prior, weights)
-    return voted.select(id_col, *METRICS, failed.alias("base_failed"), (~failed & (p >= least)).alias("kept"), F.round(p, 6).alias("p_good"), *(F.col(f"_v_{k}").alias(f"vote_{k}") for k in names))
+    return voted.select(
+        id_col,
+        *METRICS,
+        failed.alias("base_failed"),
+        (~failed & (p >= least)).alias("kept"),
+        F.round(p, 6).alias("p_good"),
+        *(F.col(f"_v_{k}").alias(f"vote_{k}") for k in names)
+    )

@@ -30,7 +30,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_simhash, op4_repeats, op5_sharding, op6_language, op7_tokens, op8_decontamination, op9_chat, op10_quality)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_pii,
+        op2_sentencepiece,
+        op3_simhash,
+        op4_repeats,
+        op5_sharding,
+        op6_language,
+        op7_tokens,
+        op8_decontamination,
+        op9_chat,
+        op10_quality
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_chat": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -150,7 +150,9 @@ def _open(e: dict[str, np.ndarray]) -> np.ndarray:
         return np.zeros(0, bool)
     first = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
     sizes = np.diff(first, append=len(e["h"]))
-    several = (np.minimum.reduceat(e["c"], first) != np.maximum.reduceat(e["c"], first)) & (np.minimum.reduceat(e["doc"], first) != np.maximum.reduceat(e["doc"], first))
+    several = (np.minimum.reduceat(e["c"], first) != np.maximum.reduceat(e["c"], first)) & (
+        np.minimum.reduceat(e["doc"], first) != np.maximum.reduceat(e["doc"], first)
+    )
     return np.repeat(several, sizes)
 
 
@@ -273,7 +275,13 @@ def sample(pieces: list[tuple], length: int) -> dict[str, np.ndarray]:
     piece = np.searchsorted(np.array(starts), p, side="right") - 1
     c = mix(mix(h[p - side]) * np.uint64(0x9E3779B97F4A7C15) + mix(h[p + side]))
     table = np.array([(d, r, offset - at) for at, (d, r, _, offset, _, _) in zip(starts, pieces)], np.int64).reshape(-1, 3)[piece]
-    return {"h": mix(h[p]) >> np.uint64(16), "c": c >> np.uint64(16), "doc": table[:, 0].copy(), "row": table[:, 1].copy(), "at": _with_run(p + table[:, 2], p - s, end - s, length)}
+    return {
+        "h": mix(h[p]) >> np.uint64(16),
+        "c": c >> np.uint64(16),
+        "doc": table[:, 0].copy(),
+        "row": table[:, 1].copy(),
+        "at": _with_run(p + table[:, 2], p - s, end - s, length)
+    }
 
 
 def _pieces(doc: int, row: int, data: bytes, length: int, size: int):
@@ -316,7 +324,15 @@ def _strings(rows: list[tuple[int, int, bytes]], wanted: dict[int, np.ndarray],
         near = np.unique(np.concatenate([s, s + length - q]))
         h = _hashes_at(np.frombuffer(data, np.uint8), near, q)
         first, second = h[np.searchsorted(near, s)], h[np.searchsorted(near, s + length - q)]
-        found.append({"h": first >> np.uint64(16), "c": second >> np.uint64(16), "doc": np.full(len(s), doc, np.int64), "row": np.full(len(s), r, np.int64), "at": s})
+        found.append(
+            {
+                "h": first >> np.uint64(16),
+                "c": second >> np.uint64(16),
+                "doc": np.full(len(s), doc, np.int64),
+                "row": np.full(len(s), r, np.int64),
+                "at": s
+            }
+        )
     return _joined(found) if found else None
 
 
@@ -357,7 +373,16 @@ def _settled(marks: dict[int, dict[int, np.ndarray]], row: int, size: int, lengt
     return settled
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 8 << 20, group_bytes: int = 6 << 20, most: int = 500_000, hot: int = 256) -> DataFrame:
+def repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 50,
+    bucket_bytes: int = 8 << 20,
+    group_bytes: int = 6 << 20,
+    most: int = 500_000,
+    hot: int = 256
+) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes, as structs start and end) and kept (the other bytes).
 
     bucket_bytes, group_bytes and most bound what a task holds at once; hot is how many groups may hold an identifier
@@ -395,7 +420,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         elsewhere[order] = np.repeat((times > 1) | np.logical_or.reduceat(several[order], first), times)
         is_hot[order] = np.repeat(times > hot, times)
         ends = np.cumsum([len(x) for x, _ in lists])
-        return _table([(b, g, _ANSWER, p, np.packbits(np.concatenate([elsewhere[z - len(x) : z], is_hot[z - len(x) : z]])).tobytes()) for (b, g, _, p, _), (x, _), z in zip(sent, lists, ends)])
+        return _table(
+            [
+                (
+                    b,
+                    g,
+                    _ANSWER,
+                    p,
+                    np.packbits(np.concatenate([elsewhere[z - len(x) : z], is_hot[z - len(x) : z]])).tobytes()
+                ) for (b, g, _, p, _), (x, _), z in zip(sent, lists, ends)
+            ]
+        )
 
     def entered(left: pa.Table, right: pa.Table) -> pa.Table:
         """Round 2, from groups."""
@@ -471,7 +506,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         sizes = [len(k) + sum(x["end"] - x["start"] for x in s) for k, s in zip(kept, spans)]
-        return pa.table([left["doc_id"], pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        return pa.table(
+            [left["doc_id"], pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "spans", "kept"]
+        )
 
     identifiers = by_group.applyInArrow(known, _ROWS).groupBy("bucket").applyInArrow(answered, _ROWS).groupBy("group")
     suffixes = by_group.cogroup(identifiers).applyInArrow(entered, _ROWS).groupBy("bucket").applyInArrow(compared, _ROWS).groupBy("group")
@@ -479,5 +517,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     id_type = docs.schema[id_col].dataType.simpleString()
     result = f"doc_id {id_type}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     short = rows.filter(F.octet_length("data") < length)
-    short = short.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.col("data").alias("kept"))
+    short = short.select(
+        "doc_id",
+        F.octet_length("data").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<start: long, end: long>>").alias("spans"),
+        F.col("data").alias("kept")
+    )
     return by_group.cogroup(strings).applyInArrow(cut, result).unionByName(short)

@@ -72,9 +72,14 @@ def _search(rows: DataFrame, nodes: list[Node], group_keys: set[str], bins: int)
                 here &= key.between(x.low, x.high)
             inside |= here
             width = -(-(x.high - x.low + 1) // bins) if x.low is not None else None
-            place = F.when(F.col("node") == x.first, F.floor((key - x.low) / width) if width and width > 1 else key - x.low if width else F.lit(0)).otherwise(place)
+            place = F.when(
+                F.col("node") == x.first,
+                F.floor((key - x.low) / width) if width and width > 1 else key - x.low if width else F.lit(0)
+            ).otherwise(place)
         found = rows.filter(inside).groupBy("node", place.cast("long").alias("bin"))
-        extent = [f(F.when(F.col("node") == x.first, F.col(x.keys[0]))).alias(f"{n}_{x.first}") for x in todo for n, f in (("low", F.min), ("high", F.max)) if x.low is None]
+        extent = [
+            f(F.when(F.col("node") == x.first, F.col(x.keys[0]))).alias(f"{n}_{x.first}") for x in todo for n, f in (("low", F.min), ("high", F.max)) if x.low is None
+        ]
         got = {x.first: [] for x in todo}
         for r in found.agg(F.sum("size").alias("size"), *extent).collect():
             got[r["node"]].append(r)
@@ -111,14 +116,25 @@ def _search(rows: DataFrame, nodes: list[Node], group_keys: set[str], bins: int)
         todo = still
 
 
-def build_tree(rows: DataFrame, dims: list[str], ties: list[str], shards: int, bins: int = 1024, group_slack: float = 0.05, slack: float = 0.002) -> Node:
+def build_tree(
+    rows: DataFrame,
+    dims: list[str],
+    ties: list[str],
+    shards: int,
+    bins: int = 1024,
+    group_slack: float = 0.05,
+    slack: float = 0.002
+) -> Node:
     """The tree over rows (dims, ties and size, all long). Nodes are cut along one of dims; ties decide between equals, of
     which all but the last (the id) belong to a text. slack: how far, in shares of a shard, a cut may be off."""
     root = Node(0, shards)
     whole = None
     while nodes := [x for x in _leaves(root) if x.n > 1]:
         at = rows.withColumn("node", _which(root))
-        spans = at.groupBy("node").agg(F.sum("size").alias("size"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("low", F.min), ("high", F.max))))
+        spans = at.groupBy("node").agg(
+            F.sum("size").alias("size"),
+            *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("low", F.min), ("high", F.max)))
+        )
         by_node = {r["node"]: r for r in spans.collect()}
         whole = whole or {d: max(1, by_node[0][f"high_{d}"] - by_node[0][f"low_{d}"]) for d in dims} if by_node else {}
         for x in nodes:
@@ -142,7 +158,15 @@ def _code(value: Column) -> Column:
     return F.shiftrightunsigned(F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 12)
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = 40, target_bytes: int | None = None, per_row: int = 16, metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shards: int | None = 40,
+    target_bytes: int | None = None,
+    per_row: int = 16,
+    metadata: tuple[str, ...] = ("lang", "source")
+) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row.
 
     size: bytes of the text plus per_row. shards of nearly equal bytes; if it is None, as many as target_bytes asks for.
@@ -171,4 +195,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     offsets = counts.select("part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy("_id", "text_crc32", "size"))
     placed = ranged.withColumn("rank", rank).join(offsets, ["part", "shard"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit(LAW).alias("law"),
+        "shard",
+        (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard")
+    )

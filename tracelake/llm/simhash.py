@@ -86,7 +86,10 @@ def links(values: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    rows = values.select("fp", F.posexplode(F.array(*map(F.lit, masks(radius)))).alias("t", "mask")).select("t", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+    rows = values.select(
+        "fp",
+        F.posexplode(F.array(*map(F.lit, masks(radius)))).alias("t", "mask")
+    ).select("t", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = checkpointed(rows.join(sizes, ["t", "key"]))
 
@@ -135,7 +138,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     found = _grouped(fps.select("fp", _row("doc_id").alias("row")), radius)
-    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("keeper.doc_id").alias("component_id"))
+    return fps.join(found, "fp").select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("keeper.doc_id").alias("component_id")
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

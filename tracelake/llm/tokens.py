@@ -74,7 +74,17 @@ class Counter:
         return [next(whole) if u is None else sum(map(self.known.__getitem__, u)) for u in units]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = 1 << 16, overlap: int = 1 << 10, limit: int = 1024, batch_chars: int = 1 << 19, most_bytes: int = 16 << 20) -> DataFrame:
+def count_tokens(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    chunk: int = 1 << 16,
+    overlap: int = 1 << 10,
+    limit: int = 1024,
+    batch_chars: int = 1 << 19,
+    most_bytes: int = 16 << 20
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text, without added special tokens.
 
     path: a tokenizer file on the driver, of most_bytes at most, which is sent to every task.
@@ -98,7 +108,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     counts += counter.count(waiting)
                     waiting, size = [], 0
             counts += counter.count(waiting)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64())], names=[*(c for c in batch.schema.names if c != "text"), "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64())],
+                names=[*(c for c in batch.schema.names if c != "text"), "n_tokens"]
+            )
 
     long = F.length("text") > chunk
     small = rows.filter(~long).withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -124,7 +137,13 @@ def _huge(huge: DataFrame, definition, kind: str, chunk: int, overlap: int, coun
         left = checkpointed(left.join(failed, "row", "left_semi"))
         overlap, chunk = overlap * 8, max(chunk, overlap * 16)
         whole = F.length("text") <= chunk
-        done.append(left.filter(whole).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text").mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long"))
+        done.append(
+            left.filter(whole).select(
+                "doc_id",
+                F.octet_length("text").cast("long").alias("n_bytes"),
+                "text"
+            ).mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
+        )
         left = left.filter(~whole)
         if left.isEmpty():
             return done
@@ -140,7 +159,10 @@ def _by_chunks(left: DataFrame, definition, chunk: int, overlap: int, spread: in
                 starts = range(0, max(1, len(text) - overlap), chunk)
                 for k, at in enumerate(starts):
                     part = text[at : at + chunk + overlap]
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()]), pa.array([k]), pa.array([at]), pa.array([at + len(part) >= len(text)]), pa.array([part])], names=["row", "k", "at", "last", "part"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row.as_py()]), pa.array([k]), pa.array([at]), pa.array([at + len(part) >= len(text)]), pa.array([part])],
+                        names=["row", "k", "at", "last", "part"]
+                    )
 
     def bounds(batches):
         """Tokens of a chunk, and the starts of units (with the tokens before them) in its two overlaps."""
@@ -160,7 +182,10 @@ def _by_chunks(left: DataFrame, definition, chunk: int, overlap: int, spread: in
                 )
 
     parts = left.select("row", "text").mapInArrow(cut, "row long, k long, at long, last boolean, part string").repartition(spread, "row", "k")
-    chunks = parts.mapInArrow(bounds, "row long, k long, last boolean, n long, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>")
+    chunks = parts.mapInArrow(
+        bounds,
+        "row long, k long, last boolean, n long, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>"
+    )
     chunks = checkpointed(chunks)
     before = chunks.select("row", (F.col("k") + 1).alias("k"), "tail_at", "tail_n")
     both = chunks.select("row", "k", "last", "n", "head_at", "head_n").join(before, ["row", "k"], "left")
@@ -170,4 +195,7 @@ def _by_chunks(left: DataFrame, definition, chunk: int, overlap: int, spread: in
     up_to = lambda at, n: F.get(F.col(n), (F.array_position(at, F.col("shared")) - 1).cast("int"))
     part = F.col("n") + F.when(F.col("k") > 0, up_to("tail_at", "tail_n") - up_to("head_at", "head_n")).otherwise(0)
     lost = F.when(~F.col("last"), F.col("n")).otherwise(0)  # an earlier chunk counts up to its splice, which the later one adds
-    return cut_at.groupBy("row").agg(F.sum(part - lost).alias("n_tokens"), F.max((F.col("k") > 0) & F.col("shared").isNull()).alias("failed")).select("row", F.when(~F.col("failed"), F.col("n_tokens")).alias("n_tokens"))
+    return cut_at.groupBy("row").agg(
+        F.sum(part - lost).alias("n_tokens"),
+        F.max((F.col("k") > 0) & F.col("shared").isNull()).alias("failed")
+    ).select("row", F.when(~F.col("failed"), F.col("n_tokens")).alias("n_tokens"))
