@@ -161,21 +161,25 @@ def merged_uses(*results: DataFrame) -> DataFrame:
 
 
 def table_users(uses: DataFrame, table_name: str | None = None, role: str | None = None) -> DataFrame:
-    """Index: the distinct workflows and tasks of each (project, table, role); one table or role if named."""
+    """Index: the distinct workflows and tasks, and classes where uses have any, of each (project, table, role); one table
+    or role if named."""
     rows = uses
     if table_name is not None:
         rows = rows.filter(F.col("table_name") == table_name)
     if role is not None:
         rows = rows.filter(F.col("role") == role)
-    return rows.groupBy("project", "table_name", "role").agg(
-        F.array_sort(F.collect_set("workflow")).alias("workflows"),
-        F.array_sort(F.collect_set("task")).alias("tasks")
-    )
+    kinds = {"workflow": "workflows", "task": "tasks", "class": "classes"}
+    members = [F.array_sort(F.collect_set(c)).alias(to) for c, to in kinds.items() if c in uses.columns]
+    return rows.groupBy("project", "table_name", "role").agg(*members)
 
 
-def cross_project_lineage(uses: DataFrame, table_name: str) -> DataFrame:
-    """Who makes and who reads a table, in all projects."""
-    return uses.filter(F.col("table_name") == table_name).select("role", "project", "workflow", "task").distinct()
+def cross_project_lineage(uses: DataFrame, table_name: str, classes: DataFrame | None = None) -> DataFrame:
+    """Who makes and who reads a table, in all projects; with class_uses(), also the classes that name it, as role `class`."""
+    found = uses.filter(F.col("table_name") == table_name).select("role", "project", "workflow", "task")
+    if classes is not None:
+        named = classes.filter(F.col("table_name") == table_name)
+        found = found.unionByName(named.select(F.lit("class").alias("role"), "project", F.col("class").alias("workflow"), "task"))
+    return found.distinct()
 
 
 def cross_project_downstream(uses: DataFrame) -> DataFrame:
@@ -194,11 +198,19 @@ def with_name(df: DataFrame, code_col: str, workflows: DataFrame, to: str) -> Da
 
 
 def workflow_nodes(workflows: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Tasks of each workflow, with maps of their types; workflows without tasks stay."""
-    by = tasks.groupBy("project", F.col("workflow").alias("code")).agg(F.array_sort(F.collect_list(F.struct("code", "task_type"))).alias("_t"))
+    """Tasks of each workflow, with maps of their types, and of their names and classes where tasks have any; workflows
+    without tasks stay."""
+    maps = {c: to for c, to in (("task_type", "task_types"), ("name", "task_names"), ("main_class", "task_classes")) if c in tasks.columns}
+    by = tasks.groupBy("project", F.col("workflow").alias("code")).agg(F.array_sort(F.collect_list(F.struct("code", *maps))).alias("_t"))
     out = workflows.select("project", "code").join(by, ["project", "code"], "left")
-    listed = F.coalesce("_t", F.array().cast("array<struct<code: string, task_type: string>>"))
-    return out.select("project", "code", F.transform(listed, lambda x: x.code).alias("tasks"), F.map_from_entries(listed).alias("task_types"))
+    kind = next(f.dataType.simpleString() for f in out.schema if f.name == "_t")
+    listed = F.coalesce("_t", F.array().cast(kind))
+    pairs = (F.map_from_arrays(_part(listed, "code"), _part(listed, c)).alias(to) for c, to in maps.items())
+    return out.select("project", "code", _part(listed, "code").alias("tasks"), *pairs)
+
+
+def _part(listed: Column, field: str) -> Column:
+    return F.transform(listed, lambda x: x[field])
 
 
 def project_summary(workflows: DataFrame, tasks: DataFrame, uses: DataFrame) -> DataFrame:
@@ -214,11 +226,16 @@ def project_summary(workflows: DataFrame, tasks: DataFrame, uses: DataFrame) ->
     )
 
 
-def role_counts(with_roles: DataFrame) -> DataFrame:
-    return with_roles.groupBy("project").agg(
+def role_counts(with_roles: DataFrame, **edges: DataFrame) -> DataFrame:
+    """Workflows by project and role; for each of edges, such as calls or missing dependencies (all with project), how many
+    there are as n_<name>."""
+    out = with_roles.groupBy("project").agg(
         *(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("main", "child", "independent", "test")),
-        F.count("*").alias("n_workflows")
+        F.count("*").alias("n_workflows"),
     )
+    for name, rows in edges.items():
+        out = out.join(rows.groupBy("project").agg(F.count("*").alias(f"n_{name}")), "project", "left")
+    return out.fillna(0, [f"n_{name}" for name in edges])
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

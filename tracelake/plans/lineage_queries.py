@@ -54,10 +54,15 @@ def workflow_roles(s, d):
     return lineage.roles(view(s, d, "workflow"), view(s, d, "calls"))
 
 
-@query("WITH " + _ROLES + """SELECT project, count(*) FILTER (role = 'main') AS n_main, count(*) FILTER (role = 'child') AS n_child, count(*) FILTER (role = 'independent') AS n_independent,
-count(*) FILTER (role = 'test') AS n_test, count(*) AS n_workflows FROM roles GROUP BY project""")
+@query("WITH " + _PAIRS.strip() + ", " + _ROLES.strip() + """, r AS (SELECT project, count(*) FILTER (role = 'main') AS n_main, count(*) FILTER (role = 'child') AS n_child, count(*) FILTER (role = 'independent') AS n_independent,
+count(*) FILTER (role = 'test') AS n_test, count(*) AS n_workflows FROM roles GROUP BY project)
+SELECT r.*, coalesce(c.n, 0) AS n_calls, coalesce(e.n, 0) AS n_dependents, coalesce(p.n, 0) AS n_lineage, coalesce(m.n, 0) AS n_missing FROM r LEFT JOIN (SELECT project, count(*) AS n FROM calls GROUP BY project) c USING (project)
+LEFT JOIN (SELECT project, count(*) AS n FROM declared GROUP BY project) e USING (project) LEFT JOIN (SELECT project, count(*) AS n FROM pairs GROUP BY project) p USING (project)
+LEFT JOIN (SELECT p.project, count(*) AS n FROM pairs p ANTI JOIN declared d ON p.project = d.project AND p.upstream = d.source AND p.downstream = d.target GROUP BY p.project) m USING (project)""")
 def role_counts(s, d):
-    return lineage.role_counts(lineage.roles(view(s, d, "workflow"), view(s, d, "calls")))
+    found, calls = _implicit(s, d), view(s, d, "calls")
+    edges = {"calls": calls, "dependents": view(s, d, "declared"), "lineage": found, "missing": lineage.missing_dependencies(found)}
+    return lineage.role_counts(lineage.roles(view(s, d, "workflow"), calls), **edges)
 
 
 @query("WITH " + _ROLES + """, kept AS (SELECT u.project, u.workflow, u.table_name, u.role FROM table_use u JOIN roles r ON u.project = r.project AND u.workflow = r.code
@@ -128,17 +133,17 @@ def table_producers(s, d):
     return lineage.table_users(view(s, d, "table_use"), "ods.t10", "produce").select("project", "table_name", "role", *joined("workflows", "tasks"))
 
 
-@query("SELECT DISTINCT role, project, workflow, task FROM table_use WHERE table_name = 'ads.t11'")
+@query("""SELECT DISTINCT role, project, workflow, task FROM table_use WHERE table_name = 'ads.t11' UNION SELECT 'class', CAST(o_custkey % 5 AS VARCHAR), 'com.x.Job' || o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey = 11""")
 def cross_project_table(s, d):
-    return lineage.cross_project_lineage(view(s, d, "table_use"), "ads.t11")
+    found, sources, tasks = _class_files(s, d)
+    return lineage.cross_project_lineage(view(s, d, "table_use"), "ads.t11", lineage.class_uses(found.join(tasks, "class"), sources))
 
 
-@query("""WITH ends AS (SELECT DISTINCT project, workflow, table_name, role FROM table_use WHERE starts_with(table_name, 'ads.'))
+@query("""WITH ends AS (SELECT DISTINCT project, workflow, table_name, role FROM fine_use)
 SELECT a.project, a.workflow, b.project AS to_project, b.workflow AS to_workflow, string_agg(table_name, ',' ORDER BY table_name) AS via_tables
 FROM ends a JOIN ends b USING (table_name) WHERE a.role = 'produce' AND b.role = 'consume' AND a.project <> b.project GROUP BY ALL""")
 def cross_project_downstream(s, d):
-    uses = view(s, d, "table_use").filter(F.col("table_name").startswith("ads."))
-    return lineage.cross_project_downstream(uses).select("project", "workflow", "to_project", "to_workflow", *joined("via_tables"))
+    return lineage.cross_project_downstream(view(s, d, "fine_use")).select("project", "workflow", "to_project", "to_workflow", *joined("via_tables"))
 
 
 @query(
@@ -153,16 +158,12 @@ def task_names(s, d):
     ).select("project", "code", "workflow", "task_type", "workflow_name")
 
 
-@query("""SELECT w.project, w.code, coalesce(string_agg(t.code, ',' ORDER BY t.code), '') AS tasks, coalesce(string_agg(concat(t.code, '=', t.task_type), ',' ORDER BY t.code), '') AS task_types
+@query("""SELECT w.project, w.code, coalesce(string_agg(t.code, ',' ORDER BY t.code), '') AS tasks, coalesce(string_agg(concat(t.code, '=', t.task_type), ',' ORDER BY t.code), '') AS task_types, coalesce(string_agg(concat(t.code, '=n', t.code), ',' ORDER BY t.code), '') AS task_names
 FROM workflow w LEFT JOIN task t ON t.project = w.project AND t.workflow = w.code GROUP BY ALL""")
 def workflow_nodes(s, d):
-    out = lineage.workflow_nodes(view(s, d, "workflow"), view(s, d, "task"))
-    return out.select(
-        "project",
-        "code",
-        *joined("tasks"),
-        F.array_join(F.transform("tasks", lambda t: F.concat(t, F.lit("="), F.element_at("task_types", t))), ",").alias("task_types")
-    )
+    out = lineage.workflow_nodes(view(s, d, "workflow"), view(s, d, "task").withColumn("name", F.concat(F.lit("n"), F.col("code"))))
+    shown = lambda c: F.array_join(F.transform("tasks", lambda t: F.concat(t, F.lit("="), F.element_at(c, t))), ",").alias(c)
+    return out.select("project", "code", *joined("tasks"), shown("task_types"), shown("task_names"))
 
 
 @query("""SELECT project, count(*) FILTER (kind = 'w') AS n_workflows, count(*) FILTER (kind = 't') AS n_tasks, count(DISTINCT CASE WHEN kind = 'b' THEN code END) AS n_tables FROM

@@ -419,11 +419,12 @@ def confirmed_knowledge(s, d):
     return review.confirm(k, fb).select("doc_id", "status", "correction")
 
 
-@query(
-    """SELECT p.*, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT project, string_agg(code, ',' ORDER BY code) AS nodes, count(*) AS n_nodes FROM workflow GROUP BY project) p LEFT JOIN (SELECT project, count(*) AS n_edges FROM calls GROUP BY project) USING (project)""".replace("p.*, n_nodes", "p.project, p.nodes, p.n_nodes")
-)
+@query("""SELECT p.project, p.nodes, p.n_nodes, coalesce(e.n_edges, 0) AS n_edges, coalesce(e.edges, '') AS edges, coalesce(t.n_tasks, 0) AS n_tasks FROM (SELECT project, string_agg(code, ',' ORDER BY code) AS nodes, count(*) AS n_nodes FROM workflow GROUP BY project) p
+LEFT JOIN (SELECT project, count(*) AS n_edges, string_agg(source || '>' || target, ',' ORDER BY source, target) AS edges FROM calls GROUP BY project) e USING (project) LEFT JOIN (SELECT project, count(*) AS n_tasks FROM task GROUP BY project) t USING (project)""")
 def graph_export(s, d):
-    return files.graph_export(view(s, d, "workflow"), view(s, d, "calls")).select("project", J("nodes"), "n_nodes", "n_edges")
+    out = files.graph_export(view(s, d, "workflow"), view(s, d, "calls"), view(s, d, "task"))
+    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e.source, e.target)), ",")
+    return out.select("project", J("nodes"), "n_nodes", "n_edges", F.coalesce(edges, F.lit("")).alias("edges"), "n_tasks")
 
 
 @query("SELECT DISTINCT project FROM workflow")
