@@ -60,7 +60,7 @@ def _fields(data: bytes):
 class Machine:
     """The compiled transducer of a model file, with bounded memories of what it has already worked out."""
 
-    def __init__(self, model: bytes, most_units: int = 100_000, most_pairs: int = 100_000):
+    def __init__(self, model: bytes, most_units: int = 250_000, most_pairs: int = 500_000):
         self.ids: dict[str, int] = {}
         self.scores: list[float] = []
         self.texts: list[str] = []
@@ -202,17 +202,18 @@ def _shared(docs: DataFrame, path: str | None, most_bytes: int = 16 << 20):
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: str | None = None, memories: tuple[int, int] = (250_000, 500_000)) -> DataFrame:
     """doc_id, ids (array of int), n_pieces, n_fallback (pieces that are bytes) and n_bytes of every whole text.
 
     path: a model file on the driver; its bytes are sent to all tasks, each of which compiles them once.
     back: the name of a further column, the text that the ids decode to, for who needs both directions: the task then
     has one machine for the two.
+    memories: how many units and pairs of pieces a task remembers, some 100 bytes each; fewer take more time.
     """
     model = _shared(docs, path)
 
     def encoded(batches):
-        machine = Machine(model.value)
+        machine = Machine(model.value, *memories)
         from_bytes = np.zeros(machine.n_pieces, bool)
         from_bytes[sorted(machine.byte_of)] = True
         for batch in batches:
