@@ -49,8 +49,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, counts, and the hash of the text that the ids decode to. Null and empty texts have no ids."""
-    encoded = pieces.encode(docs, back="_back")
+    """doc_id, ids, counts, and the hash of the text that the ids decode to. Null and empty texts have no ids.
+
+    Tasks remember less than they do where they have the executors to themselves.
+    """
+    encoded = pieces.encode(docs, back="_back", memories=(100_000, 100_000))
     return encoded.select("doc_id", "ids", "n_pieces", "n_fallback", F.sha2("_back", 256).alias("decoded_sha256"))
 
 
