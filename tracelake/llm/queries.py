@@ -7,6 +7,7 @@ from . import pieces
 from .chat import format_turns, read_back, text_parts
 from .common import table
 from .decontaminate import overlaps
+from .divergence import divergence
 from .langid import identify
 from .pii import find
 from .quality import judge
@@ -69,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pii,
@@ -80,7 +85,8 @@ QUERIES = {
         op7_tokens,
         op8_decontamination,
         op9_chat,
-        op10_quality
+        op10_quality,
+        op12_divergence,
     )
 }
 
