@@ -13,15 +13,13 @@ item's bytes; rows with the same id are documents of their own; an empty table g
 aren't named are ignored.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .pointers import column_bytes, cut_out, equal_runs, row_blocks, runs
+from .pointers import column_bytes, cut_out, cuts, equal_runs, row_blocks, runs
 
 #: What a probability of 1 is.
 ONE = 1_000_000_000
@@ -55,19 +53,6 @@ def _counted_rows(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> t
     return cut_out(data, starts[at], ends[at]), groups[first], n, docs
 
 
-def _pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """data in parts of about size bytes that end between words."""
-    at = 0
-    while len(data) - at > size:
-        end = at + size
-        while end < len(data) and _IN_WORD[data[end - 1]]:
-            gaps = np.flatnonzero(~_IN_WORD[data[end : end + size]])
-            end = end + int(gaps[0]) + 1 if len(gaps) else min(len(data), end + size)
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
 def word_counts(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), block_bytes: int = 12 << 20) -> DataFrame:
     """by columns (strings, null as ''), term, n, docs: the words of every whole text, a row for each block at most.
 
@@ -85,8 +70,8 @@ def word_counts(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = (
                     terms, groups, n, in_docs = _counted_rows(part, offsets[at : end + 1] - offsets[at], group)
                 else:
                     sums: dict[str, int] = {}
-                    for piece in _pieces(part, block_bytes):
-                        terms, _, n, _ = _counted_rows(piece, np.array([0, len(piece)]), group)
+                    for a, b in cuts(_IN_WORD[part], block_bytes):
+                        terms, _, n, _ = _counted_rows(part[a:b], np.array([0, b - a]), group)
                         for term, k in zip(terms.to_pylist(), n.tolist()):
                             sums[term] = sums.get(term, 0) + k
                     terms, n = pa.array(list(sums), pa.string()), np.array(list(sums.values()), np.int64)

@@ -47,6 +47,19 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), each)
 
 
+def cuts(mask: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about size bytes of one row that end between runs of true bytes."""
+    at = 0
+    while len(mask) - at > size:
+        end = at + size
+        while end < len(mask) and mask[end - 1]:
+            gaps = np.flatnonzero(~mask[end : end + size])
+            end = end + int(gaps[0]) + 1 if len(gaps) else min(len(mask), end + size)
+        yield at, end
+        at = end
+    yield at, len(mask)
+
+
 def equal_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): the pointers in an order in which equal words are neighbours, those of a run by their places, and
     where a run begins. Words have no zero byte."""

@@ -14,6 +14,7 @@ from .quality import judge
 from .repeats import repeats
 from .sharding import shard
 from .simhash import near_duplicates
+from .spelling import variants
 from .tokens import count_tokens
 
 
@@ -74,6 +75,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pii,
@@ -87,6 +92,7 @@ QUERIES = {
         op9_chat,
         op10_quality,
         op12_divergence,
+        op13_spelling,
     )
 }
 
