@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import overlaps
 from .divergence import divergence
 from .langid import identify
+from .packing import pack
 from .pii import find
 from .quality import judge
 from .repeats import repeats
@@ -71,6 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES = {
         op8_decontamination,
         op9_chat,
         op10_quality,
+        op11_packing,
         op12_divergence,
         op13_spelling,
     )
