@@ -20,6 +20,7 @@ empty table gives no rows; columns of the input that aren't named are ignored.
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -85,8 +86,8 @@ class Encoder:
             and about["model"]["type"] == "BPE"
             and not about["model"].get("dropout")
         )
-        special = [re.escape(t["content"]) for t in about.get("added_tokens", [])]
-        self.unit, self.odd = re.compile(_UNIT), re.compile("|".join([_UNCOMMON, *special]))
+        self.special = [t["content"] for t in about.get("added_tokens", [])]
+        self.unit, self.uncommon = re.compile(_UNIT), re.compile(_UNCOMMON)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -94,14 +95,14 @@ class Encoder:
     def _unit_ids(self, unit: str) -> bytes:
         """Of a unit that is normalised already: its bytes as the characters that stand for them, and merges of these."""
         letters = unit if unit.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, unit.encode()))
-        return np.array([x.id for x in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        return struct.pack(f"<{len(ids := [x.id for x in self.tokenizer.model.tokenize(letters)])}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts, missing = [], set()
         for text in texts:
             mine = []
             for part in blocks(text):
-                if not self.by_units or self.odd.search(part):
+                if not self.by_units or self.uncommon.search(part) or any(x in part for x in self.special):
                     mine.append(([], [self._library(part)]))
                     continue
                 units = self.unit.findall(part.lower())
@@ -239,7 +240,7 @@ def pack(
     path: str | None = None,
     end: int = 2,
     capacity: int = 4096,
-    windows: int = 256,
+    windows: int = 128,
     least: int = 16,
     batch_chars: int = 1 << 20,
     most_bytes: int = 16 << 20,
