@@ -226,7 +226,7 @@ def test_graph_with_cycle_and_depths(spark):
     edges = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a"), ("p", "c", "d"), ("p", "d", "d"), ("q", "a", "z")], "project string, source string, target string")
     deep = {(r["source"], r["target"]): r["depth"] for r in graph.closure(edges).filter("project = 'p'").collect()}
     assert deep[("a", "d")] == 3 and ("a", "a") not in deep
-    assert deep == {(r["source"], r["target"]): r["depth"] for r in graph.closure(edges, linear_rounds=1).filter("project = 'p'").collect()}
+    assert deep == {(r["source"], r["target"]): r["depth"] for r in graph.closure(edges, max_depth=50).filter("project = 'p'").collect()}
     assert sorted(tuple(r["cycle"]) for r in graph.cycles(edges, 10).collect()) == [("a", "b", "c"), ("d",)]
 
 

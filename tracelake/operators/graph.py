@@ -26,20 +26,21 @@ def clean(edges: DataFrame) -> DataFrame:
     return edges.select("project", "source", "target").filter("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None, linear_rounds: int = 12) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(project, source, target, depth): everything that can be reached from each source, at its least depth.
 
-    The start isn't its own target, even on a cycle. seeds (project, source) restricts the starts; without it the result
-    holds all pairs, which is large by nature; chains over linear_rounds steps are then followed by doubling.
+    The start isn't its own target, even on a cycle. seeds (project, source) restricts the starts, whose frontiers then move
+    on by an edge a round; without it the result holds all pairs, which is large by nature, and each round doubles the depth:
+    what is farther than d, up to 2d, is reached over a node at just d.
     """
     steps = checkpointed(clean(edges).filter("source != target"))
-    first = steps if seeds is None else steps.join(seeds.select("project", "source").distinct(), ["project", "source"], "left_semi")
+    if seeds is None:
+        return _all_pairs(checkpointed(steps.withColumn("depth", F.lit(1))), 1, max_depth)
+    first = steps.join(seeds.select("project", "source").distinct(), ["project", "source"], "left_semi")
     frontier = checkpointed(first.withColumn("depth", F.lit(1)))
     rounds, hop = [frontier], steps.select("project", F.col("source").alias("target"), F.col("target").alias("next"))
     depth = 1
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        if seeds is None and depth == linear_rounds:
-            return _doubled(reduce(DataFrame.unionByName, rounds), max_depth)
         depth += 1
         reached = frontier.join(hop, ["project", "target"]).filter("next != source").select("project", "source", F.col("next").alias("target")).distinct()
         known = reduce(DataFrame.unionByName, rounds).select("project", "source", "target")
@@ -48,22 +49,149 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     return reduce(DataFrame.unionByName, rounds)
 
 
-def _doubled(found: DataFrame, max_depth: int | None) -> DataFrame:
-    """The closure from all pairs up to some depth: each round joins the pairs with themselves and so doubles it."""
-    before = -1
-    while (n := found.count()) != before:
-        before = n
-        tail = found.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
-        longer = found.join(tail, ["project", "target"]).filter("next != source").select(
-            "project",
-            "source",
-            F.col("next").alias("target"),
-            (F.col("depth") + F.col("more")).alias("depth")
-        )
+def _all_pairs(found: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
+    """The closure from the pairs up to depth."""
+    rounds, last = [found], found
+    while max_depth is None or depth < max_depth:
+        known = reduce(DataFrame.unionByName, rounds)
+        far = last.filter(F.col("depth") == depth)
+        hop = known.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
+        longer = far.join(hop, ["project", "target"]).filter("next != source").select("project", "source", F.col("next").alias("target"), (F.col("depth") + F.col("more")).alias("depth"))
         if max_depth is not None:
             longer = longer.filter(F.col("depth") <= max_depth)
-        found = checkpointed(found.unionByName(longer).groupBy("project", "source", "target").agg(F.min("depth").alias("depth")))
-    return found
+        longer = longer.groupBy("project", "source", "target").agg(F.min("depth").alias("depth"))
+        last = checkpointed(longer.join(known.select("project", "source", "target"), ["project", "source", "target"], "left_anti"))
+        depth *= 2
+        if last.isEmpty():
+            break
+        rounds.append(last)
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(project, code, component) of every node that has an edge: the smallest node of its strongly connected component.
+
+    Nodes that nothing leads to, or that lead nowhere, are components of their own and are peeled off first, layer by layer.
+    In what is left every node takes the greatest node that reaches it as its colour; the nodes that reach the one that gave
+    the colour are its component. Edges between colours go, and the rest is done again.
+    """
+    all_edges = checkpointed(clean(edges))
+    left, done = _peeled(all_edges.filter("source != target")), []
+    while not left.isEmpty():
+        nodes = left.select("project", F.explode(F.array("source", "target")).alias("code")).distinct()
+        colours = checkpointed(nodes.select("project", "code", F.col("code").alias("colour"), F.lit(True).alias("moved")))
+        while not colours.filter("moved").isEmpty():
+            sent = colours.filter("moved").select("project", F.col("code").alias("source"), "colour").join(left, ["project", "source"])
+            sent = sent.groupBy("project", F.col("target").alias("code")).agg(F.max("colour").alias("new"))
+            better = F.coalesce(F.col("new") > F.col("colour"), F.lit(False))
+            colours = colours.join(sent, ["project", "code"], "left").select("project", "code", F.when(better, F.col("new")).otherwise(F.col("colour")).alias("colour"), better.alias("moved"))
+            colours = checkpointed(colours)
+        colours = colours.drop("moved")
+        inside = left
+        for end in ("source", "target"):
+            inside = inside.join(colours.select("project", F.col("code").alias(end), F.col("colour").alias(f"_{end}")), ["project", end])
+        inside = checkpointed(inside.filter("_source = _target").select("project", "source", "target", F.col("_source").alias("colour")))
+        back = checkpointed(colours.filter("code = colour"))
+        found = [back]
+        while not back.isEmpty():
+            before = inside.join(back.select("project", F.col("code").alias("target"), "colour"), ["project", "target", "colour"])
+            before = before.select("project", F.col("source").alias("code"), "colour").distinct()
+            back = checkpointed(before.join(reduce(DataFrame.unionByName, found), ["project", "code"], "left_anti"))
+            found.append(back)
+        members = reduce(DataFrame.unionByName, found)
+        done.append(members)
+        for end in ("source", "target"):
+            inside = inside.join(members.select("project", F.col("code").alias(end)), ["project", end], "left_anti")
+        left = _peeled(inside.drop("colour"))
+    nodes = all_edges.select("project", F.explode(F.array("source", "target")).alias("code")).distinct()
+    if not done:
+        return nodes.withColumn("component", F.col("code"))
+    members = checkpointed(reduce(DataFrame.unionByName, done))
+    named = members.groupBy("project", "colour").agg(F.min("code").alias("component"))
+    members = members.join(named, ["project", "colour"]).select("project", "code", "component")
+    return nodes.join(members, ["project", "code"], "left").withColumn("component", F.coalesce("component", "code"))
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """edges without those that can't be on a cycle because nothing leads to them, or they lead nowhere."""
+    left, before = checkpointed(edges), -1
+    while (n := left.count()) not in (before, 0):  # a layer from both ends in each round
+        before = n
+        ins, outs = left.select("project", F.col("target").alias("source")), left.select("project", F.col("source").alias("target"))
+        left = checkpointed(left.join(ins.distinct(), ["project", "source"], "left_semi").join(outs.distinct(), ["project", "target"], "left_semi"))
+    return left
+
+
+def condensed_closure(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): strong_components(edges), and the pairs (project, source, target) of components of which one
+    reaches the other. A component stands for all its nodes, so that a large cycle isn't expanded into all its pairs."""
+    members = checkpointed(strong_components(edges))
+    ends = clean(edges)
+    for end in ("source", "target"):
+        named = members.select("project", F.col("code").alias(end), F.col("component").alias(f"_{end}"))
+        ends = ends.join(named, ["project", end])
+    between = ends.select("project", F.col("_source").alias("source"), F.col("_target").alias("target")).filter("source != target")
+    return members, closure(between).select("project", "source", "target")
+
+
+def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(project, source, target): the closure that members and pairs of condensed_closure() stand for."""
+    size = members.groupBy("project", "component").count().filter("count > 1").select("project", F.col("component").alias("source"), F.col("component").alias("target"))
+    one = members.select("project", F.col("component").alias("source"), F.col("code").alias("_source"))
+    other = members.select("project", F.col("component").alias("target"), F.col("code").alias("_target"))
+    out = pairs.unionByName(size).join(one, ["project", "source"]).join(other, ["project", "target"])
+    return out.filter("_source != _target").select("project", F.col("_source").alias("source"), F.col("_target").alias("target"))
+
+
+def edited_closure(found: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources): what replaces a stored closure when a few edges change.
+
+    found is the closure of edges (project, source, target, depth), removed and added are edges that go and come. sources
+    (project, source) are those whose rows are to be replaced by rows; all others keep theirs. A removed edge counts for
+    the sources on one of whose shortest paths it lies; what they reach is derived again from the edges that stay. An added
+    edge leads from all that reach its start to all that its end reaches, over other added edges too.
+    """
+    key = ["project", "source", "target"]
+    new, old = (checkpointed(clean(x).filter("source != target")) for x in (added, removed))
+    now = clean(edges).join(old, key, "left_anti")
+    # Sources with a shortest path over a removed edge: it ends one deeper than it starts.
+    start = found.select("project", F.col("source").alias("s"), F.col("target").alias("source"), F.col("depth").alias("_a"))
+    own = old.select("project", F.col("source").alias("s"), "source", F.lit(0).alias("_a")).distinct()
+    end = found.select("project", F.col("source").alias("s"), "target", F.col("depth").alias("_b"))
+    reach = start.unionByName(own).join(old, ["project", "source"])
+    hit = checkpointed(reach.join(end, ["project", "s", "target"]).filter("_b = _a + 1").select("project", F.col("s").alias("source")).distinct())
+    again = closure(now, hit) if not hit.isEmpty() else found.limit(0)
+    kept = found.join(hit, ["project", "source"], "left_anti").unionByName(again)
+    if new.isEmpty():
+        return again, hit
+    kept = checkpointed(kept)
+    # Distances between the ends of added edges: over the edges, and from an end to a start by what is known.
+    ends = new.select("project", F.col("target").alias("source")).distinct()
+    starts = new.select("project", F.col("source").alias("target")).distinct()
+    known = kept.join(ends, ["project", "source"], "left_semi").join(starts, ["project", "target"], "left_semi")
+    same = ends.join(starts, (ends.project == starts.project) & (ends.source == starts.target)).select(ends.project, "source", "target", F.lit(0).alias("depth"))
+    hub = checkpointed(new.withColumn("depth", F.lit(1)))
+    between = checkpointed(known.unionByName(same).select("project", F.col("source").alias("target"), F.col("target").alias("_start"), F.col("depth").alias("_gap")))
+    step = hub.select("project", F.col("source").alias("_start"), F.col("target").alias("_end"), F.col("depth").alias("_edge"))
+    while True:
+        longer = hub.join(between, ["project", "target"]).join(step, ["project", "_start"])
+        longer = longer.select("project", "source", F.col("_end").alias("target"), (F.col("depth") + F.col("_gap") + F.col("_edge")).alias("depth"))
+        better = checkpointed(hub.unionByName(longer).groupBy(*key).agg(F.min("depth").alias("depth")))
+        if better.join(hub, [*key, "depth"], "left_anti").isEmpty():
+            break
+        hub = better
+    into = kept.select("project", "source", F.col("target").alias("_from"), F.col("depth").alias("_a")).join(hub.select("project", F.col("source").alias("_from")).distinct(), ["project", "_from"], "left_semi")
+    into = into.unionByName(hub.select("project", "source", F.col("source").alias("_from"), F.lit(0).alias("_a")).distinct())
+    out = kept.select("project", F.col("source").alias("_to"), "target", F.col("depth").alias("_b")).join(hub.select("project", F.col("target").alias("_to")).distinct(), ["project", "_to"], "left_semi")
+    out = out.unionByName(hub.select("project", F.col("target").alias("_to"), "target", F.lit(0).alias("_b")).distinct())
+    middle = hub.select("project", F.col("source").alias("_from"), F.col("target").alias("_to"), "depth")
+    through = into.join(middle, ["project", "_from"]).join(out, ["project", "_to"]).filter("source != target")
+    through = through.groupBy(*key).agg(F.min(F.col("_a") + F.col("depth") + F.col("_b")).alias("_new"))
+    shorter = through.join(kept, key, "left").filter("depth IS NULL OR _new < depth").select(*key, F.col("_new").cast("int").alias("depth"))
+    shorter = checkpointed(shorter)
+    sources = checkpointed(hit.unionByName(shorter.select("project", "source")).distinct())
+    rows = kept.join(sources, ["project", "source"], "left_semi").join(shorter, key, "left_anti").unionByName(shorter)
+    return rows, sources
 
 
 def reached_index(all_pairs: DataFrame) -> DataFrame:
@@ -127,16 +255,33 @@ def paths(edges: DataFrame, seeds: DataFrame, max_depth: int, simple: bool = Tru
 
 
 def all_paths(edges: DataFrame, project: str, source: str, target: str, max_depth: int) -> DataFrame:
-    """Simple paths of at most max_depth edges; their number is exponential in it, so the caller gives it."""
-    seed = edges.sparkSession.createDataFrame([(project, source)], "project string, source string")
-    return paths(edges, seed, max_depth).filter(F.element_at("path", -1) == target)
+    """Simple paths of at most max_depth edges; their number is exponential in it, so the caller gives it.
+
+    How far each node is from the target is found first; a path is followed only as far as it can still end there in time.
+    """
+    ours = clean(edges).filter((F.col("project") == project) & (F.col("source") != target))
+    spark = edges.sparkSession
+    end = spark.createDataFrame([(project, target)], "project string, source string")
+    away = closure(reversed_edges(ours), end, max_depth).select("project", F.col("target").alias("next"), F.col("depth").alias("_left"))
+    away = away.unionByName(end.select("project", F.col("source").alias("next"), F.lit(0).alias("_left")))
+    hop = checkpointed(ours.select("project", F.col("source").alias("last"), F.col("target").alias("next")).join(away, ["project", "next"]))
+    at = spark.createDataFrame([(project, [source])], "project string, path array<string>")
+    out = at.limit(0)
+    for depth in range(1, max_depth + 1):
+        step = at.withColumn("last", F.element_at("path", -1)).join(hop, ["project", "last"])
+        step = step.filter((F.col("_left") <= max_depth - depth) & ~F.array_contains("path", F.col("next")))
+        at = checkpointed(step.select("project", F.array_append("path", F.col("next")).alias("path")))
+        if at.isEmpty():
+            break
+        out = out.unionByName(at.filter(F.element_at("path", -1) == target))
+    return out
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(project, source, target, path): a shortest path to everything that a seed reaches; of equals the smallest."""
     hop = checkpointed(clean(edges).select("project", F.col("source").alias("target"), F.col("target").alias("next")))
-    found = frontier = checkpointed(seeds.select("project", "source", F.col("source").alias("target"), F.array("source").alias("path")))
-    depth = 0
+    frontier = checkpointed(seeds.select("project", "source", F.col("source").alias("target"), F.array("source").alias("path")))
+    rounds, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(hop, ["project", "target"]).select(
@@ -146,27 +291,39 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
             F.array_append("path", F.col("next")).alias("path")
         )
         step = step.groupBy("project", "source", "target").agg(F.min("path").alias("path"))
-        frontier = checkpointed(step.join(found, ["project", "source", "target"], "left_anti"))
+        known = reduce(DataFrame.unionByName, rounds).select("project", "source", "target")
+        frontier = checkpointed(step.join(known, ["project", "source", "target"], "left_anti"))
         if frontier.isEmpty():
             break
-        found = checkpointed(found.unionByName(frontier))
-    return found.filter("source != target")
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds).filter("source != target")
 
 
 def cycles(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(project, cycle): each simple cycle of at most max_depth edges once, from its smallest node; loops included."""
-    hop = checkpointed(clean(edges).select("project", F.col("source").alias("last"), F.col("target").alias("next")))
-    loops = hop.filter("last = next").select("project", F.array("last").alias("cycle"))
+    """(project, cycle): each simple cycle of at most max_depth edges once, from its smallest node; loops included.
+
+    Only edges within strongly connected components are followed, and a path only as far as it can come back in time.
+    """
+    steps = checkpointed(clean(edges))
+    loops = steps.filter("source = target").select("project", F.array("source").alias("cycle"))
+    members = checkpointed(strong_components(steps))
+    inside = steps.filter("source != target")
+    for end in ("source", "target"):
+        inside = inside.join(members.select("project", F.col("code").alias(end), F.col("component").alias(f"_{end}")), ["project", end])
+    inside = checkpointed(inside.filter("_source = _target").select("project", "source", "target"))
+    if inside.isEmpty():
+        return loops
+    # How far it is back to a path's first node.
+    back = checkpointed(closure(inside, max_depth=max_depth).select("project", F.col("source").alias("next"), F.col("target").alias("first"), F.col("depth").alias("_left")))
+    hop = inside.select("project", F.col("source").alias("last"), F.col("target").alias("next"))
     at = hop.filter("next > last").select("project", F.array("last", "next").alias("path"))
     out = loops
-    for _ in range(max_depth - 1):
-        step = at.withColumn("last", F.element_at("path", -1)).join(hop, ["project", "last"])
-        out = out.unionByName(step.filter(F.col("next") == F.col("path")[0]).select("project", F.col("path").alias("cycle")))
-        at = checkpointed(
-            step.filter(
-                (F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))
-            ).select("project", F.array_append("path", F.col("next")).alias("path"))
-        )
+    for depth in range(2, max_depth + 1):
+        step = at.select("project", "path", F.element_at("path", -1).alias("last"), F.col("path")[0].alias("first")).join(hop, ["project", "last"])
+        out = out.unionByName(step.filter("next = first").select("project", F.col("path").alias("cycle")))
+        open_ = step.filter((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
+        open_ = open_.join(back, ["project", "next", "first"]).filter(F.col("_left") <= max_depth - depth)
+        at = checkpointed(open_.select("project", F.array_append("path", F.col("next")).alias("path")))
         if at.isEmpty():
             break
     return out

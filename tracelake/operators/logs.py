@@ -1,12 +1,14 @@
 """Logs as lines (log_id, line_no, line): error blocks, their ranking and summary, gaps, and events.
 
-A log's lines meet in one window partition, as block and gap depend on the line before; logs are what is spread.
+Blocks and gaps depend on the lines before; they are found in ranges of a log, with what a range takes over from the
+ones before it, so that a giant log is the work of many tasks.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import every, found
+from . import segments
 
 # What starts an error block, tested without regard to case on the trimmed line.
 STARTS = (
@@ -154,48 +156,25 @@ def _any(patterns: tuple[str, ...], flags: str = "") -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
-def error_blocks(log_lines: DataFrame, most: int = 30) -> DataFrame:
+def error_blocks(log_lines: DataFrame, most: int = 30, per_range: int = 4096) -> DataFrame:
     """(log_id, pos, n_lines, block): error blocks in order.
 
     A start line opens a block; a blank line closes it. Stack frames, exception lines and causes extend it, and so do
     lines with a soft prefix while it has fewer than `most` lines. Another line closes it if it has fewer; else that line is
     skipped, and the block goes on with exception lines and causes up to the next start or blank line. A cause opens a
-    block only where none is open. All this follows from running counts over a log's lines in order, so that one
-    sort does it.
+    block only where none is open. Logs are read in ranges of per_range lines, each by any task (see segments).
     """
     t = trimmed(F.col("line"))
     caused, starts = t.startswith("Caused by:"), t.rlike(_any(STARTS, "(?i)"))
-    kind = F.when(t == "", "blank").when(~caused & starts, "start").when(t.rlike(_any(CONTINUES)), "hard").when(t.rlike(f"^(?:{'|'.join(SOFT)})"), "soft").otherwise("other")
-    by_log = Window.partitionBy("log_id").orderBy("line_no")
-    before = by_log.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = by_log.rowsBetween(Window.unboundedPreceding, 0)
-    marked = log_lines.select("log_id", "line_no", "line", kind.alias("_kind"), (caused & starts).alias("_late"))
-    # As if every other line closed a block: whether one is open, and which causes open one then.
-    is_open = F.last(
-        F.when((F.col("_kind") == "start") | F.col("_late"), True).when(F.col("_kind").isin("blank", "other"), False),
-        ignorenulls=True
-    ).over(before)
-    marked = marked.withColumn("_opens", (F.col("_kind") == "start") | (F.col("_late") & ~F.coalesce(is_open, F.lit(False))))
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_opens") | F.col("_kind").isin("blank", "other"), 1).otherwise(0)).over(by_log))
-    in_run = Window.partitionBy("log_id", "_run").orderBy("line_no")
-    marked = marked.withColumn("_n", F.when(F.first("_opens").over(in_run), F.row_number().over(in_run)).otherwise(0))
-    # Another line after a block of `most` lines doesn't close it: what follows up to a start or a blank line is absorbed.
-    passed = (F.col("_kind") == "other") & (F.lag("_n", 1, 0).over(by_log) >= most)
-    marked = marked.withColumn(
-        "_stretch",
-        F.sum(F.when(F.col("_kind").isin("start", "blank"), 1).otherwise(0)).over(by_log)
-    ).withColumn("_passed", passed)
-    absorbed = F.max("_passed").over(Window.partitionBy("log_id", "_stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("_absorbed", absorbed)
-    block_no = F.last(F.when((F.col("_n") > 0) & ~F.col("_absorbed"), F.col("_run")), ignorenulls=True).over(so_far)
-    in_block = F.when(F.col("_absorbed"), F.col("_kind") == "hard").otherwise(
-        (F.col("_n") > 0) & ((F.col("_kind") != "soft") | (F.col("_n") <= most))
-    )
-    kept = marked.withColumn("_block", block_no).filter(in_block)
-    blocks = kept.groupBy("log_id", "_block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    kind = F.when(t == "", segments.BLANK).when(~caused & starts, segments.START).when(caused & starts, segments.LATE)
+    kind = kind.when(t.rlike(_any(CONTINUES)), segments.HARD).when(t.rlike(f"^(?:{'|'.join(SOFT)})"), segments.SOFT).otherwise(segments.OTHER)
+    marked = log_lines.select("log_id", "line_no", kind.alias("kind"), "line")
+    marked = marked.withColumn("line", F.when(~F.col("kind").isin(segments.BLANK, segments.OTHER), F.col("line")))
+    kept = segments.block_lines(marked, most, per_range)
+    blocks = kept.groupBy("log_id", "pos").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     return blocks.select(
         "log_id",
-        F.col("_l")[0].line_no.alias("pos"),
+        "pos",
         F.size("_l").cast("long").alias("n_lines"),
         F.array_join(F.transform("_l", lambda x: x.line), "\n").alias("block")
     )
@@ -268,10 +247,17 @@ def timestamp_of(line: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
-def silent_periods(stamped: DataFrame, minutes: float = 5.0) -> DataFrame:
-    """(log_id, from_ts, to_ts, gap_minutes): consecutive times ts of a log (in order of line_no) over minutes apart."""
-    before = F.lag("ts").over(Window.partitionBy("log_id").orderBy("line_no"))
-    gaps = stamped.filter("ts IS NOT NULL").withColumn("from_ts", before)
+def silent_periods(stamped: DataFrame, minutes: float = 5.0, per_range: int = 4096) -> DataFrame:
+    """(log_id, from_ts, to_ts, gap_minutes): consecutive times ts of a log (in order of line_no) over minutes apart.
+
+    Within ranges of per_range lines from line to line; between ranges from the last time of one to the first of the next.
+    """
+    part = F.floor(F.col("line_no") / per_range).alias("part")
+    timed = stamped.filter("ts IS NOT NULL").select("log_id", part, "line_no", "ts")
+    inside = timed.withColumn("from_ts", F.lag("ts").over(Window.partitionBy("log_id", "part").orderBy("line_no")))
+    ends = timed.groupBy("log_id", "part").agg(F.min_by("ts", "line_no").alias("ts"), F.max_by("ts", "line_no").alias("last"))
+    between = ends.withColumn("from_ts", F.lag("last").over(Window.partitionBy("log_id").orderBy("part")))
+    gaps = inside.select("log_id", "from_ts", "ts").unionByName(between.select("log_id", "from_ts", "ts"))
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("from_ts").cast("timestamp"))) / 60e6
     return gaps.withColumn("gap_minutes", gap).filter(F.col("gap_minutes") > minutes).select(
         "log_id",

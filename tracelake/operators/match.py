@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import literals
+
 
 def checked_catalogue(patterns: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, rejected) rules; valid holds the patterns that the regex engine accepts (see valid_patterns)."""
@@ -18,39 +20,49 @@ def valid_patterns(patterns: DataFrame) -> DataFrame:
 
 #: How large a catalogue is sent to every task, and over how many parts logs are dealt where it is larger.
 MOST_RULES, MOST_BYTES, SPREAD = 5_000, 8 << 20, 64
+#: Up to so many rules are tested on every log of their task type without an index.
+FEW = 16
+
 
+def _pairs(logs: DataFrame, rules: DataFrame, most_rules: int, few: int, fold: bool, literal_of) -> DataFrame:
+    """logs joined with those rules of their task type that can match.
 
-def _by_type(logs: DataFrame, rules: DataFrame, most_rules: int) -> DataFrame:
-    """logs joined with the rules of their task type. A catalogue whose rows and bytes are counted as few is broadcast; of a
-    larger one each of SPREAD parts of the logs meets a copy, so that a task type, of which there are few, isn't a hot key."""
+    A catalogue whose rows and bytes are counted as few is sent to every task: as it is, or with an index over its
+    literals. Of a larger one each of SPREAD parts of the logs meets a copy, so that a task type, of which there are few,
+    isn't a hot key.
+    """
     n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
-    if n <= most_rules and size <= MOST_BYTES:
+    if n <= few:
         return logs.join(F.broadcast(rules), "task_type")
+    if n <= most_rules and size <= MOST_BYTES:
+        return literals.rule_pairs(logs, rules, fold, literal_of)
     dealt = rules.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     return logs.withColumn("_part", F.pmod(F.xxhash64("log_id"), F.lit(SPREAD)).cast("int")).join(dealt, ["task_type", "_part"]).drop("_part")
 
 
-def match_rules(logs: DataFrame, patterns: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
+def match_rules(logs: DataFrame, patterns: DataFrame, most_rules: int = MOST_RULES, few: int = FEW) -> DataFrame:
     """Each log's first rule of its task type: by category_rank, then ord; without any, UNKNOWN.
 
     logs(log_id, task_type, text), patterns(task_type, category, category_rank, ord, error_type, pattern, hint).
-    Matching disregards case, and the dot matches line ends.
+    Matching disregards case, and the dot matches line ends. Of more than `few` rules only those are tested whose
+    literals occur in the log (see literals).
     """
     rules = patterns.select("task_type", "category", "category_rank", "ord", "error_type", "pattern", "hint")
-    pairs = _by_type(logs, rules, most_rules).filter(F.expr("text rlike concat('(?is)', pattern)"))
+    pairs = _pairs(logs, rules, most_rules, few, True, literals.required).filter(F.expr("text rlike concat('(?is)', pattern)"))
     hit = F.struct("category_rank", "ord", "category", "error_type", "pattern", "hint")
     first = pairs.groupBy("log_id").agg(F.min(hit).alias("m")).select("log_id", "m.category", "m.error_type", "m.pattern", "m.hint")
     out = logs.select("log_id", "task_type").join(first, "log_id", "left")
     return out.withColumn("error_type", F.coalesce("error_type", F.lit("UNKNOWN"))).withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
 
 
-def match_knowledge(logs: DataFrame, knowledge: DataFrame, most_rules: int = MOST_RULES) -> DataFrame:
+def match_knowledge(logs: DataFrame, knowledge: DataFrame, most_rules: int = MOST_RULES, few: int = FEW) -> DataFrame:
     """Each log's confirmed knowledge entry whose pattern it contains: one with a fix first, then by ord.
 
-    knowledge(id, task_type, pattern, has_fix, ord, status); logs(log_id, task_type, text).
+    knowledge(id, task_type, pattern, has_fix, ord, status); logs(log_id, task_type, text). The patterns are literals, so
+    that the index alone finds them.
     """
-    known = knowledge.filter("status = 'confirmed'").select("task_type", "id", "pattern", "has_fix", "ord")
-    pairs = _by_type(logs, known, most_rules).filter(F.col("text").contains(F.col("pattern")))
+    known = knowledge.filter("status = 'confirmed' AND pattern IS NOT NULL").select("task_type", "id", "pattern", "has_fix", "ord")
+    pairs = _pairs(logs, known, most_rules, few, False, lambda x: {x} if x else None).filter(F.col("text").contains(F.col("pattern")))
     best = pairs.groupBy("log_id").agg(F.min_by("id", F.struct((~F.col("has_fix")).alias("a"), "ord")).alias("knowledge_id"))
     return logs.select("log_id").join(best, "log_id", "left")
 
