@@ -1,9 +1,12 @@
 """Runs and resources: instance metrics, task distributions, event logs, baselines and size suggestions."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import memory_mb, memory_text_whole
+from . import quantiles
 
 
 def by_state(
@@ -60,11 +63,14 @@ def daily_type_metrics(instances: DataFrame) -> DataFrame:
 
 def daily_error_metrics(failures: DataFrame, examples: int = 3) -> DataFrame:
     """By project, day and error type: how many failures (id, project, start_time, error_type, task_type), of which task
-    types, and the first few ids."""
-    rank = F.row_number().over(Window.partitionBy("project", F.to_date("start_time"), "error_type").orderBy("id"))
-    first = F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col("id")))).alias("examples")
-    by = failures.withColumn("_r", rank).groupBy("project", F.to_date("start_time").alias("day"), "error_type")
-    return by.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"), first)
+    types, and the first few ids. Each task keeps a key's first few ids only, so a day's failures aren't sorted in one."""
+    key = ["project", "day", "error_type"]
+    rows = failures.withColumn("day", F.to_date("start_time"))
+    by = rows.groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"))
+    ranked = rows.select(*key, "id").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("_r") <= examples)
+    first = ranked.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+    return by.join(first, same).select(*key, "n", "task_types", "examples")
 
 
 def range_report(instances: DataFrame, first: str, last: str) -> DataFrame:
@@ -82,26 +88,44 @@ def state_counts(instances: DataFrame) -> DataFrame:
 def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
     """By (app, stage): median of the durations over 0, the longest, their ratio, whether skewed, and stragglers.
 
-    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs.
+    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs. All of it
+    comes from counts of the stage's durations and inputs (see task_counts), so that tasks are read and shuffled once.
     """
-    stats = tasks.groupBy("app", "stage").agg(
-        F.count("*").alias("n_tasks"),
-        F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"),
-        F.max("duration").alias("max_duration")
-    )
-    # The upper median by counts of the distinct inputs, so that no task gathers all inputs of a stage.
-    inputs = tasks.filter("input_bytes IS NOT NULL").groupBy("app", "stage", "input_bytes").agg(F.count("*").alias("_n"))
-    inputs = inputs.withColumn("_upto", F.sum("_n").over(Window.partitionBy("app", "stage").orderBy("input_bytes")))
-    upper = inputs.join(stats.select("app", "stage", "n_tasks"), ["app", "stage"]).filter(F.col("_upto") > F.floor(F.col("n_tasks") / 2))
-    stats = stats.join(upper.groupBy("app", "stage").agg(F.min("input_bytes").alias("median_input")), ["app", "stage"], "left")
+    return distribution(task_counts(tasks), ratio)
+
+
+def task_counts(tasks: DataFrame) -> DataFrame:
+    """(app, stage, kind, value, n): how often a stage's tasks have each duration and each input; counts of several days
+    merge by quantiles.merged_counts()."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("duration", "duration"), ("input", "input_bytes"))))
+    rows = tasks.select("app", "stage", F.explode(kinds).alias("k")).select("app", "stage", "k.kind", "k.value")
+    return quantiles.value_counts(rows, ["app", "stage", "kind"], "value")
+
+
+def distribution(counts: DataFrame, ratio: float = 3.0) -> DataFrame:
+    """task_distribution() from the counts of task_counts()."""
+    stage = ["app", "stage"]
+    is_duration, value, n = F.col("kind") == "duration", F.col("value"), F.col("n")
+    stats = counts.groupBy(*stage).agg(
+        F.sum(F.when(is_duration, n)).alias("n_tasks"),
+        F.sum(F.when(is_duration & (value > 0), n)).alias("_n"),
+        F.max(F.when(is_duration, value)).alias("max_duration")
+    )
+    places = {"low": ("duration", F.floor((F.col("_n") - 1) / 2)), "high": ("duration", F.floor(F.col("_n") / 2)), "input": ("input", F.floor(F.col("n_tasks") / 2))}
+    wanted = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, (kind, rank) in places.items()))
+    ranks = stats.select(*stage, F.explode(wanted).alias("w")).select(*stage, "w.*").filter("rank IS NOT NULL")
+    found = quantiles.at_ranks(counts.filter(~is_duration | (value > 0)), [*stage, "kind"], ranks)
+    at = {x: F.max(F.when(F.col("name") == x, value)) for x in places}
+    medians = found.groupBy(*stage).agg(((at["low"] + at["high"]) / 2).alias("median_duration"), at["input"].alias("median_input"))
+    stats = stats.drop("_n").join(medians, stage, "left")
     skew = F.try_divide(F.col("max_duration"), F.col("median_duration"))
     stats = stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False)))
-    flags = tasks.join(stats.select("app", "stage", "median_duration", "median_input"), ["app", "stage"])
-    slow = flags.groupBy("app", "stage").agg(
-        F.count_if(F.col("duration") > ratio * F.col("median_duration")).alias("n_stragglers"),
-        F.count_if((F.col("input_bytes") > ratio * F.col("median_input")) & (F.col("median_input") > 0)).alias("n_input_skewed")
-    )
-    return stats.join(slow, ["app", "stage"])
+    over = F.when(is_duration, value > ratio * F.col("median_duration")).otherwise((value > ratio * F.col("median_input")) & (F.col("median_input") > 0))
+    # Counts, not tasks, meet the medians.
+    flags = counts.join(stats.select(*stage, "median_duration", "median_input"), stage).filter(over)
+    slow = flags.groupBy(*stage).agg(F.sum(F.when(is_duration, n)).alias("n_stragglers"), F.sum(F.when(~is_duration, n)).alias("n_input_skewed"))
+    out = stats.join(slow, stage, "left").fillna(0, ["n_stragglers", "n_input_skewed"])
+    return out.select(*stage, "n_tasks", "median_duration", "max_duration", "median_input", "skew_ratio", "is_skewed", "n_stragglers", "n_input_skewed")
 
 
 def app_skew(distribution: DataFrame) -> DataFrame:
