@@ -354,21 +354,24 @@ class Skills:
 
 
 def feedback_matches(feedbacks: DataFrame, executions: DataFrame, seconds: int = 300) -> DataFrame:
-    """Each feedback(user, ts) with the user's last execution(user, ts, execution_id) up to `seconds` before."""
+    """Each feedback(user, ts) with the user's last execution(user, ts, execution_id) up to `seconds` before.
+
+    Rows meet in spans of `seconds`, so that a user with many is the work of many tasks; where a span has no execution
+    before a feedback, the last one of the span before it counts.
+    """
+    kind = feedbacks.schema["feedback_id"].dataType
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = feedbacks.select("user", "ts", "feedback_id", F.lit(None).cast("string").alias("execution_id"), F.lit(1).alias("o")).unionByName(
-        executions.select(
-            "user",
-            "ts",
-            F.lit(None).cast(feedbacks.schema["feedback_id"].dataType).alias("feedback_id"),
-            F.col("execution_id").cast("string"),
-            F.lit(0).alias("o")
-        )
+        executions.select("user", "ts", F.lit(None).cast(kind).alias("feedback_id"), F.col("execution_id").cast("string"), F.lit(0).alias("o"))
     )
-    at = Window.partitionBy("user").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("o") == 0, F.struct("ts", "execution_id")), ignorenulls=True).over(at)
-    out = rows.withColumn("l", last).filter("o = 1")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("l.ts").cast("timestamp"))
-    return out.select("user", "feedback_id", F.when(gap <= seconds * 1_000_000, F.col("l.execution_id")).alias("execution_id"))
+    rows = rows.withColumn("_at", micros).withColumn("_span", F.floor(F.col("_at") / (seconds * 1_000_000)))
+    at = Window.partitionBy("user", "_span").orderBy("_at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    execution = F.struct(F.col("_at").alias("at"), "execution_id")
+    last = F.last(F.when(F.col("o") == 0, execution), ignorenulls=True).over(at)
+    asked = rows.withColumn("l", last).filter("o = 1").select("user", "feedback_id", "_at", "_span", "l")
+    ends = rows.filter("o = 0").groupBy(F.col("user").alias("_user"), (F.col("_span") + 1).alias("_next")).agg(F.max_by(execution, "_at").alias("p"))
+    out = asked.join(ends, F.col("user").eqNullSafe(F.col("_user")) & (F.col("_span") == F.col("_next")), "left").withColumn("l", F.coalesce("l", "p"))
+    return out.select("user", "feedback_id", F.when(F.col("_at") - F.col("l.at") <= seconds * 1_000_000, F.col("l.execution_id")).alias("execution_id"))
 
 
 def approvals_at(requests: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:

@@ -1,11 +1,17 @@
 """Review tables: candidates for new rules, and the knowledge that people confirm."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, generalised
 
 
+def candidate_key() -> Column:
+    """128 bits that stand for a candidate's skill and whole log; a null differs from an empty string."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("skill_name", "original_log")]
+    return F.md5(F.concat(F.length(parts[0]).cast("string"), *parts))
+
+
 def first_candidates(candidates: DataFrame) -> DataFrame:
     """One candidate for each (skill_name, original_log), the one with the smallest doc_id or, without, any."""
     key = [c for c in ("doc_id", "timestamp") if c in candidates.columns]
@@ -22,6 +28,12 @@ def reviewed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce("d.status", F.col("status"))).select(*candidates.columns, "d.reviewed_by", "d.reviewed_at", "d.note")
 
 
+def merge_decisions(stored, decisions: DataFrame, batch: str) -> int | None:
+    """Put decisions (candidate_id, status, reviewed_by, reviewed_at, note) into a store.KeyedTable by candidate_id; the
+    latest of a candidate counts, in whatever order they come, and a batch that comes again changes nothing."""
+    return stored.merge(decisions.select("candidate_id", "status", "reviewed_by", "reviewed_at", "note"), batch, "reviewed_at")
+
+
 def pending(candidates: DataFrame) -> DataFrame:
     return candidates.filter("status = 'pending'")
 

@@ -6,6 +6,9 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from .store import Journal, KeyedTable
+
 _EDGES = (
     "workflow_contains_task",
     "workflow_depends_workflow",
@@ -75,6 +78,23 @@ def read_index(spark: SparkSession, base: str, kind: str, project: str | None =
     return out.filter(F.col("project") == project) if project is not None else out
 
 
+def closure_index(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The stored closure (project, source, target, depth): the rows of a source are in one bucket."""
+    return KeyedTable(spark, path, ("project", "source", "target"), ("project", "source"), buckets)
+
+
+def build_closure(index: KeyedTable, edges: DataFrame, batch: str) -> int | None:
+    found = graph.closure(edges)
+    return index.replace(edges.select("project", "source"), found, batch)
+
+
+def edit_closure(index: KeyedTable, edges: DataFrame, added: DataFrame, removed: DataFrame, batch: str) -> int | None:
+    """Bring a stored closure of edges up to date when some go and come: only the sources whose reach changes are written,
+    and only their buckets."""
+    rows, sources = graph.edited_closure(index.read(), edges, added, removed)
+    return index.replace(sources, rows, batch)
+
+
 def projects(df: DataFrame) -> DataFrame:
     return df.select("project").distinct()
 
@@ -154,12 +174,22 @@ def safe_part(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\w-]", "_")
 
 
-def write_logs(logs: DataFrame, path: str) -> None:
-    """Non-empty logs by date, workflow and task; path parts hold only word characters and dashes."""
+def _appended(rows: DataFrame, path: str, partition_by: tuple[str, ...], batch: str | None) -> None:
+    """With a batch, rows go to a journal (see store) that takes it once; without, they are simply added."""
+    if batch is None:
+        rows.write.mode("append").partitionBy(*partition_by).json(path)
+    else:
+        Journal(rows.sparkSession, path).append(rows, batch, partition_by)
+
+
+def write_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Non-empty logs by date, workflow and task; path parts hold only word characters and dashes.
+
+    A batch that is written again is stored once; its folders are dates only, as there is one for every task otherwise.
+    """
     kept = logs.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
-    kept.withColumns(
-        {c: safe_part(F.col(c)) for c in ("workflow_code", "task_code")}
-    ).write.mode("append").partitionBy("dt", "workflow_code", "task_code").json(path)
+    kept = kept.withColumns({c: safe_part(F.col(c)) for c in ("workflow_code", "task_code")})
+    _appended(kept, path, ("dt",) if batch else ("dt", "workflow_code", "task_code"), batch)
 
 
 def log_metadata(logs: DataFrame) -> DataFrame:
@@ -296,12 +326,12 @@ def audit_rows(operations: DataFrame, most: int = 500) -> DataFrame:
     return operations.withColumns(cut).withColumn("dt", F.to_date("timestamp"))
 
 
-def write_audit(operations: DataFrame, path: str) -> None:
-    audit_rows(operations).write.mode("append").partitionBy("dt").json(path)
+def write_audit(operations: DataFrame, path: str, batch: str | None = None) -> None:
+    _appended(audit_rows(operations), path, ("dt",), batch)
 
 
-def write_reports(nested: DataFrame, path: str) -> None:
-    nested.write.mode("append").partitionBy("dt", "workflow_code").json(path)
+def write_reports(nested: DataFrame, path: str, batch: str | None = None) -> None:
+    _appended(nested, path, ("dt",) if batch else ("dt", "workflow_code"), batch)
 
 
 def graph_export(nodes: DataFrame, edges: DataFrame, tasks: DataFrame | None = None) -> DataFrame:

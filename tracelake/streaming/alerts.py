@@ -9,6 +9,8 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from ..operators import graph, match
 from ..operators.alerts import enriched, is_alert, messages, normalised
+from ..operators.review import candidate_key
+from ..sources.store import Journal
 
 
 def alert_stream(raw: DataFrame) -> DataFrame:
@@ -40,6 +42,11 @@ def enrich_stream(
     return alerts.writeStream.foreachBatch(lambda batch, n: write(enriched_alerts(batch, patterns, knowledge, index), n))
 
 
+def into_journal(journal: Journal, stream: str) -> Callable[[DataFrame, int], None]:
+    """What enrich_stream() may write to: a batch of the stream that is run again is stored once."""
+    return lambda rows, n: journal.append(rows, f"{stream}-{n:012d}")
+
+
 def daily_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts by project and day, emitted when the watermark has passed the day; start_time may be without a zone."""
     timed = instances.withColumn("ts", F.col("start_time").cast("timestamp")).withWatermark("ts", late)
@@ -81,8 +88,9 @@ def audit_counts(audit: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def deduplicated(candidates: DataFrame, ts_col: str = "ts", late: str = "1 day") -> DataFrame:
-    """The first of candidates with one (skill_name, original_log) within the watermark."""
-    return candidates.withWatermark(ts_col, late).dropDuplicatesWithinWatermark(["skill_name", "original_log"])
+    """The first of candidates with one (skill_name, original_log) within the watermark; the state holds a hash of them."""
+    keyed = candidates.withColumn("_key", candidate_key())
+    return keyed.withWatermark(ts_col, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def feedback_pairs(feedbacks: DataFrame, executions: DataFrame, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
