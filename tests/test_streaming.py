@@ -51,8 +51,6 @@ def test_daily_metrics_streams(spark, tmp_path):
     assert got == {(r["project"], r["day"]): (r["total"], r["failure"]) for r in runs.daily_workflow_metrics(rows).collect()}
     got = {(r["project"], r["day"], r["task_type"]): (r["total"], r["failure"], round(r["avg_duration"], 6)) for r in ran(streams.daily_type_metrics(stream), "types", "update")}
     assert got == {(r["project"], r["day"], r["task_type"]): (r["total"], r["failure"], round(r["avg_duration"], 6)) for r in runs.daily_type_metrics(rows).collect()}
-    got = {(r["project"], r["day"], r["error_type"]): (r["n"], r["task_types"]) for r in ran(streams.daily_error_metrics(stream.filter("state = 'FAILURE'")), "errors", "update")}
-    assert got == {(r["project"], r["day"], r["error_type"]): (r["n"], r["task_types"]) for r in runs.daily_error_metrics(rows.filter("state = 'FAILURE'")).collect()}
     audit = stream.selectExpr("start_time AS timestamp", "state AS result", "project AS risk_level", "task_type AS operation_type")
     got = {(r["day"], r["result"], r["risk_level"], r["operation_type"]): r["n"] for r in ran(streams.audit_counts(audit), "audits", "update")}
     want = rows.groupBy("state", "project", "task_type", rows["start_time"].cast("date").alias("day")).count().collect()
@@ -83,7 +81,19 @@ def test_enriched_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert {r["alert_id"]: (r["error_type"], r["knowledge_id"], r["n_downstream"]) for r in got.collect()} == {"1": ("oom", None, 2), "2": ("UNKNOWN", "k1", 1), "3": ("UNKNOWN", None, 0)}
 
 
-def test_feedback_takes_the_last_execution(spark, tmp_path):
+def test_stream_keeps_the_examples_of_the_batch(spark, tmp_path, rocks):
+    """Over several micro-batches, the same three ids as in one sort."""
+    rows = instances(spark).filter("state = 'FAILURE'").repartition(3)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for r in ran(streams.daily_error_metrics(stream, late="400 days"), "errors", "update"):
+        key = (r["project"], r["day"], r["error_type"])
+        got[key] = max(got.get(key, (0,)), (r["n"], r["task_types"], r["examples"]))
+    assert got == {(r["project"], r["day"], r["error_type"]): (r["n"], r["task_types"], r["examples"]) for r in runs.daily_error_metrics(rows).collect()}
+
+
+def test_feedback_takes_the_last_execution(spark, tmp_path, rocks):
     at = lambda m: f"2024-01-01T01:{m:02d}:00Z"
     f = [{"user": "u", "ts": at(5), "feedback_id": "f1"}, {"user": "v", "ts": at(6), "feedback_id": "f2"}, {"user": "u", "ts": at(30), "feedback_id": "f3"}]
     e = [{"user": "u", "ts": at(1), "execution_id": "a"}, {"user": "u", "ts": at(4), "execution_id": "b"}, {"user": "u", "ts": at(7), "execution_id": "c"}, {"user": "v", "ts": at(0), "execution_id": "d"}]

@@ -1,5 +1,6 @@
 """Streams of alerts, approvals and feedback, with bounds on what is kept as state."""
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,17 +69,49 @@ def daily_type_metrics(instances: DataFrame, late: str = "1 hour") -> DataFrame:
     return out.select("project", F.to_date("w.start").alias("day"), "task_type", "total", "failure", "avg_duration")
 
 
-def daily_error_metrics(errors: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Counts by project, day and error type, with the task types (a few) and the first and the last id as examples, so that
-    the state of a key stays small."""
-    by = _timed(errors, "start_time", late).groupBy("project", F.window("ts", "1 day").alias("w"), "error_type")
-    out = by.agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_set("task_type")).alias("task_types"),
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id")
+class FirstExamples(StatefulProcessor):
+    """Of a project, day and error type: the number of errors, their task types (a few), and the smallest few ids. Lists
+    merge and are cut, so that the state stays small; it goes when the watermark has passed the day."""
+
+    def __init__(self, examples: int):
+        self.examples = examples
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("errors", "kept string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, types, ids = json.loads(self.state.get()[0]) if self.state.exists() else (0, [], [])
+        if not n:
+            after = pd.Timestamp(key[1]) + pd.Timedelta(days=1)
+            self.handle.registerTimer(max(int(after.timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        for part in rows:
+            n += len(part)
+            types = sorted({*types, *part["task_type"].dropna()})
+            ids = sorted([*ids, *part["id"].dropna()])[: self.examples]
+        self.state.update((json.dumps((n, types, ids)),))
+        yield pd.DataFrame({"project": [key[0]], "day": [key[1]], "error_type": [key[2]], "n": [n], "task_types": [types], "examples": [ids]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({c: [] for c in ("project", "day", "error_type", "n", "task_types", "examples")}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def daily_error_metrics(errors: DataFrame, late: str = "1 hour", examples: int = 3) -> DataFrame:
+    """Counts by project, day and error type, with the task types (a few) and the first few ids as examples, as in batch.
+
+    Each batch gives the keys that it changes. The session needs the RocksDB state store provider.
+    """
+    timed = _timed(errors, "start_time", late).select("project", F.to_date("ts").alias("day"), "error_type", F.col("id").cast("string").alias("id"), "task_type", "ts")
+    return timed.groupBy("project", "day", "error_type").transformWithStateInPandas(
+        statefulProcessor=FirstExamples(examples),
+        outputStructType="project string, day date, error_type string, n long, task_types array<string>, examples array<string>",
+        outputMode="Update",
+        timeMode="EventTime"
     )
-    return out.select("project", F.to_date("w.start").alias("day"), "error_type", "n", "task_types", "first_id", "last_id")
 
 
 def audit_counts(audit: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -93,20 +126,72 @@ def deduplicated(candidates: DataFrame, ts_col: str = "ts", late: str = "1 day")
     return keyed.withWatermark(ts_col, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+class LastExecution(StatefulProcessor):
+    """Of a user and a span of time, the executions that its feedbacks can mean, and the feedbacks that wait.
+
+    A feedback is answered when the watermark has passed it, as no earlier execution can come then; the span's state goes
+    when the watermark has passed the span.
+    """
+
+    def __init__(self, seconds: int):
+        self.range = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getListState("done", "at long, id string")
+        self.asked = handle.getListState("asked", "at long, id string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        soonest = timerValues.getCurrentWatermarkInMs() + 1
+        self.handle.registerTimer(max((int(key[1]) + 1) * self.range // 1000 + 1, soonest))
+        for part in rows:
+            for r in part.itertuples():
+                if r.kind == "execution":
+                    self.done.appendValue((int(r.at), r.id))
+                else:
+                    self.asked.appendValue((int(r.at), r.id))
+                    self.handle.registerTimer(max(int(r.at) // 1000 + 1, soonest))
+        yield pd.DataFrame({c: [] for c in ("user", "feedback_id", "execution_id")}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        done, asked = sorted(self.done.get()), list(self.asked.get())
+        out = []
+        for at, feedback in asked:
+            if at < passed:
+                near = [x for x in done if at - self.range <= x[0] <= at]
+                out.append((key[0], feedback, near[-1][1] if near else None))
+        waiting = [x for x in asked if x[0] >= passed]
+        if waiting:
+            self.asked.put(waiting)
+        else:
+            self.asked.clear()
+        if (int(key[1]) + 1) * self.range < passed:
+            self.done.clear()
+        yield pd.DataFrame(out, columns=["user", "feedback_id", "execution_id"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
 def feedback_pairs(feedbacks: DataFrame, executions: DataFrame, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
     """Each feedback (user, ts, feedback_id) with the user's last execution up to `seconds` before, null without one.
 
-    Emitted when the watermark has passed, as a later execution may still come before; the range bounds the state.
+    Emitted when the watermark has passed, as a later execution may still come before. State is kept by user and span of
+    `seconds`, and an execution counts in its span and the next, so that what is kept is bounded by the range and a user with
+    many rows is spread. The session needs the RocksDB state store provider.
     """
-    f = feedbacks.select(F.col("user").alias("f_user"), F.col("ts").alias("f_ts"), "feedback_id").withWatermark("f_ts", late)
-    e = executions.select(F.col("user").alias("e_user"), F.col("ts").alias("e_ts"), "execution_id").withWatermark("e_ts", late)
-    near = (F.col("f_user") == F.col("e_user")) & (F.col("e_ts") <= F.col("f_ts")) & (
-        F.col("e_ts") >= F.col("f_ts") - F.expr(f"INTERVAL {seconds} SECONDS")
-    )
-    last = f.join(e, near, "leftOuter").groupBy(F.col("f_user").alias("user"), "feedback_id", F.col("f_ts").alias("ts")).agg(
-        F.max_by("execution_id", F.struct("e_ts", "execution_id")).alias("execution_id")
+    micros = F.unix_micros("ts")
+    span = F.floor(micros / (seconds * 1_000_000))
+    f = feedbacks.select("user", "ts", micros.alias("at"), F.lit("feedback").alias("kind"), F.col("feedback_id").cast("string").alias("id"), span.alias("span"))
+    e = executions.select("user", "ts", micros.alias("at"), F.lit("execution").alias("kind"), F.col("execution_id").cast("string").alias("id"), F.explode(F.array(span, span + 1)).alias("span"))
+    both = f.withWatermark("ts", late).unionByName(e.withWatermark("ts", late))
+    return both.groupBy("user", "span").transformWithStateInPandas(
+        statefulProcessor=LastExecution(seconds),
+        outputStructType="user string, feedback_id string, execution_id string",
+        outputMode="Append",
+        timeMode="EventTime"
     )
-    return last.select("user", "feedback_id", "execution_id")
 
 
 class Approvals(StatefulProcessor):
