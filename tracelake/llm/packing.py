@@ -21,6 +21,8 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -64,14 +66,38 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class Units(dict):
+    """The ids of units that are normalised already, found when they are first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, unit: str) -> bytes:
+        """The unit's bytes as the characters that stand for them, and merges of these."""
+        letters = unit if unit.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, unit.encode()))
+        ids = [x.id for x in self.model.tokenize(letters)]
+        found = self[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+def encoder(definition: str) -> "Encoder":
+    """The worker's encoder. Functions come to a worker anew with each task, but it runs many tasks; what it has learned
+    is kept in a module of its own."""
+    kept = sys.modules.setdefault("tracelake_worker_memory", types.ModuleType("tracelake_worker_memory")).__dict__
+    if kept.get("definition") != definition:
+        kept |= {"definition": definition, "encoder": Encoder(definition)}
+    return kept["encoder"]
+
+
 class Encoder:
-    """Ids of texts as the library gives them, without added special tokens; remembers up to `most` units."""
+    """Ids of texts as the library gives them, without added special tokens; remembers about `most` units."""
 
-    def __init__(self, definition: str, most: int = 500_000):
+    def __init__(self, definition: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_str(definition), {}, most
+        self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        self.known = Units(self.tokenizer.model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         about = json.loads(definition)
@@ -92,31 +118,15 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _unit_ids(self, unit: str) -> bytes:
-        """Of a unit that is normalised already: its bytes as the characters that stand for them, and merges of these."""
-        letters = unit if unit.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, unit.encode()))
-        return struct.pack(f"<{len(ids := [x.id for x in self.tokenizer.model.tokenize(letters)])}I", *ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts, missing = [], set()
-        for text in texts:
-            mine = []
-            for part in blocks(text):
-                if not self.by_units or self.uncommon.search(part) or any(x in part for x in self.special):
-                    mine.append(([], [self._library(part)]))
-                    continue
-                units = self.unit.findall(part.lower())
-                found = list(map(self.known.get, units))
-                if None in found:
-                    missing.update(u for u, x in zip(units, found) if x is None)
-                mine.append((units, found))
-            parts.append(mine)
-        new = {u: self._unit_ids(u) for u in missing}
-        out = [b"".join(b"".join(x if x is not None else new[u] for u, x in zip(units, found)) if None in found else b"".join(found) for units, found in mine) for mine in parts]
+    def encode(self, text: str) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
-        self.known.update(new)
-        return [np.frombuffer(x, "<u4") for x in out]
+        return np.frombuffer(b"".join(map(self._part, blocks(text))), "<u4")
+
+    def _part(self, text: str) -> bytes:
+        if not self.by_units or self.uncommon.search(text) or any(x in text for x in self.special):
+            return self._library(text)
+        return b"".join(map(self.known.__getitem__, self.unit.findall(text.lower())))
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -240,9 +250,8 @@ def pack(
     path: str | None = None,
     end: int = 2,
     capacity: int = 4096,
-    windows: int = 128,
+    windows: int = 64,
     least: int = 16,
-    batch_chars: int = 1 << 20,
     most_bytes: int = 16 << 20,
 ) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset of every piece of every document.
@@ -260,22 +269,15 @@ def pack(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
 
     def packed(batches):
-        encoder, packer, part, id_type = Encoder(definition.value), Packer(capacity, windows, least), 0, None
+        known, packer, part, id_type, last = encoder(definition.value), Packer(capacity, windows, least), 0, None, np.array([end], "<u4")
 
         def pieces():
             nonlocal part, id_type
             for batch in batches:
                 id_type = batch["doc_id"].type
-                waiting, size = [], 0
-                for k, (doc_id, text, part) in enumerate(zip(batch["doc_id"], batch["text"], batch["part"].to_pylist()), 1):
-                    waiting.append((doc_id.as_py(), text.as_py()))
-                    size += len(waiting[-1][1])
-                    if size < batch_chars and k < batch.num_rows:
-                        continue
-                    for (name, _), ids in zip(waiting, encoder.encode([x for _, x in waiting])):
-                        ids = np.append(ids, np.array([end], "<u4"))
-                        yield from packer.add((name, len(ids)), ids)
-                    waiting, size = [], 0
+                for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"].to_pylist()):
+                    ids = np.append(known.encode(text.as_py()), last)
+                    yield from packer.add((doc_id.as_py(), len(ids)), ids)
             yield from packer.finish()
 
         def batch_of(some):
