@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, match, quantiles, review
+from ..operators import graph, match, postings, quantiles, review
 from ..sources import files
 from ..sources.store import Journal, KeyedTable
 from .bindings import view
@@ -101,3 +101,10 @@ def merged_quantiles(s, d):
     parts = [quantiles.value_counts(tasks.filter(F.col("stage") % 3 == k), ["app"], "duration") for k in range(3)]
     out = quantiles.quantiles(quantiles.merged_counts(parts, ["app"]), ["app"], {"q50": 0.5, "q99": 0.99})
     return out.select("app", F.round("q50", 6).alias("q50"), F.round("q99", 6).alias("q99"))
+
+
+@query("""WITH u AS (SELECT DISTINCT project, table_name, workflow FROM table_use), r AS (SELECT *, (row_number() OVER (PARTITION BY project, table_name ORDER BY workflow) - 1) // 3 AS block, count(*) OVER (PARTITION BY project, table_name) AS n FROM u)
+SELECT project, table_name, block, n, string_agg(workflow, ',' ORDER BY workflow) AS members FROM r GROUP BY ALL""")
+def table_user_blocks(s, d):
+    blocks = postings.posting_blocks(view(s, d, "table_use"), ["project", "table_name"], "workflow", 3)
+    return blocks.select("project", "table_name", "block", "n", F.array_join("members", ",").alias("members"))

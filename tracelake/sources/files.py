@@ -253,10 +253,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of all logs under path; the app is the file's name, and order is kept within it."""
+    """Events of all logs under path; the app is the file's name. line_no is the file, where the part of it that a task reads
+    begins, and the order within it, so that it tells a log's order however files are split and dealt."""
     raw = spark.read.text(path).select(
         F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^([^.]+)", 1).alias("app"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("line_no"),
         F.col("value").alias("line")
     )
     return parse_events(raw)
