@@ -111,4 +111,20 @@ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) A
 sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
 CAST(sum(14 + 2 * length(role) - length(regexp_replace(role, '[\\#<\n]', '', 'g')) + 2 * length(text) - length(regexp_replace(text, '[\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars,
 CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens FROM t GROUP BY conv_id""",
+    "op12_divergence": r"""WITH w AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT lang, source, d, unnest(terms) AS term FROM w),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+g AS (SELECT o.lang, o.source, coalesce(total.n, 0) + coalesce(v.v, 0) AS m FROM (SELECT DISTINCT lang, source FROM w) o LEFT JOIN total USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // g.m AS p FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+whole AS (SELECT lang, sum(n) + any_value(v.v) AS m FROM c JOIN v USING (lang) GROUP BY lang),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(p.n) + 1)) // any_value(whole.m) AS q FROM p JOIN whole USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sums.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms QUALIFY rank <= 200""",
 }
