@@ -33,14 +33,15 @@ def test_counts_of_days_merge(spark, rows):
     assert sorted(map(str, quantiles.merged_counts(parts, ["g"]).collect())) == sorted(map(str, whole.collect()))
 
 
-def test_distribution_is_that_of_sorted_tasks(spark):
+@pytest.mark.parametrize("most", [0, 5, 10_000])
+def test_distribution_is_that_of_sorted_tasks(spark, most):
     rng = random.Random(2)
     tasks = [(f"a{s % 3}", s, rng.choice([None, 0, -1, *range(1, 60), 5000]), rng.choice([None, 0, *range(1, 30), 999])) for s in range(12) for _ in range(rng.choice([1, 2, 9, 80]))]
     tasks += [("b", 1, None, None), ("c", 1, 0, 4)]
     by = defaultdict(list)
     for app, stage, d, i in tasks:
         by[app, stage].append((d, i))
-    got = {(r.app, r.stage): r for r in runs.task_distribution(spark.createDataFrame(tasks, "app string, stage int, duration long, input_bytes long")).collect()}
+    got = {(r.app, r.stage): r for r in runs.task_distribution(spark.createDataFrame(tasks, "app string, stage int, duration long, input_bytes long"), most=most).collect()}
     assert set(got) == set(by)
     for key, rows in by.items():
         long = sorted(d for d, _ in rows if d is not None and d > 0)

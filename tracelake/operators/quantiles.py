@@ -30,9 +30,9 @@ def _bin(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log2(F.abs(value.cast("double")) + 1) * PER_OCTAVE)).cast("int")
 
 
-def at_ranks(counts: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+def at_ranks(counts: DataFrame, keys: list[str], ranks: DataFrame, few: bool = False) -> DataFrame:
     """keys, name, value: the value at each rank (keys, name, rank; from 0) of its group's values in order, nulls left
-    out; ranks beyond the values give no row."""
+    out; ranks beyond the values give no row. few: whether the ranks have been counted to be few enough to be broadcast."""
     binned = counts.filter("value IS NOT NULL").withColumn("_bin", _bin(F.col("value")))
     bins = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +40,7 @@ def at_ranks(counts: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
     inside = (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))
     hit = ranks.join(bins, keys).filter(inside).select(*keys, "name", "_bin", (F.col("rank") - F.col("_before")).alias("_rank"))
     upto = Window.partitionBy(*keys, "name", "_bin").orderBy("value")
-    found = binned.join(hit, [*keys, "_bin"]).withColumn("_upto", F.sum("n").over(upto)).filter(F.col("_upto") > F.col("_rank"))
+    found = binned.join(F.broadcast(hit) if few else hit, [*keys, "_bin"]).withColumn("_upto", F.sum("n").over(upto)).filter(F.col("_upto") > F.col("_rank"))
     return found.groupBy(*keys, "name").agg(F.min("value").alias("value"))
 
 

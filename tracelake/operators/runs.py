@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import memory_mb, memory_text_whole
 from . import quantiles
+from .graph import checkpointed
 
 
 def by_state(
@@ -85,13 +86,45 @@ def state_counts(instances: DataFrame) -> DataFrame:
     )
 
 
-def task_distribution(tasks: DataFrame, ratio: float = 3.0) -> DataFrame:
+def task_distribution(tasks: DataFrame, ratio: float = 3.0, most: int = 10_000) -> DataFrame:
     """By (app, stage): median of the durations over 0, the longest, their ratio, whether skewed, and stragglers.
 
-    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs. All of it
-    comes from counts of the stage's durations and inputs (see task_counts), so that tasks are read and shuffled once.
+    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs. The tasks of
+    a stage of up to `most` meet in one row; larger stages go by counts of their values (see distribution), which gather
+    nothing. Tasks without app or stage are left out.
     """
-    return distribution(task_counts(tasks), ratio)
+    stage = ["app", "stage"]
+    tasks = tasks.select(*stage, "duration", "input_bytes").filter("app IS NOT NULL AND stage IS NOT NULL")
+    large = checkpointed(tasks.groupBy(*stage).count().filter(F.col("count") > most).drop("count"))
+    n = large.count()
+    if not n:
+        return _in_one_row(tasks, ratio)
+    sent = F.broadcast(large) if n <= 20_000 else large
+    by_counts = distribution(checkpointed(task_counts(tasks.join(sent, stage, "left_semi"))), ratio)
+    return _in_one_row(tasks.join(sent, stage, "left_anti"), ratio).unionByName(by_counts)
+
+
+def _in_one_row(tasks: DataFrame, ratio: float) -> DataFrame:
+    """task_distribution() of stages whose tasks are few."""
+    sorted_ = lambda c: F.array_sort(F.collect_list(c))  # noqa: E731  nulls are left out
+    by = tasks.groupBy("app", "stage").agg(F.count("*").alias("n_tasks"), F.max("duration").alias("max_duration"), sorted_("duration").alias("_d"), sorted_("input_bytes").alias("_i"))
+    by = by.withColumn("_p", F.filter("_d", lambda x: x > 0))
+    n, skew = F.size("_p"), F.try_divide(F.col("max_duration"), F.col("median_duration"))
+    middle = (F.get("_p", F.floor((n - 1) / 2).cast("int")) + F.get("_p", F.floor(n / 2).cast("int"))) / 2
+    by = by.withColumns({"median_duration": F.when(n > 0, middle), "median_input": F.get("_i", F.floor(F.col("n_tasks") / 2).cast("int"))})
+    over = lambda values, median: F.coalesce(F.size(F.filter(values, lambda x: (x > ratio * F.col(median)) & (F.col(median) > 0))), F.lit(0)).cast("long")
+    return by.select(
+        "app",
+        "stage",
+        "n_tasks",
+        "median_duration",
+        "max_duration",
+        "median_input",
+        skew.alias("skew_ratio"),
+        F.coalesce(skew > ratio, F.lit(False)).alias("is_skewed"),
+        over("_d", "median_duration").alias("n_stragglers"),
+        over("_i", "median_input").alias("n_input_skewed")
+    )
 
 
 def task_counts(tasks: DataFrame) -> DataFrame:
@@ -103,7 +136,7 @@ def task_counts(tasks: DataFrame) -> DataFrame:
 
 
 def distribution(counts: DataFrame, ratio: float = 3.0) -> DataFrame:
-    """task_distribution() from the counts of task_counts()."""
+    """task_distribution() from the counts of task_counts(), which should be a table or a checkpoint, as they are read again."""
     stage = ["app", "stage"]
     is_duration, value, n = F.col("kind") == "duration", F.col("value"), F.col("n")
     stats = counts.groupBy(*stage).agg(
@@ -111,18 +144,21 @@ def distribution(counts: DataFrame, ratio: float = 3.0) -> DataFrame:
         F.sum(F.when(is_duration & (value > 0), n)).alias("_n"),
         F.max(F.when(is_duration, value)).alias("max_duration")
     )
+    stats = checkpointed(stats)
+    few = stats.count() <= 100_000
     places = {"low": ("duration", F.floor((F.col("_n") - 1) / 2)), "high": ("duration", F.floor(F.col("_n") / 2)), "input": ("input", F.floor(F.col("n_tasks") / 2))}
     wanted = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, (kind, rank) in places.items()))
     ranks = stats.select(*stage, F.explode(wanted).alias("w")).select(*stage, "w.*").filter("rank IS NOT NULL")
-    found = quantiles.at_ranks(counts.filter(~is_duration | (value > 0)), [*stage, "kind"], ranks)
+    found = quantiles.at_ranks(counts.filter(~is_duration | (value > 0)), [*stage, "kind"], ranks, few)
     at = {x: F.max(F.when(F.col("name") == x, value)) for x in places}
     medians = found.groupBy(*stage).agg(((at["low"] + at["high"]) / 2).alias("median_duration"), at["input"].alias("median_input"))
     stats = stats.drop("_n").join(medians, stage, "left")
     skew = F.try_divide(F.col("max_duration"), F.col("median_duration"))
-    stats = stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False)))
+    stats = checkpointed(stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False))))
     over = F.when(is_duration, value > ratio * F.col("median_duration")).otherwise((value > ratio * F.col("median_input")) & (F.col("median_input") > 0))
     # Counts, not tasks, meet the medians.
-    flags = counts.join(stats.select(*stage, "median_duration", "median_input"), stage).filter(over)
+    limits = stats.select(*stage, "median_duration", "median_input")
+    flags = counts.join(F.broadcast(limits) if few else limits, stage).filter(over)
     slow = flags.groupBy(*stage).agg(F.sum(F.when(is_duration, n)).alias("n_stragglers"), F.sum(F.when(~is_duration, n)).alias("n_input_skewed"))
     out = stats.join(slow, stage, "left").fillna(0, ["n_stragglers", "n_input_skewed"])
     return out.select(*stage, "n_tasks", "median_duration", "max_duration", "median_input", "skew_ratio", "is_skewed", "n_stragglers", "n_input_skewed")

@@ -164,11 +164,17 @@ def block_lines(marked: DataFrame, most: int, per_range: int) -> DataFrame:
     ranges = marked.groupBy("log_id", part).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     ranges = checkpointed(ranges)
     log = f"log_id {marked.schema['log_id'].dataType.simpleString()}, "
-    bare = ranges.select("log_id", "part", F.transform("cells", lambda x: F.struct(x.line_no.alias("line_no"), x.kind.alias("kind"), F.lit(None).cast("string").alias("line"))).alias("cells"))
-    effects = bare.mapInArrow(_effects(most), f"{log}part long, {_EFFECT}")
-    begins = effects.repartition("log_id").sortWithinPartitions("log_id", "part").mapInArrow(_scan(most), f"{log}part long, state int, block long")
-    # Only ranges that have a line to give are read again.
+    # Only ranges that have a line to give are read again; the first of a log begins without a block.
     kept = ranges.filter(F.exists("cells", lambda x: ~x.kind.isin(BLANK, OTHER)))
-    begins = begins.select(F.col("log_id").alias("_log"), F.col("part").alias("_part"), "state", "block")
-    both = kept.join(begins, F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("part") == F.col("_part")))
-    return both.select("log_id", "cells", "state", "block").mapInArrow(_replay(most), f"{log}pos long, line_no long, line string")
+    long = ranges.groupBy("log_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("log_id").alias("_long"))
+    if ranges.filter("part > 0").isEmpty():
+        begun = kept.select("log_id", "cells", F.lit(CLOSED).alias("state"), F.lit(None).cast("long").alias("block"))
+    else:
+        bare = F.transform("cells", lambda x: F.struct(x.line_no.alias("line_no"), x.kind.alias("kind"), F.lit(None).cast("string").alias("line")))
+        several = ranges.select("log_id", "part", bare.alias("cells")).join(long, F.col("log_id").eqNullSafe(F.col("_long")), "left_semi")
+        effects = several.mapInArrow(_effects(most), f"{log}part long, {_EFFECT}")
+        begins = effects.repartition("log_id").sortWithinPartitions("log_id", "part").mapInArrow(_scan(most), f"{log}part long, state int, block long")
+        begins = begins.select(F.col("log_id").alias("_log"), F.col("part").alias("_part"), "state", "block")
+        begun = kept.join(begins, F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("part") == F.col("_part")), "left")
+        begun = begun.select("log_id", "cells", F.coalesce("state", F.lit(CLOSED)).alias("state"), "block")
+    return begun.mapInArrow(_replay(most), f"{log}pos long, line_no long, line string")
