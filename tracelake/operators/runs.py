@@ -86,45 +86,47 @@ def state_counts(instances: DataFrame) -> DataFrame:
     )
 
 
+_DISTRIBUTION = ("app", "stage", "n_tasks", "median_duration", "max_duration", "median_input", "skew_ratio", "is_skewed", "n_stragglers", "n_input_skewed")
+
+
 def task_distribution(tasks: DataFrame, ratio: float = 3.0, most: int = 10_000) -> DataFrame:
     """By (app, stage): median of the durations over 0, the longest, their ratio, whether skewed, and stragglers.
 
-    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs. The tasks of
-    a stage of up to `most` meet in one row; larger stages go by counts of their values (see distribution), which gather
-    nothing. Tasks without app or stage are left out.
+    A task is a straggler over `ratio` medians, and skewed by input over `ratio` upper medians of all inputs. The
+    durations of a stage of up to `most` tasks meet in one buffer; larger stages go by counts of their values (see
+    distribution), which gather nothing. Tasks without app or stage are left out.
     """
     stage = ["app", "stage"]
     tasks = tasks.select(*stage, "duration", "input_bytes").filter("app IS NOT NULL AND stage IS NOT NULL")
     large = checkpointed(tasks.groupBy(*stage).count().filter(F.col("count") > most).drop("count"))
     n = large.count()
     if not n:
-        return _in_one_row(tasks, ratio)
+        return _of_few(tasks, ratio)
     sent = F.broadcast(large) if n <= 20_000 else large
     by_counts = distribution(checkpointed(task_counts(tasks.join(sent, stage, "left_semi"))), ratio)
-    return _in_one_row(tasks.join(sent, stage, "left_anti"), ratio).unionByName(by_counts)
-
-
-def _in_one_row(tasks: DataFrame, ratio: float) -> DataFrame:
-    """task_distribution() of stages whose tasks are few."""
-    sorted_ = lambda c: F.array_sort(F.collect_list(c))  # noqa: E731  nulls are left out
-    by = tasks.groupBy("app", "stage").agg(F.count("*").alias("n_tasks"), F.max("duration").alias("max_duration"), sorted_("duration").alias("_d"), sorted_("input_bytes").alias("_i"))
-    by = by.withColumn("_p", F.filter("_d", lambda x: x > 0))
-    n, skew = F.size("_p"), F.try_divide(F.col("max_duration"), F.col("median_duration"))
-    middle = (F.get("_p", F.floor((n - 1) / 2).cast("int")) + F.get("_p", F.floor(n / 2).cast("int"))) / 2
-    by = by.withColumns({"median_duration": F.when(n > 0, middle), "median_input": F.get("_i", F.floor(F.col("n_tasks") / 2).cast("int"))})
-    over = lambda values, median: F.coalesce(F.size(F.filter(values, lambda x: (x > ratio * F.col(median)) & (F.col(median) > 0))), F.lit(0)).cast("long")
-    return by.select(
-        "app",
-        "stage",
-        "n_tasks",
-        "median_duration",
-        "max_duration",
-        "median_input",
-        skew.alias("skew_ratio"),
-        F.coalesce(skew > ratio, F.lit(False)).alias("is_skewed"),
-        over("_d", "median_duration").alias("n_stragglers"),
-        over("_i", "median_input").alias("n_input_skewed")
+    return _of_few(tasks.join(sent, stage, "left_anti"), ratio).unionByName(by_counts)
+
+
+def _of_few(tasks: DataFrame, ratio: float) -> DataFrame:
+    """task_distribution() of stages whose tasks are few enough for a buffer and a window."""
+    stats = tasks.groupBy("app", "stage").agg(
+        F.count("*").alias("n_tasks"),
+        F.median(F.when(F.col("duration") > 0, F.col("duration"))).alias("median_duration"),
+        F.max("duration").alias("max_duration")
+    )
+    # The upper median by counts of the distinct inputs, so that no task gathers all inputs of a stage.
+    inputs = tasks.filter("input_bytes IS NOT NULL").groupBy("app", "stage", "input_bytes").agg(F.count("*").alias("_n"))
+    inputs = inputs.withColumn("_upto", F.sum("_n").over(Window.partitionBy("app", "stage").orderBy("input_bytes")))
+    upper = inputs.join(stats.select("app", "stage", "n_tasks"), ["app", "stage"]).filter(F.col("_upto") > F.floor(F.col("n_tasks") / 2))
+    stats = stats.join(upper.groupBy("app", "stage").agg(F.min("input_bytes").alias("median_input")), ["app", "stage"], "left")
+    skew = F.try_divide(F.col("max_duration"), F.col("median_duration"))
+    stats = stats.withColumn("skew_ratio", skew).withColumn("is_skewed", F.coalesce(skew > ratio, F.lit(False)))
+    flags = tasks.join(stats.select("app", "stage", "median_duration", "median_input"), ["app", "stage"])
+    slow = flags.groupBy("app", "stage").agg(
+        F.count_if(F.col("duration") > ratio * F.col("median_duration")).alias("n_stragglers"),
+        F.count_if((F.col("input_bytes") > ratio * F.col("median_input")) & (F.col("median_input") > 0)).alias("n_input_skewed")
     )
+    return stats.join(slow, ["app", "stage"]).select(*_DISTRIBUTION)
 
 
 def task_counts(tasks: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def distribution(counts: DataFrame, ratio: float = 3.0) -> DataFrame:
     flags = counts.join(F.broadcast(limits) if few else limits, stage).filter(over)
     slow = flags.groupBy(*stage).agg(F.sum(F.when(is_duration, n)).alias("n_stragglers"), F.sum(F.when(~is_duration, n)).alias("n_input_skewed"))
     out = stats.join(slow, stage, "left").fillna(0, ["n_stragglers", "n_input_skewed"])
-    return out.select(*stage, "n_tasks", "median_duration", "max_duration", "median_input", "skew_ratio", "is_skewed", "n_stragglers", "n_input_skewed")
+    return out.select(*_DISTRIBUTION)
 
 
 def app_skew(distribution: DataFrame) -> DataFrame:

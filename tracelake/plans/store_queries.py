@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, match, postings, quantiles, review
+from ..operators import graph, match, postings, quantiles, review, settings
 from ..sources import files
 from ..sources.store import Journal, KeyedTable
 from .bindings import view
@@ -108,3 +108,16 @@ SELECT project, table_name, block, n, string_agg(workflow, ',' ORDER BY workflow
 def table_user_blocks(s, d):
     blocks = postings.posting_blocks(view(s, d, "table_use"), ["project", "table_name"], "workflow", 3)
     return blocks.select("project", "table_name", "block", "n", F.array_join("members", ",").alias("members"))
+
+
+# A line of each of eight forms by event, in logs of five types: a form is a setting of some of the types.
+@query("""WITH x AS (SELECT event_id, user_id % 5 AS t, event_id % 8 AS f FROM events)
+SELECT CAST(event_id AS VARCHAR) AS log_id FROM x WHERE (t = 0 AND f IN (0, 1)) OR (t = 1 AND f = 2) OR (t = 3 AND f = 4) OR (t IN (2, 4) AND f IN (0, 2, 3, 5))""")
+def typed_settings(s, d):
+    forms = ("--conf spark.x={id}", "spark.memory: {id}", '"channel": {id}', "bash run{id}", "SELECT {id}", "yarn.address={id}", "--conf spark.x={id} at a.b(", "nothing {id}")
+    e = view(s, d, "events")
+    line = F.element_at(F.array(*(F.replace(F.lit(x), F.lit("{id}"), F.col("event_id").cast("string")) for x in forms)), (F.col("event_id") % 8 + 1).cast("int"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("SPARK", "datax", "other", "HIVE", "none"))), (F.col("user_id") % 5 + 1).cast("int"))
+    kind = F.when(F.col("user_id") % 5 != 4, kind)
+    rows = e.select(F.col("event_id").cast("string").alias("log_id"), kind.alias("task_type"), F.lit(1).alias("line_no"), line.alias("line"))
+    return settings.setting_lines(rows).select("log_id")
