@@ -32,3 +32,7 @@ def differences(spark, folder, name, **changed):
 
 def test_workflows_without_tasks(spark, tmp_path):
     assert differences(spark, tmp_path, "workflow_nodes", orders="SELECT * FROM {t} WHERE o_custkey % 10 <> 3") == ([], [])
+
+
+def test_waits_halfway_between_two_numbers(spark, tmp_path):
+    assert differences(spark, tmp_path, "timeout_metrics", events="SELECT * REPLACE (event_id % 4 + 0.5::DOUBLE AS value) FROM {t}") == ([], [])

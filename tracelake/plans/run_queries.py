@@ -170,7 +170,7 @@ def _timeouts(s, d):
         F.col("id").cast("long").alias("ord"),
         F.col("retry").alias("retry_count"),
         F.lit(60).alias("retry_interval"),
-        F.round(F.col("duration") * 3).cast("long").alias("queue_wait"),
+        F.rint(F.col("duration") * 3).cast("long").alias("queue_wait"),
         F.lit(1).alias("data_size"),
         "duration"
     )
