@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import embedded_sql, sql_sources, sql_targets
+from .dense import Dense
 
 # What table names say of their layer, and workflow names of tests and copies.
 OUTPUT_TOKENS = ("ads", "dws", "report", "result", "output")
@@ -61,12 +62,12 @@ def uses_by_workflow(task_uses: DataFrame, tasks: DataFrame) -> DataFrame:
     return task_uses.join(owner, ["project", "task"])
 
 
-def implicit_dependencies(uses: DataFrame, explicit: DataFrame, input_tokens: tuple[str, ...] | None = None) -> DataFrame:
+def implicit_dependencies(uses: DataFrame, explicit: DataFrame | Dense, input_tokens: tuple[str, ...] | None = None) -> DataFrame:
     """Pairs of workflows of a project that share a table which one produces and the other consumes.
 
     (project, upstream, downstream, via_tables, first_table, n_tables, is_explicit, risk). A workflow counts once for a
     table before the join, whose rows are then producers times consumers of each table. input_tokens restricts what counts
-    as consumed.
+    as consumed. Of edges by a rule only those among the pairs are made.
     """
     ends = uses.select("project", "workflow", "table_name", "role").distinct()
     made = ends.filter("role = 'produce'").select("project", "table_name", F.col("workflow").alias("upstream"))
@@ -75,6 +76,8 @@ def implicit_dependencies(uses: DataFrame, explicit: DataFrame, input_tokens: tu
         read = read.filter(names_any(F.col("table_name"), input_tokens))
     pairs = made.join(read, ["project", "table_name"]).filter("upstream != downstream")
     pairs = pairs.groupBy("project", "upstream", "downstream").agg(F.array_sort(F.collect_set("table_name")).alias("via_tables"))
+    if isinstance(explicit, Dense):
+        explicit = explicit.among(pairs.select("project", F.col("upstream").alias("source"), F.col("downstream").alias("target")))
     known = explicit.select(
         "project",
         F.col("source").alias("upstream"),
@@ -97,7 +100,7 @@ def missing_dependencies(implicit: DataFrame, explicit: DataFrame | None = None)
     return implicit.join(known, ["project", "upstream", "downstream"], "left_anti")
 
 
-def independent_dependencies(uses: DataFrame, with_roles: DataFrame, explicit: DataFrame) -> DataFrame:
+def independent_dependencies(uses: DataFrame, with_roles: DataFrame, explicit: DataFrame | Dense) -> DataFrame:
     """Implicit dependencies of independent consumers on producers that aren't tests, by lasting tables only.
 
     has_dependent_task tells whether the dependency is declared; the rest is missing.
@@ -226,7 +229,7 @@ def project_summary(workflows: DataFrame, tasks: DataFrame, uses: DataFrame) ->
     )
 
 
-def role_counts(with_roles: DataFrame, **edges: DataFrame) -> DataFrame:
+def role_counts(with_roles: DataFrame, **edges: DataFrame | Dense) -> DataFrame:
     """Workflows by project and role; for each of edges, such as calls or missing dependencies (all with project), how many
     there are as n_<name>."""
     out = with_roles.groupBy("project").agg(
@@ -234,7 +237,8 @@ def role_counts(with_roles: DataFrame, **edges: DataFrame) -> DataFrame:
         F.count("*").alias("n_workflows"),
     )
     for name, rows in edges.items():
-        out = out.join(rows.groupBy("project").agg(F.count("*").alias(f"n_{name}")), "project", "left")
+        n = rows.counts().groupBy("project").agg(F.sum("n").alias(f"n_{name}")) if isinstance(rows, Dense) else rows.groupBy("project").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(n, "project", "left")
     return out.fillna(0, [f"n_{name}" for name in edges])
 
 

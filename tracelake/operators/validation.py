@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dense import Dense, common_counts, minus
 from .lineage import names_any
 
 ISSUE = ("project", "category", "severity", "subject", "detail")
@@ -20,12 +21,15 @@ def _issues(df: DataFrame, category: str, severity: str, subject: Column, detail
     )
 
 
-def set_differences(a: DataFrame, b: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """What only b has is missing (HIGH), what only a has is extra (MEDIUM)."""
+def set_differences(a: DataFrame | Dense, b: DataFrame | Dense, keys: list[str], category: str) -> DataFrame:
+    """What only b has is missing (HIGH), what only a has is extra (MEDIUM). Edges by a rule are so on both sides."""
     subject = F.concat_ws("->", *keys)
     on = ["project", *keys]
-    missing = b.select(on).distinct().join(a.select(on), on, "left_anti")
-    extra = a.select(on).distinct().join(b.select(on), on, "left_anti")
+    if isinstance(a, Dense):
+        missing, extra = minus(b, a), minus(a, b)
+    else:
+        missing = b.select(on).distinct().join(a.select(on), on, "left_anti")
+        extra = a.select(on).distinct().join(b.select(on), on, "left_anti")
     return _issues(missing, f"{category}_missing", "HIGH", subject, F.lit("")).unionByName(
         _issues(extra, f"{category}_extra", "MEDIUM", subject, F.lit(""))
     )
@@ -109,18 +113,25 @@ def accuracy_checks(workflows: DataFrame, tasks: DataFrame, tables: DataFrame, u
     )
 
 
-def match_rates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """By project: how many of b's keys a has, of how many, and the rate (1 where b has none)."""
+def match_rates(a: DataFrame | Dense, b: DataFrame | Dense, keys: list[str]) -> DataFrame:
+    """By project: how many of b's keys a has, of how many, and the rate (1 where b has none). Edges by a rule are so on
+    both sides."""
     on = ["project", *keys]
-    both = a.select(on).distinct().withColumn("_a", F.lit(1)).join(b.select(on).distinct().withColumn("_b", F.lit(1)), on, "full")
-    out = both.groupBy("project").agg(
-        F.count_if(F.col("_b") == 1).alias("expected"),
-        F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("matched")
-    )
+    if isinstance(a, Dense):
+        none, n = F.lit(0).cast("long"), F.col("n")
+        parts = (a.counts(), none, none), (b.counts(), n, none), (common_counts(a, b), none, n)
+        rows = reduce(DataFrame.unionByName, [x.select("project", e.alias("expected"), m.alias("matched")) for x, e, m in parts])
+        out = rows.groupBy("project").agg(F.sum("expected").alias("expected"), F.sum("matched").alias("matched"))
+    else:
+        both = a.select(on).distinct().withColumn("_a", F.lit(1)).join(b.select(on).distinct().withColumn("_b", F.lit(1)), on, "full")
+        out = both.groupBy("project").agg(
+            F.count_if(F.col("_b") == 1).alias("expected"),
+            F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("matched")
+        )
     return out.withColumn("rate", F.coalesce(F.try_divide("matched", "expected"), F.lit(1.0)))
 
 
-def validate(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame], tables: DataFrame, uses: DataFrame) -> DataFrame:
+def validate(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense], tables: DataFrame, uses: DataFrame) -> DataFrame:
     """All issues between two snapshots (dicts of workflows, tasks and edges, and of calls and classes where there are any)
     and of the tables, with one schema. Tasks may have main_class; classes(project, class, task)."""
     parts = [
@@ -140,7 +151,7 @@ def validate(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame], table
     return reduce(DataFrame.unionByName, parts)
 
 
-def all_rates(graph: dict[str, DataFrame], scheduler: dict[str, DataFrame]) -> DataFrame:
+def all_rates(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense]) -> DataFrame:
     """match_rates() of workflows, tasks and dependencies, with their kind."""
     keys = {"workflows": ["code"], "tasks": ["code"], "edges": ["source", "target"]}
     return reduce(DataFrame.unionByName, [match_rates(graph[k], scheduler[k], on).withColumn("kind", F.lit(k)) for k, on in keys.items()])
