@@ -36,3 +36,9 @@ def test_workflows_without_tasks(spark, tmp_path):
 
 def test_waits_halfway_between_two_numbers(spark, tmp_path):
     assert differences(spark, tmp_path, "timeout_metrics", events="SELECT * REPLACE (event_id % 4 + 0.5::DOUBLE AS value) FROM {t}") == ([], [])
+
+
+def test_table_checks_join_their_uses_without_the_tasks_again(spark):
+    for name, most in (("table_checks", 7), ("accuracy_checks", 13)):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("Relation [") <= most

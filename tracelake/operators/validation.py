@@ -75,11 +75,10 @@ def table_roles(tables: DataFrame, uses: DataFrame) -> DataFrame:
 
 def table_checks(tables: DataFrame, uses: DataFrame, output_tokens: tuple[str, ...] = ("ads", "dws", "report")) -> DataFrame:
     """Tables that nothing uses, and tables that are read but not made, unless they are of an output layer."""
-    r = table_roles(tables, uses)
-    orphan = r.filter(~F.col("produced") & ~F.col("consumed"))
-    unmade = r.filter(~F.col("produced") & F.col("consumed") & ~names_any(F.col("table_name"), output_tokens))
-    name = F.col("table_name")
-    return _issues(orphan, "orphan_table", "MEDIUM", name, F.lit("")).unionByName(_issues(unmade, "no_producer", "MEDIUM", name, F.lit("")))
+    name, unmade = F.col("table_name"), ~F.col("produced")
+    rule = F.when(unmade & ~F.col("consumed"), "orphan_table").when(unmade & ~names_any(name, output_tokens), "no_producer")
+    broken = table_roles(tables, uses).withColumn("category", rule).filter("category IS NOT NULL")
+    return broken.select("project", "category", F.lit("MEDIUM").alias("severity"), name.alias("subject"), F.lit("").alias("detail"))
 
 
 def accuracy_checks(workflows: DataFrame, tasks: DataFrame, tables: DataFrame, uses: DataFrame) -> DataFrame:
