@@ -43,6 +43,9 @@ def test_edges_by_a_rule(spark, monkeypatch, seed, loose):
     assert table(validation.match_rates(a, b, on)) == table(validation.match_rates(frame(ea), frame(eb), on))
     assert table(validation.set_differences(a, b, on, "d")) == table(validation.set_differences(frame(ea), frame(eb), on, "d"))
     assert table(graph.merged_edges(k=frame(eb), r=a)) == table(graph.merged_edges(k=frame(eb), r=frame(ea)))
+    pairs = frame(ea | eb | {("x", "0", "0"), ("q", "1", "2")})
+    told = a.flagged(pairs, "source", "target", "is_edge").collect()
+    assert len(told) == pairs.count() and {tuple(r)[:3] for r in told if r["is_edge"]} == ea and {r["is_edge"] for r in told} <= {True, False}
     roles = spark.createDataFrame([("x", "1", "main"), ("y", "2", "test"), ("w", "3", "child")], "project string, code string, role string")
     assert table(lineage.role_counts(roles, e=a)) == table(lineage.role_counts(roles, e=frame(ea)))
     uses = spark.createDataFrame([(p, str(w), t, role) for p in "xy" for w in range(6) for t, role in ((f"t{w % 4}", "produce"), (f"t{w % 3}", "consume"))], "project string, workflow string, table_name string, role string")

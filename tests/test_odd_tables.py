@@ -42,3 +42,15 @@ def test_table_checks_join_their_uses_without_the_tasks_again(spark):
     for name, most in (("table_checks", 7), ("accuracy_checks", 13)):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert 0 < plan.count("Relation [") <= most
+
+
+def test_ends_of_orders_that_come_twice(spark, tmp_path):
+    twice = "SELECT * FROM {t} UNION ALL SELECT * REPLACE (nullif(o_custkey + 1, 7) AS o_custkey) FROM {t} WHERE o_orderkey % 4 = 0"
+    assert differences(spark, tmp_path, "implicit_dependencies", orders=twice) == ([], [])
+
+
+def test_pairs_are_made_once_and_from_their_ends(spark):
+    for name, most in (("implicit_dependencies", 8), ("missing_dependencies", 8), ("independent_dependencies", 20), ("role_counts", 12)):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        print(name, plan.count("Relation ["))
+        assert 0 < plan.count("Relation [") <= most

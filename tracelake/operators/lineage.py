@@ -67,7 +67,7 @@ def implicit_dependencies(uses: DataFrame, explicit: DataFrame | Dense, input_to
 
     (project, upstream, downstream, via_tables, first_table, n_tables, is_explicit, risk). A workflow counts once for a
     table before the join, whose rows are then producers times consumers of each table. input_tokens restricts what counts
-    as consumed. Of edges by a rule only those among the pairs are made.
+    as consumed. Whether a pair is among edges by a rule is told from its two ends; the edges aren't made.
     """
     ends = uses.select("project", "workflow", "table_name", "role").distinct()
     made = ends.filter("role = 'produce'").select("project", "table_name", F.col("workflow").alias("upstream"))
@@ -77,13 +77,14 @@ def implicit_dependencies(uses: DataFrame, explicit: DataFrame | Dense, input_to
     pairs = made.join(read, ["project", "table_name"]).filter("upstream != downstream")
     pairs = pairs.groupBy("project", "upstream", "downstream").agg(F.array_sort(F.collect_set("table_name")).alias("via_tables"))
     if isinstance(explicit, Dense):
-        explicit = explicit.among(pairs.select("project", F.col("upstream").alias("source"), F.col("downstream").alias("target")))
-    known = explicit.select(
-        "project",
-        F.col("source").alias("upstream"),
-        F.col("target").alias("downstream")
-    ).distinct().withColumn("_known", F.lit(True))
-    flagged = pairs.join(known, ["project", "upstream", "downstream"], "left").withColumn("is_explicit", F.coalesce("_known", F.lit(False))).drop("_known")
+        flagged = explicit.flagged(pairs, "upstream", "downstream", "is_explicit")
+    else:
+        known = explicit.select(
+            "project",
+            F.col("source").alias("upstream"),
+            F.col("target").alias("downstream")
+        ).distinct().withColumn("_known", F.lit(True))
+        flagged = pairs.join(known, ["project", "upstream", "downstream"], "left").withColumn("is_explicit", F.coalesce("_known", F.lit(False))).drop("_known")
     return flagged.select(
         "*",
         F.col("via_tables")[0].alias("first_table"),
