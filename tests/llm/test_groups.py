@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.llm import sharding
 from tracelake.llm.components import components
 from tracelake.llm.repeats import repeats
 from tracelake.llm.sharding import shard
@@ -174,3 +175,16 @@ def test_shards_follow_metadata_and_keep_equal_texts_together(spark):
     assert whole == 60
     kinds = {x: {(r[2], r[3]) for r in rows if got[r[0]]["shard"] == x} for x in range(8)}
     assert sum(map(len, kinds.values())) <= 40  # of 64, were the shards made without regard to the metadata
+
+
+def test_expressions_of_the_tree_do_not_grow_with_the_shards(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, rnd.randint(16, 900), rnd.randint(0, 99)) for i in range(500)], "_id long, size long, text_crc32 long")
+    for shards in (2, 24):
+        nodes = [sharding.Node(i, i, 2) for i in range(shards)]
+        for x in nodes:
+            x.cut, x.left, x.right = [400, 50], sharding.Node(shards + 2 * x.id, x.first, 1), sharding.Node(shards + 2 * x.id + 1, x.first, 1)
+        moved = sharding._moved(df.withColumn("node", F.lit(1)), nodes, shards, sharding._orders(["size"], ["text_crc32", "_id"]))
+        assert all((r["node"] == shards + 2) == ((r["size"], r["text_crc32"]) < (400, 50)) for r in moved.collect())
+        plan = moved._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CASE") + plan.count("if (") <= 4
