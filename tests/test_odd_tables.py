@@ -54,3 +54,8 @@ def test_pairs_are_made_once_and_from_their_ends(spark):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         print(name, plan.count("Relation ["))
         assert 0 < plan.count("Relation [") <= most
+
+
+def test_number_of_what_is_downstream_is_counted_without_making_pairs_distinct_again(spark):
+    plan = plans.QUERIES["impact"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "partial_count(target" in plan

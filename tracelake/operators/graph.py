@@ -52,17 +52,18 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
 
 
 def _all_pairs(found: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
-    """The closure from the pairs up to depth."""
-    rounds, last = [found], found
+    """The closure from the pairs up to depth. Nodes lead the keys: rows are sorted by the first column at first, and a project
+    is the same for many."""
+    rounds, last, key = [found], found, ["source", "target", "project"]
     while max_depth is None or depth < max_depth:
         known = reduce(DataFrame.unionByName, rounds)
-        far = last.filter(F.col("depth") == depth)
+        far = last.filter(F.col("depth") == depth).select("project", "source", "target")
         hop = known.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
-        longer = far.join(hop, ["project", "target"]).filter("next != source").select("project", "source", F.col("next").alias("target"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = far.join(hop, ["target", "project"]).filter("next != source").select("project", "source", F.col("next").alias("target"), (F.col("more") + depth).alias("depth"))
         if max_depth is not None:
             longer = longer.filter(F.col("depth") <= max_depth)
-        longer = longer.groupBy("project", "source", "target").agg(F.min("depth").alias("depth"))
-        last = checkpointed(longer.join(known.select("project", "source", "target"), ["project", "source", "target"], "left_anti"))
+        longer = longer.groupBy(key).agg(F.min("depth").alias("depth"))
+        last = checkpointed(longer.join(known.select(key), key, "left_anti").select("project", "source", "target", "depth"))
         depth *= 2
         if last.isEmpty():
             break
@@ -197,11 +198,11 @@ def edited_closure(found: DataFrame, edges: DataFrame, added: DataFrame, removed
 
 
 def reached_index(all_pairs: DataFrame) -> DataFrame:
-    """Direct and all downstream codes of each source, and their number."""
+    """Direct and all downstream codes of each source, and their number; all_pairs has each pair once, as closure() gives them."""
     return all_pairs.groupBy("project", "source").agg(
         F.array_sort(F.collect_set(F.when(F.col("depth") == 1, F.col("target")))).alias("direct"),
         F.array_sort(F.collect_set("target")).alias("all"),
-        F.countDistinct("target").alias("n")
+        F.count("target").alias("n")
     )
 
 
@@ -425,7 +426,7 @@ def sub_workflow_impact(task_edges: DataFrame, tasks: DataFrame, calls: DataFram
     owner = tasks.select("project", F.col("code").alias("source"), "workflow")
     other = tasks.select("project", F.col("code").alias("target"), F.col("workflow").alias("to_workflow"))
     inner = clean(task_edges).join(owner, ["project", "source"]).join(other, ["project", "target"]).filter("workflow = to_workflow").select("project", "source", "target")
-    within_sub = closure(inner).groupBy("project", "source").agg(F.countDistinct("target").alias("n")).join(owner, ["project", "source"])
+    within_sub = closure(inner).groupBy("source", "project").agg(F.count("target").alias("n")).join(owner, ["project", "source"])
     sub = within_sub.select("project", "workflow", F.col("source").alias("task"), F.lit("sub").alias("scope"), "n")
     after = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("workflow")).join(
         index.select("project", F.col("source").alias("parent"), "n"),
