@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 
 from tracelake import plans
+from tracelake.operators import graph
 
 from test_queries import SF, TABLES, shown
 
@@ -59,3 +60,17 @@ def test_pairs_are_made_once_and_from_their_ends(spark):
 def test_number_of_what_is_downstream_is_counted_without_making_pairs_distinct_again(spark):
     plan = plans.QUERIES["impact"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "count(distinct" not in plan and "partial_count(target" in plan
+
+
+def test_edit_of_a_long_chain_takes_rounds_that_double(spark, monkeypatch):
+    chain = [("p", k, k + 1) for k in range(40)]
+    edges = spark.createDataFrame(chain, "project string, source long, target long").repartition(2)
+    gone, come = edges.filter("source = 38"), spark.createDataFrame([("p", 39, 50)], edges.schema)
+    found = graph.checkpointed(graph.closure(edges))
+    made, before = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (made.append(1), before(df))[1])
+    rows, sources = graph.edited_closure(found, edges, come, gone)
+    got = {tuple(r) for r in rows.select("source", "target", "depth").collect()}
+    assert {r.source for r in sources.collect()} == set(range(40))
+    assert got == {(a, b, b - a) for a in range(38) for b in range(a + 1, 39)} | {(39, 40, 1), (39, 50, 1)}
+    assert len(made) < 25

@@ -37,7 +37,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     """
     steps = checkpointed(clean(edges).filter("source != target"))
     if seeds is None:
-        return _all_pairs(checkpointed(steps.withColumn("depth", F.lit(1))), 1, max_depth)
+        return _all_pairs(steps.withColumn("depth", F.lit(1)), 1, max_depth)
     first = steps.join(seeds.select("project", "source").distinct(), ["project", "source"], "left_semi")
     frontier = checkpointed(first.withColumn("depth", F.lit(1)))
     rounds, hop = [frontier], steps.select("project", F.col("source").alias("target"), F.col("target").alias("next"))
@@ -51,14 +51,15 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     return reduce(DataFrame.unionByName, rounds)
 
 
-def _all_pairs(found: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
-    """The closure from the pairs up to depth. Nodes lead the keys: rows are sorted by the first column at first, and a project
-    is the same for many."""
+def _all_pairs(found: DataFrame, depth: int, max_depth: int | None = None, others: DataFrame | None = None) -> DataFrame:
+    """The closure from the pairs up to depth; others are all pairs of other sources, if these are known. Nodes lead the keys:
+    rows are sorted by the first column at first, and a project is the same for many."""
     rounds, last, key = [found], found, ["source", "target", "project"]
     while max_depth is None or depth < max_depth:
         known = reduce(DataFrame.unionByName, rounds)
         far = last.filter(F.col("depth") == depth).select("project", "source", "target")
-        hop = known.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
+        hop = known if others is None else known.unionByName(others.filter(F.col("depth") <= depth))
+        hop = hop.select("project", F.col("source").alias("target"), F.col("target").alias("next"), F.col("depth").alias("more"))
         longer = far.join(hop, ["target", "project"]).filter("next != source").select("project", "source", F.col("next").alias("target"), (F.col("more") + depth).alias("depth"))
         if max_depth is not None:
             longer = longer.filter(F.col("depth") <= max_depth)
@@ -151,7 +152,8 @@ def edited_closure(found: DataFrame, edges: DataFrame, added: DataFrame, removed
 
     found is the closure of edges (project, source, target, depth), removed and added are edges that go and come. sources
     (project, source) are those whose rows are to be replaced by rows; all others keep theirs. A removed edge counts for
-    the sources on one of whose shortest paths it lies; what they reach is derived again from the edges that stay. An added
+    the sources on one of whose shortest paths it lies; what they reach is derived again from the edges that stay and from the
+    rows of the other sources, in rounds that double the depth. An added
     edge leads from all that reach its start to all that its end reaches, over other added edges too.
     """
     key = ["project", "source", "target"]
@@ -163,11 +165,12 @@ def edited_closure(found: DataFrame, edges: DataFrame, added: DataFrame, removed
     end = found.select("project", F.col("source").alias("s"), "target", F.col("depth").alias("_b"))
     reach = start.unionByName(own).join(old, ["project", "source"])
     hit = checkpointed(reach.join(end, ["project", "s", "target"]).filter("_b = _a + 1").select("project", F.col("s").alias("source")).distinct())
-    again = closure(now, hit) if not hit.isEmpty() else found.limit(0)
-    kept = found.join(hit, ["project", "source"], "left_anti").unionByName(again)
+    others = checkpointed(found.select(*key, "depth").join(hit, ["project", "source"], "left_anti").select(*key, "depth"))
+    first = checkpointed(now.filter("source != target").join(hit, ["project", "source"], "left_semi").select(*key, F.lit(1).alias("depth")))
+    again = _all_pairs(first, 1, others=others)
     if new.isEmpty():
         return again, hit
-    kept = checkpointed(kept)
+    kept = others.unionByName(again)
     # Distances between the ends of added edges: over the edges, and from an end to a start by what is known.
     ends = new.select("project", F.col("target").alias("source")).distinct()
     starts = new.select("project", F.col("source").alias("target")).distinct()

@@ -53,12 +53,12 @@ _EDITED = _CLOSURE.format(e="edited").replace("WITH RECURSIVE ", "WITH RECURSIVE
 
 
 def _edits(s, d):
-    """Edges, some that come, and some that go."""
-    edges = view(s, d, "wf_edge")
+    """Edges, some that come, and some that go, with codes as numbers."""
+    edges = view(s, d, "wf_edge", "BIGINT")
     nodes = view(s, d, "customer").select(F.col("c_custkey").alias("k"))
     last = nodes.agg(F.max("k")).first()[0]
-    come = nodes.filter((F.col("k") % 211 == 7) & (F.col("k") + 3 <= last)).select(F.lit("p").alias("project"), F.col("k").cast("string").alias("source"), (F.col("k") + 3).cast("string").alias("target"))
-    gone = edges.filter(F.col("source").cast("long") % 101 == 50)
+    come = nodes.filter((F.col("k") % 211 == 7) & (F.col("k") + 3 <= last)).select(F.lit("p").alias("project"), F.col("k").alias("source"), (F.col("k") + 3).alias("target"))
+    gone = edges.filter(F.col("source") % 101 == 50)
     return edges, come.join(edges, ["project", "source", "target"], "left_anti"), gone
 
 
@@ -69,7 +69,7 @@ def edited_closure(s, d):
     index = files.closure_index(s, _place(s), 16)
     files.build_closure(index, edges, "built")
     files.edit_closure(index, edges, come, gone, "edited")
-    return index.read().select("project", "source", "target")
+    return index.read().select("project", *(F.col(c).cast("string").alias(c) for c in ("source", "target")))
 
 
 @query("""WITH RECURSIVE reach AS (SELECT project, source, target FROM loop_edge UNION SELECT r.project, r.source, e.target FROM reach r JOIN loop_edge e ON e.project = r.project AND e.source = r.target), n AS (SELECT project, source AS code FROM loop_edge UNION SELECT project, target FROM loop_edge)

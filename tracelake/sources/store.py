@@ -132,7 +132,8 @@ class KeyedTable:
 
     def _commit(self, log: dict, rows: DataFrame, touched: list[str], batch: str) -> int:
         version, name = log["version"] + 1, uuid.uuid4().hex
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder.path}/data/{name}")
+        # A bucket that is large is written by several tasks.
+        rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder.path}/data/{name}")
         written = {x.split("=")[1] for x in self.folder.names(f"data/{name}") if x.startswith("_bucket=")}
         kept = {b: v for b, v in log["buckets"].items() if b not in touched}
         new = {"version": version, "schema": rows.schema.jsonValue(), "buckets": kept | dict.fromkeys(written, name), "batches": [*log["batches"], batch]}
@@ -162,9 +163,9 @@ class KeyedTable:
         log = self._log(None)
         if _safe(batch) in log["batches"]:
             return None
+        if log["schema"] is None:
+            return self._commit(log, rows, [], batch)
         groups, rows = checkpointed(groups.select(*self.by).distinct()), checkpointed(rows)
         touched = sorted({*self._touched(groups), *self._touched(rows)})
-        new = rows
-        if log["schema"] is not None:
-            new = self._rows(log, touched).select(*rows.columns).join(groups, list(self.by), "left_anti").select(*rows.columns).unionByName(rows)
+        new = self._rows(log, touched).select(*rows.columns).join(groups, list(self.by), "left_anti").select(*rows.columns).unionByName(rows)
         return self._commit(log, new, touched, batch)
