@@ -1,12 +1,14 @@
 """Registered queries against their SQL on the smallest tables with one of them changed."""
 
+import re
 import shutil
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 
 from tracelake import plans
-from tracelake.operators import graph
+from tracelake.operators import graph, logs, segments
 
 from test_queries import SF, TABLES, shown
 
@@ -74,3 +76,21 @@ def test_edit_of_a_long_chain_takes_rounds_that_double(spark, monkeypatch):
     assert {r.source for r in sources.collect()} == set(range(40))
     assert got == {(a, b, b - a) for a in range(38) for b in range(a + 1, 39)} | {(39, 40, 1), (39, 50, 1)}
     assert len(made) < 25
+
+
+def test_blocks_of_many_short_logs_come_together():
+    cell = pa.struct([("line_no", pa.int64()), ("kind", pa.int32()), ("line", pa.string())])
+    cells = pa.array([[], *([{"line_no": 1, "kind": segments.START, "line": f"e{k}"}, {"line_no": 2, "kind": segments.OTHER, "line": None}] for k in range(5000))], pa.list_(cell))
+    n = len(cells)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(-1, n - 1)), cells, pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64())], names=["log_id", "cells", "state", "block"])
+    got = list(segments._replay(30)([whole.slice(0, 7), whole.slice(7)]))
+    assert [(r["log_id"], r["pos"], r["line_no"], r["line"]) for b in got for r in b.to_pylist()] == [(k, 1, 1, f"e{k}") for k in range(5000)]
+    assert len(got) <= 3
+
+
+def test_lines_are_tested_for_starts_as_by_each_pattern():
+    whole = logs._any(logs.STARTS, "(?i)")
+    assert whole.count(r"\b(?:") == 1 and whole.startswith("(?i)^(?:")
+    texts = ("an error here", "terror", "xprocess has exited, exitStatusCode = 3", "exitStatusCode: 0", "java.io.IOException", "see java.io.X", "run /bin/bash: error", "FooError: x", "a FooError: x", "ORA-1", "grep: x", "my grep: x", "Path a does not exist", "table x doesnt exist", "")
+    for text in texts:
+        assert bool(re.search(whole, text)) == any(re.search(p, text, re.I) for p in logs.STARTS), text

@@ -153,7 +153,13 @@ def trimmed(c: Column) -> Column:
 
 
 def _any(patterns: tuple[str, ...], flags: str = "") -> str:
-    return flags + "|".join(f"(?:{p})" for p in patterns)
+    """One pattern for all. Those that begin the text, or a word, are tested only there and not at each place."""
+    groups: dict[str, list[str]] = {"^": [], r"\b": [], "": []}
+    for p in patterns:
+        # A bar outside brackets would leave the rest without its anchor.
+        head = next(h for h in groups if p.startswith(h) and not (h and "|" in p))
+        groups[head].append(f"(?:{p[len(head):]})")
+    return flags + "|".join(f"{head}(?:{'|'.join(ps)})" for head, ps in groups.items() if ps)
 
 
 def error_blocks(log_lines: DataFrame, most: int = 30, per_range: int = 4096) -> DataFrame:

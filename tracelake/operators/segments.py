@@ -29,6 +29,9 @@ BLANK, START, HARD, SOFT, OTHER, LATE = range(6)
 #: States: CLOSED, lines of an open block so far (up to the limit), ABSORBING. Each goes with the place of its block.
 CLOSED, ABSORBING = 0, -1
 
+#: Lines after which a task hands on what it has.
+PER_BATCH = 4096
+
 
 def step(state: int, block: int | None, kind: int, line_no: int, most: int) -> tuple[int, int | None, bool]:
     """State and block after a line, and whether the line is part of that block."""
@@ -130,25 +133,28 @@ def _scan(most: int):
 
 
 def _replay(most: int):
-    """Of ranges with the state in which they begin, the lines of blocks."""
+    """Of ranges with the state in which they begin, the lines of blocks, those of many short logs together."""
 
     def run(batches):
         for batch in batches:
-            begins = list(zip(batch["state"].to_pylist(), batch["block"].to_pylist()))
-            for row, kinds, numbers, lines in _cells(batch):
-                state, block = begins[row]
-                taken, blocks = [], []
-                for k, (kind, line_no) in enumerate(zip(kinds, numbers)):
-                    state, block, kept = step(state, block, kind, line_no, most)
+            cells = batch["cells"]
+            flat, ends = cells.flatten(), cells.offsets.to_pylist()
+            kinds, numbers = flat.field("kind").to_pylist(), flat.field("line_no").to_pylist()
+            rows, taken, blocks = [], [], []
+            for row, (state, block) in enumerate(zip(batch["state"].to_pylist(), batch["block"].to_pylist())):
+                for k in range(ends[row] - ends[0], ends[row + 1] - ends[0]):
+                    state, block, kept = step(state, block, kinds[k], numbers[k], most)
                     if kept:
+                        rows.append(row)
                         taken.append(k)
                         blocks.append(block)
-                if taken:
+                if len(taken) >= PER_BATCH or taken and row == len(batch) - 1:
                     at = pa.array(taken, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch["log_id"].take(pa.array([row] * len(taken))), pa.array(blocks, pa.int64()), pa.array([numbers[k] for k in taken], pa.int64()), lines.take(at)],
+                        [batch["log_id"].take(pa.array(rows, pa.int64())), pa.array(blocks, pa.int64()), flat.field("line_no").take(at), flat.field("line").take(at)],
                         names=["log_id", "pos", "line_no", "line"],
                     )
+                    rows, taken, blocks = [], [], []
 
     return run
 
