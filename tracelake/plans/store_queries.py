@@ -106,7 +106,7 @@ def merged_quantiles(s, d):
 @query("""WITH u AS (SELECT DISTINCT project, table_name, workflow FROM table_use), r AS (SELECT *, (row_number() OVER (PARTITION BY project, table_name ORDER BY workflow) - 1) // 3 AS block, count(*) OVER (PARTITION BY project, table_name) AS n FROM u)
 SELECT project, table_name, block, n, string_agg(workflow, ',' ORDER BY workflow) AS members FROM r GROUP BY ALL""")
 def table_user_blocks(s, d):
-    blocks = postings.posting_blocks(view(s, d, "table_use"), ["project", "table_name"], "workflow", 3)
+    blocks = postings.posting_blocks(view(s, d, "end_use"), ["project", "table_name"], "workflow", 3)
     return blocks.select("project", "table_name", "block", "n", F.array_join("members", ",").alias("members"))
 
 
