@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest tables with one of them changed."""
 
+import random
 import re
 import shutil
 from pathlib import Path
@@ -94,3 +95,28 @@ def test_lines_are_tested_for_starts_as_by_each_pattern():
     texts = ("an error here", "terror", "xprocess has exited, exitStatusCode = 3", "exitStatusCode: 0", "java.io.IOException", "see java.io.X", "run /bin/bash: error", "FooError: x", "a FooError: x", "ORA-1", "grep: x", "my grep: x", "Path a does not exist", "table x doesnt exist", "")
     for text in texts:
         assert bool(re.search(whole, text)) == any(re.search(p, text, re.I) for p in logs.STARTS), text
+
+
+def test_tasks_after_a_task_in_small_and_large_workflows(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = {(f"w{w}", f"{w}.{rng.randrange(n)}", f"{w}.{rng.randrange(n)}") for w, n in enumerate((3, 9, 20, 30)) for _ in range(n + 3)}
+    want = {}
+    for w, a, _ in edges:
+        seen, at = set(), {a}
+        while at:
+            at = {c for v, b, c in edges if b in at} - seen
+            seen |= at
+        if seen - {a}:
+            want[w, a] = len(seen - {a})
+    frame = spark.createDataFrame([("p", a, b) for _, a, b in edges], "project string, source string, target string")
+    tasks = spark.createDataFrame(sorted({("p", x, w) for w, a, b in edges for x in (a, b)}), "project string, code string, workflow string")
+    calls = spark.createDataFrame([], frame.schema)
+    index = spark.createDataFrame([], "project string, source string, n long")
+    # Rounds over pairs aren't made for small workflows.
+    monkeypatch.setattr(graph, "closure", None)
+    for most in (4096, 10):
+        monkeypatch.setattr(graph, "MOST_EDGES", most)
+        rows = graph.sub_workflow_impact(frame, tasks, calls, index).collect()
+        assert {(r.workflow, r.task): r.n for r in rows if r.scope == "sub"} == {(r.workflow, r.task): r.n for r in rows if r.scope == "total"} == want
+        assert len(rows) == 2 * len(want)
+        monkeypatch.undo()

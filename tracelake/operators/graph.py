@@ -7,11 +7,21 @@ plans stay short and an executor's loss costs a round at most. Only the number o
 import tempfile
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import tracelake
+
 from .dense import EDGE, Dense
 
+#: Functions travel to executors with their code, so that these need not have the package installed.
+cloudpickle.register_pickle_by_value(tracelake)
+
+#: The most edges of a workflow whose tasks are counted in one task.
+MOST_EDGES = 4096
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the folder that spark.checkpoint.dir names. A local session may do without the setting."""
@@ -423,14 +433,79 @@ def parent_impact(edges: DataFrame, calls: DataFrame, index: DataFrame) -> DataF
     return out.withColumns({c: F.coalesce(c, empty) for c in ("in_parent", "beyond")})
 
 
+def _reached_counts(inner: DataFrame) -> DataFrame:
+    """(project, workflow, task, n): how many tasks follow a task, by edges within workflows. A task counts what it finds in
+    each of the workflows with up to MOST_EDGES edges; of larger ones the pairs are found by joins."""
+    key = ["project", "workflow"]
+    inner = checkpointed(inner)
+    large = checkpointed(inner.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > MOST_EDGES).select(key))
+    schema = f"project {inner.schema['project'].dataType.simpleString()}, workflow {inner.schema['workflow'].dataType.simpleString()}, task {inner.schema['source'].dataType.simpleString()}, n long"
+    small = inner if large.isEmpty() else inner.join(large, key, "left_anti")
+    ends = small.groupBy(key).agg(F.collect_list("source").alias("sources"), F.collect_list("target").alias("targets"))
+    counted = ends.mapInArrow(_counts, schema)
+    if large.isEmpty():
+        return counted
+    rest = inner.join(large, key, "left_semi").select(F.struct(key).alias("project"), "source", "target")
+    rest = closure(rest).groupBy("source", "project").agg(F.count("target").alias("n"))
+    return counted.unionByName(rest.select("project.project", "project.workflow", F.col("source").alias("task"), "n"))
+
+
+def _counts(batches):
+    for batch in batches:
+        rows, tasks, numbers = [], [], []
+        for row, (sources, targets) in enumerate(zip(batch["sources"].to_pylist(), batch["targets"].to_pylist())):
+            for task, n in reached_numbers(sources, targets):
+                rows.append(row)
+                tasks.append(task)
+                numbers.append(n)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch["project"].take(at), batch["workflow"].take(at), pa.array(tasks, batch.schema.field("sources").type.value_type), pa.array(numbers, pa.int64())],
+            names=["project", "workflow", "task", "n"],
+        )
+
+
+def reached_numbers(sources: list, targets: list) -> list[tuple]:
+    """Of each source, how many others the edges lead to. Sets are bits of a number; nodes come after those they lead to, so
+    that without cycles one pass finds all."""
+    after: dict = {}
+    for a, b in zip(sources, targets):
+        after.setdefault(a, []).append(b)
+    bit, order = {}, []
+    for start in after:
+        stack = [(start, iter(after[start]))] if start not in bit else []
+        bit.setdefault(start, 1 << len(bit))
+        while stack:
+            node, left = stack[-1]
+            for b in left:
+                if b not in bit:
+                    bit[b] = 1 << len(bit)
+                    if b in after:
+                        stack.append((b, iter(after[b])))
+                        break
+            else:
+                order.append(node)
+                stack.pop()
+    reach, moved = dict.fromkeys(after, 0), True
+    while moved:
+        moved = False
+        for node in order:
+            found = 0
+            for b in after[node]:
+                found |= bit[b] | reach.get(b, 0)
+            if found != reach[node]:
+                reach[node], moved = found, True
+    return [(node, n) for node, found in reach.items() if (n := (found & ~bit[node]).bit_count())]
+
+
 def sub_workflow_impact(task_edges: DataFrame, tasks: DataFrame, calls: DataFrame, index: DataFrame) -> DataFrame:
     """(project, workflow, task, scope, n): tasks that follow a task in its own sub-workflow, and workflows after the
     parent; scopes are sub, parent and total."""
     owner = tasks.select("project", F.col("code").alias("source"), "workflow")
     other = tasks.select("project", F.col("code").alias("target"), F.col("workflow").alias("to_workflow"))
-    inner = clean(task_edges).join(owner, ["project", "source"]).join(other, ["project", "target"]).filter("workflow = to_workflow").select("project", "source", "target")
-    within_sub = closure(inner).groupBy("source", "project").agg(F.count("target").alias("n")).join(owner, ["project", "source"])
-    sub = within_sub.select("project", "workflow", F.col("source").alias("task"), F.lit("sub").alias("scope"), "n")
+    inner = clean(task_edges).filter("source != target").join(owner, ["project", "source"]).join(other, ["project", "target"]).filter("workflow = to_workflow")
+    within_sub = checkpointed(_reached_counts(inner.select("project", "workflow", "source", "target")))
+    sub = within_sub.select("project", "workflow", "task", F.lit("sub").alias("scope"), "n")
     after = calls.select("project", F.col("source").alias("parent"), F.col("target").alias("workflow")).join(
         index.select("project", F.col("source").alias("parent"), "n"),
         ["project", "parent"]
