@@ -9,7 +9,7 @@ import duckdb
 import pyarrow as pa
 
 from tracelake import plans
-from tracelake.operators import graph, logs, segments
+from tracelake.operators import graph, lineage, logs, segments
 
 from test_queries import SF, TABLES, shown
 
@@ -120,3 +120,14 @@ def test_tasks_after_a_task_in_small_and_large_workflows(spark, monkeypatch):
         assert {(r.workflow, r.task): r.n for r in rows if r.scope == "sub"} == {(r.workflow, r.task): r.n for r in rows if r.scope == "total"} == want
         assert len(rows) == 2 * len(want)
         monkeypatch.undo()
+
+
+def test_an_extraction_that_is_given_twice_is_made_once_and_reads_each_file_once(spark):
+    plan = plans.QUERIES["merged_uses"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 3 and plan.count("Relation [") == 7
+
+
+def test_tables_that_a_file_names_twice(spark):
+    text = '"""INSERT INTO aa SELECT 1 FROM bb""" """INSERT INTO aa SELECT 2 FROM bb JOIN aa"""'
+    found = lineage.class_uses(spark.createDataFrame([("p", "c", "t", "/c.java"), ("p", "d", "t", "/no.java")], "project string, class string, task string, path string"), spark.createDataFrame([("/c.java", text), ("/c.java", text), ("/no.java", None)], "path string, content string"))
+    assert sorted((r.table_name, r.role) for r in found.collect()) == [("aa", "consume"), ("aa", "produce"), ("bb", "consume")]

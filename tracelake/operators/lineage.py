@@ -152,16 +152,23 @@ def class_uses(class_files: DataFrame, files: DataFrame) -> DataFrame:
     file names twice counts once.
     """
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    strings = files.select("path", F.explode(embedded_sql(extension, F.col("content"))).alias("sql"))
-    made = strings.select("path", F.explode(sql_targets(F.col("sql"))).alias("table_name"), F.lit("produce").alias("role"))
-    read = strings.select("path", F.explode(sql_sources(F.col("sql"))).alias("table_name"), F.lit("consume").alias("role"))
-    return class_files.join(made.unionByName(read).distinct(), "path").select("project", "class", "task", "table_name", "role").distinct()
+    named = lambda tables, role: F.transform(tables, lambda x: F.struct(x.alias("table_name"), F.lit(role).alias("role")))
+    # Each file is read once, by path, as the join needs it, so that a few large inputs are the work of all tasks. A plain
+    # explode would read it again for a filter that Spark derives from it.
+    strings = files.select("path", "content").repartition("path").select("path", F.explode_outer(embedded_sql(extension, F.col("content"))).alias("sql"))
+    both = F.concat(named(sql_targets(F.col("sql")), "produce"), named(sql_sources(F.col("sql")), "consume"))
+    found = strings.select("path", F.explode_outer(both).alias("_u")).filter("_u IS NOT NULL").select("path", "_u.table_name", "_u.role")
+    return class_files.join(found, "path").select("project", "class", "task", "table_name", "role").distinct()
 
 
 def merged_uses(*results: DataFrame) -> DataFrame:
-    """Uses of tables from several extractions, each once."""
+    """Uses of tables from several extractions, each once; an extraction that is given again isn't made again."""
     columns = ("project", "task", "table_name", "role")
-    return reduce(DataFrame.unionByName, [r.select(*columns) for r in results]).distinct()
+    different: list[DataFrame] = []
+    for r in (r.select(*columns) for r in results):
+        if not any(r.sameSemantics(x) for x in different):
+            different.append(r)
+    return reduce(DataFrame.unionByName, different).distinct()
 
 
 def table_users(uses: DataFrame, table_name: str | None = None, role: str | None = None) -> DataFrame:
