@@ -94,6 +94,25 @@ def test_cycles_and_paths_are_those_of_a_search(data):
     assert found
 
 
+def test_small_parts_take_no_round_a_step(spark, monkeypatch):
+    """A ring of 60 and a chain of 60: rounds would be as many as they are long."""
+    calls, real = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: calls.append(1) or real(df))
+    edges = {(f"n{i:02}", f"n{(i + 1) % 60:02}") for i in range(60)} | {(f"c{i:02}", f"c{i + 1:02}") for i in range(59)}
+    found = graph.cycles(frame(spark, {"p": edges}), 60).collect()
+    assert [list(r.cycle) for r in found] == [[f"n{i:02}" for i in range(60)]]
+    assert len(calls) < 20
+    assert graph.cycles(frame(spark, {"p": edges}), 59).count() == 0
+
+
+@pytest.mark.parametrize("edges,cycle,more", [(0, 0, 0), (9, 256, 19), (4096, 12, 19), (4096, 256, 1)])
+def test_parts_by_rounds_and_by_tasks_are_the_same(data, monkeypatch, edges, cycle, more):
+    want = sorted(map(tuple, graph.cycles(data[1], 6).collect())), sorted(map(tuple, graph.strong_components(data[1]).collect()))
+    for name, value in (("MOST_EDGES", edges), ("CYCLE_EDGES", cycle), ("CYCLE_MORE", more)):
+        monkeypatch.setattr(graph, name, value)
+    assert (sorted(map(tuple, graph.cycles(data[1], 6).collect())), sorted(map(tuple, graph.strong_components(data[1]).collect()))) == want
+
+
 def test_no_path_is_followed_that_cannot_end(spark, data, monkeypatch):
     """From the tail of the ring nothing leads back to a: the first frontier is empty."""
     seen = []

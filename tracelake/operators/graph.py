@@ -6,6 +6,7 @@ plans stay short and an executor's loss costs a round at most. Only the number o
 
 import tempfile
 from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,8 +20,11 @@ from .dense import EDGE, Dense
 #: Functions travel to executors with their code, so that these need not have the package installed.
 cloudpickle.register_pickle_by_value(tracelake)
 
-#: The most edges of a workflow whose tasks are counted in one task.
+#: The most edges of a workflow, or of a connected part of a graph, that are looked at in one task.
 MOST_EDGES = 4096
+#: One task finds the cycles of a component with so many edges, and so many more edges than nodes, at most. With k more
+#: there are fewer than 2 ** (k + 1) cycles.
+CYCLE_EDGES, CYCLE_MORE = 256, 19
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -82,15 +86,122 @@ def _all_pairs(found: DataFrame, depth: int, max_depth: int | None = None, other
     return reduce(DataFrame.unionByName, rounds)
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(project, code, root) of every node that has an edge to another one: the smallest node that it is connected with,
+    whichever way edges lead. By alternating large-star and small-star joins, whose rounds grow with the logarithm of the
+    longest chain."""
+    at = edges.filter("source != target AND project IS NOT NULL").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"), "project")
+    at, before = checkpointed(at.distinct()), None
+    while (state := at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v", "project"))).first()) != before:
+        before = state
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"), "project"))
+        least = both.groupBy("u", "project").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "project")
+        large = at.join(least, ["v", "project"]).select("u", F.col("m").alias("v"), "project").distinct()
+        lowest = large.groupBy("u", "project").agg(F.min("v").alias("m"))
+        moved = large.join(lowest, ["u", "project"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"), "project")
+        at = checkpointed(lowest.select("u", F.col("m").alias("v"), "project").unionByName(moved).distinct())
+    roots = at.select("project", F.col("v").alias("code"), F.col("v").alias("root")).distinct()
+    return at.select("project", F.col("u").alias("code"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _by_part(edges: DataFrame, part: str, found, schema: str) -> DataFrame:
+    """The rows that found(edges of a part) gives for each part of edges (project, part, source, target), with the project
+    before them. A task reads its parts in order and keeps the edges of one at a time."""
+
+    def search(batches):
+        types, out = None, []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        def read():
+            nonlocal types
+            for batch in batches:
+                project, code = batch.schema.field("project").type, batch.schema.field("source").type
+                types = [project, *(pa.list_(code) if x == "cycle" else code for x in names[1:])]
+                yield from zip(*(batch[c].to_pylist() for c in ("project", part, "source", "target")))
+
+        for (project, _), rows in groupby(read(), key=lambda r: r[:2]):
+            for row in found([r[2:] for r in rows]):
+                out.append((project, *row))
+                if len(out) == 8192:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = edges.select("project", part, "source", "target").repartition(part, "project").sortWithinPartitions(part, "project")
+    return rows.mapInArrow(search, schema)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(project, code, component) of every node that has an edge: the smallest node of its strongly connected component.
 
+    Connected parts of up to MOST_EDGES edges are each looked at in one task; only larger ones are left to rounds.
+    """
+    all_edges = checkpointed(clean(edges))
+    roots = weak_components(all_edges).withColumnRenamed("code", "source")
+    parts = checkpointed(all_edges.filter("source != target").join(roots, ["source", "project"]))
+    large = checkpointed(parts.groupBy("root", "project").agg(F.count("*").alias("_n")).filter(F.col("_n") > MOST_EDGES).select("root", "project"))
+    none = large.isEmpty()
+    project, code = (all_edges.schema[c].dataType.simpleString() for c in ("project", "source"))
+    small = parts if none else parts.join(large, ["root", "project"], "left_anti")
+    members = _by_part(small, "root", components_of, f"project {project}, code {code}, component {code}")
+    if not none:
+        members = members.unionByName(_components_by_rounds(parts.join(large, ["root", "project"], "left_semi").select("project", "source", "target")))
+    nodes = all_edges.select("project", F.explode(F.array("source", "target")).alias("code")).distinct()
+    return nodes.join(members, ["code", "project"], "left").select("project", "code", F.coalesce("component", "code").alias("component"))
+
+
+def components_of(edges: list[tuple]) -> list[tuple]:
+    """(node, component) of those nodes that are in a component of two nodes or more. A node is done once all after it are;
+    of those that are open, the ones from the first that it leads back to are a component then."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    number, low, open_, inside, out = {}, {}, [], set(), []
+    for start in after:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        inside.add(start)
+        stack = [(start, iter(after[start]))]
+        while stack:
+            node, left = stack[-1]
+            for b in left:
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    open_.append(b)
+                    inside.add(b)
+                    stack.append((b, iter(after.get(b, ()))))
+                    break
+                if b in inside:
+                    low[node] = min(low[node], number[b])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    found = [open_.pop()]
+                    while found[-1] != node:
+                        found.append(open_.pop())
+                    inside.difference_update(found)
+                    if len(found) > 1:
+                        least = min(found)
+                        out += [(x, least) for x in found]
+    return out
+
+
+def _components_by_rounds(edges: DataFrame) -> DataFrame:
+    """(project, code, component) of those nodes that are in a component of two nodes or more.
+
     Nodes that nothing leads to, or that lead nowhere, are components of their own and are peeled off first, layer by layer.
     In what is left every node takes the greatest node that reaches it as its colour; the nodes that reach the one that gave
     the colour are its component. Edges between colours go, and the rest is done again.
     """
-    all_edges = checkpointed(clean(edges))
-    left, done = _peeled(all_edges.filter("source != target")), []
+    left, done = _peeled(edges), []
     while not left.isEmpty():
         nodes = left.select("project", F.explode(F.array("source", "target")).alias("code")).distinct()
         colours = checkpointed(nodes.select("project", "code", F.col("code").alias("colour"), F.lit(True).alias("moved")))
@@ -117,13 +228,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         for end in ("source", "target"):
             inside = inside.join(members.select("project", F.col("code").alias(end)), ["project", end], "left_anti")
         left = _peeled(inside.drop("colour"))
-    nodes = all_edges.select("project", F.explode(F.array("source", "target")).alias("code")).distinct()
     if not done:
-        return nodes.withColumn("component", F.col("code"))
+        return edges.select("project", F.col("source").alias("code"), F.col("source").alias("component")).limit(0)
     members = checkpointed(reduce(DataFrame.unionByName, done))
     named = members.groupBy("project", "colour").agg(F.min("code").alias("component"))
-    members = members.join(named, ["project", "colour"]).select("project", "code", "component")
-    return nodes.join(members, ["project", "code"], "left").withColumn("component", F.coalesce("component", "code"))
+    return members.join(named, ["project", "colour"]).select("project", "code", "component")
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
@@ -318,31 +427,79 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
 def cycles(edges: DataFrame, max_depth: int) -> DataFrame:
     """(project, cycle): each simple cycle of at most max_depth edges once, from its smallest node; loops included.
 
-    Only edges within strongly connected components are followed, and a path only as far as it can come back in time.
+    Only edges within strongly connected components are followed, and a path only as far as it can come back in time. A
+    component with few edges (CYCLE_EDGES, CYCLE_MORE) is looked at in one task; others are followed in rounds.
     """
     steps = checkpointed(clean(edges))
     loops = steps.filter("source = target").select("project", F.array("source").alias("cycle"))
     members = checkpointed(strong_components(steps))
     inside = steps.filter("source != target")
     for end in ("source", "target"):
-        inside = inside.join(members.select("project", F.col("code").alias(end), F.col("component").alias(f"_{end}")), ["project", end])
-    inside = checkpointed(inside.filter("_source = _target").select("project", "source", "target"))
-    if inside.isEmpty():
-        return loops
+        inside = inside.join(members.select("project", F.col("code").alias(end), F.col("component").alias(f"_{end}")), [end, "project"])
+    inside = checkpointed(inside.filter("_source = _target").select("project", "source", "target", F.col("_source").alias("component")))
+    key = ["component", "project"]
+    # Every node of a component leads on, so that its nodes are its sources.
+    out = inside.groupBy("source", *key).agg(F.count("*").alias("_n")).groupBy(key).agg(F.sum("_n").alias("_n"), F.count("*").alias("_nodes"))
+    large = checkpointed(out.filter((F.col("_n") > CYCLE_EDGES) | (F.col("_n") - F.col("_nodes") > CYCLE_MORE)).select(key))
+    none = large.isEmpty()
+    project, code = (steps.schema[c].dataType.simpleString() for c in ("project", "source"))
+    small = inside if none else inside.join(large, key, "left_anti")
+    out = loops.unionByName(_by_part(small, "component", lambda part: cycles_of(part, max_depth), f"project {project}, cycle array<{code}>"))
+    if none:
+        return out
+    return out.unionByName(_cycles_by_rounds(inside.join(large, key, "left_semi").select("project", "source", "target"), max_depth))
+
+
+def cycles_of(edges: list[tuple], max_depth: int):
+    """Each simple cycle of at most max_depth of edges without loops, as a list from its smallest node."""
+    after, before = {}, {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        before.setdefault(b, []).append(a)
+    for first in after:
+        # How far it is back to the first node, over greater ones.
+        left, at, depth = {first: 0}, [first], 0
+        while at and depth < max_depth:
+            depth, far = depth + 1, at
+            at = []
+            for b in far:
+                for a in before.get(b, ()):
+                    if a > first and a not in left:
+                        left[a] = depth
+                        at.append(a)
+        path, stack = [first], [iter(after[first])]
+        while stack:
+            for b in stack[-1]:
+                if b == first:
+                    if len(path) <= max_depth:
+                        yield (list(path),)
+                elif b in left and b not in path and len(path) + left[b] <= max_depth:
+                    path.append(b)
+                    stack.append(iter(after.get(b, ())))
+                    break
+            else:
+                stack.pop()
+                path.pop()
+
+
+def _cycles_by_rounds(inside: DataFrame, max_depth: int) -> DataFrame:
+    """The cycles of edges within components, all paths together by an edge a round."""
+    inside = checkpointed(inside)
     # How far it is back to a path's first node.
     back = checkpointed(closure(inside, max_depth=max_depth).select("project", F.col("source").alias("next"), F.col("target").alias("first"), F.col("depth").alias("_left")))
     hop = inside.select("project", F.col("source").alias("last"), F.col("target").alias("next"))
     at = hop.filter("next > last").select("project", F.array("last", "next").alias("path"))
-    out = loops
+    out = None
     for depth in range(2, max_depth + 1):
         step = at.select("project", "path", F.element_at("path", -1).alias("last"), F.col("path")[0].alias("first")).join(hop, ["project", "last"])
-        out = out.unionByName(step.filter("next = first").select("project", F.col("path").alias("cycle")))
+        found = step.filter("next = first").select("project", F.col("path").alias("cycle"))
+        out = found if out is None else out.unionByName(found)
         open_ = step.filter((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
         open_ = open_.join(back, ["project", "next", "first"]).filter(F.col("_left") <= max_depth - depth)
         at = checkpointed(open_.select("project", F.array_append("path", F.col("next")).alias("path")))
         if at.isEmpty():
             break
-    return out
+    return at.select("project", F.col("path").alias("cycle")).limit(0) if out is None else out
 
 
 def downstream_in_workflow(edges: DataFrame, tasks: DataFrame, project: str, task: str) -> DataFrame:
