@@ -6,14 +6,16 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelake.llm import langid, pieces, pii, quality
+from tracelake.llm import bytehash, langid, pieces, pii, quality
 from tracelake.llm.chat import format_turns, read_back, read_turn, text_parts
 from tracelake.llm.decontaminate import drop_contaminated, overlaps
 from tracelake.llm.langid import fit, identify, keep_identified, predict
@@ -147,6 +149,32 @@ def test_overlaps_survive_substitutions(spark):
     assert overlaps(docs, bench.limit(0)).count() == 0 and overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_texts_are_hashed_together_each_by_itself(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abZ é9,. ") for _ in range(rnd.choice((0, 1, 5, 300)))) for _ in range(500)] + ["x" * 70, "", "a" * 30 + " b"]
+
+    def plain(text):
+        out = []
+        for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()):
+            h = 0
+            for c in re.sub(rb"[A-Z]", lambda m: m[0].lower(), token):
+                h = (h * bytehash.BASE + c + 1) % 2**64
+            out.append(h ^ len(token) << 56)
+        return bytehash.mix(np.array(out, np.uint64)).tolist()
+
+    for size, most in ((1 << 18, 1), (1000, 500), (20, 600)):
+        monkeypatch.setattr(bytehash, "TOGETHER", size)
+        groups = list(bytehash.hashes_by_text(pa.array(["before", *texts]).slice(1)))
+        assert len(groups) <= most
+        assert [(row + k, tokens[first[k] : first[k + 1]].tolist()) for row, tokens, first in groups for k in range(len(first) - 1)] == [(i, plain(t)) for i, t in enumerate(texts)]
+    assert [bytehash.token_hashes(t.encode()).tolist() for t in texts] == [plain(t) for t in texts]
+    item = [f"w{k}" for k in range(16)]
+    docs = frame(spark, [" ".join(item[:8]), " ".join(item[8:]), " ".join(item[:8]), "", " ".join(item[8:]), " ".join(item[:12])]).coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item * 2))], "item_id long, text string")
+    for limit in (20_000, 0):
+        assert [r["doc_id"] for r in overlaps(docs, bench, broadcast_items=limit).collect()] == [5]
+
+
 def test_chat_reads_back_what_was_written(spark):
     turns = [(1, 0, "user", "hi\n### x"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "b"), (2, 0, None, None), (None, 3, "sys\ntem", "<image 0>"), (3, 0, "assistant", "x" * 100000)]
     turns += [(4, 0, "user", "#a"), (4, 0, "user", "A"), (4, 0, "a#", "z"), (4, 0, "ab", "y")]  # equal turns go by role and text, not as they are escaped

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import mix, token_hashes
+from .bytehash import hashes_by_text, mix, token_hashes
 from .common import checkpointed
 
 #: Families of masks, the most selective first. A family serves a rule only where covers() proves it.
@@ -35,6 +35,8 @@ FAMILIES = (
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter of benchmark seeds, 16 MB whatever the benchmark's size, and pairs that are looked at together.
 _FILTER, _PAIRS = 1 << 27, 1 << 20
+#: The most bits of a seed that a filter goes by where the benchmark is broadcast; each takes a byte, 4 MB a mask.
+_BROADCAST_FILTER = 22
 
 
 def needed(tokens: int, least: int, share: float) -> int:
@@ -153,9 +155,17 @@ def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _alignments(known: np.ndarray, of: np.ndarray, place: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+def _inside(at: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Those of places among the tokens of several documents where mask stays in one document, and their documents; first
+    has the place of each document's first token."""
+    doc = np.searchsorted(first, at, side="right") - 1
+    whole = at + len(mask) <= first[doc + 1]
+    return at[whole], doc[whole]
+
+
+def _alignments(known: np.ndarray, of: np.ndarray, place: np.ndarray, own: np.ndarray, where: np.ndarray) -> Iterator[np.ndarray]:
     """Alignments of a document with the items whose seeds it has, as numbers: the item, then the shift, moved to be
-    positive. Pairs of equal seeds are looked at some at a time, as a token repeated in both makes very many."""
+    positive; own are seeds of the document and where are their places. Pairs of equal seeds are looked at some at a time, as a token repeated in both makes very many."""
     if not len(known):
         return
     low = np.searchsorted(known, own)
@@ -168,7 +178,7 @@ def _alignments(known: np.ndarray, of: np.ndarray, place: np.ndarray, own: np.nd
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _PAIRS)))
         size = n[begin:end]
         rows = np.repeat(low[begin:end] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        yield np.unique((of[rows] << 33) + (np.repeat(at[begin:end], size) - place[rows] + (1 << 32)))
+        yield np.unique((of[rows] << 33) + (np.repeat(where[at[begin:end]], size) - place[rows] + (1 << 32)))
         begin = end
 
 
@@ -177,30 +187,41 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
     rows = items.collect()
     hashed = [token_hashes(r["item_text"].encode()) for r in rows]
     families = [family(needed(len(t), least, share), similar) for t in hashed]
-    tables = []  # for each mask: the items' seeds in order, and the item and the place of each
+    tables = []  # for each mask: the items' seeds in order, the item and the place of each, and a filter by their last bits
     for f in sorted(set(families)):
         for m in FAMILIES[f]:
             parts = [(i, seeds(t, m)) for i, t in enumerate(hashed) if families[i] == f]
             known = np.concatenate([x for _, x in parts])
             order = np.argsort(known, kind="stable")
             of, place = np.concatenate([np.full(len(x), i) for i, x in parts]), np.concatenate([np.arange(len(x)) for _, x in parts])
-            tables.append((m, known[order], of[order], place[order]))
+            passes = np.zeros(1 << min(max(16 * len(known), 1).bit_length(), _BROADCAST_FILTER), bool)
+            passes[known & np.uint64(len(passes) - 1)] = True
+            tables.append((m, known[order], of[order], place[order], passes))
     shared = texts.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], hashed, tables))
 
     def search(batches):
         ids, hashed, tables = shared.value
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                tokens = token_hashes(text.as_py().encode())
-                found = [x for m, known, of, place in tables for x in _alignments(known, of, place, seeds(tokens, m))]
-                if not found:
-                    continue
-                pairs = np.unique(np.concatenate(found))
-                numbers, shifts = pairs >> 33, (pairs & (1 << 33) - 1) - (1 << 32)
-                for i in np.unique(numbers).tolist():
-                    if counts := _verified(tokens, hashed[i], shifts[numbers == i].tolist(), rule):
-                        out.append((doc, ids[i], *counts))
+            for row, tokens, first in hashes_by_text(batch["text"]):
+                hits = []  # for each mask: documents, places and seeds
+                for m, known, *_, passes in tables:
+                    own = seeds(tokens, m)
+                    at = np.flatnonzero(passes[own & np.uint64(len(passes) - 1)])
+                    if len(at):
+                        at = at[known[np.minimum(np.searchsorted(known, own[at]), len(known) - 1)] == own[at]]
+                    at, docs = _inside(at, first, m)
+                    hits.append((docs, at, own[at]))
+                for doc in np.unique(np.concatenate([h[0] for h in hits])).tolist() if hits else ():
+                    begin, found = first[doc], []
+                    for (docs, at, own), (_, known, of, place, _) in zip(hits, tables):
+                        some = slice(*np.searchsorted(docs, (doc, doc + 1)))
+                        found += _alignments(known, of, place, own[some], at[some] - begin)
+                    pairs = np.unique(np.concatenate(found))
+                    numbers, shifts = pairs >> 33, (pairs & (1 << 33) - 1) - (1 << 32)
+                    for i in np.unique(numbers).tolist():
+                        if counts := _verified(tokens[begin : first[doc + 1]], hashed[i], shifts[numbers == i].tolist(), rule):
+                            out.append((batch["doc_id"][row + doc].as_py(), ids[i], *counts))
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [
@@ -247,14 +268,15 @@ def _by_join(texts: DataFrame, items: DataFrame, rule: _Rule) -> DataFrame:
     def of_docs(batches):
         bits = shared.value
         for batch in batches:
-            for row, text in zip(batch["_row"].to_pylist(), batch["text"]):
-                tokens = token_hashes(text.as_py().encode())
+            rows = batch["_row"].to_numpy()
+            for row, tokens, first in hashes_by_text(batch["text"]):
                 for m in used:
                     own = seeds(tokens, m)
                     at = np.flatnonzero(bits[(own >> np.uint64(6)) % np.uint64(len(bits))] >> (own & np.uint64(63)) & np.uint64(1))
+                    at, docs = _inside(at, first, m)
                     if len(at):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), row)), pa.array(own[at].view(np.int64)), pa.array(at)],
+                            [pa.array(rows[row + docs]), pa.array(own[at].view(np.int64)), pa.array(at - first[docs])],
                             names=["_row", "seed", "at"]
                         )
 
