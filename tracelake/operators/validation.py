@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dense import Dense, common_counts, minus
+from .dense import Dense, common_counts, minus, minus_counts
 from .lineage import names_any
 
 ISSUE = ("project", "category", "severity", "subject", "detail")
@@ -36,14 +36,20 @@ def set_differences(a: DataFrame | Dense, b: DataFrame | Dense, keys: list[str],
 
 
 def attribute_differences(a: DataFrame, b: DataFrame, key: str, attribute: str, category: str) -> DataFrame:
-    both = a.select("project", key, F.col(attribute).alias("_a")).join(b.select("project", key, F.col(attribute).alias("_b")), ["project", key])
-    return _issues(
-        both.filter(~F.col("_a").eqNullSafe(F.col("_b"))),
-        category,
-        "MEDIUM",
-        F.col(key),
-        F.concat_ws(" / ", F.coalesce("_a", F.lit("null")), F.coalesce("_b", F.lit("null")))
-    )
+    return several_differences(a, b, key, {attribute: category})
+
+
+def several_differences(a: DataFrame, b: DataFrame, key: str, categories: dict[str, str]) -> DataFrame:
+    """attribute_differences() of each attribute, with its category; the sides are joined once."""
+    one, other = ([F.col(c).alias(f"_{x}_{c}") for c in categories] for x in "ab")
+    both = a.select("project", key, *one).join(b.select("project", key, *other), ["project", key])
+    told = []
+    for c, category in categories.items():
+        x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        detail = F.concat_ws(" / ", F.coalesce(x, F.lit("null")), F.coalesce(y, F.lit("null")))
+        told.append(F.when(~x.eqNullSafe(y), F.struct(F.lit(category).alias("category"), detail.alias("detail"))))
+    found = both.select("project", F.col(key).alias("subject"), F.explode(F.array(*told)).alias("_issue")).filter("_issue IS NOT NULL")
+    return found.select("project", "_issue.category", F.lit("MEDIUM").alias("severity"), "subject", "_issue.detail")
 
 
 def count_differences(a: DataFrame, b: DataFrame, key: str, category: str) -> DataFrame:
@@ -64,16 +70,17 @@ def set_valued_differences(a: DataFrame, b: DataFrame, key: str, member: str, ca
     )
 
 
-def table_roles(tables: DataFrame, uses: DataFrame) -> DataFrame:
-    """tables (project, table_name) with whether anything makes or reads them."""
+def table_roles(tables: DataFrame | None, uses: DataFrame) -> DataFrame:
+    """tables (project, table_name) with whether anything makes or reads them; without tables, those of the uses."""
     flags = uses.groupBy("project", "table_name").agg(
         F.max(F.col("role") == "produce").alias("produced"),
         F.max(F.col("role") == "consume").alias("consumed")
     )
-    return tables.join(flags, ["project", "table_name"], "left").fillna(False, ["produced", "consumed"])
+    found = flags if tables is None else tables.join(flags, ["project", "table_name"], "left")
+    return found.fillna(False, ["produced", "consumed"])
 
 
-def table_checks(tables: DataFrame, uses: DataFrame, output_tokens: tuple[str, ...] = ("ads", "dws", "report")) -> DataFrame:
+def table_checks(tables: DataFrame | None, uses: DataFrame, output_tokens: tuple[str, ...] = ("ads", "dws", "report")) -> DataFrame:
     """Tables that nothing uses, and tables that are read but not made, unless they are of an output layer."""
     name, unmade = F.col("table_name"), ~F.col("produced")
     rule = F.when(unmade & ~F.col("consumed"), "orphan_table").when(unmade & ~names_any(name, output_tokens), "no_producer")
@@ -130,24 +137,43 @@ def match_rates(a: DataFrame | Dense, b: DataFrame | Dense, keys: list[str]) ->
     return out.withColumn("rate", F.coalesce(F.try_divide("matched", "expected"), F.lit(1.0)))
 
 
-def validate(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense], tables: DataFrame, uses: DataFrame) -> DataFrame:
+def validate(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense], tables: DataFrame | None, uses: DataFrame) -> DataFrame:
     """All issues between two snapshots (dicts of workflows, tasks and edges, and of calls and classes where there are any)
-    and of the tables, with one schema. Tasks may have main_class; classes(project, class, task)."""
+    and of the tables (None: those of the uses), with one schema. Tasks may have main_class; classes(project, class, task)."""
+    edges = set_differences(graph["edges"], scheduler["edges"], ["source", "target"], "dependency")
+    return reduce(DataFrame.unionByName, [*_checks(graph, scheduler, tables, uses), edges])
+
+
+def issue_totals(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense], tables: DataFrame | None, uses: DataFrame) -> DataFrame:
+    """(project, category, severity, n): how many issues validate() has. Edges by a rule are counted from their nodes."""
+    key, parts, a, b = ["project", "category", "severity"], _checks(graph, scheduler, tables, uses), graph["edges"], scheduler["edges"]
+    if not isinstance(a, Dense):
+        parts.append(set_differences(a, b, ["source", "target"], "dependency"))
+    totals = [reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.count("*").alias("n"))]
+    if isinstance(a, Dense):
+        for n, kind, severity in ((minus_counts(b, a), "missing", "HIGH"), (minus_counts(a, b), "extra", "MEDIUM")):
+            n = n.groupBy("project").agg(F.sum("n").alias("n")).filter("n > 0")
+            totals.append(n.select("project", F.lit(f"dependency_{kind}").alias("category"), F.lit(severity).alias("severity"), "n"))
+    return reduce(DataFrame.unionByName, totals)
+
+
+def _checks(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense], tables: DataFrame | None, uses: DataFrame) -> list[DataFrame]:
+    """The issues of validate() but for those of the edges."""
+    types = {"task_type": "task_type"}
+    if "main_class" in graph["tasks"].columns and "main_class" in scheduler["tasks"].columns:
+        types["main_class"] = "main_class"
     parts = [
         set_differences(graph["workflows"], scheduler["workflows"], ["code"], "workflow"),
         attribute_differences(graph["workflows"], scheduler["workflows"], "code", "name", "workflow_name"),
-        attribute_differences(graph["tasks"], scheduler["tasks"], "code", "task_type", "task_type"),
+        several_differences(graph["tasks"], scheduler["tasks"], "code", types),
         count_differences(graph["tasks"], scheduler["tasks"], "workflow", "task_count"),
-        set_differences(graph["edges"], scheduler["edges"], ["source", "target"], "dependency"),
         table_checks(tables, uses),
     ]
-    if "main_class" in graph["tasks"].columns and "main_class" in scheduler["tasks"].columns:
-        parts.append(attribute_differences(graph["tasks"], scheduler["tasks"], "code", "main_class", "main_class"))
     if "calls" in graph and "calls" in scheduler:
         parts.append(set_differences(graph["calls"], scheduler["calls"], ["source", "target"], "sub_workflow_call"))
     if "classes" in graph and "classes" in scheduler:
         parts.append(set_valued_differences(graph["classes"], scheduler["classes"], "class", "task", "class_tasks"))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def all_rates(graph: dict[str, DataFrame | Dense], scheduler: dict[str, DataFrame | Dense]) -> DataFrame:
